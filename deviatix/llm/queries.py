@@ -5,9 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .common import table
 from .decontaminate import contamination
+from .licenses import scan_licenses
 from .line_dedup import drop_common_lines
+from .quality_rules import quality
+from .token_files import read_shards, write_shards
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "kept", F.col("rate").alias("host_rate"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +90,7 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op9_line_dedup": op9_line_dedup, "op10_decontaminate": op10_decontaminate}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op5_token_files, op8_bpe, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
