@@ -25,8 +25,8 @@ from .bpe import OUT_BYTES, WordCodec, codec, shipped
 from .common import hf_path, new_dir, written
 
 MAGIC = b"DACT"
-HEADER = struct.Struct("<4sQQI")
-FOOTER = struct.Struct("<I4s")
+HEADER, HEADER_SIZE = "<4sQQI", 24
+FOOTER, FOOTER_SIZE = "<I4s", 8
 BLOCK = 512
 #: Tokens from which a segment is closed, at the end of a document: bounds the writer's memory.
 SEGMENT = 1 << 21
@@ -46,7 +46,7 @@ def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
         ranks = np.concatenate([[0], np.cumsum(per_block)]).astype("<u8")
         out += [np.uint64(len(rest)).tobytes(), rest.astype(np.uint8).tobytes(), bits.tobytes(), ranks.tobytes()]
         rest, levels = rest[more] >> 8, levels + 1
-    return b"".join([HEADER.pack(MAGIC, len(doc_ids), len(ids), levels), *out])
+    return b"".join([struct.pack(HEADER, MAGIC, len(doc_ids), len(ids), levels), *out])
 
 
 class SegmentReader:
@@ -55,10 +55,10 @@ class SegmentReader:
     def __init__(self, file, base: int = 0):
         self.file = file
         file.seek(base)
-        magic, self.n_docs, self.n_tokens, levels = HEADER.unpack(file.read(HEADER.size))
+        magic, self.n_docs, self.n_tokens, levels = struct.unpack(HEADER, file.read(HEADER_SIZE))
         if magic != MAGIC:
             raise ValueError("not a token segment")
-        at = base + HEADER.size
+        at = base + HEADER_SIZE
         self.doc_ids, self.nulls, self.starts = (np.frombuffer(self._at(a, n * w), t) for a, n, w, t in ((at, self.n_docs, 8, "<i8"), (at + 8 * self.n_docs, self.n_docs, 1, np.uint8), (at + 9 * self.n_docs, self.n_docs + 1, 8, "<u8")))
         at += 9 * self.n_docs + 8 * (self.n_docs + 1)
         self.levels: list[tuple[int, int, int]] = []  # where chunks, bitmap and directory begin
@@ -110,11 +110,11 @@ class SegmentReader:
 
 def segments(file, size: int) -> list[tuple[int, int]]:
     """(offset, tokens before it) of a shard's segments, from its footer."""
-    file.seek(size - FOOTER.size)
-    n, magic = FOOTER.unpack(file.read(FOOTER.size))
+    file.seek(size - FOOTER_SIZE)
+    n, magic = struct.unpack(FOOTER, file.read(FOOTER_SIZE))
     if magic != MAGIC:
         raise ValueError("not a token shard")
-    file.seek(size - FOOTER.size - 16 * n)
+    file.seek(size - FOOTER_SIZE - 16 * n)
     return [tuple(map(int, x)) for x in np.frombuffer(file.read(16 * n), "<i8").reshape(n, 2)]
 
 
@@ -164,7 +164,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
         if held:
             close()
         if out is not None:
-            out.write(np.array(index, "<i8").tobytes() + FOOTER.pack(len(index), MAGIC))
+            out.write(np.array(index, "<i8").tobytes() + struct.pack(FOOTER, len(index), MAGIC))
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]}, pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
