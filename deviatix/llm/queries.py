@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .language import held_out, predict, train
 from .licenses import scan_licenses
 from .line_dedup import drop_common_lines
+from .near_dup import near_duplicates
 from .quality_rules import quality
 from .token_files import read_shards, write_shards
 
@@ -41,6 +42,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs)).select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
@@ -101,7 +106,7 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op5_token_files, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
