@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a window; a text's windows stand end to end and the last one ends where the text ends.
 WINDOW = 256
@@ -129,8 +130,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return ByteCNN(classes).fit(windows, np.array([k for k, _ in texts]))
 
 
-def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id``, ``lang_pred``, ``score``; whole texts, no shuffle.
+def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """One row per input row: ``id``, ``lang_pred``, ``score``, and with ``keep_row`` the struct ``row`` of all input
+    columns; whole texts, no shuffle.
 
     The mean of the windows' log probabilities decides; the score is the winner's softmax of that mean. ``und`` with
     score 0 if the text is null or has no letter, or if there was nothing to learn from. Labels and sources are not
@@ -138,8 +140,11 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
     """
     import pyarrow as pa
 
+    text_at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column(1).field(text_at) if keep_row else batch.column(1)
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             held: list[np.ndarray] = []
             owner: list[int] = []
@@ -157,7 +162,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
                 held.clear()
                 owner.clear()
 
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(texts):
                 text = text.as_py()
                 if model is not None and text and has_letter(text):
                     held.append(windows_of(text.encode()))
@@ -165,7 +170,8 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
                     if len(owner) >= 512:
                         flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *[batch.column(1)] * keep_row], names=["id", "lang_pred", "score", *["row"] * keep_row])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, lang_pred string, score double")
+    second = F.struct("*").alias("row") if keep_row else F.col(text_col).cast("string").alias("text")
+    schema = T.StructType().add("id", "long").add("lang_pred", "string").add("score", "double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), second).mapInArrow(run, schema.add("row", docs.schema) if keep_row else schema)

@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .line_dedup import drop_common_lines
 from .near_dup import near_duplicates
 from .quality_rules import quality
+from .suffix_dedup import remove_repeats
 from .token_files import read_shards, write_shards
 
 
@@ -37,6 +38,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), span=100)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_shards(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return read_shards(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -106,7 +112,7 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
