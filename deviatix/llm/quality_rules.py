@@ -70,18 +70,18 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def host_verdicts(rules: DataFrame, max_rate: float = 0.5, sigmas: float = 2.0) -> DataFrame:
     """host, docs, failures, rate (shrunk) and ``bad``.
 
-    The prior beta(a, b) is fitted to the hosts' failure rates by moments: their document-weighted mean, and the
+    The prior beta(a, b) is fitted to the hosts' failure rates by moments, weighted by documents: their mean, and the
     variance beyond what counts alone explain. A host is bad only if its posterior mean lies ``sigmas`` posterior
     deviations above ``max_rate``: few documents or a moderate rate condemn no host. Documents without a host have no
     verdict.
     """
     hosts = written(rules.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("failed").cast("long")).alias("failures")), "hosts")
     rate = F.col("failures") / F.col("docs")
-    # one row of five sums
-    n, f, hosts_n, square, inverse = hosts.agg(F.sum("docs"), F.sum("failures"), F.count(F.lit(1)), F.sum(rate * rate), F.sum(1 / F.col("docs"))).first()
+    # one row of four sums
+    n, f, hosts_n, square = hosts.agg(F.sum("docs"), F.sum("failures"), F.count(F.lit(1)), F.sum(F.col("docs") * rate * rate)).first()
     mean = min(max((f or 0) / n, 1e-6), 1 - 1e-6) if n else 0.5
-    noise = mean * (1 - mean) * (inverse or 0) / (hosts_n or 1)
-    spread = max((square or 0) / (hosts_n or 1) - mean * mean - noise, 1e-6)
+    noise = mean * (1 - mean) * hosts_n / n if n else 0.0
+    spread = max((square / n if n else 0.0) - mean * mean - noise, 1e-6)
     strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
     a, b = mean * strength, (1 - mean) * strength
     post = (F.col("failures") + a) / (F.col("docs") + a + b)
