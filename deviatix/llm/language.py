@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -116,12 +117,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not top:
         return None
+    # of a large language only ids of low hash go on, some four times the bound whatever the table's size
+    order, span = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), 1 << 30
+    low = reduce(lambda c, r: c | ((F.col("lang") == r["lang"]) & (order < int(min(1.0, 4 * docs_per_language / r["count"]) * span))), top, F.lit(False))
     n = F.length("text")
     start = lambda k: F.floor(F.greatest(n - WINDOW, F.lit(0)) * k / max(1, windows_per_doc - 1)).cast("int") + 1
-    cut = rows.where(F.col("lang").isin(top)).select("id", "lang", F.xxhash64("id").alias("order"), F.array_distinct(F.array(*[F.substring("text", start(k), F.lit(WINDOW)) for k in range(windows_per_doc)])).alias("cuts"))
+    cut = rows.where(low).select("id", "lang", order.alias("order"), F.array_distinct(F.array(*[F.substring("text", start(k), F.lit(WINDOW)) for k in range(windows_per_doc)])).alias("cuts"))
     first = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "cuts"))).where(F.col("rank") <= docs_per_language)
     sample = sorted((r.lang, r.rank, list(r.cuts)) for r in first.select("lang", "rank", "cuts").collect())
     classes = sorted({lang for lang, _, _ in sample})
