@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
 from ..registry import ORACLES, QUERIES
-from . import norm_queries, relational_queries, scalar_queries, text_queries
+from . import norm_queries, relational_queries, scalar_queries, signal_queries, text_queries
 
-__all__ = ["ORACLES", "QUERIES", "norm_queries", "relational_queries", "scalar_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "norm_queries", "relational_queries", "scalar_queries", "signal_queries", "text_queries"]
