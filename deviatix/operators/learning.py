@@ -72,7 +72,7 @@ def folded_scores(df: DataFrame, features: list[str], label: str, unit: str, fol
     rows = df.select(unit, label, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_own", fold)
     each = rows.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
 
-    def fit(key, part: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         test = part["_own"] == key[0]
         x = part[features].to_numpy(float)
         x = np.where(np.isnan(x), np.nanmedian(x[~test], axis=0), x)

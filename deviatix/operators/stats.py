@@ -20,11 +20,11 @@ def auroc(df: DataFrame, truth: str, score: str, by: list[str] | None = None, we
     by = by or []
     wt = weight if weight is not None else F.lit(1.0)
     t = F.col(truth).cast("int")
-    c = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, score).agg(F.sum(wt * t).alias("p"), F.sum(wt * (1 - t)).alias("q"))
+    c = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, score).agg(F.sum(wt * t).alias("_p"), F.sum(wt * (1 - t)).alias("_q"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("below", F.sum("q").over(w) - F.col("q"))
-    area = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2))
-    g = c.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), area.alias("area"))
+    c = c.withColumn("_below", F.sum("_q").over(w) - F.col("_q"))
+    area = F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2))
+    g = c.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), area.alias("area"))
     return g.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("area") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
 
 
