@@ -3,7 +3,7 @@
 A sparse suffix array, exact for strings of ``span`` bytes. Of all windows of ``span`` bytes each has one anchor: the
 leftmost of its least-hashed 36-byte grams, which depends on the window's bytes alone. Neighbouring windows share
 anchors (one per 33 bytes in prose), and equal windows have equal anchors at the same offset. So only the suffixes at
-anchors are sorted: a row has the suffix's leading 8 bytes as a big-endian word, a hash of its gram, a hash of the whole
+anchors are sorted: a row has a word of the suffix's leading 4 bytes and 32 bits of its gram's hash, a hash of the whole
 stretch that the anchor's windows cover, and its place.
 
 Sampled splitters range-partition the rows by that whole key, place included, so that even the copies of one string are
@@ -114,10 +114,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
 
 def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
-    """lead, gram, stretch, id, tie, start, windows: a row per anchored stretch."""
+    """lead, stretch, id, tie, place: a row per anchored stretch; place is start * span + windows (fewer than span)."""
     import pyarrow as pa
 
-    names = ["lead", "gram", "stretch", "id", "tie", "start", "windows"]
+    names = ["lead", "stretch", "id", "tie", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +135,10 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
                     continue
                 h = gram_hashes(data)
                 start, count, anchor = anchored_stretches(h, span)
-                lead = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))[anchor].astype(U)
+                head = np.ndarray((len(data) - 3,), ">u4", data, strides=(1,))[anchor].astype(U)
+                lead = ((head << U(32)) | (h[anchor] >> U(32))) ^ U(1 << 63)  # in the order of the bytes, as signed
                 n = len(start)
-                parts.append([(lead ^ U(1 << 63)).view(np.int64), (h[anchor] >> U(33)).astype(np.int32), _stretch_hash(h, start, count, anchor, span).view(np.int64), np.full(n, i), np.full(n, tie), start.astype(np.int64), count.astype(np.int32)])
+                parts.append([lead.view(np.int64), _stretch_hash(h, start, count, anchor, span).view(np.int64), np.full(n, i), np.full(n, tie), start.astype(np.int64) * span + count])
                 held += n
                 if held > 50_000:
                     yield out()
@@ -145,10 +146,10 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
             if parts:
                 yield out()
 
-    return docs.select("id", "tie", "text").mapInArrow(run, "lead long, gram int, stretch long, id long, tie long, start long, windows int")
+    return docs.select("id", "tie", "text").mapInArrow(run, "lead long, stretch long, id long, tie long, place long")
 
 
-def sorted_buckets(rows: DataFrame) -> DataFrame:
+def sorted_buckets(rows: DataFrame, span: int) -> DataFrame:
     """id, tie, start, windows, again: repeats of an earlier stretch (again), and first ones to compare by windows."""
     import pyarrow as pa
 
@@ -156,12 +157,12 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         bucket = list(batches)  # bounded: the splitters part even equal suffixes
         if not bucket:
             return
-        lead, gram, stretch, ids, tie, start, windows = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in bucket]) for k in range(7))
+        lead, stretch, ids, tie, place = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in bucket]) for k in range(5))
         bucket.clear()
-        order = multikey_order([lead, gram, stretch, ids, tie, start])
-        lead, gram, stretch = lead[order], gram[order], stretch[order]
+        order = multikey_order([lead, stretch, ids, tie, place])
+        lead, stretch = lead[order], stretch[order]
         new_gram = np.ones(len(order), bool)
-        new_gram[1:] = (lead[1:] != lead[:-1]) | (gram[1:] != gram[:-1])
+        new_gram[1:] = lead[1:] != lead[:-1]
         again = ~new_gram
         again[1:] &= stretch[1:] == stretch[:-1]
         group = np.cumsum(new_gram) - 1
@@ -171,9 +172,9 @@ def sorted_buckets(rows: DataFrame) -> DataFrame:
         rows = order[keep]
         for a in range(0, len(rows), 50_000):
             r = rows[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], tie[r], start[r], windows[r], again[keep][a : a + 50_000])], names=["id", "tie", "start", "windows", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], tie[r], place[r] // span, (place[r] % span).astype(np.int32), again[keep][a : a + 50_000])], names=["id", "tie", "start", "windows", "again"])
 
-    spread = rows.repartitionByRange("lead", "gram", "stretch", "id", "tie", "start")
+    spread = rows.repartitionByRange("lead", "stretch", "id", "tie", "place")
     return spread.mapInArrow(run, "id long, tie long, start long, windows int, again boolean")
 
 
@@ -188,14 +189,15 @@ def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, firsts: DataFrame, span: int) -> DataFrame:
-    """id, tie, start, end of the windows in ``firsts`` that are equal to an earlier one there, by 128-bit hashes.
+    """id, tie, start, end of the windows in ``firsts`` that are equal to an earlier one there, by 96-bit hashes.
 
-    Within a batch all but the first of equal windows are known as repeats at once; they go on under keys of their
-    own, so a window that a third of all documents hold meets once per batch.
+    A row is kept small: g1, and 32 more bits of hash, a flag and the start in one long. Within a batch all but the
+    first of equal windows are known as repeats at once; they are flagged and go on under keys of their own, so a
+    window that a third of all documents hold meets once per batch.
     """
     import pyarrow as pa
 
-    names = ["g1", "g2", "id", "tie", "start", "again"]
+    names = ["g1", "rest", "id", "tie"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,23 +211,26 @@ def repeated_windows(texts: DataFrame, firsts: DataFrame, span: int) -> DataFram
                 for k in [*range(0, span - GRAM, GRAM), span - GRAM]:
                     x = h[at + k]
                     g1, g2 = _mixed(g1 * U(0x9E3779B97F4A7C15) + x), _mixed((g2 + x) * U(0xC2B2AE3D27D4EB4F))
-                parts.append([g1, g2, np.full(len(at), i), np.full(len(at), tie), at])
+                parts.append([g1, g2 >> U(32), np.full(len(at), i), np.full(len(at), tie), at.astype(U)])
             if not parts:
                 continue
             g1, g2, ids, ties, at = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((at, ties, ids, g2, g1))
+            g1, g2, ids, ties, at = (x[order] for x in (g1, g2, ids, ties, at))
             again = np.zeros(len(order), bool)
-            again[1:] = (g1[order][1:] == g1[order][:-1]) & (g2[order][1:] == g2[order][:-1])
-            rows = [x[order] for x in (g1, g2, ids, ties, at)]
-            rows[0] = np.where(again, _mixed(rows[2].astype(U) + rows[4].astype(U)), rows[0])
-            rows[1] = np.where(again, U(0), rows[1])
+            again[1:] = (g1[1:] == g1[:-1]) & (g2[1:] == g2[:-1])
+            g1 = np.where(again, _mixed(ids.astype(U) * U(0x9E3779B97F4A7C15) + at), g1)
+            rest = (g2 << U(32)) | (again.astype(U) << U(31)) | at
             for a in range(0, len(order), 50_000):
                 c = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0][c].view(np.int64)), pa.array(rows[1][c].view(np.int64)), *[pa.array(x[c]) for x in rows[2:]], pa.array(again[c])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g1[c].view(np.int64), rest[c].view(np.int64), ids[c], ties[c])], names=names)
 
-    hashed = _with_spans(texts, firsts, "inner").mapInArrow(run, "g1 long, g2 long, id long, tie long, start long, again boolean")
-    rank = F.row_number().over(Window.partitionBy("g1", "g2").orderBy("id", "tie", "start"))
-    return hashed.withColumn("rank", rank).where(F.col("again") | (F.col("rank") > 1)).select("id", "tie", "start", (F.col("start") + span).alias("end"))
+    hashed = _with_spans(texts, firsts, "inner").mapInArrow(run, "g1 long, rest long, id long, tie long").repartition("g1")
+    again = F.shiftrightunsigned("rest", 31).bitwiseAND(F.lit(1)) == 1
+    hashed = hashed.withColumns({"g2": F.shiftright("rest", 32), "again": again, "start": F.col("rest").bitwiseAND(F.lit((1 << 31) - 1))})
+    # flagged rows are repeats already and no one's predecessors
+    same = F.lag("g2").over(Window.partitionBy("g1").orderBy("again", "g2", "id", "tie", "start")) == F.col("g2")
+    return hashed.withColumn("same", same).where(F.col("again") | F.col("same")).select("id", "tie", "start", (F.col("start") + span).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100) -> DataFrame:
@@ -242,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if span < 2 * GRAM:
         raise ValueError(f"spans of {2 * GRAM} bytes or more")
     texts, analysed = _keyed(docs, id_col, text_col)
-    found = written(sorted_buckets(anchor_rows(analysed, span)), "stretches")
+    found = written(sorted_buckets(anchor_rows(analysed, span), span), "stretches")
     found = found.select("id", "tie", "start", (F.col("start") + F.col("windows") - 1 + span).alias("end"), "again")
     windows = repeated_windows(texts if texts is analysed else analysed, found.where(~F.col("again")).drop("again"), span)
     spans = found.where("again").drop("again").unionByName(windows)
