@@ -179,8 +179,14 @@ def sorted_buckets(rows: DataFrame, span: int) -> DataFrame:
 
 
 def _by_document(spans: DataFrame) -> DataFrame:
-    """Start and end pairs, at most a document's own, in one row for it."""
-    return spans.groupBy(F.col("id").alias("s_id"), F.col("tie").alias("s_tie")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """Spans, at most a document's own, in one row for it; each in a long: start * 65536 + length (some hundred bytes)."""
+    packed = F.col("start") * 65536 + (F.col("end") - F.col("start"))
+    return spans.groupBy(F.col("id").alias("s_id"), F.col("tie").alias("s_tie")).agg(F.collect_list(packed).alias("spans"))
+
+
+def _unpacked(spans) -> tuple[np.ndarray, np.ndarray]:
+    packed = spans.values.to_numpy()
+    return packed >> 16, (packed >> 16) + (packed & 65535)
 
 
 def _with_spans(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -204,8 +210,7 @@ def repeated_windows(texts: DataFrame, firsts: DataFrame, span: int) -> DataFram
             parts = []
             for i, tie, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 h = gram_hashes(text.as_py().encode("utf-8", "surrogatepass"))
-                flat = spans.values
-                a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                a, b = _unpacked(spans)
                 at = np.concatenate([np.arange(x, y - span + 1) for x, y in zip(a, b, strict=True)])
                 g1, g2 = np.full(len(at), 1, U), np.full(len(at), 2, U)
                 for k in [*range(0, span - GRAM, GRAM), span - GRAM]:
@@ -244,8 +249,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     import pyarrow as pa
 
-    if span < 2 * GRAM:
-        raise ValueError(f"spans of {2 * GRAM} bytes or more")
+    if not 2 * GRAM <= span < 1 << 14:
+        raise ValueError(f"spans of {2 * GRAM} bytes or more, and less than 16384")
     texts, analysed = _keyed(docs, id_col, text_col)
     found = written(sorted_buckets(anchor_rows(analysed, span), span), "stretches")
     found = found.select("id", "tie", "start", (F.col("start") + F.col("windows") - 1 + span).alias("end"), "again")
@@ -260,8 +265,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed, runs, kept = 0, 0, data
                 if spans.is_valid:
                     edge = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(edge, spans.values.field(0).to_numpy(), 1)
-                    np.add.at(edge, spans.values.field(1).to_numpy(), -1)
+                    start, end = _unpacked(spans)
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, end, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     removed, runs = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
