@@ -6,16 +6,16 @@ runs of 3 neighbouring retained values (2 in sets of up to 6 values): what one c
 runs keep apart. A pair of similarity 0.8 or more has such a run in common but with a probability below 1e-9 (and sets of
 fewer than 64 shingles always have: d differing values leave d + 1 runs of the others).
 
-Links matter only as far as they join components. So each round takes one document of each list as its hub, and tests
-the list's documents of other components against it: pairs are linear in the lists' rows, also in a group of
-thousands of near copies. When few pairs of different components are left in the lists, a last round tests them all,
-so that no link between components is missed.
+Links matter only as far as they join components, and groups of near copies can be large, so pairs are met in three
+steps. Each document's best overlap with the first document of a list is verified: one pair a document. Documents
+that overlap strongly form groups; within a group all pairs of still different components are compared on whole sets
+in blocks of bounded size, as matrix products. Pairs of different groups that share a list, chance meetings, are
+estimated from sketches and verified one by one. So every pair that shares a list is decided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,8 +29,10 @@ K = 64
 SIGMAS = 6.0
 #: Ids (8 bytes each, counted) up to which they are broadcast to fetch their texts.
 BROADCAST_IDS = 200_000
-#: Hub rounds at most, and pairs of other components left per list row from which another one is worth it.
-HUB_ROUNDS, PAIRS_PER_ROW = 6, 4
+#: Shared runs from which an overlap is strong.
+STRONG = 4
+#: Documents of either side of a block, about.
+BLOCK = 256
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -135,49 +137,96 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-class _Verifier:
-    """Tests pairs of representatives; keeps what was tested and the sets already built."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, shingle: int, percent: int, id_col: str, text_col: str):
-        self.docs, self.reps, self.args, self.percent = docs, reps, (shingle, id_col, text_col), percent
-        self.sets: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
-        self.links: list[DataFrame] = []
-
-    def _union(self, parts: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, parts)
-
-    def links_of(self, pairs: DataFrame) -> int:
-        """Adds the links among ``pairs`` (a < b with sizes that can reach the threshold); returns their number."""
-        if self.tested:
-            pairs = pairs.join(self._union(self.tested).hint("merge"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        self.tested.append(pairs)
-        t = self.percent / 100
-        one = self.reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        two = self.reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        est = pairs.hint("merge").join(one, "a").join(two.hint("merge"), "b")
-        # the union's sketch is the least values of both sketches; its share that both sets hold estimates the similarity
-        est = est.withColumn("union", F.slice(F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned_order)), 1, K))
-        both = F.size(F.array_intersect("union", F.array_intersect(F.transform("sa", _unsigned_order), F.transform("sb", _unsigned_order))))
-        size = F.size("union")
-        est = est.where(both >= t * size - SIGMAS * F.sqrt(t * (1 - t) * size)).select("a", "b").distinct()
-        est = written(est, "likely")
-        ids = est.select(F.col("a").alias("node")).unionByName(est.select(F.col("b").alias("node"))).distinct()
-        if self.sets:
-            ids = ids.join(self._union(self.sets).select("node").hint("merge"), "node", "left_anti")
-        ids = written(ids, "ids")
-        if n_ids := ids.count():
-            shingle, id_col, text_col = self.args
-            self.sets.append(written(full_sets(self.docs, shingle, id_col, text_col, ids, n_ids), "sets"))
-        if not self.sets:
-            return 0
-        sets = self._union(self.sets)
-        exact = est.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("values").alias("va")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("vb")).hint("merge"), "b")
-        common = F.size(F.array_intersect("va", "vb"))
-        links = written(exact.where(100 * common >= self.percent * (F.size("va") + F.size("vb") - common)).select("a", "b").distinct(), "links")
-        self.links.append(links)
-        return links.count()
+def roots(parents: DataFrame) -> DataFrame:
+    """node, root, for a forest of (node, parent) in which no parent has a greater id than its node: pointers jump."""
+    now = written(parents.select("node", F.col("parent").alias("root")), "pointers")
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = written(now.join(up.hint("merge"), "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "pointers")
+        if not jumped.where("moved").limit(1).count():
+            return jumped.select("node", "root")
+        now = jumped.select("node", "root")
+
+
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches do not rule the threshold out."""
+    t = percent / 100
+    one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    est = pairs.hint("merge").join(one, "a").join(two.hint("merge"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # the union's sketch is the least values of both sketches; its share that both sets hold estimates the similarity
+    both = F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned_order))
+    est = est.withColumn("union", F.slice(both, 1, K))
+    hit = F.size(F.array_intersect("union", F.transform(F.array_intersect("sa", "sb"), _unsigned_order)))
+    size = F.size("union")
+    return est.where(hit >= t * size - SIGMAS * F.sqrt(t * (1 - t) * size)).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    exact = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("values").alias("va")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("vb")).hint("merge"), "b")
+    common = F.size(F.array_intersect("va", "vb"))
+    return exact.where(100 * common >= percent * (F.size("va") + F.size("vb") - common)).select("a", "b").distinct()
+
+
+def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all pairwise intersections, as products of 0/1 matrices over some columns at a time."""
+    size = np.array(list(map(len, sets)))
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, (c, c + columns))
+        dense = np.zeros((len(sets), columns), np.float32)
+        dense[row[a:b], column[a:b] - c] = 1
+        out += dense @ dense.T
+    return out.astype(np.int64)
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join different components within a group. ``members``: node, grp, comp, of groups with several.
+
+    A group's largest component is known to hold together, so its documents meet only the others, and those each
+    other, in blocks of about ``BLOCK`` documents a side. A block hands back links that join its components, no more
+    than it has documents.
+    """
+    import pandas as pd
+
+    n = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("m"))
+    top = n.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("n_main"), (F.sum("m") - F.max("m")).alias("n_rest"))
+    pieces = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    placed = members.join(top.hint("merge"), "grp").withColumns({"p_main": pieces("n_main"), "p_rest": pieces("n_rest"), "is_main": F.col("comp") == F.col("main")})
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("p_main")).otherwise(F.col("p_rest"))).cast("int")
+    placed = placed.withColumn("own", own)
+    to = lambda last, make: F.transform(F.sequence(F.lit(0), last - 1), make)
+    as_rest = to(F.col("p_rest"), lambda k: F.struct(F.lit(0).alias("kind"), F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j")))
+    to_main = to(F.col("p_main"), lambda k: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), k.alias("j")))
+    as_main = to(F.col("p_rest"), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("i"), F.col("own").alias("j")))
+    cells = placed.select("node", "grp", "comp", F.explode(F.when(F.col("is_main"), as_main).otherwise(F.concat(as_rest, to_main))).alias("cell"))
+    filled = cells.hint("merge").join(sets, "node").select("grp", "cell.kind", "cell.i", "cell.j", "node", "comp", "values")
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        nodes, comps = block["node"].to_numpy(), block["comp"].to_numpy()
+        size = block["values"].map(len).to_numpy()
+        common = intersections(list(block["values"]))
+        a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None] - common), 1) & (comps[:, None] != comps[None]))
+        up: dict = {}
+
+        def find(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        kept = []
+        for x, y in zip(a, b, strict=True):
+            p, q = find(comps[x]), find(comps[y])
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                kept.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return filled.groupBy("grp", "kind", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def _unsigned_order(x):
@@ -201,36 +250,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.select(F.col("id").alias("node"), "n", "hi", "lo", "sketch").join(classes.hint("merge"), ["hi", "lo", "node"]).dropDuplicates(["hi", "lo", "node"]).select("node", "n", "sketch")
     reps = written(reps, "reps")
     keys = list_keys(reps)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("key")
-    lists = written(keys.join(shared.hint("merge"), "key"), "lists")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where(F.col("size") > 1)
+    lists = written(keys.join(shared.hint("merge"), "key").select("key", "node", "hub"), "lists")
     in_lists = written(reps.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "list-sketches")
-    verifier, comps = _Verifier(docs, in_lists, shingle, percent, id_col, text_col), None
-    rows = lists.count()
-    for turn in range(HUB_ROUNDS + 1):
-        now = lists.withColumn("comp", F.col("node")) if comps is None else lists.join(comps.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = written(now, "labelled") if comps is not None else now
-        per_comp = now.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        left = per_comp.groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-        left = written(left.select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")), "open-lists")
-        crossing = left.agg(F.sum("pairs")).first()[0] or 0
-        if not crossing:
-            break
-        last = turn and (crossing <= PAIRS_PER_ROW * rows or turn == HUB_ROUNDS)
-        open_rows = now.join(left.select("key").hint("merge"), "key", "left_semi")
-        if last:
-            other = open_rows.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        else:
-            order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
-            other = open_rows.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "comp")).alias("hub"))
-            other = other.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp"))
-        cross = open_rows.join(other.hint("merge"), "key").where(F.col("comp") < F.col("hub_comp") if last else F.col("comp") != F.col("hub_comp"))
-        fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        n_links = verifier.links_of(cross.where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        if n_links:
-            comps = connected_components(verifier._union(verifier.links))
-            comps = written(comps, "components")
-        if last:
-            break
+    overlaps = lists.where(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("runs"))
+    best = overlaps.groupBy("node").agg(F.max(F.struct("runs", -F.col("hub"))).alias("m")).select("node", (-F.col("m.col2")).alias("parent"), "m.runs")
+    strong = written(best.where(F.col("runs") >= STRONG).select("node", "parent"), "strong")
+    groups = roots(strong)
+    groups = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("grp")), "groups")
+    grouped = lists.select("key", "node").join(groups.hint("merge"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    mixed = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where(F.col("g0") != F.col("g1")).select("key")
+    meet = written(grouped.join(mixed.hint("merge"), "key", "left_semi"), "meetings")
+    other = meet.select("key", F.col("node").alias("b"), F.col("grp").alias("grp_b"))
+    chance = meet.withColumnRenamed("node", "a").join(other.hint("merge"), "key").where((F.col("grp") != F.col("grp_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    near = strong.select(F.col("parent").alias("a"), F.col("node").alias("b")).withColumn("chance", F.lit(False))
+    pairs = likely(near.select("a", "b"), in_lists, percent).withColumn("chance", F.lit(False)).unionByName(likely(chance, in_lists, percent).withColumn("chance", F.lit(True)))
+    pairs = written(pairs, "likely")
+    # whole sets of all that is compared: the groups, and what met by chance and may be similar
+    ids = groups.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = written(ids, "compared")
+    comps = None
+    if n_ids := ids.count():
+        sets = written(full_sets(docs, shingle, id_col, text_col, ids, n_ids), "sets")
+        links = written(verified(pairs.where(~F.col("chance")), sets, percent), "near-links")
+        first = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
+        members = groups.join(first.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        several = members.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("grp")
+        members = written(members.join(several.hint("merge"), "grp", "left_semi"), "members")
+        more = written(block_links(members, sets, percent).unionByName(verified(pairs.where("chance"), sets, percent)), "more-links")
+        comps = first.withColumnRenamed("root", "comp")
+        if more.limit(1).count():
+            # components joined by further links: the same over components instead of documents
+            root_of = first.select(F.col("node"), F.col("root"))
+            a = more.join(root_of.withColumnsRenamed({"node": "a", "root": "ra"}).hint("merge"), "a", "left").join(root_of.withColumnsRenamed({"node": "b", "root": "rb"}).hint("merge"), "b", "left")
+            top = connected_components(a.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+            every = comps.select("node", "comp").unionByName(top.select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+            comps = every.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("least")).hint("merge"), "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+        comps = written(comps, "components")
     of_class = classes if comps is None else classes.join(comps.hint("merge"), "node", "left")
     of_class = of_class.select("hi", "lo", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
     # merge join: a class may hold a third of all documents, and Spark splits such partitions
