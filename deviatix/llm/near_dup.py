@@ -3,14 +3,17 @@
 Documents with equal shingle sets are one class, whose representative has the smallest id; all work on pairs is
 between representatives. A sketch holds the ``K`` least shingle hashes of a set, in order. Inverted lists are kept for
 runs of 3 neighbouring retained values (2 in sets of up to 6 values): what one common shingle would put into a list,
-runs keep apart. A pair of similarity 0.8 or more has such a run in common but with a probability below 1e-9 (and sets of
-fewer than 64 shingles always have: d differing values leave d + 1 runs of the others).
+runs keep apart. A pair of similarity 0.8 or more has more than ``HOTTEST`` such runs in common but with a probability
+below 1e-8 (sets of 30 to 96 shingles always have: d differing values spoil 3 d runs at most). So each set of 30
+shingles or more may leave its ``HOTTEST`` longest lists, by one order of all lists: of the common ones the shortest
+is not among them. That clears lists of passages that many unlike documents share.
 
 Links matter only as far as they join components, and groups of near copies can be large, so pairs are met in three
-steps. Each document's best overlap with the first document of a list is verified: one pair a document. Documents
-that overlap strongly form groups; within a group all pairs of still different components are compared on whole sets
-in blocks of bounded size, as matrix products. Pairs of different groups that share a list, chance meetings, are
-estimated from sketches and verified one by one. So every pair that shares a list is decided.
+steps. Documents that overlap strongly with the first document of a list, or share a list that is still long, form
+groups. Each document's best overlap is verified: one pair a document. Within a group all pairs of still different
+components are compared on whole sets in blocks of bounded size, as matrix products. Pairs of different groups that
+share a list, which then is short, are estimated from sketches and verified one by one. So every pair that shares a
+list is decided, and the rows of pairs grow as those of the lists.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized_join_hint, written
 
 #: Values that a sketch retains.
-K = 64
+K = 96
+#: Lists that a set of at least so many shingles leaves, its longest.
+HOTTEST, LEAVES_FROM = 8, 30
+#: Documents from which a list is long: they become one group.
+LONG = 64
 #: Standard deviations by which an estimate may fall short of the threshold.
 SIGMAS = 6.0
 #: Ids (8 bytes each, counted) up to which they are broadcast to fetch their texts.
@@ -250,21 +257,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.select(F.col("id").alias("node"), "n", "hi", "lo", "sketch").join(classes.hint("merge"), ["hi", "lo", "node"]).dropDuplicates(["hi", "lo", "node"]).select("node", "n", "sketch")
     reps = written(reps, "reps")
     keys = list_keys(reps)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where(F.col("size") > 1)
-    lists = written(keys.join(shared.hint("merge"), "key").select("key", "node", "hub"), "lists")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    hottest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "key")) <= HOTTEST
+    kept = keys.join(shared.hint("merge"), "key").withColumn("hot", hottest & (F.col("n") >= LEAVES_FROM)).where(~F.col("hot")).select("key", "node")
+    kept = written(kept, "kept-runs")
+    hubs = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where(F.col("size") > 1)
+    lists = written(kept.join(hubs.hint("merge"), "key"), "lists")
     in_lists = written(reps.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "list-sketches")
-    overlaps = lists.where(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("runs"))
-    best = overlaps.groupBy("node").agg(F.max(F.struct("runs", -F.col("hub"))).alias("m")).select("node", (-F.col("m.col2")).alias("parent"), "m.runs")
-    strong = written(best.where(F.col("runs") >= STRONG).select("node", "parent"), "strong")
-    groups = roots(strong)
-    groups = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("grp")), "groups")
+    overlaps = lists.where(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("runs"), F.max("size").alias("size"))
+    strong = written(overlaps.where((F.col("runs") >= STRONG) | (F.col("size") > LONG)), "strong")
+    groups = written(connected_components(strong.select(F.col("hub").alias("a"), F.col("node").alias("b"))).select("node", F.col("comp").alias("grp")), "groups")
+    best = strong.groupBy("node").agg(F.max(F.struct("runs", -F.col("hub"))).alias("m")).select("node", (-F.col("m.col2")).alias("parent"))
     grouped = lists.select("key", "node").join(groups.hint("merge"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where(F.col("g0") != F.col("g1")).select("key")
     meet = written(grouped.join(mixed.hint("merge"), "key", "left_semi"), "meetings")
     other = meet.select("key", F.col("node").alias("b"), F.col("grp").alias("grp_b"))
     chance = meet.withColumnRenamed("node", "a").join(other.hint("merge"), "key").where((F.col("grp") != F.col("grp_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    near = strong.select(F.col("parent").alias("a"), F.col("node").alias("b")).withColumn("chance", F.lit(False))
-    pairs = likely(near.select("a", "b"), in_lists, percent).withColumn("chance", F.lit(False)).unionByName(likely(chance, in_lists, percent).withColumn("chance", F.lit(True)))
+    near = best.select(F.col("parent").alias("a"), F.col("node").alias("b"))
+    pairs = likely(near, in_lists, percent).withColumn("chance", F.lit(False)).unionByName(likely(chance, in_lists, percent).withColumn("chance", F.lit(True)))
     pairs = written(pairs, "likely")
     # whole sets of all that is compared: the groups, and what met by chance and may be similar
     ids = groups.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
