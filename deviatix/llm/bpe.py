@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -135,9 +136,23 @@ class ForcedBoundaryCodec:
         return b"".join(ids), b"".join(out).decode("utf-8", "replace")
 
 
+#: The split of lower-cased text that one family of tokenizers states (as their files write it). Fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Texts of Latin letters below U+0180 alone, which that split and lower-casing treat letter by letter.
+_NOT_LATIN = re.compile("[^\x00-\u017f]|[\x1c-\x1f\x85\xa0]|<\\|")
+
+
+def _latin_split() -> re.Pattern:
+    """SPLIT for texts below U+0180, with letters and numbers spelled out."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers = of("L"), of("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t-\r{letters}{numbers}]+")
+
+
 class WordCodec:
     """Encodes with any tokenizer of the library whose pre-tokenizer drops white space: words between ASCII spaces are
-    independent, so each distinct one is encoded once and remembered in a bounded cache."""
+    independent, so each distinct one is encoded once and remembered in a bounded cache. Where the tokenizer lower-cases
+    and splits as ``SPLIT`` says, Latin texts are looked up by its pieces, which are far fewer than words."""
 
     def __init__(self, model_json: str):
         from tokenizers import Tokenizer
@@ -145,10 +160,14 @@ class WordCodec:
         self.tok = Tokenizer.from_str(model_json)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.split = _latin_split() if SPLIT in model_json and '"Lowercase"' in model_json else None
         self.seen = Remembered()
 
     def encode(self, text: str) -> bytes:
-        words = _WORDS.findall(text)
+        if self.split and not _NOT_LATIN.search(text):
+            words = self.split.findall(text.lower())
+        else:
+            words = _WORDS.findall(text)
         found, unknown = self.seen.look_up(words)
         if unknown:
             self.seen.put(new := {w: _uint32s(e.ids) for w, e in zip(unknown, self.tok.encode_batch(unknown, add_special_tokens=False), strict=True)})
