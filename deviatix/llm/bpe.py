@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of rows that a task hands back at a time.
 OUT_BYTES = 4 << 20
 #: Pieces that each of a cache's two generations holds at most: bounds its memory.
-CACHE = 100_000
+CACHE = 80_000
 #: Bytes of a piece from which it is cut inside and not remembered.
 LONG = 64
 
@@ -161,16 +161,22 @@ class WordCodec:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.split = _latin_split() if SPLIT in model_json and '"Lowercase"' in model_json else None
-        self.seen = Remembered()
+        self.letter_of = {b: c for c, b in _byte_letters().items()}
+        self.seen = {True: Remembered(), False: Remembered()}
+
+    def _encode(self, words: list[str], pieces: bool) -> dict[str, bytes]:
+        if not pieces:
+            return {w: _uint32s(e.ids) for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False), strict=True)}
+        # pieces are normalised and split already: byte letters go straight to the merges
+        tokenize = self.tok.model.tokenize
+        return {w: _uint32s([t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([self.letter_of[b] for b in w.encode()]))]) for w in words}
 
     def encode(self, text: str) -> bytes:
-        if self.split and not _NOT_LATIN.search(text):
-            words = self.split.findall(text.lower())
-        else:
-            words = _WORDS.findall(text)
-        found, unknown = self.seen.look_up(words)
+        pieces = self.split is not None and not _NOT_LATIN.search(text)
+        words = self.split.findall(text.lower()) if pieces else _WORDS.findall(text)
+        found, unknown = self.seen[pieces].look_up(words)
         if unknown:
-            self.seen.put(new := {w: _uint32s(e.ids) for w, e in zip(unknown, self.tok.encode_batch(unknown, add_special_tokens=False), strict=True)})
+            self.seen[pieces].put(new := self._encode(unknown, pieces))
             found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 

@@ -151,6 +151,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
             index.append((size, n_tokens))
             size, n_docs, n_tokens = size + len(data), n_docs + len(counts), n_tokens + held
             ids, counts, doc_ids, held = [], [], [], 0
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for i, text in zip(batch.column(0), batch.column(1), strict=True):
