@@ -13,6 +13,7 @@ Footer: per segment int64 (offset, tokens before it); then count and magic.
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -189,8 +190,11 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 fs, path = hf_path(name)
                 with fs.open_input_file(path) as file:
                     rows, held = [], 0
-                    for offset, tokens_before in segments(file, file.size()):
-                        seg = SegmentReader(file, offset)
+                    index = segments(file, file.size())
+                    ends = [offset for offset, _ in index[1:]] + [file.size() - FOOTER_SIZE - 16 * len(index)]
+                    for (offset, tokens_before), end in zip(index, ends, strict=True):
+                        file.seek(offset)
+                        seg = SegmentReader(io.BytesIO(file.read(end - offset)))  # all of its documents are asked for
                         for k in range(seg.n_docs):
                             a, b = int(seg.starts[k]), int(seg.starts[k + 1])
                             rows.append((None if seg.nulls[k] else int(seg.doc_ids[k]), first + tokens_before + a, b - a, seg.tokens(a, b).tobytes()))
