@@ -72,14 +72,15 @@ def tx12(spark, sf):
 @query("tx13_scrub", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\b|\b\d{1,2}:\d{2}(:\d{2})?\b', '[date]', 'g'), '\b\d{5,}\b', '[number]', 'g'), '\b(Dr|Mr|Mrs|Ms)\.? +[A-Z][a-z]+', '[name]', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS scrubbed
   FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')""")
 def tx13(spark, sf):
-    d = docs(spark, sf).where(F.octet_length("text") == F.length("text"))
+    """All texts. The SQL keeps to ASCII ones, since RE2 knows no other words and digits."""
+    d = docs(spark, sf).where(F.col("text").isNotNull())
     return d.select("doc_id", F.md5(T.scrubbed(F.col("text")).cast("binary")).alias("scrubbed"))
 
 
 @query("tx14_tx15_snippet", f"""WITH s AS (SELECT doc_id, text, array_to_string(list_transform(list_filter({_S}, lambda s: regexp_matches(s, 'tion'))[1:2], lambda s: trim(s)), '. ') AS j FROM documents)
   SELECT doc_id, CASE WHEN length(j) <= 120 THEN j ELSE regexp_replace(substr(j, 1, 120), '\\s+\\S*$', '') END AS snippet, contains(lower(text), 'report') AS has_report FROM s WHERE text IS NOT NULL AND NOT contains(text, chr(160))""")
 def tx14(spark, sf):
-    d = docs(spark, sf).where(F.col("text").isNotNull() & ~F.contains("text", F.lit(" ")))
+    d = docs(spark, sf).where(F.col("text").isNotNull())
     return d.select("doc_id", T.snippet(F.col("text"), KEY).alias("snippet"), F.contains(F.lower("text"), F.lit("report")).alias("has_report"))
 
 
