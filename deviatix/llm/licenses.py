@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ UNKNOWN = 0.6
 #: An exception lifts part of what a licence obliges to.
 EXCEPTION = 0.7
 TAG = "spdx license identifier"
-_TAG_LINE = re.compile(r"(?i)spdx-license-identifier:[ \t]*([^\n]{1,500})")
+_TAG_START = re.compile(r"(?i)spdx-license-identifier:")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 #: Lower-cases A-Z and makes all other ASCII but digits and a-z a space.
@@ -42,12 +43,14 @@ def label_of(identifier: str) -> str:
     return max((k for k in OBLIGATION if x == k or x.startswith((k + "-", k + "+"))), key=len, default=x)
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: the expression in postfix order, or None if it is malformed."""
+def to_postfix(text: str, start: int = 0, stop: int = sys.maxsize) -> list[str] | None:
+    """Shunting-yard: the expression at ``start`` in postfix order, or None if it is malformed. It ends at ``stop``, or
+    behind a complete operand at a word, an opening bracket or a closing one without a partner: these are prose."""
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # an operand is due
-    for token in _TOKEN.findall(expression):
+    operand, opened = True, 0  # an operand is due; brackets open
+    for m in _TOKEN.finditer(text, start, stop):
+        token = m[0]
         op = token.lower()
         if op in _BINDS:
             if operand:
@@ -58,36 +61,43 @@ def to_postfix(expression: str) -> list[str] | None:
             operand = True
         elif token == "(":
             if not operand:
-                return None
+                break
             stack.append(token)
+            opened += 1
         elif token == ")":
             if operand:
                 return None
-            while stack and stack[-1] != "(":
+            if not opened:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            opened -= 1
         else:
             if not operand:
-                break  # the expression has ended; what follows is prose
+                break
             out.append(token)
             operand = False
-    if operand or "(" in stack:
+    if operand or opened:
         return None
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], float]:
-    """(labels, obligation): "or" leaves the choice of the lesser, "and" binds to the greater, "with" lifts a part."""
-    postfix = to_postfix(expression)
+def evaluate(text: str, start: int = 0, stop: int = sys.maxsize) -> tuple[set[str], float]:
+    """(labels, obligation) of the expression there: "or" leaves the choice of the lesser, "and" binds to the greater, "with" lifts a part."""
+    postfix = to_postfix(text, start, stop)
     if postfix is None:
         return {"unknown"}, UNKNOWN
     stack: list[tuple[set[str], float]] = []
     for token in postfix:
         if token in _BINDS and len(stack) >= 2:
             (right, y), (left, x) = stack.pop(), stack.pop()
-            stack.append((left, x * EXCEPTION) if token == "with" else (left | right, min(x, y) if token == "or" else max(x, y)))
+            if token == "with":
+                stack.append((left, x * EXCEPTION))
+                continue
+            more, less = (left, right) if len(left) >= len(right) else (right, left)
+            more |= less  # the smaller set into the larger: long expressions cost n log n
+            stack.append((more, min(x, y) if token == "or" else max(x, y)))
         else:
             label = label_of(token)
             stack.append(({label}, OBLIGATION.get(label, UNKNOWN)))
@@ -125,10 +135,15 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
         label = BASE_PHRASES.get(phrase) or NOTICES[phrase]
         labels.add(label)
         oblige.append(OBLIGATION[label])
-    for m in _TAG_LINE.finditer(text) if tagged else ():
-        own, weight = evaluate(m[1])
-        labels |= own
-        oblige.append(weight)
+    tags = list(_TAG_START.finditer(text)) if tagged else []
+    for k, m in enumerate(tags):
+        after = tags[k + 1].start() if k + 1 < len(tags) else len(text)
+        stop = text.find("\n", m.end(), after)
+        stop = after if stop < 0 else stop
+        if stop > m.end():
+            own, weight = evaluate(text, m.end(), stop)
+            labels |= own
+            oblige.append(weight)
     join = lambda x: ",".join(sorted(x))
     return len(words), len(base), base[0][0] if base else None, max(s for s, _ in base) if base else None, join({x for _, x in base}), join(labels), max(oblige, default=0.0)
 
@@ -137,7 +152,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row with the fields of ``scan``; ``score`` is the greatest obligation of all that applies.
 
     No shuffle. Null text: as empty, no labels, score 0. Repeated rows and null ids each get their row; other columns
-    are not read. Expressions of tags end at the line's end, 500 characters at most.
+    are not read. Expressions of tags, however long, end at the line's end, the next tag, or the prose behind them.
     """
     import pyarrow as pa
 
