@@ -38,7 +38,8 @@ def n02(spark, sf):
 
 @query("n04_robust_curves", f"WITH {SEG}, {_WQ} SELECT stage, g, round({_q(0.5)}, 5) AS mu, round(greatest(({_q(0.75)} - {_q(0.25)}) / 1.349, 1e-6), 5) AS sigma FROM b WHERE total >= 20 GROUP BY 1, 2")
 def n04(spark, sf):
-    return rounded(N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0, (0.0, 1.0)), 5)
+    """With the trimming of the operator, which the SQL of this query and of those of ``deviations`` lacks."""
+    return rounded(N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0), 5)
 
 
 @query("n05_mean_sd_curves", f"WITH {SEG}, {_GRID}, {_CLEAN} SELECT stage, g, round(sum(w), 5) AS weight, round(sum(w * y) / sum(w), 5) AS mu, round(sqrt(greatest(sum(w * y * y) / sum(w) - (sum(w * y) / sum(w)) ** 2, 0)), 5) AS sd FROM (SELECT stage, g, y, exp(-0.5 * ((age - g) / 8) ** 2) AS w FROM cl JOIN gr ON abs(age - g) <= 32) GROUP BY 1, 2")
@@ -58,7 +59,7 @@ _DEV = f"""{_WQ}, k AS (SELECT stage, g, {_q(0.5)} AS mu, greatest(({_q(0.75)} -
 
 
 def deviations(spark, sf):
-    curve = N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0, (0.0, 1.0))
+    curve = N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0)
     return N.deviation(segments(spark, sf), curve, ["stage"], "age", "y")
 
 

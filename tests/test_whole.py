@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from deviatix.functions import scalars
 from deviatix.functions import text as T
 from deviatix.plans import library
 
@@ -61,3 +64,42 @@ def test_scrub_of_the_tables(spark, duck):  # noqa: F811
     assert got == {i: hashlib.md5(brute_scrub(t).encode()).hexdigest() for i, t in texts.items()}
     part = dict(duck.sql(library.ORACLES["tx13_scrub"]).fetchall())
     assert part == {i: got[i] for i in part}
+
+
+@needs_tables
+def test_feature_vector_of_all_rows(spark, duck):  # noqa: F811
+    key = lambda eeg, channel, powers: (eeg, channel, *(round(float(x), 5) for x in powers))
+    out = library.QUERIES["p02_feature_vector"](spark, DATA).collect()
+    got = {key(r.eeg_id, r.channel, [r[b] for b in scalars.BANDS]): r for r in out}
+    rows = duck.sql("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100, l_linenumber FROM lineitem").fetchall()
+    assert len(out) == len(rows)
+    for order, line, *values in rows:
+        p = dict(zip(scalars.BANDS, map(float, values), strict=True))
+        total, r = sum(p.values()), got[key(order, line, values)]
+        for a, x in p.items():
+            assert r[a] == pytest.approx(x, abs=1e-6) and r[f"rel_{a}"] == pytest.approx(x / (total + 1e-12), abs=1e-6)
+            assert all(r[f"{a}_{b}"] == pytest.approx(x / (y + 1e-12), rel=1e-6, abs=6e-4) for b, y in p.items() if a != b)
+    part = duck.sql(library.ORACLES["p02_feature_vector"])
+    for values in part.fetchall():
+        r = dict(zip(part.columns, values, strict=True))
+        own = got[key(r["eeg_id"], r["channel"], [r[b] for b in scalars.BANDS])]
+        assert all(own[k] == pytest.approx(v, abs=2e-3) for k, v in r.items())
+
+
+@pytest.mark.parametrize("name", ["n04_robust_curves", "n11_deviation"])
+def test_curves_are_trimmed(spark, tmp_path, name):
+    r = random.Random(5)
+    rows = [(i, i % 90, i, ("click", "view", "error", "signup")[i // 90 % 4], r.choice([1e-6, 140.0]) if r.random() < 0.01 else r.lognormvariate(2, 0.6)) for i in range(3600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    clean = "SELECT stage, age, y FROM seg WHERE NOT artifact"
+    edges = "(SELECT stage, quantile_cont(y, 0.002) AS lo, quantile_cont(y, 0.998) AS hi FROM seg WHERE NOT artifact GROUP BY 1)"
+    sql = library.ORACLES[name]
+    assert sql.count(clean) == 1
+    trimmed = sql.replace(clean, f"SELECT stage, age, y FROM seg JOIN {edges} USING (stage) WHERE NOT artifact AND y BETWEEN lo AND hi")
+    got = sorted(tuple(x) for x in library.QUERIES[name](spark, str(tmp_path)).collect())
+    want = sorted(c.sql(trimmed).fetchall())
+    assert len(got) == len(want) > 60
+    assert all(u == pytest.approx(v, abs=2e-4) if isinstance(v, float) else u == v for a, b in zip(got, want, strict=True) for u, v in zip(a, b, strict=True))
+    assert sorted(c.sql(sql).fetchall()) != want
