@@ -78,3 +78,9 @@ def rates(df: DataFrame) -> DataFrame:
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts with margins (null labels are margins where the grouping flag is set)."""
     return df.cube(a, b).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("margin"))
+
+
+def modal_share(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Rows with a value, and the share of them that have the group's most frequent one: counts, then max / sum."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*group).agg(F.sum("_n").alias("n"), (F.max("_n") / F.sum("_n")).alias("share"))

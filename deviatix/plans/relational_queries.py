@@ -159,6 +159,14 @@ def a12(spark, sf):
     return rounded(p.groupBy("peak").agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("top")))
 
 
+@query("a13_w20_modal_share", f"""WITH {POW}, p AS (SELECT eeg_id, arg_max(channel, struct_pack(d := delta, c := -channel)) AS peak FROM pw GROUP BY 1), c AS (SELECT eeg_id % 100 AS recording, peak, count(*) AS n FROM p GROUP BY 1, 2)
+  SELECT recording, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS share FROM c GROUP BY 1""")
+def a13(spark, sf):
+    """Orders as the segments of a recording: the share of them whose peak channel is the recording's modal one."""
+    p = powers(spark, sf).groupBy("eeg_id").agg(F.max_by("channel", F.struct("delta", -F.col("channel"))).alias("peak"))
+    return rounded(A.modal_share(p.withColumn("recording", F.col("eeg_id") % 100), ["recording"], "peak"))
+
+
 @query("a15_a19_strata", """SELECT o_orderpriority, o_orderstatus, count(DISTINCT o_custkey) AS patients, count(*) AS n FROM orders GROUP BY 1, 2""")
 def a15(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count_distinct("o_custkey").alias("patients"), F.count(F.lit(1)).alias("n"))

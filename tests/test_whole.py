@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from deviatix.functions import scalars
 from deviatix.functions import text as T
+from deviatix.operators import aggregates
 from deviatix.plans import library
 
 from .test_oracles import DATA, duck  # noqa: F401
@@ -103,3 +104,8 @@ def test_curves_are_trimmed(spark, tmp_path, name):
     assert len(got) == len(want) > 60
     assert all(u == pytest.approx(v, abs=2e-4) if isinstance(v, float) else u == v for a, b in zip(got, want, strict=True) for u, v in zip(a, b, strict=True))
     assert sorted(c.sql(sql).fetchall()) != want
+
+
+def test_modal_share(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, "c"), (3, "d"), (3, "e")], "r long, peak string")
+    assert {r.r: (r.n, r.share) for r in aggregates.modal_share(df, ["r"], "peak").collect()} == {1: (3, 2 / 3), 2: (1, 1.0), 3: (2, 0.5)}
