@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .windows import hash_order
 
 
-def head(df: DataFrame, features: list[str], label: str, c: float = 0.3):
-    """Pipeline model: medians for nulls, standardised features, L2 logistic with balanced classes.
+def head(df: DataFrame, features: list[str], label: str, c: float = 0.3, balanced: bool = True):
+    """Pipeline model: medians for nulls, standardised features, L2 logistic with classes ``balanced`` or as they are.
 
     The penalty is 1 / (c * sum of weights) as in the usual C parametrisation; the intercept is not penalised.
     """
@@ -20,6 +21,7 @@ def head(df: DataFrame, features: list[str], label: str, c: float = 0.3):
 
     n, pos = df.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("double"))).first()
     weight = F.when(F.col(label).cast("int") == 1, n / (2 * max(pos or 0, 1))).otherwise(n / (2 * max(n - (pos or 0), 1)))
+    weight = weight if balanced else F.lit(1.0)
     filled = [f"{x}_filled" for x in features]
     stages = [
         Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_raw"),
@@ -49,40 +51,14 @@ def multiple_instance(df: DataFrame, features: list[str], bag: str, unit: str, l
     return model
 
 
-def irls(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
-    """Weights (intercept first) of a ridge logistic regression by Newton steps."""
-    a = np.column_stack([np.ones(len(x)), x])
-    b = np.zeros(a.shape[1])
-    penalty = np.diag([0.0, *[ridge] * x.shape[1]])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(b)), a.T @ (y - p) - penalty @ b)
-        b += step
-        if np.abs(step).max() < 1e-10:
-            break
-    return b
-
-
 def folded_scores(df: DataFrame, features: list[str], label: str, unit: str, folds: int, ridge: float = 1.0) -> DataFrame:
-    """unit, label, p: each row scored by a fit on the other folds, which are drawn by hash. For panels of limited size
-    (items that people rated): a task holds the panel once per fold."""
-    import pandas as pd
-
+    """unit, label, p: each row scored by a fit on the other folds, which are drawn by hash. The fits are those of
+    ``head`` without balance, distributed over the rows; a fold without rows is left out."""
     fold = F.conv(F.substring(hash_order(unit), 1, 8), 16, 10).cast("long") % folds
     rows = df.select(unit, label, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("_own", fold)
-    each = rows.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        test = part["_own"] == key[0]
-        x = part[features].to_numpy(float)
-        x = np.where(np.isnan(x), np.nanmedian(x[~test], axis=0), x)
-        mu, sd = x[~test].mean(0), x[~test].std(0) + 1e-12
-        b = irls((x[~test] - mu) / sd, part.loc[~test, label].to_numpy(float), ridge)
-        z = b[0] + ((x[test] - mu) / sd) @ b[1:]
-        return part.loc[test, [unit, label]].assign(p=1 / (1 + np.exp(-z)))
-
-    kinds = dict(df.dtypes)
-    return each.groupBy("_fold").applyInPandas(fit, f"{unit} {kinds[unit]}, {label} {kinds[label]}, p double")
+    present = sorted(r[0] for r in rows.select("_own").distinct().collect())  # ``folds`` numbers at most
+    parts = [scored(head(rows.where(F.col("_own") != k), features, label, 1 / ridge, balanced=False), rows.where(F.col("_own") == k)) for k in present]
+    return reduce(DataFrame.unionByName, [p.select(unit, label, "p") for p in parts])
 
 
 def calibrated(df: DataFrame, score: str, label: str):

@@ -8,12 +8,13 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from deviatix.functions import scalars
 from deviatix.functions import text as T
-from deviatix.operators import aggregates
+from deviatix.operators import aggregates, learning
 from deviatix.plans import library
 
 from .test_oracles import DATA, duck  # noqa: F401
@@ -109,3 +110,29 @@ def test_curves_are_trimmed(spark, tmp_path, name):
 def test_modal_share(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, "c"), (3, "d"), (3, "e")], "r long, peak string")
     assert {r.r: (r.n, r.share) for r in aggregates.modal_share(df, ["r"], "peak").collect()} == {1: (3, 2 / 3), 2: (1, 1.0), 3: (2, 0.5)}
+
+
+def irls(x, y, ridge):
+    a = np.column_stack([np.ones(len(x)), x])
+    b, penalty = np.zeros(a.shape[1]), np.diag([0.0, *[ridge] * x.shape[1]])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ b))
+        b += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (y - p) - penalty @ b)
+    return b
+
+
+def test_folds_are_fitted_without_gathering_rows(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, int(i % 3 == 0), float((i % 3 == 0) + r.normal()), float(r.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    out = learning.folded_scores(df, ["a", "b"], "y", "id", 3, ridge=2.0)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got = {x.id: x.p for x in out.collect()}
+    own = np.array([int(hashlib.md5(f"0|{i}".encode()).hexdigest()[:8], 16) % 3 for i, *_ in rows])
+    x, y = np.array([v[2:] for v in rows]), np.array([v[1] for v in rows])
+    assert sorted(got) == list(range(300))
+    for k in range(3):
+        mu, sd = x[own != k].mean(0), x[own != k].std(0, ddof=1)
+        b = irls((x[own != k] - mu) / sd, y[own != k], 2.0)
+        want = 1 / (1 + np.exp(-(b[0] + (x[own == k] - mu) / sd @ b[1:])))
+        assert [got[i] for i in np.flatnonzero(own == k)] == pytest.approx(list(want), abs=1e-4)
