@@ -38,9 +38,9 @@ def _prints_by_length(words: Column, lengths: dict[int, int], only: Column | Non
     return let(F.transform(words, lambda w: F.xxhash64(w)), each)
 
 
-def _windows(words: Column, hashes: Column, prints: Column, length: int) -> Column:
+def _windows(words: Column, hashes: Column, prints: Column, length: int, gram: int) -> Column:
     """(length, start, words joined) of the windows whose fingerprint is among ``prints``."""
-    tagged = F.transform(_window_prints(hashes, length, gram_of(length)), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    tagged = F.transform(_window_prints(hashes, length, gram), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     near = F.filter(tagged, lambda x: F.array_contains(prints, x["p"]))
     return F.transform(near, lambda x: F.struct(F.lit(length).alias("length"), x["i"].alias("start"), F.array_join(F.slice(words, x["i"] + 1, length), " ").alias("run")))
 
@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = seen.where(F.size("prints") > 0).select(F.col("id").alias("f_id"), F.col("text_hash").alias("f_hash"), "prints")
     near = own.join(found.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")))
     near = near.select("id", "text_hash", "prints", _words(F.col("text")).alias("words"))
-    all_windows = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.concat(*[_windows(F.col("words"), h, F.col("prints"), n) for n in lengths]))
+    all_windows = let(F.transform("words", lambda w: F.xxhash64(w)), lambda h: F.concat(*[_windows(F.col("words"), h, F.col("prints"), n, k) for n, k in lengths.items()]))
     near = near.select("id", "text_hash", F.explode(all_windows).alias("w")).select("id", "text_hash", "w.length", "w.start", "w.run")
     near = near.join(sized_join_hint(windows, n_windows, BROADCAST_ROWS), ["length", "run"])
     near = near.groupBy(F.col("id").alias("f_id"), F.col("text_hash").alias("f_hash")).agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.sort_array(F.collect_set("item")).alias("hit_items"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from deviatix.llm import licenses
+import pytest
+
+from deviatix.llm import decontaminate, licenses
+
+from .test_operators import brute_hits, corpus, docs, items  # noqa: F401
 
 
 def labels(text):
@@ -28,3 +32,12 @@ def test_long_license_expressions_cost_in_proportion():
     assert len(licenses.evaluate(many)[0]) == n
     assert len(licenses.evaluate("(" + " OR (".join(f"L{k}" for k in range(n)) + ")" * n)[0]) == n
     assert licenses.scan("SPDX-License-Identifier: MIT " * n)[5:] == ("mit", 0.1)
+
+
+@pytest.mark.parametrize("window", [8, 13])
+def test_contamination_of_other_windows(spark, docs, window):  # noqa: F811
+    texts = [t for _, t, *_ in corpus() if t and len(t) > 300]
+    own = [*items(), (8, " ".join(texts[2].split()[:11])), (9, " ".join(texts[3].split()[2:14]))]
+    got = {r.id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, spark.createDataFrame(own, "item_id long, text string"), window=window).collect()}
+    assert got == brute_hits(corpus(), own, window)
+    assert sum(v[1] > window for v in got.values()) >= 2
