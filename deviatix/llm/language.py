@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sized_join_hint
+
 #: Bytes of a window; a text's windows stand end to end and the last one ends where the text ends.
 WINDOW = 256
 WIDTHS = {2: 12, 3: 12, 4: 16}
@@ -18,6 +19,8 @@ WIDEST = max(WIDTHS)
 EMBED = 8
 #: Windows that go through the network at a time: their activations fit a core's cache.
 BLOCK = 64
+#: Labels up to which their table (a short text and a number a row) is broadcast; they are counted.
+BROADCAST_ROWS = 200_000
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
 
@@ -112,21 +115,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """The network, fitted on a bounded sample of the labelled rows outside the held-out fold.
 
     The bound: for each language the ``docs_per_language`` documents of least id hash, ``windows_per_doc`` windows of
-    each spread over its text, and the ``max_languages`` most frequent languages at most, so the driver gets
-    max_languages * docs_per_language * windows_per_doc * 256 characters at most. None if no row is labelled.
+    each spread over its text. With more than ``max_languages`` languages all are kept and share that many languages'
+    documents, one each at least; so the driver gets max_languages * docs_per_language * windows_per_doc * 256
+    characters at most, or a document of each language where these are more. None if no row is labelled.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    top = rows.groupBy("lang").count().collect()  # a row per label
     if not top:
         return None
     # of a large language only ids of low hash go on, some four times the bound whatever the table's size
     order, span = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), 1 << 30
-    low = reduce(lambda c, r: c | ((F.col("lang") == r["lang"]) & (order < int(min(1.0, 4 * docs_per_language / r["count"]) * span))), top, F.lit(False))
+    share = min(docs_per_language, max(1, max_languages * docs_per_language // len(top)))
+    below = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 4 * max(share, 16) / r["count"]) * span)) for r in top], "lang string, below long")
+    rows = rows.join(sized_join_hint(below, len(top), BROADCAST_ROWS), "lang").where(order < F.col("below"))
     n = F.length("text")
     start = lambda k: F.floor(F.greatest(n - WINDOW, F.lit(0)) * k / max(1, windows_per_doc - 1)).cast("int") + 1
-    cut = rows.where(low).select("id", "lang", order.alias("order"), F.array_distinct(F.array(*[F.substring("text", start(k), F.lit(WINDOW)) for k in range(windows_per_doc)])).alias("cuts"))
-    first = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "cuts"))).where(F.col("rank") <= docs_per_language)
+    cut = rows.select("id", "lang", order.alias("order"), F.array_distinct(F.array(*[F.substring("text", start(k), F.lit(WINDOW)) for k in range(windows_per_doc)])).alias("cuts"))
+    first = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "cuts"))).where(F.col("rank") <= share)
     sample = sorted((r.lang, r.rank, list(r.cuts)) for r in first.select("lang", "rank", "cuts").collect())
     classes = sorted({lang for lang, _, _ in sample})
     texts = [(classes.index(lang), c.encode()[:WINDOW]) for lang, _, cuts in sample for c in cuts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from deviatix.llm import decontaminate, licenses
+from deviatix.llm import decontaminate, language, licenses
 
 from .test_operators import brute_hits, corpus, docs, items  # noqa: F401
 
@@ -41,3 +41,12 @@ def test_contamination_of_other_windows(spark, docs, window):  # noqa: F811
     got = {r.id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.contamination(docs, spark.createDataFrame(own, "item_id long, text string"), window=window).collect()}
     assert got == brute_hits(corpus(), own, window)
     assert sum(v[1] > window for v in got.values()) >= 2
+
+
+def test_every_label_is_learned(spark):
+    sets = {"aa": "the ing and", "bb": "que lle eau", "cc": "sch ung der", "dd": "ski ego ych"}
+    rows = [(i, f"{sets[k]} {i} " * 20, k) for i in range(400) for k in ["aa" if i % 2 else "bb" if i % 3 else "cc" if i % 4 else "dd"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, docs_per_language=20, max_languages=2)
+    assert model.classes == ["aa", "bb", "cc", "dd"]
+    assert {(r.id, r.lang_pred) for r in language.predict(df, model).collect()} == {(i, k) for i, _, k in rows}
