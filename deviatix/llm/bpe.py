@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
@@ -12,15 +13,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pieces import PieceTable, blocks, code_points, contractions, padded, spread, utf8_column
+
 #: Bytes of rows that a task hands back at a time.
 OUT_BYTES = 4 << 20
-#: Pieces that each of a cache's two generations holds at most: bounds its memory.
-CACHE = 80_000
-#: Bytes of a piece from which it is cut inside and not remembered.
-LONG = 64
+#: Bytes of texts that are cut and looked up at once; longer texts are worked on in parts of about this size.
+BLOCK = 1 << 20
+#: Pieces that each of a cache's two generations holds at most, and bytes from which one is not remembered.
+CACHE, LONG = 80_000, 64
 
-_ODD_SPACE = re.compile(r"[^\S \t\n\r]")
 _WORDS = re.compile(r"[^ \t-\r]+")
+#: Classes of characters that the pre-tokenizer's pattern tells apart.
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
+
+
+def _uint32s(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()  # little-endian on every machine that Spark supports
 
 
 def _byte_letters() -> dict[str, int]:
@@ -30,8 +38,151 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _uint32s(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()  # little-endian on every machine that Spark supports
+class ForcedBoundaryCodec:
+    """Encodes and decodes as a byte-level BPE tokenizer of the tokenizers library does.
+
+    ``inside[a, b]`` says whether byte b follows byte a within any vocabulary token. Where it doesn't, no token can
+    span the place: a certain cut. Texts are cut at every forced pair and where the pre-tokenizer's pattern begins a
+    piece, for a block of texts at once; each fragment is encoded by itself with the vocabulary's merges (once, then
+    looked up), and the ids of a text are those of its fragments in turn.
+
+    The pattern's pieces follow from classes of characters (letter, number, white space, other), which the library's
+    own pre-tokenizer tells, once for each code point met. Only tokenizers of that pattern, without normaliser.
+    """
+
+    def __init__(self, model_json: str):
+        from tokenizers import Tokenizer
+
+        form = json.loads(model_json)
+        pre = form.get("pre_tokenizer") or {}
+        if form.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
+            raise ValueError("byte-level BPE with the pattern of its pre-tokenizer, without normaliser or prefix space")
+        self.tok = Tokenizer.from_str(model_json)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.letters = _byte_letters()
+        self.letter_of = {b: c for c, b in self.letters.items()}
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.at_special = re.compile(b"|".join(re.escape(s.encode()) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        vocab = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        bytes_of = [bytes(self.letters[c] for c in t) if (t := vocab.get(i, "")) not in self.special and all(c in self.letters for c in t) else t.encode() for i in range(max(vocab) + 1)]
+        self.inside = np.zeros((256, 256), bool)
+        for i, b in enumerate(bytes_of):
+            if len(b) > 1 and vocab.get(i) not in self.special:
+                a = np.frombuffer(b, np.uint8)
+                self.inside[a[:-1], a[1:]] = True
+        self.token_bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.token_size = np.array(list(map(len, bytes_of)), np.int64)
+        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.class_of = np.full(0x110000, UNKNOWN, np.uint8)
+        self._learn_classes(np.arange(128))
+        self.table = PieceTable(self._merged)
+
+    def _learn_classes(self, points: np.ndarray) -> None:
+        """A letter goes on with the piece of a letter, a number with that of a number, and so on."""
+        split = self.tok.pre_tokenizer.pre_tokenize_str
+        for p in points.tolist():
+            kinds = [kind for kind, with_ in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(with_ + chr(p))) == 1]
+            self.class_of[p] = kinds[0] if kinds else SPACE
+
+    def _merged(self, fragment: bytes) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize("".join([self.letter_of[b] for b in fragment]))]
+
+    def classes(self, data: np.ndarray, n: int) -> np.ndarray:
+        """The class of each byte's character."""
+        out = np.where(data[:n] < 128, self.class_of[data[:n]], np.uint8(UNKNOWN))
+        at = np.flatnonzero(data[:n] >= 0xC0)
+        if len(at):
+            points, size = code_points(data, at)
+            kind = self.class_of[points]
+            if (kind == UNKNOWN).any():
+                self._learn_classes(np.unique(points[kind == UNKNOWN]))
+                kind = self.class_of[points]
+            for k in range(4):
+                own = size > k
+                out[at[own] + k] = kind[own]
+        return out
+
+    def piece_starts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where the pre-tokenizer's pieces begin. Of white space before something else the last character is a piece of
+        its own, or the first of what follows if it is a blank."""
+        n = len(begins)
+        kind = self.classes(data, n)
+        start = begins.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        behind = np.flatnonzero(start & ~begins & (kind != SPACE))
+        behind = behind[kind[behind - 1] == SPACE]
+        last = behind - 1
+        while (inner := (data[last] & 0xC0) == 0x80).any():
+            last = last - inner
+        start[last] = True
+        start[behind] = data[last] != 0x20
+        contractions(data, start, begins)
+        return start
+
+    def fragments(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where fragments begin: pieces, and every forced pair."""
+        start = self.piece_starts(data, begins)
+        start[1:] |= ~self.inside[data[: len(begins) - 1], data[1 : len(begins)]]
+        return np.flatnonzero(start)
+
+    def encode_block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of the texts that begin at ``at`` (their last end included)."""
+        n = int(at[-1] - at[0])
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        data, at = padded(data[at[0] : at[-1]]), at - at[0]
+        begins = np.zeros(n, bool)
+        begins[at[:-1][at[:-1] < n]] = True
+        start = self.fragments(data, begins)
+        ids, count = self.table.look_up(data, start, np.diff(start, append=n))
+        before = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(before[np.searchsorted(start, at)])
+
+    def _parts(self, data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, special id or -1) of a text's parts: special tokens, and the blocks of what lies between."""
+        ends = [] if self.at_special is None else [(m.start() + a, m.end() + a, self.special[m.group().decode()]) for m in self.at_special.finditer(data[a:b].tobytes())]
+        for c, d, special in [*ends, (b, b, -1)]:
+            for x, y in blocks(data, a, c, BLOCK):
+                yield x, y, -1
+            if d > c:
+                yield c, d, special
+            a = d
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, one behind the last, ids, number of ids of each) for runs of texts of about a block."""
+        odd = np.zeros(len(at) - 1, bool)
+        odd[np.diff(at) > BLOCK] = True
+        if self.at_special is not None:
+            for m in self.at_special.finditer(memoryview(data)[at[0] : at[-1]]):
+                odd[np.searchsorted(at, at[0] + m.start(), "right") - 1] = True
+        stops = np.flatnonzero(odd)
+        a, last = 0, len(at) - 1
+        while a < last:
+            if odd[a]:
+                ids = [np.array([s], np.uint32) if s >= 0 else self.encode_block(data, np.array([x, y]))[0] for x, y, s in self._parts(data, int(at[a]), int(at[a + 1]))]
+                ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+                yield a, a + 1, ids, np.array([len(ids)])
+                a += 1
+            else:
+                k = np.searchsorted(stops, a)
+                b = min(int(stops[k]) if k < len(stops) else last, max(a + 1, int(np.searchsorted(at, at[a] + BLOCK, "right")) - 1))
+                yield a, b, *self.encode_block(data, at[a : b + 1])
+                a = b
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the decoded texts, offsets)."""
+        size = self.token_size[ids]
+        parts = [self.token_bytes[spread(self.token_at[ids[a : a + BLOCK]], size[a : a + BLOCK])] for a in range(0, len(ids), BLOCK)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return np.concatenate([np.zeros(0, np.uint8), *parts]), ends[np.concatenate([[0], np.cumsum(count)])]
+
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """(ids as little-endian unsigned 32-bit integers, the text decoded from them)."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids = [x for _, _, x, _ in self.encode(data, np.array([0, len(data)]))]
+        ids = np.concatenate([np.zeros(0, np.uint32), *ids])
+        return ids.astype("<u4").tobytes(), self.decode(ids, np.array([len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
 
 class Remembered:
@@ -61,81 +212,6 @@ class Remembered:
         self.young.update((k, x) for k, x in items.items() if len(k) < LONG)
 
 
-class ForcedBoundaryCodec:
-    """Encodes and decodes as a byte-level BPE tokenizer of the tokenizers library does.
-
-    ``inside[a, b]`` says whether byte b follows byte a within any vocabulary token. Where it doesn't, no token can
-    span the place: a certain cut. Texts are cut at the forced pairs before white space (there the pre-tokenizer begins
-    a new piece, too), pieces inside at every forced pair, and each fragment is encoded by itself with the vocabulary's
-    merges. Chunks that were seen before come from a bounded cache.
-    """
-
-    def __init__(self, model_json: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_str(model_json)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        letters = _byte_letters()
-        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        vocab = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        self.bytes_of = [bytes(letters[c] for c in vocab[i]) if i in vocab and vocab[i] not in self.special and all(c in letters for c in vocab[i]) else vocab.get(i, "").encode() for i in range(max(vocab) + 1)]
-        self.inside = np.zeros((256, 256), bool)
-        for i, b in enumerate(self.bytes_of):
-            if len(b) > 1 and vocab.get(i) not in self.special:
-                a = np.frombuffer(b, np.uint8)
-                self.inside[a[:-1], a[1:]] = True
-        space = np.frombuffer(b" \t\n\r", np.uint8)
-        # chunks begin with white space and end before the next, but for bytes that some token has before white space
-        joins = b"".join(b"\\x%02x" % b for b in np.flatnonzero(self.inside[:, space].any(1)) if b not in space)
-        self.chunks = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+" + (rb"(?:(?<=[" + joins + rb"])[ \t\n\r]+[^ \t\n\r]*)*" if joins else b"") + rb"|[ \t\n\r]+")
-        self.letters = letters
-        self.at_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.seen = Remembered()
-
-    def _fragments(self, piece: str) -> list[str]:
-        """A pre-token in byte letters, cut at every forced pair."""
-        if len(piece) < 2:
-            return [piece]
-        raw = np.fromiter((self.letters[c] for c in piece), np.uint8, len(piece))
-        at = np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1
-        return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
-
-    def _encode(self, chunks: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each: short ones in one call of the library, long ones cut inside."""
-        short = [c for c in chunks if len(c) < LONG]
-        ids = dict(zip(short, (e.ids for e in self.tok.encode_batch([c.decode() for c in short], add_special_tokens=False)), strict=True))
-        for c in chunks:
-            if c not in ids:
-                ids[c] = [t.id for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(c.decode()) for f in self._fragments(piece) for t in self.tok.model.tokenize(f)]
-        return {c: (_uint32s(x), self.decode_bytes(x)) for c, x in ids.items()}
-
-    def decode_bytes(self, ids) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
-
-    def _plain(self, text: str, ids: list[bytes], out: list[bytes]) -> None:
-        # other white space could join the runs that the pre-tokenizer looks at: such texts stay whole
-        chunks = [text.encode()] if _ODD_SPACE.search(text) else self.chunks.findall(text.encode())
-        found, unknown = self.seen.look_up(chunks)
-        if unknown:
-            self.seen.put(new := self._encode(unknown))
-            found = [new[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
-        ids.extend([x[0] for x in found])
-        out.extend([x[1] for x in found])
-
-    def round_trip(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, the text decoded from them)."""
-        ids: list[bytes] = []
-        out: list[bytes] = []
-        for part in self.at_special.split(text) if self.at_special and any(s in text for s in self.special) else [text]:
-            if part in self.special:
-                ids.append(np.array([self.special[part]], "<u4").tobytes())
-                out.append(part.encode())
-            elif part:
-                self._plain(part, ids, out)
-        return b"".join(ids), b"".join(out).decode("utf-8", "replace")
-
-
 #: The split of lower-cased text that one family of tokenizers states (as their files write it). Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Texts of Latin letters below U+0180 alone, which that split and lower-casing treat letter by letter.
@@ -209,17 +285,25 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ForcedBoundaryCodec, model.value)
-        rows: list[tuple] = []
-        held = 0
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, decoded = own.round_trip(text.as_py() or "")
-                rows.append((i.as_py(), len(ids) // 4, ids, decoded))
-                held += len(ids) + len(decoded)
-                if held > OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, decoded string")
+            data, at = utf8_column(batch.column(1))
+            for a, b, ids, count in own.encode(data, at):
+                text, ends = own.decode(ids, count)
+                places = np.concatenate([[0], np.cumsum(4 * count)])
+                columns = [
+                    batch.column(0).slice(a, b - a),
+                    pa.array(count, pa.int64()),
+                    _binary(places, ids.astype("<u4")),
+                    _text(ends, text, lossless=len(text) == at[b] - at[a] and bool((text == data[at[a] : at[b]]).all())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def _binary(ends: np.ndarray, values: np.ndarray):
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    def _text(ends: np.ndarray, text: np.ndarray, lossless: bool):
+        out = _binary(ends, text)
+        # bytes that are no UTF-8 decode to the replacement character
+        return out.view(pa.string()) if lossless else pa.array([x.as_py().decode("utf-8", "replace") for x in out], pa.string())
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary, decoded string")
