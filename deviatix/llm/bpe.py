@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .pieces import PieceTable, blocks, code_points, contractions, padded, spread, utf8_column
 
-#: Bytes of rows that a task hands back at a time.
-OUT_BYTES = 4 << 20
 #: Bytes of texts that are cut and looked up at once; longer texts are worked on in parts of about this size.
 BLOCK = 1 << 20
 #: Pieces that each of a cache's two generations holds at most, and bytes from which one is not remembered.
@@ -27,10 +24,6 @@ _WORDS = re.compile(r"[^ \t-\r]+")
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
 
-def _uint32s(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()  # little-endian on every machine that Spark supports
-
-
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable bytes for themselves, others from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -214,21 +207,14 @@ class Remembered:
 
 #: The split of lower-cased text that one family of tokenizers states (as their files write it). Fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Texts of Latin letters below U+0180 alone, which that split and lower-casing treat letter by letter.
-_NOT_LATIN = re.compile("[^\x00-\u017f]|[\x1c-\x1f\x85\xa0]|<\\|")
-
-
-def _latin_split() -> re.Pattern:
-    """SPLIT for texts below U+0180, with letters and numbers spelled out."""
-    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
-    letters, numbers = of("L"), of("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \t-\r{letters}{numbers}]+")
+#: Latin letters end before this code point; below it that split and lower-casing treat texts letter by letter.
+LATIN = 0x180
 
 
 class WordCodec:
     """Encodes with any tokenizer of the library whose pre-tokenizer drops white space: words between ASCII spaces are
     independent, so each distinct one is encoded once and remembered in a bounded cache. Where the tokenizer lower-cases
-    and splits as ``SPLIT`` says, Latin texts are looked up by its pieces, which are far fewer than words."""
+    and splits as ``SPLIT`` says, texts of Latin letters are cut into its pieces, a block of texts at once."""
 
     def __init__(self, model_json: str):
         from tokenizers import Tokenizer
@@ -236,25 +222,84 @@ class WordCodec:
         self.tok = Tokenizer.from_str(model_json)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.split = _latin_split() if SPLIT in model_json and '"Lowercase"' in model_json else None
+        self.latin = SPLIT in model_json and '"Lowercase"' in model_json
+        kinds = {"L": LETTER, "N": NUMBER}
+        self.class_of = np.array([SPACE if chr(p) in " \t\n\r\x0b\x0c" else kinds.get(unicodedata.category(chr(p))[0], OTHER) for p in range(LATIN)], np.uint8)
+        self.lower = np.array([ord(x) if len(x := chr(p).lower()) == 1 else 0 for p in range(LATIN)], np.int32)
+        # characters that normalisation or white space treats by rules of its own: texts with them go word by word
+        self.plain = np.ones(LATIN, bool)
+        self.plain[[0x130, 0x85, 0xA0, *range(0x1C, 0x20)]] = False
         self.letter_of = {b: c for c, b in _byte_letters().items()}
-        self.seen = {True: Remembered(), False: Remembered()}
+        self.seen = Remembered()
+        self.table = PieceTable(self._merged)
 
-    def _encode(self, words: list[str], pieces: bool) -> dict[str, bytes]:
-        if not pieces:
-            return {w: _uint32s(e.ids) for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False), strict=True)}
+    def _merged(self, piece: bytes) -> list[int]:
         # pieces are normalised and split already: byte letters go straight to the merges
-        tokenize = self.tok.model.tokenize
-        return {w: _uint32s([t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([self.letter_of[b] for b in w.encode()]))]) for w in words}
+        return [t.id for t in self.tok.model.tokenize("".join([self.letter_of[b] for b in piece]))]
 
-    def encode(self, text: str) -> bytes:
-        pieces = self.split is not None and not _NOT_LATIN.search(text)
-        words = self.split.findall(text.lower()) if pieces else _WORDS.findall(text)
-        found, unknown = self.seen[pieces].look_up(words)
+    def _by_words(self, text: str) -> np.ndarray:
+        words = _WORDS.findall(text)
+        found, unknown = self.seen.look_up(words)
         if unknown:
-            self.seen[pieces].put(new := self._encode(unknown, pieces))
+            new = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(unknown, self.tok.encode_batch(unknown, add_special_tokens=False), strict=True)}
+            self.seen.put(new)
             found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+        return np.frombuffer(b"".join(found), np.uint32)
+
+    def _latin_block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text, which texts are Latin: others get none)."""
+        n = int(at[-1] - at[0])
+        data, at = padded(data[at[0] : at[-1]]), at - at[0]
+        odd = np.zeros(n + 1, bool)
+        kind = self.class_of[np.minimum(data[:n], 127)]
+        odd[:n] = (data[:n] >= 0x1C) & (data[:n] < 0x20) | (data[:n] >= 0xC6) | ((data[:n] == ord("<")) & (data[1 : n + 1] == ord("|")))
+        small = self.lower[np.minimum(data, 127)].astype(np.uint8)
+        first = np.flatnonzero((data[:n] >= 0xC2) & (data[:n] < 0xC6))
+        small[data >= 128] = data[data >= 128]
+        if len(first):
+            points, _ = code_points(data, first)
+            odd[first] |= ~self.plain[points]
+            kind[first] = kind[first + 1] = self.class_of[points]
+            low = self.lower[points]
+            small[first], small[first + 1] = 0xC0 | low >> 6, 0x80 | low & 63
+        before = np.concatenate([[0], np.cumsum(odd)])
+        latin = before[at[1:]] == before[at[:-1]]
+        begins = np.zeros(n, bool)
+        begins[at[:-1][at[:-1] < n]] = True
+        start = begins.copy()
+        start[1:] |= (kind[1:] != kind[:-1]) | ((kind[1:] == NUMBER) & ((data[1:n] & 0xC0) != 0x80))
+        contractions(small, start, begins)
+        place = np.flatnonzero(start)
+        size = np.diff(place, append=n)
+        keep = (kind[place] != SPACE) & latin[np.searchsorted(at, place, "right") - 1]
+        place, size = place[keep], size[keep]
+        ids, count = self.table.look_up(small, place, size)
+        before = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(before[np.searchsorted(place, at)]), latin
+
+    def encode_texts(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, one behind the last, ids, number of ids of each) for runs of texts of about a block."""
+        a, last = 0, len(at) - 1
+        while a < last:
+            b = max(a + 1, int(np.searchsorted(at, at[a] + BLOCK, "right")) - 1)
+            # a longer text is the ids of its blocks in turn
+            cuts = at[a : b + 1] if at[b] - at[a] <= BLOCK else np.array([at[a], *[y for _, y in blocks(data, int(at[a]), int(at[b]), BLOCK)]])
+            parts = []
+            for lo, hi in [(0, len(cuts) - 1)] if len(cuts) == b - a + 1 else [(k, k + 1) for k in range(len(cuts) - 1)]:
+                ids, count, latin = self._latin_block(data, cuts[lo : hi + 1]) if self.latin and cuts[hi] > cuts[lo] else (np.zeros(0, np.uint32), np.zeros(hi - lo, np.int64), np.zeros(hi - lo, bool))
+                ends = np.concatenate([[0], np.cumsum(count)])
+                if latin.all():
+                    parts.append((ids, count))
+                    continue
+                own = [ids[ends[k] : ends[k + 1]] if latin[k] else self._by_words(data[cuts[lo + k] : cuts[lo + k + 1]].tobytes().decode("utf-8", "replace")) for k in range(hi - lo)]
+                parts.append((np.concatenate(own), np.array(list(map(len, own)))))
+            ids, count = np.concatenate([x for x, _ in parts]), parts[0][1] if len(parts) == 1 else np.array([sum(len(x) for x, _ in parts)])
+            yield a, b, ids, count
+            a = b
+
+    def encode(self, text: str) -> bytes:
+        data = np.frombuffer(text.encode(), np.uint8)
+        return b"".join(ids.astype("<u4").tobytes() for _, _, ids, _ in self.encode_texts(data, np.array([0, len(data)])))
 
 
 @lru_cache(2)

@@ -22,8 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import OUT_BYTES, WordCodec, codec, shipped
+from .bpe import WordCodec, codec, shipped
 from .common import hf_path, new_dir, written
+from .pieces import spread, utf8_column
 
 MAGIC = b"DACT"
 HEADER, HEADER_SIZE = "<4sQQI", 24
@@ -31,6 +32,8 @@ FOOTER, FOOTER_SIZE = "<I4s", 8
 BLOCK = 512
 #: Tokens from which a segment is closed, at the end of a document: bounds the writer's memory.
 SEGMENT = 1 << 21
+#: Bytes of rows that a task hands back at a time.
+OUT_BYTES = 4 << 20
 
 
 def pack_segment(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
@@ -132,7 +135,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
     model, folder = shipped(spark, tokenizer_path), new_dir(spark, "token-shards")
     fs, path = hf_path(folder)
     fs.create_dir(path)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,7 +149,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
             if out is None:
                 fs, path = hf_path(name)
                 out = fs.open_output_stream(path)
-            data = pack_segment(doc_ids, counts, np.frombuffer(b"".join(ids), "<u4"))
+            data = pack_segment(doc_ids, counts, np.concatenate(ids))
             out.write(data)
             index.append((size, n_tokens))
             size, n_docs, n_tokens = size + len(data), n_docs + len(counts), n_tokens + held
@@ -155,12 +157,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
             pa.default_memory_pool().release_unused()
 
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
-                code = own.encode(text.as_py() or "") + end
-                ids.append(code)
-                counts.append(len(code) // 4)
-                doc_ids.append(i.as_py())
-                held += counts[-1]
+            names = batch.column(0).to_pylist()
+            data, at = utf8_column(batch.column(1))
+            for a, b, code, count in own.encode_texts(data, at):
+                ids.append(np.insert(code, np.cumsum(count), end_id))
+                counts += (count + 1).tolist()
+                doc_ids += names[a:b]
+                held += len(ids[-1])
                 if held >= SEGMENT:
                     close()
         if held:

@@ -50,3 +50,41 @@ def test_every_label_is_learned(spark):
     model = language.train(df, docs_per_language=20, max_languages=2)
     assert model.classes == ["aa", "bb", "cc", "dd"]
     assert {(r.id, r.lang_pred) for r in language.predict(df, model).collect()} == {(i, k) for i, _, k in rows}
+
+
+def test_codecs_of_very_long_and_many_texts():
+    """Texts longer than a block, with and without white space, and every way in which texts meet in one."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from deviatix.llm import bpe
+    from deviatix.llm.pieces import utf8_column
+
+    r = random.Random(5)
+    parts = ["'s", "'ll", "'", " '", "s", " ", "  ", "\n", "　", "\xa0", "é", "É", "１", "½", "中", "1", "23", "!", " !", "<|endoftext|>", "\t", "\x1c", "\x85", "​", "👍", "Σ", "word", " Word", "İ"]
+    short = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(1500)]
+    long = "".join(r.choices(parts, k=1_400_000))
+    plain = " ".join(r.choices(["the", "of", "Naïve", "it's", "12"], k=1_200_000))
+    texts = [*short, long, None, plain, "x" * 1_500_000, "", " " * 1_500_000, *short[:50], plain[:1_100_000] + "<|endoftext|>" + plain[:1_100_000]]
+    for name, kind, method in (("byte_bpe_50k.json", bpe.ForcedBoundaryCodec, "encode"), ("word_bpe_49k.json", bpe.WordCodec, "encode_texts")):
+        tok, codec = Tokenizer.from_file(P.path(name)), kind(open(P.path(name), encoding="utf-8").read())
+        data, at = utf8_column(pa.array(texts, pa.string()))
+        got = [(ids, count) for _, _, ids, count in getattr(codec, method)(data, at)]
+        ids, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        for text, own in zip(texts, np.split(ids, np.cumsum(count)[:-1]), strict=True):
+            assert own.tolist() == tok.encode(text or "", add_special_tokens=False).ids, (text or "")[:50]
+            if method == "encode" and len(text or "") < 1000:
+                assert codec.decode(own, np.array([len(own)]))[0].tobytes().decode() == tok.decode(own.tolist(), skip_special_tokens=False)
+
+
+def test_other_tokenizers_are_refused():
+    P = pytest.importorskip("public_tokenizers")
+    from deviatix.llm import bpe
+
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.ForcedBoundaryCodec(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
