@@ -1,23 +1,29 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, union-sketch estimates, exact Jaccard.
 
 Documents with equal shingle sets are one class, whose representative has the smallest id; all work on pairs is
-between representatives. A sketch holds the ``K`` least shingle hashes of a set, in order. Inverted lists are kept for
-runs of 3 neighbouring retained values (2 in sets of up to 6 values): what one common shingle would put into a list,
-runs keep apart. A pair of similarity 0.8 or more has more than ``HOTTEST`` such runs in common but with a probability
-below 1e-8 (sets of 30 to 96 shingles always have: d differing values spoil 3 d runs at most). So each set of 30
-shingles or more may leave its ``HOTTEST`` longest lists, by one order of all lists: of the common ones the shortest
-is not among them. That clears lists of passages that many unlike documents share.
+between representatives. A sketch holds the ``K`` least shingle hashes of a set. An inverted list holds the documents
+that retain one value.
+
+The common values of two sets among the K least of their union are a sample of it without replacement. At the
+threshold, fewer than ``least_common`` of them are common with a probability below 1e-14 (Hoeffding's bound for a pair;
+a set of up to 0.8 K shingles, or whatever the threshold, is retained whole, and so are its partners: there the bound
+is certain). Sets of k retained values, m of which are common, share one of the k - m + 1 rarest of either, by one order
+of all lists (size, value). So a document enters the lists of its k - m + 1 rarest retained values alone, and a passage
+that many unlike documents share makes no lists where it is less than half of them.
 
 Links matter only as far as they join components, and groups of near copies can be large, so pairs are met in three
 steps. Documents that overlap strongly with the first document of a list, or share a list that is still long, form
-groups. Each document's best overlap is verified: one pair a document. Within a group all pairs of still different
-components are compared on whole sets in blocks of bounded size, as matrix products. Pairs of different groups that
-share a list, which then is short, are estimated from sketches and verified one by one. So every pair that shares a
-list is decided, and the rows of pairs grow as those of the lists.
+groups; each document's best overlap is estimated and verified: one pair a document. Groups with many documents still
+apart are split by the rarest shingles of whole sets: pages that share most of a template, but less than the threshold,
+part for good. Within a group all pairs of still different components are compared in blocks of bounded size, as matrix products: sketches first, then the whole sets of
+those that sketches don't rule out. Pairs of different groups that share a list, which then is short, are estimated
+from union sketches and verified one by one. So every pair that shares a list is decided, and the rows of pairs grow as
+those of the lists.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +34,25 @@ from .common import sized_join_hint, written
 
 #: Values that a sketch retains.
 K = 96
-#: Lists that a set of at least so many shingles leaves, its longest.
-HOTTEST, LEAVES_FROM = 8, 30
 #: Documents from which a list is long: they become one group.
 LONG = 64
-#: Standard deviations by which an estimate may fall short of the threshold.
-SIGMAS = 6.0
+#: Probability below which a pair at the threshold may have fewer common retained values than counted on.
+MISS = 1e-14
 #: Ids (8 bytes each, counted) up to which they are broadcast to fetch their texts.
 BROADCAST_IDS = 200_000
-#: Shared runs from which an overlap is strong.
-STRONG = 4
+#: Shared lists from which an overlap is strong.
+STRONG = 8
 #: Documents of either side of a block, about.
 BLOCK = 256
 
 
+def least_common(percent: int) -> int:
+    """Retained values that the sketches of two sets at the threshold have in common at least."""
+    t = percent / 100
+    bound = lambda x: math.exp(-K * ((x * math.log(x / t) if x else 0) + (1 - x) * math.log((1 - x) / (1 - t))))
+    return max(m for m in range(int(t * K)) if m == 0 or bound(m / K) <= MISS)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     m = np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * m
@@ -111,16 +122,48 @@ def full_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str, ids: Da
     return own.mapInArrow(run, "node long, values array<long>")
 
 
-def list_keys(reps: DataFrame) -> DataFrame:
-    """key, node, n: a row per run of neighbouring retained values."""
+def rarest_lists(sets: DataFrame, values: str, common) -> DataFrame:
+    """key, node: the lists of two documents or more, of each document's rarest values: so many that two documents with
+    ``common`` of their ``values`` in common meet in one."""
+    keys = sets.select(F.explode(values).alias("key"), "node", F.size(values).alias("k"), common.alias("common"))
+    size = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    shared = keys.join(size.hint("merge"), "key")
+    own = Window.partitionBy("node")  # a document's values
+    # values that no other document has come first
+    rank = F.col("k") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("size", "key"))
+    return shared.withColumn("rank", rank).where(F.col("rank") <= F.col("k") - F.col("common") + 1).select("key", "node")
+
+
+def inverted_lists(reps: DataFrame, percent: int) -> DataFrame:
+    """key, node: the lists of retained values."""
+    whole = 100 * F.col("n") <= percent * K
+    return rarest_lists(reps, "sketch", F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(least_common(percent)))
 
-    def runs(m: int):
-        at = F.sequence(F.lit(0), F.size("sketch") - m)
-        return F.when(F.size("sketch") >= m, F.transform(at, lambda i: F.xxhash64(F.lit(m), *[F.get("sketch", i + j) for j in range(m)]))).otherwise(F.array().cast("array<long>"))
 
-    none = F.array().cast("array<long>")
-    keys = F.concat(F.when(F.col("n") >= 5, runs(3)).otherwise(none), F.when(F.col("n") <= 6, runs(2)).otherwise(none))
-    return reps.select(F.explode(F.array_distinct(keys)).alias("key"), "node", "n")
+def several_components(members: DataFrame) -> DataFrame:
+    """The members of groups with more than one component."""
+    several = members.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("grp")
+    return members.join(several.hint("merge"), "grp", "left_semi")
+
+
+def split_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members of groups with many documents outside the largest component, in smaller groups: of documents that
+    share a list of their rarest shingles, of the whole sets now. A document without such a list has no partner.
+
+    Sets of n shingles at the threshold share ``percent`` of a hundred of n, so these lists miss nothing."""
+    comps = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("m"))
+    large = comps.groupBy("grp").agg((F.sum("m") - F.max("m")).alias("rest")).where(F.col("rest") > BLOCK).select("grp")
+    large = written(large, "large-groups")
+    if not (n := large.count()):
+        return members
+    large = sized_join_hint(large, n, BROADCAST_IDS)
+    inside = written(members.join(large, "grp", "left_semi"), "large-members")
+    whole = sets.join(inside.select("node").hint("merge"), "node", "left_semi")
+    lists = written(rarest_lists(whole, "values", F.ceil(F.size("values") * percent / 100)), "whole-lists")
+    hubs = lists.groupBy("key").agg(F.min("node").alias("a"))
+    edges = lists.join(hubs.hint("merge"), "key").select("a", F.col("node").alias("b"))
+    groups = connected_components(edges).select("node", F.col("comp").alias("grp"))
+    return members.join(large, "grp", "left_anti").unionByName(inside.drop("grp").join(groups.hint("merge"), "node").select(*members.columns))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -157,16 +200,16 @@ def roots(parents: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches do not rule the threshold out."""
-    t = percent / 100
     one = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     est = pairs.hint("merge").join(one, "a").join(two.hint("merge"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    both = F.array_union("sa", "sb")
+    shared = F.array_intersect("sa", "sb")
     # the union's sketch is the least values of both sketches; its share that both sets hold estimates the similarity
-    both = F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned_order))
-    est = est.withColumn("union", F.slice(both, 1, K))
-    hit = F.size(F.array_intersect("union", F.transform(F.array_intersect("sa", "sb"), _unsigned_order)))
-    size = F.size("union")
-    return est.where(hit >= t * size - SIGMAS * F.sqrt(t * (1 - t) * size)).select("a", "b").distinct()
+    union = F.slice(F.array_sort(F.transform(both, _unsigned_order)), 1, K)
+    hit = F.size(F.array_intersect(union, F.transform(shared, _unsigned_order)))
+    whole = F.greatest("na", "nb") <= K
+    return est.where(F.when(whole, 100 * F.size(shared) >= percent * F.size(both)).otherwise(hit >= least_common(percent))).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,8 +245,9 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     n = members.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("m"))
     top = n.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("n_main"), (F.sum("m") - F.max("m")).alias("n_rest"))
+    top = written(top, "group-sizes")
     pieces = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    placed = members.join(top.hint("merge"), "grp").withColumns({"p_main": pieces("n_main"), "p_rest": pieces("n_rest"), "is_main": F.col("comp") == F.col("main")})
+    placed = members.join(sized_join_hint(top, top.count(), BROADCAST_IDS), "grp").withColumns({"p_main": pieces("n_main"), "p_rest": pieces("n_rest"), "is_main": F.col("comp") == F.col("main")})
     own = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("p_main")).otherwise(F.col("p_rest"))).cast("int")
     placed = placed.withColumn("own", own)
     to = lambda last, make: F.transform(F.sequence(F.lit(0), last - 1), make)
@@ -213,11 +257,22 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     cells = placed.select("node", "grp", "comp", F.explode(F.when(F.col("is_main"), as_main).otherwise(F.concat(as_rest, to_main))).alias("cell"))
     filled = cells.hint("merge").join(sets, "node").select("grp", "cell.kind", "cell.i", "cell.j", "node", "comp", "values")
 
+    least = least_common(percent)
+
     def links(block: pd.DataFrame) -> pd.DataFrame:
         nodes, comps = block["node"].to_numpy(), block["comp"].to_numpy()
-        size = block["values"].map(len).to_numpy()
-        common = intersections(list(block["values"]))
-        a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None] - common), 1) & (comps[:, None] != comps[None]))
+        sets = list(block["values"])
+        size = np.array(list(map(len, sets)))
+        # sets are in the order of their hashes: their first values are their sketches
+        common = intersections([x[:K] for x in sets])
+        enough = np.where(100 * size <= percent * K, -(-size * percent // 100), least)
+        maybe = (common >= np.minimum(enough[:, None], enough[None])) & (comps[:, None] != comps[None])
+        some = np.flatnonzero(maybe.any(1))
+        if not len(some):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        nodes, comps, size = nodes[some], comps[some], size[some]
+        common = intersections([sets[k] for k in some])
+        a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None] - common), 1) & maybe[np.ix_(some, some)])
         up: dict = {}
 
         def find(x):
@@ -247,27 +302,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if 100 * |common shingles| >= ``percent`` * |all their shingles|; links are confirmed on
     whole sets. Documents without words have an empty set and are linked with nothing. Rows that share an id are one
     document that has each of their texts. A null id takes no part: no component, kept. Other columns are not read.
-    ``percent`` may be 80 or more.
+    ``percent``: 50 to 99.
     """
-    if percent < 80:
-        raise ValueError("runs of 3 values are sure to be shared from 80 percent on")
+    if not 50 <= percent <= 99:
+        raise ValueError("a threshold of 50 to 99 percent")
     drawn = written(sketches(docs, shingle, id_col, text_col), "sketches")
     some = drawn.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = written(some.groupBy("hi", "lo").agg(F.min("id").alias("node")), "classes")
     reps = some.select(F.col("id").alias("node"), "n", "hi", "lo", "sketch").join(classes.hint("merge"), ["hi", "lo", "node"]).dropDuplicates(["hi", "lo", "node"]).select("node", "n", "sketch")
     reps = written(reps, "reps")
-    keys = list_keys(reps)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    hottest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "key")) <= HOTTEST
-    kept = keys.join(shared.hint("merge"), "key").withColumn("hot", hottest & (F.col("n") >= LEAVES_FROM)).where(~F.col("hot")).select("key", "node")
-    kept = written(kept, "kept-runs")
+    kept = written(inverted_lists(reps, percent), "kept-lists")
     hubs = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where(F.col("size") > 1)
     lists = written(kept.join(hubs.hint("merge"), "key"), "lists")
     in_lists = written(reps.join(lists.select("node").distinct().hint("merge"), "node", "left_semi"), "list-sketches")
-    overlaps = lists.where(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("runs"), F.max("size").alias("size"))
-    strong = written(overlaps.where((F.col("runs") >= STRONG) | (F.col("size") > LONG)), "strong")
+    overlaps = lists.where(F.col("node") != F.col("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"), F.max("size").alias("size"))
+    strong = written(overlaps.where((F.col("shared") >= STRONG) | (F.col("size") > LONG)), "strong")
     groups = written(connected_components(strong.select(F.col("hub").alias("a"), F.col("node").alias("b"))).select("node", F.col("comp").alias("grp")), "groups")
-    best = strong.groupBy("node").agg(F.max(F.struct("runs", -F.col("hub"))).alias("m")).select("node", (-F.col("m.col2")).alias("parent"))
+    best = strong.groupBy("node").agg(F.max(F.struct("shared", -F.col("hub"))).alias("m")).select("node", (-F.col("m.col2")).alias("parent"))
     grouped = lists.select("key", "node").join(groups.hint("merge"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     mixed = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where(F.col("g0") != F.col("g1")).select("key")
     meet = written(grouped.join(mixed.hint("merge"), "key", "left_semi"), "meetings")
@@ -285,8 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = written(verified(pairs.where(~F.col("chance")), sets, percent), "near-links")
         first = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
         members = groups.join(first.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        several = members.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("grp")
-        members = written(members.join(several.hint("merge"), "grp", "left_semi"), "members")
+        members = written(several_components(members), "members")
+        members = written(several_components(split_groups(members, sets, percent)), "members")
         more = written(block_links(members, sets, percent).unionByName(verified(pairs.where("chance"), sets, percent)), "more-links")
         comps = first.withColumnRenamed("root", "comp")
         if more.limit(1).count():
