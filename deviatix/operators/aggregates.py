@@ -84,3 +84,21 @@ def modal_share(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Rows with a value, and the share of them that have the group's most frequent one: counts, then max / sum."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     return counts.groupBy(*group).agg(F.sum("_n").alias("n"), (F.max("_n") / F.sum("_n")).alias("share"))
+
+
+def region_features(df: DataFrame, bridge: DataFrame, keys: list[str], valid: Column, features, powers: list[str], channel: str = "channel", region: str = "region") -> DataFrame:
+    """Features of region powers: mean of the linear powers over the valid member channels (nulls and NaN left out),
+    then ``features`` of them. The bridge has a few dozen rows."""
+    clean = lambda c: F.when(valid & ~F.isnan(c.cast("double")), c)
+    rows = df.join(F.broadcast(bridge), channel).groupBy(*keys, region).agg(*[F.avg(clean(F.col(p))).alias(p) for p in powers])
+    return rows.select(*keys, region, *[c.alias(k) for k, c in features({p: F.col(p) for p in powers}).items()])
+
+
+def joined_scans(a: DataFrame, b: DataFrame, keys: list[str], of_a: list[Column], of_b: list[Column]) -> DataFrame:
+    """Aggregates of two tables by the same keys, side by side; keys of either."""
+    return a.groupBy(*keys).agg(*of_a).join(b.groupBy(*keys).agg(*of_b), keys, "full")
+
+
+def by_condition(df: DataFrame, keys: list[str], value: str, conditions: dict[str, Column]) -> DataFrame:
+    """Median of a value under each condition, and its rows."""
+    return df.groupBy(*keys).agg(*[F.percentile(F.when(c, F.col(value)), F.lit(0.5)).alias(f"{k}_median") for k, c in conditions.items()], *[F.count_if(c & F.col(value).isNotNull()).alias(f"{k}_n") for k, c in conditions.items()])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +36,53 @@ def differences(a: DataFrame, b: DataFrame, key: list[str], columns: list[str])
     d = lambda c: F.col(f"_a_{c}") - F.col(f"_b_{c}")
     parts = [F.struct(F.lit(c).alias("column"), F.count_if(F.col("_in_b").isNull()).alias("only_a"), F.count_if(F.col("_in_a").isNull()).alias("only_b"), F.max(F.abs(d(c))).cast("double").alias("max_abs"), F.avg(d(c) * d(c)).cast("double").alias("mse")) for c in columns]
     return j.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("c")).select("c.*")
+
+
+def guards(df: DataFrame, tests: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """name, value, ok: aggregates of one pass over the table, and whether each holds what it must (false if null)."""
+    values = df.agg(*[value.cast("double").alias(k) for k, (value, _) in tests.items()])
+    parts = [F.struct(F.lit(k).alias("name"), F.col(k).alias("value"), F.coalesce(holds(F.col(k)), F.lit(False)).alias("ok")) for k, (_, holds) in tests.items()]
+    return values.select(F.explode(F.array(*parts)).alias("c")).select("c.*")
+
+
+def probability_guards(df: DataFrame, classes: list[str], heads: list[str], zero_cap: float = 0.02) -> DataFrame:
+    """Class probabilities that sum to 1 in each row (to float32's rounding) and on average, no class that is zero
+    throughout, few exact zeros in each independent head, and heads that exceed 1 together, as independent ones do."""
+    total = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    tests = {"worst_sum": (F.max(F.abs(total - 1)), lambda v: v < 3e-3), "mean_sum": (F.avg(total), lambda v: F.abs(v - 1) < 1e-4)}
+    tests |= {f"top_{c}": (F.max(F.abs(F.col(c))), lambda v: v > 0) for c in classes}
+    tests |= {f"zeros_{h}": (F.avg((F.col(h) == 0).cast("double")), lambda v: v < zero_cap) for h in heads}
+    tests["heads_above_1"] = (F.count_if(sum((F.col(h) for h in heads[1:]), F.col(heads[0])) > 1), lambda v: v > 0)
+    return guards(df, tests)
+
+
+def paired_guards(a: DataFrame, b: DataFrame, key: list[str], time: str, most: float = 1e-3) -> DataFrame:
+    """Two tables that must pair one to one with equal times: rows without a partner, and pairs whose times differ."""
+    j = a.select(*key, F.col(time).alias("_a")).join(b.select(*key, F.col(time).alias("_b")), key, "full")
+    return guards(j, {"unpaired": (F.count_if(F.col("_a").isNull() | F.col("_b").isNull()), lambda v: v == 0), "times_differ": (F.count_if(F.abs(F.col("_a") - F.col("_b")) > most), lambda v: v == 0)})
+
+
+def launch_guards(new: DataFrame, origin: str, required: list[str], path: str, least: int) -> DataFrame:
+    """What must hold before a table is frozen: as many rows as before, replacements with all required fields, and a
+    resolved path in every row."""
+    tests = {"held": (F.count(F.lit(1)), lambda v: v >= least)}
+    tests |= {f"null_{c}": (F.count_if((F.col(origin) == "replacement") & F.col(c).isNull()), lambda v: v == 0) for c in required}
+    tests["unresolved"] = (F.count_if(F.col(path).isNull()), lambda v: v == 0)
+    return guards(new, tests)
+
+
+def age_guards(df: DataFrame, age: str, exact: Column, top: float = 90.0) -> DataFrame:
+    """Ages are fractions (infants' too), neither negative nor beyond the top code, and mostly exact."""
+    a = F.col(age)
+    whole = (a % 1 != 0).cast("double")
+    return guards(df, {
+        "fractional": (F.avg(whole), lambda v: v > 0.8), "negative": (F.count_if(a < 0), lambda v: v == 0), "above_top": (F.count_if(a > top), lambda v: v == 0),
+        "fractional_infants": (F.avg(F.when(a < 2, whole)), lambda v: v > 0.9), "exact": (F.avg(exact.cast("double")), lambda v: v > 0.95),
+    })
+
+
+def contradictions(df: DataFrame, flags: list[str]) -> DataFrame:
+    """a, b, rows: how often each two flags, which exclude each other, are set together."""
+    pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1 :]]
+    counts = df.agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rows")) for a, b in pairs])).alias("c")).select("c.*")

@@ -7,6 +7,8 @@ the rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,3 +107,48 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, fit) -> DataFrame:
     that it is not in, so one pass fits all."""
     others = df.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("_fold") != F.col(fold)).drop(fold)
     return fit(others.withColumnRenamed("_fold", fold))
+
+
+def local_quantile_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, quantiles: dict[str, float], min_rows: int = 25, least_weight: float = 1e-4) -> DataFrame:
+    """Kernel quantiles at grid points with ``min_rows`` rows of a weight above ``least_weight``: linear between values
+    at their cumulative shares (no midpoints), the first value below the first share. Equal values count as one."""
+    reach = math.sqrt(-2 * math.log(least_weight))
+    key = [*cell, "g"]
+    rows = _weighted(df, cell, x, value, grid, bandwidth, reach)
+    w = Window.partitionBy(*key).orderBy(value)
+    rows = rows.withColumns({"rows": F.sum("n").over(Window.partitionBy(*key)), "c": F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy(*key))})
+    rows = rows.where(F.col("rows") >= min_rows).withColumns({"c0": F.lag("c").over(w), "v0": F.lag(value).over(w)})
+    v, c, c0, v0 = (F.col(k) for k in (value, "c", "c0", "v0"))
+    at = lambda q: F.coalesce(F.min(F.when(c >= q, F.struct(c, F.when(c0.isNull(), v).otherwise(v0 + (v - v0) * (q - c0) / (c - c0)).alias("x")))).getField("x"), F.max(v))
+    return rows.groupBy(*key).agg(F.first("rows").alias("rows"), *[at(q).alias(k) for k, q in quantiles.items()])
+
+
+def reference_sample(df: DataFrame, recording: str, segment: str, recordings: int = 3000, per_recording: int = 250, seed: str = "0") -> DataFrame:
+    """Segments of a reference: up to so many recordings and segments of each, by hash order. A sample by design."""
+    from .windows import capped, hash_order
+
+    ids = df.select(recording).distinct().orderBy(hash_order(recording, seed=seed), recording).limit(recordings)  # a parameter's rows
+    return capped(df.join(F.broadcast(ids), recording, "left_semi"), [recording], [segment], per_recording, seed)
+
+
+def side_differences(df: DataFrame, keys: list[str], region: str, value: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """keys, pair, difference (left less right) of each pair of regions that a segment has."""
+    sides = df.groupBy(*keys).agg(*[F.max(F.when(F.col(region) == r, F.col(value))).alias(f"_{i}_{j}") for i, pair in enumerate(pairs) for j, r in enumerate(pair)])
+    parts = [F.struct(F.lit(f"{a}|{b}").alias("pair"), (F.col(f"_{i}_0") - F.col(f"_{i}_1")).alias("difference")) for i, (a, b) in enumerate(pairs)]
+    return sides.select(*keys, F.explode(F.array(*parts)).alias("d")).select(*keys, "d.*").where("difference IS NOT NULL")
+
+
+def burden_profile(df: DataFrame, key: str, order: str, z: str, tau: float = 1.0, seconds: float = 15, step: float = 14) -> DataFrame:
+    """Per recording: prevalence, severity (median above tau, 0 without any), burden and longest run in minutes, over the
+    segments whose z is known; all null where none is. Windows and aggregates share one exchange by recording."""
+    own = Window.partitionBy(key).orderBy(order)
+    c = F.col(z)
+    hit = F.coalesce(c > tau, F.lit(False))
+    rows = df.select(key, order, c).withColumn("_hit", hit).withColumn("_off", F.sum((~F.col("_hit")).cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.sum(F.col("_hit").cast("long")).over(Window.partitionBy(key, "_off"))
+    out = rows.withColumn("_run", F.when(F.col("_hit"), run).otherwise(0)).groupBy(key).agg(
+        F.avg(F.when(c.isNotNull(), F.col("_hit").cast("double"))).alias("prevalence"), F.coalesce(F.percentile(F.when(F.col("_hit"), c), F.lit(0.5)), F.lit(0.0)).alias("severity"),
+        F.avg(F.greatest(c - tau, F.when(c.isNotNull(), F.lit(0.0)))).alias("burden"), F.max("_run").alias("_run"), F.count(z).alias("known"))
+    minutes = F.when(F.col("_run") > 0, (seconds + (F.col("_run") - 1) * step) / 60).otherwise(0.0)
+    known = F.col("known") > 0
+    return out.select(key, "prevalence", F.when(known, F.col("severity")).alias("severity"), F.when(known, F.col("burden")).alias("burden"), F.when(known, minutes).alias("longest"))

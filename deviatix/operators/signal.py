@@ -156,3 +156,68 @@ def bandpass(df: DataFrame, keys: list[str], samples: str, fs: float, low: float
 
     kinds = dict(df.dtypes)
     return df.select(*keys, samples).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {samples} array<double>")
+
+
+def filled_channels(signals: DataFrame, keys: list[str], channels: list[int], least: int, channel: str = "channel", samples: str = "samples") -> DataFrame:
+    """Adds the missing channels as the sample-wise mean of the present ones (filled = true); recordings with fewer than
+    ``least`` channels go. A recording's channels, a few dozen, meet in one row."""
+    g = signals.where(F.col(channel).isin(channels)).groupBy(*keys).agg(F.collect_list(samples).alias("_all"), F.collect_list(channel).alias("_have")).where(F.size("_have") >= least)
+    total = F.aggregate(F.slice("_all", 2, len(channels)), F.transform(F.get("_all", 0), lambda x: x.cast("double")), lambda a, s: F.zip_with(a, s, lambda x, y: x + y.cast("double")))
+    mean = F.transform(total, lambda x: x / F.size("_have"))
+    missing = F.array_except(F.array(*[F.lit(c).cast("long") for c in channels]), F.transform("_have", lambda c: c.cast("long")))
+    added = g.select(*keys, mean.alias(samples), F.explode(missing).alias(channel)).withColumn("filled", F.lit(True))
+    kept = signals.where(F.col(channel).isin(channels)).join(g.select(*keys).hint("merge"), keys, "left_semi")
+    return kept.select(*keys, F.col(channel).cast("long").alias(channel), F.transform(samples, lambda x: x.cast("double")).alias(samples), F.lit(False).alias("filled")).unionByName(added)
+
+
+def pair_asymmetry(spectrum: DataFrame, keys: list[str], channel: str, pairs: list[tuple[int, int]], low: float = 0.5, high: float = 25.0) -> DataFrame:
+    """q_asym: the greatest over homologous pairs of the mean normalised difference of their spectra; and its pair."""
+    sides = {c: (k, side) for k, pair in enumerate(pairs) for side, c in enumerate(pair)}
+    lookup = F.create_map(*[F.lit(x) for c, (k, side) in sides.items() for x in (c, 2 * k + side)])
+    s = spectrum.where((F.col("f") >= low) & (F.col("f") < high)).withColumn("_s", F.element_at(lookup, F.col(channel).cast("int"))).where("_s IS NOT NULL")
+    own = s.groupBy(*keys, F.floor(F.col("_s") / 2).alias("pair"), "f").agg(F.max(F.when(F.col("_s") % 2 == 0, F.col("p"))).alias("l"), F.max(F.when(F.col("_s") % 2 == 1, F.col("p"))).alias("r"))
+    per = own.groupBy(*keys, "pair").agg(F.avg(F.abs(F.col("r") - F.col("l")) / (F.col("r") + F.col("l") + EPS)).alias("a"))
+    return per.groupBy(*keys).agg(F.max("a").alias("q_asym"), F.max_by("pair", F.struct("a", "pair")).alias("pair"))
+
+
+def muscle_share(spectrum: DataFrame, keys: list[str], channel: str, low: float = 1.0, middle: float = 20.0, high: float = 45.0) -> DataFrame:
+    """Median over channels of the share of power above 20 Hz."""
+    f, p = F.col("f"), F.col("p")
+    per = spectrum.groupBy(*keys, channel).agg((F.sum(F.when((f >= middle) & (f < high), p).otherwise(0.0)) / (F.sum(F.when((f >= low) & (f < high), p).otherwise(0.0)) + EPS)).alias("_share"))
+    return per.groupBy(*keys).agg(F.percentile("_share", F.lit(0.5)).alias("muscle"))
+
+
+def usable_segments(reasons: DataFrame, muscle: DataFrame, keys: list[str], most: float = 0.55) -> DataFrame:
+    """``artifacts`` with its third rule: what is neither flat nor high, but mostly muscle."""
+    reason = F.when((F.col("reason") == "ok") & (F.col("muscle") > most), "emg").otherwise(F.col("reason"))
+    return reasons.select(*keys, "reason").join(muscle, keys, "left").select(*keys, (reason == "ok").alias("usable"), reason.alias("reason"))
+
+
+def file_class(labels: DataFrame, file: str, label: str, canonical: list[str], contact: str, tokens: str, least: int = 8, contacts: int = 32) -> DataFrame:
+    """scalp, intracranial or ambiguous, from how many labels are canonical, look like contacts or name a depth."""
+    x = F.col(label)
+    g = labels.groupBy(file).agg(F.count_if(x.isin(canonical)).alias("n_canonical"), F.count_if(x.rlike(contact)).alias("n_contact"), F.coalesce(F.bool_or(x.rlike(tokens)), F.lit(False)).alias("token"))
+    n, c = F.col("n_canonical"), F.col("n_contact")
+    kind = F.when((n >= least) & (c < n), "scalp").when(F.col("token") | ((c >= contacts) & (n < least)), "intracranial").otherwise("ambiguous")
+    return g.select(file, "n_canonical", "n_contact", kind.alias("kind"))
+
+
+def longest_above(envelope: Column, level: Column) -> Column:
+    """Samples of the longest run above a level."""
+    step = lambda a, x: F.struct(F.when(x > level, a["run"] + 1).otherwise(0).alias("run"), F.greatest(a["best"], F.when(x > level, a["run"] + 1).otherwise(0)).alias("best"))
+    return F.aggregate(envelope, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step)["best"]
+
+
+def bursts(envelopes: DataFrame, recording: str, unit: list[str], envelope: str, fs: float, factor: float = 2.0, seconds: float = 0.4) -> DataFrame:
+    """Per unit (a segment), whether any of its channels has a run of ``seconds`` above ``factor`` times the recording's
+    median of the envelope."""
+    median = envelopes.select(recording, F.explode(envelope).alias("_x")).groupBy(recording).agg(F.percentile("_x", F.lit(0.5)).alias("_m"))
+    run = longest_above(F.col(envelope), F.col("_m") * factor)
+    return envelopes.join(median.hint("merge"), recording).groupBy(recording, *unit).agg(F.max(run).alias("longest")).withColumn("burst", F.col("longest") >= seconds * fs)
+
+
+def spectral_entropy(spectrum: DataFrame, keys: list[str], low: float = 0.5, high: float = 45.0) -> DataFrame:
+    """Entropy of the spectrum's shares over that of a flat one."""
+    s = spectrum.where((F.col("f") >= low) & (F.col("f") <= high) & (F.col("p") > 0))
+    total = F.sum("p")
+    return s.groupBy(*keys).agg(((F.log(total) - F.sum(F.col("p") * F.log("p")) / total) / F.log(F.count(F.lit(1)))).alias("entropy"))

@@ -183,3 +183,34 @@ def residual(df: DataFrame, y: str, x: str) -> DataFrame:
     """Adds residual of y on x by least squares over all rows (one row of coefficients, joined by a constant key)."""
     fit = df.agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a")).withColumn("_k", F.lit(0))
     return df.withColumn("_k", F.lit(0)).join(F.broadcast(fit), "_k").withColumn("residual", F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b", "_k")
+
+
+def bootstrap_median(df: DataFrame, value: str, unit: str, replicates: int) -> DataFrame:
+    """replicate, median: lower weighted medians, a unit having one weight in a replicate. Values are counted first."""
+    drawn = df.where(F.col(value).isNotNull()).select(value, unit).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("_w", poisson_weight(F.col("replicate"), F.col(unit)).cast("double")).where("_w > 0")
+    c = drawn.groupBy("replicate", value).agg(F.sum("_w").alias("w"))
+    w = Window.partitionBy("replicate")
+    c = c.withColumns({"_upto": F.sum("w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("w").over(w)})
+    return c.where(2 * F.col("_upto") >= F.col("_all")).groupBy("replicate").agg(F.min(value).alias("median"))
+
+
+def interval(replicates: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+    """low and high of the middle ``level`` of the replicates' values, and their number."""
+    tail = (1 - level) / 2
+    return replicates.agg(F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high"), F.count(value).alias("replicates"))
+
+
+def dose_response(df: DataFrame, category: str, value: str, reference: str) -> DataFrame:
+    """Per category: n, mean and median; against the reference category, Cohen's d, the rank-biserial correlation and z
+    of the Mann-Whitney test. Categories are few; each but the reference meets the reference's rows once."""
+    d = df.where(F.col(value).isNotNull())
+    summary = d.groupBy(category).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.var_samp(value).alias("_v"))
+    others = [r[0] for r in d.select(category).distinct().where(F.col(category) != reference).collect()]
+    spread = d.withColumn("_for", F.when(F.col(category) == reference, F.array(*map(F.lit, others))).otherwise(F.array(category)))
+    pairs = spread.select(F.explode("_for").alias("_for"), (F.col(category) != reference).alias("_g"), value)
+    tests = mann_whitney(pairs, "_g", value, ["_for"]).select(F.col("_for").alias(category), "rank_biserial", "z")
+    own = summary.where(F.col(category) == reference).select(F.col("n").alias("_n0"), F.col("mean").alias("_m0"), F.col("_v").alias("_v0"), F.lit(0).alias("_k"))
+    out = summary.withColumn("_k", F.lit(0)).join(F.broadcast(own), "_k").join(tests.hint("merge"), category, "left")
+    pooled = F.sqrt(((F.col("n") - 1) * F.col("_v") + (F.col("_n0") - 1) * F.col("_v0")) / (F.col("n") + F.col("_n0") - 2))
+    return out.select(category, "n", "mean", "median", F.when(F.col(category) != reference, (F.col("mean") - F.col("_m0")) / pooled).alias("d"), "rank_biserial", "z")

@@ -103,3 +103,64 @@ def union_first(parts: list[DataFrame], key: str, tie: str) -> DataFrame:
     for p in tagged[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return first_by(out, [key], "_part", tie).drop("_part")
+
+
+def replacement_fill(kept: DataFrame, dropped: DataFrame, pool: DataFrame, key: str, seed: str = "0") -> DataFrame:
+    """``kept`` (origin "kept") and, for each dropped row, one row of the pool (origin "replacement"): keys that are not
+    kept already, one row each, in hash order. A count of the dropped rows is all that is read.
+
+    The place in the order is the number of keys in smaller hash prefixes (counted, 4096 of them) and the place within
+    the prefix, so no task sees the whole pool."""
+    need = dropped.count()
+    own = hash_order(key, seed=seed)
+    fresh = first_by(pool.join(kept.select(key).hint("merge"), key, "left_anti").withColumn("_h", own), [key], "_h").withColumn("_p", F.substring("_h", 1, 3))
+    per = fresh.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # 4096 rows at most
+    before = per.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    taken = fresh.withColumn("_place", place).join(F.broadcast(before), "_p").where(F.col("_before") + F.col("_place") <= need)
+    return kept.withColumn("origin", F.lit("kept")).unionByName(taken.drop("_h", "_p", "_place", "_before").withColumn("origin", F.lit("replacement")), allowMissingColumns=True)
+
+
+def partitioned(df: DataFrame, resolved: Column, panel: Column) -> DataFrame:
+    """Adds part: panel, keeper or drop. Null conditions are false, so the three parts make up the table."""
+    return df.withColumn("part", F.when(F.coalesce(panel, F.lit(False)), "panel").when(F.coalesce(resolved, F.lit(False)), "keeper").otherwise("drop"))
+
+
+def selected(df: DataFrame, key: str, selections: list[DataFrame]) -> DataFrame:
+    """The rows whose key any selection has."""
+    ids = selections[0].select(key)
+    for s in selections[1:]:
+        ids = ids.unionByName(s.select(key))
+    return df.join(ids.distinct().hint("merge"), key, "left_semi")
+
+
+def best_segment(df: DataFrame, key: str, start: str, stage: str, preferred: str, amount: str, within: float = 3600.0) -> DataFrame:
+    """The segment of the greatest amount in the first hour, in the preferred stage if it occurs there, else in any."""
+    fit = df.where((F.col(start) < within) & F.col(amount).isNotNull())
+    return first_by(fit, [key], (F.col(stage) == F.col(preferred)).desc_nulls_last(), F.desc(amount), start)
+
+
+def halves(df: DataFrame, unit: str, seed: str = "0") -> DataFrame:
+    """Adds half: reference or held_out, the same for all rows of a unit, by the parity of its hash's first digits."""
+    return df.withColumn("half", F.when(F.conv(F.substring(hash_order(unit, seed=seed), 1, 8), 16, 10).cast("long") % 2 == 0, "reference").otherwise("held_out"))
+
+
+def balanced_selection(df: DataFrame, positive: Column, priority: Column, unit: str, each: int, priority_cap: int, seed: str = "0") -> DataFrame:
+    """Priority rows first, up to their cap, then ``each`` rows of either class: in hash order. Adds picked_as. The caps
+    are the feature: this samples by design."""
+    kind = F.when(F.coalesce(priority, F.lit(False)), "priority").when(F.coalesce(positive, F.lit(False)), "positive").otherwise("negative")
+    ranked = capped(df.withColumn("picked_as", kind), ["picked_as"], [unit], max(each, priority_cap), seed)
+    place = F.row_number().over(Window.partitionBy("picked_as").orderBy(hash_order(unit, seed=seed), unit))
+    return ranked.withColumn("_place", place).where(F.col("_place") <= F.when(F.col("picked_as") == "priority", priority_cap).otherwise(each)).drop("_place")
+
+
+def exemplars(df: DataFrame, band: str, prefer: list[str], tie: str) -> DataFrame:
+    """One row per band: the first by the preferences (higher first) in turn."""
+    return first_by(df, [band], *[F.desc_nulls_last(c) for c in prefer], tie)
+
+
+def peaks(df: DataFrame, keys: list[str], name: str, z: str, tau: float = 1.0) -> DataFrame:
+    """Per segment: the channel or region of the greatest deviation, and max, median, min and extent over them."""
+    c = F.col(z)
+    top = F.max_by(name, F.struct(c, F.col(name))).alias("argmax")
+    return df.where(c.isNotNull()).groupBy(*keys).agg(top, F.max(c).alias("top"), F.percentile(z, F.lit(0.5)).alias("mid"), F.min(c).alias("low"), F.avg((c > tau).cast("double")).alias("extent"))

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
 from ..registry import ORACLES, QUERIES
-from . import descriptor_queries, norm_queries, relational_queries, scalar_queries, signal_queries, text_queries
+from . import curve_queries, descriptor_queries, guard_queries, norm_queries, relational_queries, scalar_queries, signal_queries, text_queries
 
-__all__ = ["ORACLES", "QUERIES", "descriptor_queries", "norm_queries", "relational_queries", "scalar_queries", "signal_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "curve_queries", "descriptor_queries", "guard_queries", "norm_queries", "relational_queries", "scalar_queries", "signal_queries", "text_queries"]

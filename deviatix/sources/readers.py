@@ -28,7 +28,13 @@ def string_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path).select(*columns)
 
 
+def csv_glob(spark: SparkSession, pattern: str | list[str], columns: list[str]) -> DataFrame:
+    """Files of one shape by a pattern, as one scan: ``columns`` names all their columns in order, all text."""
+    return spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in columns)).csv(pattern)
+
+
 def csv_union(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A few files of different shapes; same-shape files are one scan with ``csv_glob``."""
     out = None
     for p in paths:
         one = spark.read.option("header", True).csv(p)
@@ -42,6 +48,14 @@ def sidecars(spark: SparkSession, path: str, schema: str, required: str, key: st
     return df.where(F.col(required).isNotNull()).dropDuplicates([key])
 
 
+def one_constant(df: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df``, which must agree on a column: reading fails where a row differs from the others."""
+    one = df.agg(F.min(column).alias("_least"), F.max(column).alias("_most"), F.lit(0).alias("_k"))
+    out = df.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k")
+    same = F.when(F.col("_least") == F.col("_most"), F.col(column)).otherwise(F.raise_error(F.lit(f"{column} is not constant")).cast(df.schema[column].dataType))
+    return out.withColumn(column, same).drop("_k", "_least", "_most")
+
+
 def from_names(df: DataFrame, name: Column, pattern: str, fields: list[str]) -> DataFrame:
     """Fields of a file name by the groups of a pattern; null where it does not match."""
     return df.withColumns({f: F.nullif(F.regexp_extract(name, pattern, i + 1), F.lit("")) for i, f in enumerate(fields)})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +30,27 @@ def freeze(df: DataFrame, path: str, version: str, key: str, source: str) -> Dat
     return meta
 
 
-def append_new(df: DataFrame, spark: SparkSession, path: str, ledger: str, key: str) -> int:
-    """Appends the rows of keys that the ledger lacks, then records the keys: running again adds nothing."""
+def append_new(df: DataFrame, spark: SparkSession, path: str, ledger: str, key: str, batch: str | None = None) -> int:
+    """Appends the rows of keys that the ledger lacks, then records the keys: running again adds nothing.
+
+    Data and ledger have a folder per batch. The ledger's is written last; ``appended`` reads only batches that it has,
+    so what a crash leaves behind is not seen, and the same batch run again replaces it."""
+    batch = batch or uuid.uuid4().hex
     try:
-        done = spark.read.parquet(ledger).select(key).distinct()
-    except Exception as e:  # no ledger yet
+        done = spark.read.parquet(ledger).where(F.col("batch") != batch).select(key).distinct()
+    except AnalysisException as e:  # no ledger yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = None
     new = df if done is None else df.join(done, key, "left_anti")
-    new.write.mode("append").parquet(path)
-    keys = new.select(key).distinct()
-    n = keys.count()
-    keys.write.mode("append").parquet(ledger)
-    return n
+    new.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    keys = spark.read.schema(new.schema).parquet(f"{path}/batch={batch}").select(key).distinct()
+    keys.write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+    return spark.read.schema(keys.schema).parquet(f"{ledger}/batch={batch}").count()
+
+
+def appended(spark: SparkSession, path: str, ledger: str) -> DataFrame:
+    """The rows of all batches that the ledger has."""
+    batches = spark.read.parquet(ledger).select(F.col("batch").cast("string").alias("batch")).distinct()
+    data = spark.read.parquet(path)
+    return data.withColumn("batch", F.col("batch").cast("string")).join(batches.hint("merge"), "batch", "left_semi").drop("batch")

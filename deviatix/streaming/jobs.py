@@ -5,12 +5,11 @@ Each function takes a streaming DataFrame; ``run_available`` drives one over wha
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_dir
+
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The files of a folder whose names match, as a stream, with the schema of the table there."""
@@ -52,8 +51,7 @@ def latest(events: DataFrame, keys: list[str], order: str, value: str) -> DataFr
 def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs the stream over all that is available and returns its last result, written in the shared folder."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = new_dir(spark, "stream")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
@@ -64,7 +62,8 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def incremental(stream: DataFrame, out: str, ledger: str, key: str, checkpoint: str):
-    """Exactly once by key: each batch appends only keys that the ledger lacks."""
+    """Exactly once by key: each batch appends only keys that the ledger lacks, under its own number, so a batch that is
+    run again after a crash replaces what it had written. ``sinks.appended`` reads the result."""
     from ..sources.sinks import append_new
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, _: append_new(b, b.sparkSession, out, ledger, key)).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda b, k: append_new(b, b.sparkSession, out, ledger, key, f"stream-{k}")).start()
