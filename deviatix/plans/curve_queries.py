@@ -120,11 +120,11 @@ def p02(spark, sf):
     return powers(spark, sf).select("eeg_id", "channel", *[F.round(c, 5).alias(k) for k, c in ratio.items()], *[F.round(c, 6).alias(k) for k, c in v.items() if k.startswith("rel_")])
 
 
-_SIG = "sg AS (SELECT vec_id // 18 AS seg, vec_id % 18 AS channel, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings)"
+_SIG = "sg AS (SELECT vec_id // 18 AS seg, vec_id % 18 AS channel, list_transform(embedding, lambda x: 10 * CAST(x AS DOUBLE)) AS s FROM embeddings)"
 
 
 def signals(spark, sf):
-    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 18).alias("seg"), (F.col("vec_id") % 18).alias("channel"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 18).alias("seg"), (F.col("vec_id") % 18).alias("channel"), F.transform("embedding", lambda x: x.cast("double") * 10).alias("samples"))
 
 
 @query("dsp02_filled_channels", f"""WITH {_SIG}, p AS (SELECT * FROM sg WHERE channel NOT IN (5, 11) OR seg % 3 <> 0), k AS (SELECT seg, list(channel) AS have FROM p GROUP BY 1 HAVING count(*) >= 15),
@@ -145,11 +145,11 @@ def dsp11(spark, sf):
 _P2P = "SELECT seg, list_max(s) - list_min(s) AS p, list_stddev_pop(s) AS sd FROM sg"
 
 
-@query("dsp12_usable_segments", f"""WITH {_SIG}, {_PSD}, {_LONG}, c AS ({_P2P}), g AS (SELECT seg, avg(CAST(p < 4.2 OR sd < 0.5 AS DOUBLE)) AS share, quantile_cont(p, 0.5) AS mp, quantile_cont(sd, 0.5) AS ms, max(p) AS top FROM c GROUP BY 1),
+@query("dsp12_usable_segments", f"""WITH {_SIG}, {_PSD}, {_LONG}, c AS ({_P2P}), g AS (SELECT seg, avg(CAST(p < 5.2 OR sd < 0.5 AS DOUBLE)) AS share, quantile_cont(p, 0.5) AS mp, quantile_cont(sd, 0.5) AS ms, max(p) AS top FROM c GROUP BY 1),
   e AS (SELECT seg, quantile_cont(m, 0.5) AS m FROM (SELECT seg, channel, coalesce(sum(p) FILTER (f >= 20 AND f < 45), 0) / (coalesce(sum(p) FILTER (f >= 1 AND f < 45), 0) + 1e-12) AS m FROM lg GROUP BY 1, 2) GROUP BY 1),
-  r AS (SELECT seg, CASE WHEN share > 0.3 OR mp < 4.2 OR ms < 0.5 THEN 'flat' WHEN top > 6.5 THEN 'high_amplitude' WHEN m > 0.58 THEN 'emg' ELSE 'ok' END AS reason FROM g JOIN e USING (seg)) SELECT seg, reason = 'ok' AS usable, reason FROM r""")
+  r AS (SELECT seg, CASE WHEN share > 0.12 OR mp < 5.2 OR ms < 0.5 THEN 'flat' WHEN top > 7.3 THEN 'high_amplitude' WHEN m > 0.58 THEN 'emg' ELSE 'ok' END AS reason FROM g JOIN e USING (seg)) SELECT seg, reason = 'ok' AS usable, reason FROM r""")
 def dsp12(spark, sf):
-    reasons = G.artifacts(signals(spark, sf), ["seg"], flat=4.2, high=6.5, flat_share=0.3)
+    reasons = G.artifacts(signals(spark, sf), ["seg"], flat=5.2, high=7.3, flat_share=0.12)
     return G.usable_segments(reasons, G.muscle_share(long(spark, sf), ["seg"], "channel"), ["seg"], most=0.58)
 
 
@@ -160,12 +160,12 @@ def dsp15(spark, sf):
 
 
 @query("dsp16_bursts", f"""WITH {_SIG}, e AS (SELECT seg // 4 AS rec, seg, list_transform(s, lambda x: abs(x)) AS e FROM sg WHERE channel IN (2, 3)), m AS (SELECT rec, quantile_cont(x, 0.5) AS m FROM (SELECT rec, unnest(e) AS x FROM e) GROUP BY 1),
-  r AS (SELECT rec, seg, list_max(list_transform(string_split(array_to_string(list_transform(e, lambda x: CASE WHEN x > 1.2 * m THEN '1' ELSE '0' END), ''), '0'), lambda t: length(t))) AS n FROM e JOIN m USING (rec))
+  r AS (SELECT rec, seg, list_max(list_transform(string_split(array_to_string(list_transform(e, lambda x: CASE WHEN x > 1.6 * m THEN '1' ELSE '0' END), ''), '0'), lambda t: length(t))) AS n FROM e JOIN m USING (rec))
   SELECT rec, seg, CAST(max(n) AS INT) AS longest, max(n) >= 4 AS burst FROM r GROUP BY 1, 2""")
 def dsp16(spark, sf):
     """Rectified samples of two channels as envelopes; four segments are a recording."""
     e = signals(spark, sf).where("channel IN (2, 3)").select(F.floor(F.col("seg") / 4).alias("rec"), "seg", F.transform("samples", lambda x: F.abs(x)).alias("e"))
-    return G.bursts(e, "rec", ["seg"], "e", 10.0, 1.2, 0.4).select("rec", "seg", "longest", "burst")
+    return G.bursts(e, "rec", ["seg"], "e", 10.0, 1.6, 0.4).select("rec", "seg", "longest", "burst")
 
 
 @query("dsp18_spectral_entropy", f"WITH {_PSD}, {_LONG} SELECT vec_id, round((ln(sum(p)) - sum(p * ln(p)) / sum(p)) / ln(count(*)), 5) AS entropy FROM lg WHERE f >= 0.5 AND f <= 45 AND p > 0 GROUP BY 1")
