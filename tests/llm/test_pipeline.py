@@ -36,3 +36,26 @@ def test_pipeline(spark, tmp_path):
         want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     assert got == want
     assert len(want) > 5
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, ties, an empty benchmark, a column that clashes, a very long text; and
+    no rows at all."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rows = corpus()
+    long = "Sentence of its own number " + " ".join(f"{chr(97 + k % 26)}{k}tion the reed" for k in range(60_000))
+    odd = [*rows, rows[12], rows[12], (12, "Another text of this id, with words enough to tell", "en", "a", 1, None, None), (None, rows[12][1], None, None, None, None, None), (None, None, None, None, None, None, None), (500, long, "en", "a", len(long), "x", "y")]
+    for name, some in (("odd", odd), ("none", [])):
+        spark.createDataFrame(some, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        ids = [r.doc_id for r in out]
+        assert set(ids) <= {r[0] for r in some}
+        if name == "odd":
+            assert 500 in ids and next(r.n_tokens for r in out if r.doc_id == 500) > 100_000
+            # of repeated rows, line dedup leaves the lines in those of the largest id: others may be empty
+            assert sum(r.n_tokens > 0 for r in out) > 5
+        else:
+            assert ids == []
