@@ -88,7 +88,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # one row per document (print null), and one per distinct fingerprint of it; only those that match stay
     seen = own.select("id", "text_hash", _words(F.col("text")).alias("words"))
     seen = seen.select("id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("long")), _prints_by_length(F.col("words"), lengths))).alias("own_print"))
-    seen = seen.join(sized_join_hint(prints, n_prints, BROADCAST_ROWS), F.col("own_print") == F.col("print"), "left").where(F.col("own_print").isNull() | F.col("print").isNotNull())
+    # the documents' own rows have no print: their key spreads them over the partitions of a merge join
+    key = F.coalesce("own_print", F.xxhash64("id", "text_hash"))
+    seen = seen.join(sized_join_hint(prints, n_prints, BROADCAST_ROWS), (key == F.col("print")) & F.col("own_print").isNotNull(), "left").where(F.col("own_print").isNull() | F.col("print").isNotNull())
     seen = seen.groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"), F.sum(F.when(F.col("own_print").isNull(), 1).otherwise(0)).alias("copies"), F.collect_set("print").alias("prints"))
     seen = written(seen, "doc-prints")
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized_join_hint, written
+from .common import discard, sized_join_hint, written
 
 #: Values that a sketch retains.
 K = 96
@@ -178,7 +178,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == mark:
             break
@@ -189,13 +190,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def roots(parents: DataFrame) -> DataFrame:
     """node, root, for a forest of (node, parent) in which no parent has a greater id than its node: pointers jump."""
-    now = written(parents.select("node", F.col("parent").alias("root")), "pointers")
+    now = old = written(parents.select("node", F.col("parent").alias("root")), "pointers")
     while True:
         up = now.select(F.col("node").alias("root"), F.col("root").alias("above"))
         jumped = written(now.join(up.hint("merge"), "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "pointers")
-        if not jumped.where("moved").limit(1).count():
+        moved = jumped.where("moved").limit(1).count()
+        discard(old)
+        if not moved:
             return jumped.select("node", "root")
-        now = jumped.select("node", "root")
+        now, old = jumped.select("node", "root"), jumped
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -330,15 +333,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # whole sets of all that is compared: the groups, and what met by chance and may be similar
     ids = groups.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = written(ids, "compared")
-    comps = None
+    comps = sets = links = more = members = parted = None
     if n_ids := ids.count():
         sets = written(full_sets(docs, shingle, id_col, text_col, ids, n_ids), "sets")
         links = written(verified(pairs.where(~F.col("chance")), sets, percent), "near-links")
         first = roots(links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
         members = groups.join(first.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         members = written(several_components(members), "members")
-        members = written(several_components(split_groups(members, sets, percent)), "members")
-        more = written(block_links(members, sets, percent).unionByName(verified(pairs.where("chance"), sets, percent)), "more-links")
+        parted = written(several_components(split_groups(members, sets, percent)), "members")
+        more = written(block_links(parted, sets, percent).unionByName(verified(pairs.where("chance"), sets, percent)), "more-links")
         comps = first.withColumnRenamed("root", "comp")
         if more.limit(1).count():
             # components joined by further links: the same over components instead of documents
@@ -350,7 +353,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = written(comps, "components")
     of_class = classes if comps is None else classes.join(comps.hint("merge"), "node", "left")
     of_class = of_class.select("hi", "lo", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
+    of_class = written(of_class, "class-components")
+    discard(classes, reps, kept, lists, in_lists, strong, groups, meet, pairs, ids, sets, links, more, members, parted, comps)
     # merge join: a class may hold a third of all documents, and Spark splits such partitions
-    out = drawn.select("id", "n", "hi", "lo").join(written(of_class, "class-components").hint("merge"), ["hi", "lo"], "left")
+    out = drawn.select("id", "n", "hi", "lo").join(of_class.hint("merge"), ["hi", "lo"], "left")
     found = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")))
     return out.select("id", F.col("n").alias("n_shingles"), found.alias("component_id"), (found.isNull() | (found == F.col("id"))).alias("kept"))

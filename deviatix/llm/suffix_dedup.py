@@ -14,7 +14,7 @@ bucket's ends, whose neighbours lie in the next bucket, are compared window by w
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 GRAM = 36
+#: Rows of a bucket, about: a task holds one, in some hundred MB.
+BUCKET = 2_000_000
 U = np.uint64
 #: Odd multipliers, one per 8-byte word of a gram. Any will do.
 _MULTIPLIERS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -149,7 +151,13 @@ def anchor_rows(docs: DataFrame, span: int) -> DataFrame:
     return docs.select("id", "tie", "text").mapInArrow(run, "lead long, stretch long, id long, tie long, place long")
 
 
-def sorted_buckets(rows: DataFrame, span: int) -> DataFrame:
+def bucket_count(docs: DataFrame, span: int) -> int:
+    """Buckets for the anchors of all texts: random windows have one anchor in half their grams' number of bytes."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * n_bytes / (span - GRAM + 1) / BUCKET))
+
+
+def sorted_buckets(rows: DataFrame, span: int, buckets: int) -> DataFrame:
     """id, tie, start, windows, again: repeats of an earlier stretch (again), and first ones to compare by windows."""
     import pyarrow as pa
 
@@ -174,7 +182,7 @@ def sorted_buckets(rows: DataFrame, span: int) -> DataFrame:
             r = rows[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], tie[r], place[r] // span, (place[r] % span).astype(np.int32), again[keep][a : a + 50_000])], names=["id", "tie", "start", "windows", "again"])
 
-    spread = rows.repartitionByRange("lead", "stretch", "id", "tie", "place")
+    spread = rows.repartitionByRange(buckets, "lead", "stretch", "id", "tie", "place")
     return spread.mapInArrow(run, "id long, tie long, start long, windows int, again boolean")
 
 
@@ -252,7 +260,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 2 * GRAM <= span < 1 << 14:
         raise ValueError(f"spans of {2 * GRAM} bytes or more, and less than 16384")
     texts, analysed = _keyed(docs, id_col, text_col)
-    found = written(sorted_buckets(anchor_rows(analysed, span), span), "stretches")
+    found = written(sorted_buckets(anchor_rows(analysed, span), span, bucket_count(analysed, span)), "stretches")
     found = found.select("id", "tie", "start", (F.col("start") + F.col("windows") - 1 + span).alias("end"), "again")
     windows = repeated_windows(texts if texts is analysed else analysed, found.where(~F.col("again")).drop("again"), span)
     spans = found.where("again").drop("again").unionByName(windows)
