@@ -94,12 +94,17 @@ def pair_norms(df: DataFrame, cell: list[str], difference: str) -> DataFrame:
 
 def empirical_share(rows: DataFrame, null: DataFrame, cell: list[str], value: str) -> DataFrame:
     """share = (null values <= own) / (n + 1), held within 1/(n+1) and n/(n+1): from one merged ordering, no pairs."""
-    both = rows.withColumn("_null", F.lit(0)).unionByName(null.select(*cell, value).withColumn("_null", F.lit(1)), allowMissingColumns=True)
+    # values are counted first, so a window orders a cell's distinct values; the counts meet the rows by a merge join
+    every = rows.select(*cell, value).withColumn("_null", F.lit(0)).unionByName(null.select(*cell, value).withColumn("_null", F.lit(1)))
+    counts = every.groupBy(*cell, value).agg(F.sum("_null").alias("_c"))
     w = Window.partitionBy(*cell)
-    below = F.sum("_null").over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_null").over(w)
-    out = both.withColumns({"_b": below, "_n": n}).where("_null = 0")
-    return out.withColumn("share", F.least(F.greatest(F.col("_b"), F.lit(1)), F.col("_n")) / (F.col("_n") + 1)).drop("_null", "_b", "_n")
+    counts = counts.withColumns({"_b": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)}).select(*[F.col(c).alias(f"_k_{c}") for c in [*cell, value]], "_b", "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*cell, value]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    out = rows.join(counts.hint("merge"), on)
+    return out.withColumn("share", F.least(F.greatest(F.col("_b"), F.lit(1)), F.col("_n")) / (F.col("_n") + 1)).select(*rows.columns, "share")
 
 
 def out_of_fold(df: DataFrame, fold: str, folds: int, fit) -> DataFrame:

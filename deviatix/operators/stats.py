@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def midranks(df: DataFrame, value: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Value table (by, value, n, rank): rows are counted by value first, so the ordering is over distinct values."""
     by = by or []
     n = F.sum(weight if weight is not None else F.lit(1.0))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value)
-    return counts.withColumn("rank", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2 + 0.5)
+    return running(counts, by, value, "n", "_upto").withColumn("rank", F.col("_upto") - F.col("n") / 2 + 0.5).drop("_upto")
 
 
 def auroc(df: DataFrame, truth: str, score: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -21,8 +22,7 @@ def auroc(df: DataFrame, truth: str, score: str, by: list[str] | None = None, we
     wt = weight if weight is not None else F.lit(1.0)
     t = F.col(truth).cast("int")
     c = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, score).agg(F.sum(wt * t).alias("_p"), F.sum(wt * (1 - t)).alias("_q"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_below", F.sum("_q").over(w) - F.col("_q"))
+    c = running(c, by, score, "_q", "_upto").withColumn("_below", F.col("_upto") - F.col("_q"))
     area = F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2))
     g = c.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), area.alias("area"))
     return g.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("area") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
@@ -32,10 +32,11 @@ def operating_points(df: DataFrame, truth: str, score: str) -> DataFrame:
     """score, tpr, fpr, precision at each distinct score taken as the threshold."""
     t = F.col(truth).cast("int")
     c = df.groupBy(score).agg(F.sum(t).alias("p"), F.sum(1 - t).alias("q"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    tp, fp = F.sum("p").over(w), F.sum("q").over(w)
-    return c.select(score, "p", (tp / F.sum("p").over(every)).alias("tpr"), (fp / F.sum("q").over(every)).alias("fpr"), (tp / (tp + fp)).alias("precision"))
+    c = running(c, [], score, "p", "_tp", descending=True)
+    c = running(c, [], score, "q", "_fp", descending=True)
+    every = c.agg(F.sum("p").alias("_np"), F.sum("q").alias("_nq"), F.lit(0).alias("_k"))  # one row
+    c = c.withColumn("_k", F.lit(0)).join(F.broadcast(every), "_k")
+    return c.select(score, "p", (F.col("_tp") / F.col("_np")).alias("tpr"), (F.col("_fp") / F.col("_nq")).alias("fpr"), (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("precision"))
 
 
 def average_precision(points: DataFrame) -> DataFrame:
@@ -69,8 +70,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, by: list[str] | None = N
     by = by or []
     g = F.col(group).cast("int")
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(g).cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("rank", F.sum("n").over(w) - F.col("n") / 2 + 0.5)
+    c = running(c, by, value, "n", "_upto").withColumn("rank", F.col("_upto") - F.col("n") / 2 + 0.5)
     s = c.groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum(F.col("n") ** 3 - F.col("n")).alias("ties"))
     n1, n, n2 = F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
     u = F.col("r") - n1 * (n1 + 1) / 2
@@ -90,8 +90,7 @@ def signed_rank(df: DataFrame, difference: str) -> DataFrame:
     """Wilcoxon: w_plus, n without zeros, share positive."""
     d = df.where(F.col(difference).isNotNull() & (F.col(difference) != 0)).select(F.abs(difference).alias("m"), (F.col(difference) > 0).cast("int").alias("pos"))
     c = d.groupBy("m").agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("rank", F.sum("n").over(w) - F.col("n") / 2 + 0.5)
+    c = running(c, [], "m", "n", "_upto").withColumn("rank", F.col("_upto") - F.col("n") / 2 + 0.5)
     return c.agg(F.sum(F.col("p") * F.col("rank")).alias("w_plus"), F.sum("n").alias("n"), (F.sum("p") / F.sum("n")).alias("share_positive"))
 
 
@@ -158,8 +157,8 @@ def two_threshold(df: DataFrame, recording: str, truth: str, z: str, xs: list[fl
 def matched_thresholds(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """Cut points of ``value`` that reproduce given shares of labels from below (least value whose rank reaches each)."""
     c = midranks(df, value)
-    w = Window.partitionBy(F.lit(0)).orderBy(value)
-    c = c.withColumn("share", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    total = c.agg(F.sum("n").alias("_total"), F.lit(0).alias("_k"))  # one row
+    c = c.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").withColumn("share", (F.col("rank") + F.col("n") / 2 - 0.5) / F.col("_total"))
     return c.agg(*[F.min(F.when(F.col("share") >= s, F.col(value))).alias(k) for k, s in shares.items()])
 
 
