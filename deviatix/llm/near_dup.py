@@ -143,7 +143,8 @@ def inverted_lists(reps: DataFrame, percent: int) -> DataFrame:
 def several_components(members: DataFrame) -> DataFrame:
     """The members of groups with more than one component."""
     several = members.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("grp")
-    return members.join(several.hint("merge"), "grp", "left_semi")
+    several = written(several, "several")
+    return members.join(sized_join_hint(several, several.count(), BROADCAST_IDS), "grp", "left_semi")
 
 
 def split_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
