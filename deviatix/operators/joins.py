@@ -17,7 +17,7 @@ def in_buckets(df: DataFrame, start: Column, end: Column, width: float) -> DataF
 def majority_state(segments: DataFrame, labels: DataFrame, key: str, start: str, end: str, at: str, state: str, width: float) -> DataFrame:
     """The state of most labels with ``at`` in [start, end); ties go to the least state; null without a label."""
     points = labels.select(key, F.col(at).alias("_at"), F.col(state).alias("_state"), F.floor(F.col(at) / width).alias("bucket"))
-    hits = in_buckets(segments, F.col(start), F.col(end), width).join(points, [key, "bucket"]).where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(end)))
+    hits = in_buckets(segments, F.col(start), F.col(end), width).join(points.hint("merge"), [key, "bucket"]).where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(end)))
     n = hits.groupBy(key, start, "_state").agg(F.count(F.lit(1)).alias("_n"))
     best = n.groupBy(key, start).agg(F.min(F.struct(-F.col("_n"), F.col("_state"))).getField("_state").alias(state))
     return segments.join(best, [key, start], "left")
@@ -99,3 +99,13 @@ def bridge_pairs(df: DataFrame, keys: list[str], region: str, left: str, right:
     """Left less right of a pair by conditional aggregates: one grouping, no self join."""
     pick = lambda side: F.max(F.when(F.col(region) == side, F.col(value)))
     return df.groupBy(*keys).agg((pick(left) - pick(right)).alias("difference"))
+
+
+def majority_or_nearest(segments: DataFrame, labels: DataFrame, key: str, start: str, end: str, at: str, state: str, width: float, segment_id: str, label_id: str) -> DataFrame:
+    """``majority_state``; where no label lies in a segment, the state of the label nearest to its centre (of equally near
+    ones that of the least id); null for keys without labels."""
+    inside = majority_state(segments, labels, key, start, end, at, state, width)
+    centre = inside.where(F.col(state).isNull()).withColumn("_centre", (F.col(start) + F.col(end)) / 2)
+    near = nearest(centre, labels, key, "_centre", at, segment_id, label_id).select(segment_id, label_id)
+    near = near.join(labels.select(label_id, F.col(state).alias("_near")).hint("merge"), label_id).select(segment_id, "_near")
+    return inside.join(near.hint("merge"), segment_id, "left").withColumn(state, F.coalesce(state, "_near")).drop("_near")

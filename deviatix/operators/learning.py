@@ -78,3 +78,21 @@ def operating_point(normals: DataFrame, score: str, false_positives: float = 0.0
 def production_label(focal: Column, normal: Column, general: Column) -> Column:
     """1 focal, 0 clean normal or general only, null otherwise."""
     return F.when(focal, 1).when(normal | (general & ~focal), 0)
+
+
+def panel_scores(df: DataFrame, features: list[str], label: str, panel: Column) -> DataFrame:
+    """All rows with p, of a head fitted on those that are not of the panel: a panel is scored, never learned from."""
+    learned = df.where(~F.coalesce(panel, F.lit(False)) & F.col(label).isNotNull())
+    return scored(head(learned, features, label), df)
+
+
+def focal_scores(labels: DataFrame, key: str, focal: Column, normal: Column, general: Column, blocks: list[DataFrame], each: int, seed: str = "0"):
+    """key, p of every key that all feature blocks have: a head learned on the de-confounded target (focal against clean
+    normal or general only) from at most ``each`` keys of either class, drawn by hash: the training sample is bounded."""
+    from .windows import capped
+
+    target = labels.select(key, production_label(focal, normal, general).alias("_label")).where("_label IS NOT NULL")
+    table = reduce(lambda a, b: a.join(b.hint("merge"), key), blocks)
+    features = [c for c in table.columns if c != key]
+    sample = capped(target, ["_label"], [key], each, seed).join(table.hint("merge"), key)
+    return scored(head(sample, features, "_label"), table).select(key, "p")

@@ -157,3 +157,33 @@ def burden_profile(df: DataFrame, key: str, order: str, z: str, tau: float = 1.0
     minutes = F.when(F.col("_run") > 0, (seconds + (F.col("_run") - 1) * step) / 60).otherwise(0.0)
     known = F.col("known") > 0
     return out.select(key, "prevalence", F.when(known, F.col("severity")).alias("severity"), F.when(known, F.col("burden")).alias("burden"), F.when(known, minutes).alias("longest"))
+
+
+def lms_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, powers: list[float], reach: float = 4.0, min_weight: float = 20.0) -> DataFrame:
+    """Box-Cox normal curves of a positive value: cell, g, weight, l, m, s, by weighted maximum likelihood over ``powers``.
+
+    Rows are summed once by cell and x: their number, mean log, and mean and variance of each power of the value. Kernel
+    weights then apply to these few rows, so no row of the input is repeated. Values of 0 or less, nulls and points of
+    less weight than ``min_weight`` are left out; of equally likely powers the lowest is taken. A value that never
+    varies has no likelihood: null l, m, s.
+    """
+    own = df.where((F.col(value) > 0) & F.col(x).isNotNull()).select(*cell, F.col(x).cast("double").alias("_x"), F.log(value).alias("_ln"))
+    power = lambda p: F.exp(F.col("_ln") * p) if p else F.col("_ln")
+    sums = own.groupBy(*cell, "_x").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_ln").alias("_ln"), F.array(*[F.struct(F.lit(float(p)).alias("l"), F.avg(power(p)).alias("mean"), F.var_pop(power(p)).alias("var")) for p in powers]).alias("_p"))
+    near = F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: F.abs(F.col("_x") - g) <= reach * bandwidth)
+    rows = sums.withColumn("g", F.explode(near)).withColumn("_w", F.col("_n") * kernel(F.col("_x") - F.col("g"), bandwidth)).select(*cell, "g", "_w", "_ln", F.inline("_p"))
+    w, mean, var = F.col("_w"), F.col("mean"), F.col("var")
+    total = F.sum(w)
+    fit = rows.groupBy(*cell, "g", "l").agg(total.alias("weight"), (F.sum(w * F.col("_ln")) / total).alias("_ln"), (F.sum(w * mean) / total).alias("_mean"), (F.sum(w * (var + mean * mean)) / total - (F.sum(w * mean) / total) ** 2).alias("_var"))
+    fit = fit.where(F.col("weight") >= min_weight)
+    p, scale = F.col("l"), F.sqrt(F.greatest("_var", F.lit(0.0)))
+    m = F.when(p == 0, F.exp("_mean")).otherwise(F.exp(F.log("_mean") / p))
+    s = F.when(p == 0, scale).otherwise(scale / F.abs(p) / F.col("_mean"))
+    likely = p * F.col("_ln") - F.log(F.when(p == 0, scale).otherwise(scale / F.abs(p)))
+    best = F.max(F.when(scale > 0, F.struct(F.round(likely, 10).alias("k"), (-p).alias("n"), m.alias("m"), s.alias("s"))))
+    return fit.groupBy(*cell, "g").agg(F.max("weight").alias("weight"), best.alias("_b")).select(*cell, "g", "weight", (-F.col("_b.n")).alias("l"), F.col("_b.m").alias("m"), F.col("_b.s").alias("s"))
+
+
+def lms_z(value: Column, power: Column, m: Column, s: Column) -> Column:
+    """z of a positive value in a Box-Cox normal curve."""
+    return F.when(value > 0, F.when(power == 0, F.log(value / m) / s).otherwise((F.exp(power * F.log(value / m)) - 1) / (power * s)))

@@ -221,3 +221,77 @@ def spectral_entropy(spectrum: DataFrame, keys: list[str], low: float = 0.5, hig
     s = spectrum.where((F.col("f") >= low) & (F.col("f") <= high) & (F.col("p") > 0))
     total = F.sum("p")
     return s.groupBy(*keys).agg(((F.log(total) - F.sum(F.col("p") * F.log("p")) / total) / F.log(F.count(F.lit(1)))).alias("entropy"))
+
+
+def complexity(samples: Column) -> Column:
+    """Hjorth complexity: mobility of the steps over mobility of the signal."""
+    n = F.size(samples)
+    steps = F.zip_with(F.slice(samples, F.lit(2), n - 1), F.slice(samples, F.lit(1), n - 1), lambda a, b: a.cast("double") - b.cast("double"))
+    return mobility(steps) / (mobility(samples) + EPS)
+
+
+def duty_cycle(samples: Column, level: float) -> Column:
+    """Share of samples whose size is above a level."""
+    return F.size(F.filter(samples, lambda x: F.abs(x) > level)) / F.size(samples)
+
+
+def rhythmicity(df: DataFrame, samples: str, first: int, last: int) -> DataFrame:
+    """Adds rhythmicity, the greatest autocorrelation at the lags ``first`` to ``last``, and its lag (the least of equal ones)."""
+    n = F.size(samples)
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
+    d = df.withColumn("_mean", mean).withColumn("_c", F.transform(samples, lambda x: x.cast("double") - F.col("_mean")))
+    square = F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x) + EPS
+    at = lambda lag: F.aggregate(F.zip_with(F.slice("_c", F.lit(1), n - lag), F.slice("_c", lag + 1, n - lag), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    lags = F.sequence(F.lit(first), F.least(F.lit(last), n - 1))
+    best = F.when(n > first, F.array_max(F.transform(lags, lambda lag: F.struct(at(lag).alias("r"), (-lag).alias("lag")))))
+    d = d.withColumn("_best", best).withColumn("_square", square)
+    return d.select(*df.columns, (F.col("_best.r") / F.col("_square")).alias("rhythmicity"), (-F.col("_best.lag")).alias("lag"))
+
+
+def coherence(df: DataFrame, keys: list[str], segment: str, channel: str, samples: str, pairs: list[tuple[int, int]], bins: list[int]) -> DataFrame:
+    """keys, pair, coherence: squared size of the mean cross spectrum over the product of the power spectra, which are
+    sums over the segments of a key; mean over the Fourier ``bins``. Segments that lack a side of a pair don't count."""
+    sides = {c: 2 * k + side for k, pair in enumerate(pairs) for side, c in enumerate(pair)}
+    lookup = F.create_map(*[F.lit(x) for pair in sides.items() for x in pair])
+    s = df.withColumn("_s", F.element_at(lookup, F.col(channel).cast("int"))).where("_s IS NOT NULL").select(*keys, segment, "_s", samples, F.explode(F.array(*[F.lit(b) for b in bins])).alias("_bin"))
+    turn = lambda i: i * F.col("_bin") * (2 * np.pi) / F.size(samples)
+    total = lambda f: F.aggregate(F.transform(samples, lambda x, i: x.cast("double") * f(turn(i))), F.lit(0.0), lambda a, x: a + x)
+    one = lambda c, side: F.max(F.when(F.col("_s") % 2 == side, F.col(c)))
+    s = s.select(*keys, segment, "_s", "_bin", total(F.cos).alias("_re"), total(F.sin).alias("_im"))
+    per = s.groupBy(*keys, segment, F.floor(F.col("_s") / 2).alias("pair"), "_bin").agg(*[one(c, side).alias(f"{c}{side}") for c in ("_re", "_im") for side in (0, 1)])
+    a, b, c, d = (F.col(x) for x in ("_re0", "_im0", "_re1", "_im1"))
+    both = per.where(a.isNotNull() & c.isNotNull())
+    real, imaginary = F.sum(a * c + b * d), F.sum(b * c - a * d)
+    per = both.groupBy(*keys, "pair", "_bin").agg(((real * real + imaginary * imaginary) / (F.sum(a * a + b * b) * F.sum(c * c + d * d) + EPS)).alias("_v"))
+    return per.groupBy(*keys, "pair").agg(F.avg("_v").alias("coherence"))
+
+
+def candidate_offsets(df: DataFrame, keys: list[str], series: str, profile: str, step: int, top: int = 12, apart: int = 30) -> DataFrame:
+    """keys, place, at, r: the ``top`` offsets of best correlation between the profile and every ``step``-th value of the
+    series from there on, best first, each more than ``apart`` from those before it. Correlations are taken to 9 digits;
+    of equal ones the least offset comes first. A row holds one series; its offsets are scored inside the row."""
+    n = F.size(profile)
+    mean = F.aggregate(profile, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
+    z = df.select(*keys, F.col(series).alias("_x"), F.col(profile).alias("_p"), mean.alias("_m"), range_and_deviation(F.col(profile))[1].alias("_sd"))
+    z = z.withColumn("_z", F.transform("_p", lambda x: (x.cast("double") - F.col("_m")) / (F.col("_sd") + 1e-9)))
+    k = F.size("_z")
+
+    def score(at: Column) -> Column:
+        picked = F.transform("_z", lambda v, i: F.struct(F.get("_x", at + i * step).cast("double").alias("x"), v.alias("v")))
+        sums = F.aggregate(picked, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p")), lambda a, e: F.struct((a["s"] + e["x"]).alias("s"), (a["q"] + e["x"] * e["x"]).alias("q"), (a["p"] + e["x"] * e["v"]).alias("p")),
+                           lambda a: a["p"] / k / (F.sqrt(F.greatest(a["q"] / k - a["s"] * a["s"] / (k * k), F.lit(0.0))) + 1e-9))
+        return F.struct((-F.round(sums, 9)).alias("n"), at.alias("at"))
+
+    last = F.size("_x") - (k - 1) * step - 1
+    scores = z.select(*keys, F.sort_array(F.when(last >= 1, F.transform(F.sequence(F.lit(0), last), score)).otherwise(F.array().cast("array<struct<n:double,at:int>>"))).alias("_scores"))
+    free = lambda kept, s: (F.size(kept) < top) & ~F.exists(kept, lambda p: F.abs(p["at"] - s["at"]) <= apart)
+    chosen = F.aggregate("_scores", F.array().cast("array<struct<n:double,at:int>>"), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+    return scores.select(*keys, F.posexplode(chosen).alias("place", "_c")).select(*keys, "place", F.col("_c.at").alias("at"), (-F.col("_c.n")).alias("r"))
+
+
+def offset_mismatch(series: Column, stored: Column, at: Column, step: int, length: int) -> Column:
+    """Greatest difference between stored means of segments and those recomputed from an offset on: an offset is the true
+    one where it is about 0. Null where a segment would run over the end."""
+    window = lambda i: F.slice(series, at + i * step + 1, length)
+    mean = lambda i: F.aggregate(window(i), F.lit(0.0), lambda a, x: a + x.cast("double")) / length
+    return F.when(at + (F.size(stored) - 1) * step + length <= F.size(series), F.array_max(F.transform(stored, lambda v, i: F.abs(mean(i) - v))))

@@ -134,7 +134,7 @@ def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Dat
     key = by or [F.lit(0).alias("k")]
     total = cells.groupBy(*key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("n")).otherwise(0.0)).alias("same"))
     mm = m.groupBy(*key).agg(F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.count(F.lit(1)).alias("q"), F.sum(((F.col("_x") + F.col("_y")) / 2)).alias("s1"), F.sum(((F.col("_x") + F.col("_y")) / 2) ** 2).alias("s2"))
-    j = total.join(mm, by or ["k"])
+    j = total.join(mm.hint("merge"), by or ["k"])
     t = F.col("total")
     po, pe, ge = F.col("same") / t, F.col("xy") / (t * t), (F.col("s1") / t - F.col("s2") / (t * t)) / (F.col("q") - 1)
     return j.select(*by, t.cast("long").alias("n"), po.alias("accuracy"), ((po - pe) / (1 - pe)).alias("kappa"), ((po - ge) / (1 - ge)).alias("ac1"))
@@ -213,3 +213,53 @@ def dose_response(df: DataFrame, category: str, value: str, reference: str) -> D
     out = summary.withColumn("_k", F.lit(0)).join(F.broadcast(own), "_k").join(tests.hint("merge"), category, "left")
     pooled = F.sqrt(((F.col("n") - 1) * F.col("_v") + (F.col("_n0") - 1) * F.col("_v0")) / (F.col("n") + F.col("_n0") - 2))
     return out.select(category, "n", "mean", "median", F.when(F.col(category) != reference, (F.col("mean") - F.col("_m0")) / pooled).alias("d"), "rank_biserial", "z")
+
+
+def chosen_thresholds(df: DataFrame, recording: str, truth: str, z: str, xs: list[float], ys: list[float], seed: str = "0") -> DataFrame:
+    """x, y, kappa_train, kappa_test: the rule of ``two_threshold`` of greatest kappa on one half of the recordings (drawn by
+    hash; of equal ones the least x, then y), and its kappa on the other half. One row."""
+    from .windows import halves
+
+    half = halves(df, recording, seed)
+    train = two_threshold(half.where("half = 'reference'"), recording, truth, z, xs, ys)
+    best = train.agg(F.max(F.struct(F.round("kappa", 9).alias("k"), (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))).alias("b"))
+    best = best.select((-F.col("b.x")).alias("x"), (-F.col("b.y")).alias("y"), F.col("b.k").alias("kappa_train"))
+    test = two_threshold(half.where("half = 'held_out'"), recording, truth, z, xs, ys).select("x", "y", F.col("kappa").alias("kappa_test"))
+    return best.join(test.hint("merge"), ["x", "y"], "left")
+
+
+def logit(df: DataFrame, truth: str, features: list[str], rounds: int = 30, tolerance: float = 1e-10) -> DataFrame:
+    """term, coefficient, error, z, p of an unpenalised logistic regression, by Newton steps: each is one aggregate over the
+    rows, and only its sums, a number per pair of features, reach the driver. Rows with a null drop out. Nulls where the
+    fit doesn't exist: one class, no rows, collinear features or perfectly separated classes.
+    """
+    import numpy as np
+
+    from ..sources.shared import stored
+
+    spark, terms = df.sparkSession, ["intercept", *features]
+    rows = stored(df.select(F.col(truth).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features]).dropna(), "logit")
+    x = [F.lit(1.0), *[F.col(c) for c in features]]
+    size = len(x)
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    b, information = np.zeros(size), None
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-sum((float(v) * c for v, c in zip(b[1:], x[1:], strict=True)), F.lit(float(b[0])))))
+        d = rows.withColumn("_p", p)
+        sums = d.agg(*[F.sum(c * (F.col("_y") - F.col("_p"))) for c in x], *[F.sum(x[i] * x[j] * F.col("_p") * (1 - F.col("_p"))) for i, j in upper]).first()
+        if sums[0] is None:
+            break
+        matrix = np.zeros((size, size))
+        for (i, j), v in zip(upper, sums[size:], strict=True):
+            matrix[i, j] = matrix[j, i] = v
+        if not np.isfinite(matrix).all() or np.linalg.cond(matrix) > 1e13:
+            break
+        step = np.linalg.solve(matrix, np.array(sums[:size]))
+        b = b + step
+        if np.abs(step).max() < tolerance * max(1.0, np.abs(b).max()):
+            information = matrix
+            break
+    error = [None] * size if information is None else [float(v) for v in np.sqrt(np.diag(np.linalg.inv(information)))]
+    out = spark.createDataFrame([(t, None if e is None else float(v), e) for t, v, e in zip(terms, b, error, strict=True)], "term string, coefficient double, error double")
+    z = F.col("coefficient") / F.col("error")
+    return out.withColumn("z", z).withColumn("p", two_sided(F.col("z")))

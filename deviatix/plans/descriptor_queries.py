@@ -149,7 +149,7 @@ def st23(spark, sf):
     d = labelled(spark, sf).withColumn("other", (F.col("doc_id") % 97).cast("double"))
     a = S.bootstrap_auroc(d, "quality", "score", "source", 20).select("replicate", F.col("auroc").alias("a"))
     b = S.bootstrap_auroc(d, "quality", "other", "source", 20).select("replicate", F.col("auroc").alias("b"))
-    return rounded(a.join(b, "replicate").select(F.col("replicate").cast("long").alias("replicate"), (F.col("a") - F.col("b")).alias("difference")))
+    return rounded(a.join(b.hint("merge"), "replicate").select(F.col("replicate").cast("long").alias("replicate"), (F.col("a") - F.col("b")).alias("difference")))
 
 
 @query("st_a3_raters_under_curve")
