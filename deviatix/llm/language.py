@@ -19,6 +19,8 @@ WIDEST = max(WIDTHS)
 EMBED = 8
 #: Windows that go through the network at a time: their activations fit a core's cache.
 BLOCK = 64
+#: Windows held before they go through the network (1 MB of text); a text beyond that goes through on its own.
+HELD_WINDOWS = 4096
 #: Labels up to which their table (a short text and a number a row) is broadcast; they are counted.
 BROADCAST_ROWS = 200_000
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
@@ -158,6 +160,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
             lang, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             held: list[np.ndarray] = []
             owner: list[int] = []
+            waiting = 0
 
             def flush() -> None:
                 if not held:
@@ -177,8 +180,10 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
                 if model is not None and text and has_letter(text):
                     held.append(windows_of(text.encode()))
                     owner.append(i)
-                    if len(owner) >= 512:
+                    waiting += len(held[-1])
+                    if waiting >= HELD_WINDOWS:
                         flush()
+                        waiting = 0
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *[batch.column(1)] * keep_row], names=["id", "lang_pred", "score", *["row"] * keep_row])
 
