@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import folded_bytes, hash128, written
 
+#: Hot lines at most: each holds at least this fraction of the exploded lines.
+HOT_LINES = 1000
 #: Stripped at both ends of a line.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -25,7 +27,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The lines of every document are exploded as 128-bit hashes of their normalised form (once per document) and
     counted by hash with map-side partial aggregates, which also bounds a line that a third of all documents hold.
-    A hash in ``min_docs`` documents or more is dropped, except in the largest id that holds it. The documents then
+    A hash in ``min_docs`` documents or more is dropped, except in the largest id that holds it. Hot hashes, a bounded
+    number, are broadcast to the exploded lines; the others meet them by a merge join. The documents then
     filter their line arrays, which keeps positions, so that no text is exploded.
 
     Null or empty text: one empty line, kept. Rows that repeat an id each count as a document, and the largest id
@@ -35,9 +38,13 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long_lines = F.filter(_lines(F.col("text")), lambda x: F.length(F.btrim(x, F.lit(SPACES))) >= min_chars)
     keys = written(own.select("id", F.explode(F.array_distinct(F.transform(long_lines, _line_hash))).alias("h")).select("id", "h.h1", "h.h2"), "line-keys")
-    common = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs)
-    # merge join: Spark splits the partitions of hot lines; the sides' sizes are from a written table
-    lost = keys.join(common.hint("merge"), ["h1", "h2"]).where(F.col("id").isNull() & F.col("keeper").isNotNull() | (F.col("id") < F.col("keeper")))
+    common = written(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs), "common-lines")
+    # a hot line holds a share of 1 in HOT_LINES of all keys or more, so there are HOT_LINES of them at most
+    hot = F.col("docs") >= F.greatest(F.lit(min_docs), F.ceil(F.lit(keys.count() / HOT_LINES)))
+    few, many = F.broadcast(common.where(hot)), common.where(~hot).hint("merge")
+    line = ["h1", "h2"]
+    met = keys.join(few, line).unionByName(keys.join(few.select(line), line, "left_anti").join(many, line))
+    lost = met.where(F.col("id").isNull() & F.col("keeper").isNotNull() | (F.col("id") < F.col("keeper")))
     lost = lost.groupBy(F.col("id").alias("lost_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     both = own.join(lost.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("lost_id")), "left")
     lines = _lines(F.col("text"))
