@@ -235,6 +235,57 @@ def duty_cycle(samples: Column, level: float) -> Column:
     return F.size(F.filter(samples, lambda x: F.abs(x) > level)) / F.size(samples)
 
 
+def array_quantile(values: Column, q: float) -> Column:
+    """Quantile of an array, linear between its sorted values; null if it is empty."""
+    ordered, at = F.array_sort(values), q * (F.size(values) - 1)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    return F.when(F.size(values) > 0, F.get(ordered, low) + (F.get(ordered, high) - F.get(ordered, low)) * (at - low))
+
+
+def amplitude(samples: Column) -> tuple[Column, Column]:
+    """(root mean square, distance of the 5 and 95 % quantiles) of an array of doubles."""
+    square = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x)
+    return F.sqrt(square / F.nullif(F.size(samples), F.lit(0))), array_quantile(samples, 0.95) - array_quantile(samples, 0.05)
+
+
+def _variation(values: Column) -> Column:
+    """SD over mean; null for fewer than two values."""
+    mean, sd = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values), range_and_deviation(values)[1]
+    return F.when(F.size(values) > 1, sd / F.nullif(mean, F.lit(0.0)))
+
+
+def cycles(df: DataFrame, samples: str, tolerance: float = 0.25) -> DataFrame:
+    """Adds cycles, period_cv, amplitude_cv, above and longest_run of an array of doubles.
+
+    A cycle reaches from one upward crossing of the mean to the next. The coefficients of variation are of its length and
+    its range, null with fewer than two cycles; ``above`` is the share of samples over the mean within cycles;
+    ``longest_run`` is the most cycles in a row whose length and range are within ``tolerance`` of their medians.
+    """
+    n = F.size(samples)
+    mean = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
+    d = df.withColumn("_mean", mean).withColumn("_c", F.transform(samples, lambda x: x - F.col("_mean")))
+    up = F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.get("_c", i - 1) < 0) & (F.get("_c", i) >= 0))
+    d = d.withColumn("_up", F.when(n > 1, up).otherwise(F.array().cast("array<int>")))
+    firsts = F.slice("_up", F.lit(1), F.greatest(F.size("_up") - 1, F.lit(0)))
+    d = d.withColumn("_cycle", F.transform(firsts, lambda i, k: F.slice("_c", i + 1, F.get("_up", k + 1) - i)))
+    d = d.withColumns({"_period": F.transform("_cycle", lambda c: F.size(c).cast("double")), "_range": F.transform("_cycle", lambda c: F.array_max(c) - F.array_min(c))})
+    d = d.withColumns({"_p": array_quantile(F.col("_period"), 0.5), "_r": array_quantile(F.col("_range"), 0.5)})
+    near = lambda v, m: F.abs(v - F.col(m)) <= tolerance * F.col(m)
+    steady = F.zip_with("_period", "_range", lambda p, r: near(p, "_p") & near(r, "_r"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, ok: Column) -> Column:
+        now = F.when(ok, a["now"] + 1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    over = F.aggregate("_cycle", F.lit(0), lambda a, c: a + F.size(F.filter(c, lambda x: x > 0)))
+    length = F.aggregate("_period", F.lit(0.0), lambda a, x: a + x)
+    return d.select(
+        *df.columns, F.size("_cycle").alias("cycles"), _variation(F.col("_period")).alias("period_cv"), _variation(F.col("_range")).alias("amplitude_cv"),
+        (over / F.nullif(length, F.lit(0.0))).alias("above"), F.aggregate(steady, start, step, lambda a: a["most"]).alias("longest_run"),
+    )
+
+
 def rhythmicity(df: DataFrame, samples: str, first: int, last: int) -> DataFrame:
     """Adds rhythmicity, the greatest autocorrelation at the lags ``first`` to ``last``, and its lag (the least of equal ones)."""
     n = F.size(samples)

@@ -68,6 +68,20 @@ def dsp18(spark, sf):
     return rounded(G.rhythmicity(e, "s", 4, 20).select("vec_id", G.complexity(F.col("s")).alias("complexity"), G.duty_cycle(F.col("s"), 0.1).alias("duty"), "rhythmicity", "lag"), 5)
 
 
+@query("dsp18_cycles", """WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings), c AS (SELECT vec_id, s, list_transform(s, lambda x: x - list_avg(s)) AS c FROM d),
+  u AS (SELECT *, list_filter(range(2, len(c) + 1), lambda i: c[i - 1] < 0 AND c[i] >= 0) AS u FROM c), y AS (SELECT *, list_transform(range(1, len(u)), lambda k: c[u[k]:u[k + 1] - 1]) AS y FROM u),
+  p AS (SELECT *, list_transform(y, lambda v: CAST(len(v) AS DOUBLE)) AS p, list_transform(y, lambda v: list_max(v) - list_min(v)) AS r FROM y), m AS (SELECT *, list_aggregate(p, 'quantile_cont', 0.5) AS mp, list_aggregate(r, 'quantile_cont', 0.5) AS mr FROM p),
+  f AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN abs(p[i] - mp) <= 0.25 * mp AND abs(r[i] - mr) <= 0.25 * mr THEN '1' ELSE '0' END) AS f FROM m)
+  SELECT vec_id, round(sqrt(list_sum(list_transform(s, lambda x: x * x)) / len(s)), 6) AS rms, round(list_aggregate(s, 'quantile_cont', 0.95) - list_aggregate(s, 'quantile_cont', 0.05), 6) AS robust_range, CAST(len(p) AS INTEGER) AS cycles,
+  round(CASE WHEN len(p) > 1 THEN list_stddev_pop(p) / list_avg(p) END, 6) AS period_cv, round(CASE WHEN len(p) > 1 THEN list_stddev_pop(r) / list_avg(r) END, 6) AS amplitude_cv,
+  round(list_sum(list_transform(y, lambda v: len(list_filter(v, lambda x: x > 0)))) / list_sum(p), 6) AS above, CAST(coalesce(list_max(list_transform(string_split(array_to_string(f, ''), '0'), lambda x: len(x))), 0) AS INTEGER) AS longest_run FROM f""")
+def dsp18_cycles(spark, sf):
+    """Amplitude, and the regularity of the cycles between upward crossings."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
+    rms, spread = G.amplitude(F.col("s"))
+    return rounded(G.cycles(e.withColumns({"rms": rms, "robust_range": spread}), "s").drop("s"))
+
+
 @query("dsp18_coherence", f"""WITH {_SIG}, l AS (SELECT seg // 4 AS rec, seg, channel, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS v FROM sg WHERE channel IN (0, 1, 4, 5)), k AS (SELECT unnest([2, 5, 9]) AS bin),
   f AS (SELECT rec, seg, channel, bin, sum(v * cos(2 * pi() * i * bin / 64)) AS re, sum(v * sin(2 * pi() * i * bin / 64)) AS im FROM l, k GROUP BY ALL), p AS (SELECT x.rec, x.seg, x.channel AS pair, x.bin, x.re AS a, x.im AS b, y.re AS c, y.im AS d FROM f x JOIN f y ON x.seg = y.seg AND x.bin = y.bin AND y.channel = x.channel + 4 WHERE x.channel < 2),
   v AS (SELECT rec, pair, bin, (sum(a * c + b * d) ** 2 + sum(b * c - a * d) ** 2) / (sum(a * a + b * b) * sum(c * c + d * d) + 1e-12) AS v FROM p GROUP BY 1, 2, 3) SELECT rec, pair, round(avg(v), 5) AS coherence FROM v GROUP BY 1, 2""")

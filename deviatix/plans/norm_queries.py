@@ -10,6 +10,7 @@ from ..operators import norms as N
 from ..operators import stats as S
 from ..operators import windows as W
 from ..registry import query
+from ..sources.shared import stored
 from .relational_queries import _VOTE, votes
 from .tables import POW, SEG, powers, rounded, segments, table
 
@@ -59,7 +60,8 @@ _DEV = f"""{_WQ}, k AS (SELECT stage, g, {_q(0.5)} AS mu, greatest(({_q(0.75)} -
 
 
 def deviations(spark, sf):
-    curve = N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0)
+    """z of each segment; the curve is written once, as every use of the deviations reads it."""
+    curve = stored(N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0), "curve")
     return N.deviation(segments(spark, sf), curve, ["stage"], "age", "y")
 
 

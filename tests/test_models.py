@@ -196,3 +196,22 @@ def test_panels_are_scored_and_not_learned(spark):
     own = np.array([i in drawn for i in ids])
     got = dict(library.QUERIES["ml05_focal_scores"](spark, DATA).collect())
     assert [got[i] for i in ids] == pytest.approx(list(head_scores(x[own], y[own], x)), abs=2e-4)
+
+
+def test_cycles(spark):
+    steady = [math.sin(2 * math.pi * (i + 0.5) / 10) for i in range(100)]
+    broken = [v * (3 if 40 <= i < 60 else 1) for i, v in enumerate(steady)]  # two cycles of thrice the range
+    rows = [(1, steady), (2, broken), (3, []), (4, None), (5, [1.0]), (6, [2.0, 2.0, 2.0])]
+    d = spark.createDataFrame(rows, "id int, s array<double>")
+    rms, spread = G.amplitude(F.col("s"))
+    out = {r.id: r for r in G.cycles(d.withColumns({"rms": rms, "spread": spread}), "s").collect()}
+    one = out[1]
+    assert (one.cycles, one.longest_run) == (8, 8)  # nine upward crossings, at 10, 20, ..., 90
+    assert one.period_cv == pytest.approx(0, abs=1e-9) and one.amplitude_cv == pytest.approx(0, abs=1e-9)
+    assert one.above == pytest.approx(0.5) and one.rms == pytest.approx(math.sqrt(0.5))
+    assert one.spread == pytest.approx(np.quantile(steady, 0.95) - np.quantile(steady, 0.05))
+    assert out[2].cycles == one.cycles and out[2].longest_run < one.longest_run and out[2].amplitude_cv > 0.3
+    for k in (3, 5, 6):
+        assert (out[k].cycles, out[k].longest_run, out[k].period_cv, out[k].above) == (0, 0, None, None)
+    assert out[3].rms is None and out[3].spread is None and out[6].rms == pytest.approx(2)
+    assert out[4].rms is None and out[4].period_cv is None
