@@ -16,6 +16,7 @@ from .near_dup import near_duplicates
 from .quality_rules import quality
 from .suffix_dedup import remove_repeats
 from .token_files import read_shards, write_shards
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -111,8 +112,12 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
