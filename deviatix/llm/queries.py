@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .line_dedup import drop_common_lines
 from .near_dup import near_duplicates
 from .quality_rules import quality
+from .substring_dedup import drop_repeated_windows
 from .suffix_dedup import remove_repeats
 from .token_files import read_shards, write_shards
 from .whitening import whiten
@@ -116,8 +117,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_windows(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate, op12_whitening)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate, op12_whitening, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
