@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .archives import archive_round_trip
 from .bpe import encode_decode
 from .common import table
@@ -113,6 +114,12 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -123,7 +130,7 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate, op12_whitening, op13_substring_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_warc, op4_suffix_dedup, op5_token_files, op6_near_dup, op7_language, op8_bpe, op9_line_dedup, op10_decontaminate, op11_alignment, op12_whitening, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

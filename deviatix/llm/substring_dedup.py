@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import PAD, spread
-from .units import OUT_BYTES, UNIT_BYTES, Answers, Unit, answers, documents, each_unit, pack_ascending, packed, unpack_ascending
+from .units import REQUEST, UNIT_BYTES, Answers, Unit, answered, answers, cuts, documents, each_unit, pack_ascending, packed, requests, unpack_ascending
 
 U = np.uint64
 #: Rows of the sketch, each with hashes of its own.
@@ -125,12 +125,7 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[at], place, np.diff(at, append=len(values))
 
 
-def _cuts(sorted_blocks: np.ndarray) -> list[tuple[int, int]]:
-    edges = [0, *(np.flatnonzero(np.diff(sorted_blocks)) + 1).tolist(), len(sorted_blocks)]
-    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-
-
-def _bits(found, columns: int = 2) -> dict[int, np.ndarray]:
+def _bits(found) -> dict[int, np.ndarray]:
     """block -> whether each entry that the unit asked about there is held elsewhere too."""
     if found is None:
         return {}
@@ -141,7 +136,7 @@ def _bits(found, columns: int = 2) -> dict[int, np.ndarray]:
 def _asked(blocks: np.ndarray, bits: dict[int, np.ndarray], offset: int = 0) -> np.ndarray:
     """The answers to entries whose (sorted) blocks these are."""
     out = np.zeros(len(blocks), bool)
-    for a, b in _cuts(blocks):
+    for a, b in cuts(blocks):
         out[a:b] = bits[int(blocks[a]) + offset][: b - a]
     return out
 
@@ -162,7 +157,7 @@ class Repeats:
             cells, _, _ = w.cells(row, self.bits)
             blocks = (cells >> shift).astype(np.int64)
             within = cells & ((U(1) << shift) - U(1))
-            for a, b in _cuts(blocks):
+            for a, b in cuts(blocks):
                 yield (row << self.block_bits) + int(blocks[a]), unit.number, b - a, pack_ascending(within[a:b])
 
     def repeated_cells(self, bodies: list[bytes]) -> list[bytes]:
@@ -188,7 +183,7 @@ class Repeats:
         w = Windows(unit, self.window)
         one, two, _, _ = w.keys(self.candidates(w, found))
         blocks = (one >> U(64 - key_bits)).astype(np.int64) if key_bits else np.zeros(len(one), np.int64)
-        for a, b in _cuts(blocks):
+        for a, b in cuts(blocks):
             yield int(blocks[a]), unit.number, b - a, one[a:b].astype("<u8").tobytes() + (two[a:b] >> U(32)).astype("<u4").tobytes()
 
     @staticmethod
@@ -237,37 +232,6 @@ def kept_texts(unit: Unit, w: Windows, gone: np.ndarray) -> tuple[np.ndarray, np
     return out, np.concatenate([[0], np.cumsum(per_text)]), removed
 
 
-def _batch(rows: list[tuple]):
-    import pyarrow as pa
-
-    block, unit, n, body = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(unit, pa.int64()), pa.array(n, pa.int64()), pa.array(body, pa.binary())], names=["block", "unit", "n", "body"])
-
-
-def _requests(make, batches: Iterator) -> Iterator:
-    rows, held = [], 0
-    for unit in each_unit(batches):
-        for row in make(unit):
-            rows.append(row)
-            held += 24 + len(row[3])
-            if held > OUT_BYTES:
-                yield _batch(rows)
-                rows, held = [], 0
-    if rows:
-        yield _batch(rows)
-
-
-def _answered(requests: DataFrame, merge) -> str:
-    """The requests grouped by block, each answered by ``merge``; the answers' folder."""
-    import pyarrow as pa
-
-    def run(table: pa.Table) -> pa.Table:
-        bodies = merge(table.column("body").to_pylist())
-        return pa.table({"unit": table.column("unit"), "block": table.column("block"), "body": pa.array(bodies, pa.binary())})
-
-    return answers(requests.groupBy("block").applyInArrow(run, "unit long, block long, body binary"))
-
-
 def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, unit_bytes: int = UNIT_BYTES, rows: int = SKETCH_ROWS) -> DataFrame:
     """One row per input row: ``id``, ``n_words``, ``n_removed``, ``kept`` (the other words, joined by one space).
 
@@ -293,19 +257,18 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     total = units.agg(F.sum("bytes")).first()[0] or 0
     own = Repeats(window, total, rows)
     flat = documents(units)
-    schema = "block long, unit long, n long, body binary"
-    cells = _answered(flat.mapInArrow(lambda batches: _requests(own.cell_requests, batches), schema), own.repeated_cells)
+    cells = answers(answered(flat.mapInArrow(lambda batches: requests(own.cell_requests, batches), REQUEST), own.repeated_cells))
 
     def exact(key_bits: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = Answers(cells, ["block", "body"])
-            yield from _requests(lambda unit: own.key_requests(unit, found.of(unit.number), key_bits), batches)
+            yield from requests(lambda unit: own.key_requests(unit, found.of(unit.number), key_bits), batches)
 
         return run
 
     # keys are a tenth of the bytes at most, and as many as there are bytes at worst
     key_bits = max(0, (total // 8 // BLOCK_KEYS).bit_length())
-    keys = _answered(flat.mapInArrow(exact(key_bits), schema), own.repeated_keys)
+    keys = answers(answered(flat.mapInArrow(exact(key_bits), REQUEST), own.repeated_keys))
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_cells, found_keys = Answers(cells, ["block", "body"]), Answers(keys, ["block", "body"])

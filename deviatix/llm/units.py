@@ -8,11 +8,11 @@ units, and the next pass reads those of its units.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import hf_path, new_dir, written
@@ -147,12 +147,12 @@ def _selector(path: str):
     return fs.FileSelector(path, allow_not_found=True)
 
 
-def pack_ascending(values: np.ndarray) -> bytes:
-    """Ascending numbers as their differences, seven bits a byte, the high bit on bytes that go on."""
-    step = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    size = np.ones(len(step), np.int64)
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 of seven bits a byte, with the high bit on bytes that go on."""
+    values = values.astype(np.uint64)
+    size = np.ones(len(values), np.int64)
     for k in range(1, 10):
-        more = step >> np.uint64(7 * k) > 0
+        more = values >> np.uint64(7 * k) > 0
         if not more.any():
             break
         size += more
@@ -161,20 +161,81 @@ def pack_ascending(values: np.ndarray) -> bytes:
     first = end - size
     for k in range(int(size.max(initial=0))):
         own = size > k
-        part = (step[own] >> np.uint64(7 * k)) & np.uint64(127)
+        part = (values[own] >> np.uint64(7 * k)) & np.uint64(127)
         out[first[own] + k] = part.astype(np.uint8) | np.where(size[own] > k + 1, np.uint8(128), np.uint8(0))
     return out.tobytes()
 
 
-def unpack_ascending(body: bytes) -> np.ndarray:
+def unpack_numbers(body: bytes) -> np.ndarray:
     raw = np.frombuffer(body, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
     last = np.flatnonzero(raw < 128)
     first = np.concatenate([[0], last[:-1] + 1])
-    step = (raw[first] & 127).astype(np.uint64)
+    out = (raw[first] & 127).astype(np.uint64)
     size = last - first + 1
     for k in range(1, int(size.max())):
         own = size > k
-        step[own] |= (raw[first[own] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
-    return np.cumsum(step)
+        out[own] |= (raw[first[own] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+    return out
+
+
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return pack_numbers(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def unpack_ascending(body: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(body), dtype=np.uint64)
+
+
+def cuts(ascending: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal values."""
+    edges = [0, *(np.flatnonzero(np.diff(ascending)) + 1).tolist(), len(ascending)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+#: What a unit asks the task of a block: the block, the unit, how many entries, and the entries.
+REQUEST = "block long, unit long, n long, body binary"
+ANSWER = "unit long, block long, body binary"
+
+
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    block, unit, n, body = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(unit, pa.int64()), pa.array(n, pa.int64()), pa.array(body, pa.binary())], names=["block", "unit", "n", "body"])
+
+
+def requests(make: Callable[[Unit], Iterable[tuple[int, int, int, bytes]]], batches: Iterator) -> Iterator:
+    """The batches of ``REQUEST`` rows that ``make`` gives of each unit."""
+    rows, held = [], 0
+    for unit in each_unit(batches):
+        for row in make(unit):
+            rows.append(row)
+            held += 24 + len(row[3])
+            if held > OUT_BYTES:
+                yield _batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def answered(asked: DataFrame, merge: Callable[[list[bytes]], list[bytes]], report: Callable[[list[bytes]], bytes] | None = None) -> DataFrame:
+    """unit, block, body: of each block all requests' bodies merged, and one answer to each. With ``report``, also its body
+    for each block, as unit -1 - block."""
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, unit, block = table.column("body").to_pylist(), table.column("unit").to_pylist(), table.column("block").to_pylist()
+        bodies = merge(asked)
+        if report:
+            bodies, unit, block = [*bodies, report(asked)], [*unit, -1 - block[0]], [*block, block[0]]
+        return pa.table({"unit": pa.array(unit, pa.int64()), "block": pa.array(block, pa.int64()), "body": pa.array(bodies, pa.binary())})
+
+    return asked.groupBy("block").applyInArrow(run, ANSWER)
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports among the answers of a folder."""
+    return spark.read.schema(f"{ANSWER}, bundle long").parquet(folder).where("bundle < 0")
