@@ -16,6 +16,8 @@ from .units import REQUEST, UNIT_BYTES, Answers, Unit, answered, answers, cuts,
 
 #: Bytes of text that are aligned at a time, and terms of a matrix product that are held at a time.
 RUN_BYTES, TERMS = 1 << 19, 1 << 21
+#: Each codec remembers up to so many fragments (a power of two) and ids: some 60 MB a worker process and codec.
+SLOT_BITS, POOL = 21, 6_000_000
 #: Bytes of text whose distinct pairs one task adds up, about.
 BLOCK_BYTES = 1 << 25
 #: The sign that stands for a space in sentencepiece's pieces. Fixed value.
@@ -73,7 +75,7 @@ class Tokens:
     """What both codecs share: a token's bytes, and one more id, ``lost``, for fragments that their tokens don't spell."""
 
     def _spelled(self, ids: list[int], fragment: bytes) -> list[int]:
-        return ids if b"".join(self.bytes_of[i] for i in ids) == fragment else [self.lost]
+        return ids if b"".join(map(self.bytes_of.__getitem__, ids)) == fragment else [self.lost]
 
     def _sizes(self, bytes_of: list[bytes]) -> None:
         self.bytes_of, self.lost = bytes_of, len(bytes_of)
@@ -87,6 +89,7 @@ class PlainByteCodec(ForcedBoundaryCodec, Tokens):
         super().__init__(model_json)
         self.at_special = None
         self._sizes([self.token_bytes[a : a + n].tobytes() for a, n in zip(self.token_at.tolist(), self.token_size.tolist(), strict=True)])
+        self.table = PieceTable(self._merged, SLOT_BITS, POOL)
 
     def _merged(self, fragment: bytes) -> list[int]:
         return self._spelled(super()._merged(fragment), fragment)
@@ -115,17 +118,14 @@ class PieceCodec(Tokens):
         self.head = self.sp.encode("\n")
         if [self.bytes_of[i] for i in self.head] != [b" ", b"\n"]:
             raise ValueError("a sentencepiece model that puts a space in front and falls back to bytes")
-        self.table = PieceTable(self._merged)
-
-    def _merged(self, fragment: bytes) -> list[int]:
-        text = fragment.decode()
-        if text == " ":
-            ids = [self.blank]
-        elif text[0] == " ":
-            ids = self.sp.encode(text[1:])  # the library puts that space in front
-        else:
-            ids = self.sp.encode("\n" + text)[len(self.head) :]
-        return self._spelled(ids, fragment)
+        self.table = PieceTable(lambda fragment: self._encoded([fragment])[0], SLOT_BITS, POOL, self._encoded)
+
+    def _encoded(self, fragments: list[bytes]) -> list[list[int]]:
+        # the library puts a space in front; what has none goes behind a line end, with which no piece goes on
+        behind = [f[:1] != b" " for f in fragments]
+        found = self.sp.encode(["\n" + f.decode() if b else f[1:].decode() for f, b in zip(fragments, behind, strict=True)])
+        ids = [x[len(self.head) :] if b else x for x, b in zip(found, behind, strict=True)]
+        return [self._spelled(x or [self.blank], f) for x, f in zip(ids, fragments, strict=True)]
 
     def encode_block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of the texts between the places ``at``."""

@@ -92,12 +92,13 @@ def contractions(data: np.ndarray, start: np.ndarray, begins: np.ndarray) -> Non
 class PieceTable:
     """Ids by string, for ``encode(bytes) -> ids``. A string of up to 15 bytes is two words, looked up for all places at
     once in a table of one slot a hash; what the table doesn't hold is encoded once for each distinct string and takes
-    the slot. Full pools begin anew."""
+    the slot. Full pools begin anew. ``encode_all`` encodes a list of strings at once."""
 
-    def __init__(self, encode: Callable[[bytes], list[int]]):
-        self.encode = encode
-        self.lo, self.hi = np.zeros(1 << SLOT_BITS, U), np.zeros(1 << SLOT_BITS, U)
-        self.offset, self.count = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+    def __init__(self, encode: Callable[[bytes], list[int]], slot_bits: int = SLOT_BITS, pool: int = POOL, encode_all: Callable[[list[bytes]], list[list[int]]] | None = None):
+        self.encode, self.bits, self.most = encode, slot_bits, pool
+        self.encode_all = encode_all or (lambda strings: [encode(s) for s in strings])
+        self.lo, self.hi = np.zeros(1 << slot_bits, U), np.zeros(1 << slot_bits, U)
+        self.offset, self.count = np.zeros(1 << slot_bits, np.int32), np.zeros(1 << slot_bits, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.long: dict[bytes, tuple[int, int]] = {}
 
@@ -111,7 +112,7 @@ class PieceTable:
 
     def look_up(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all strings in turn, number of ids of each). ``data`` is padded."""
-        if self.used > POOL or len(self.long) > LONG_ONES:
+        if self.used > self.most or len(self.long) > LONG_ONES:
             self.hi[:] = 0
             self.used, self.long = 0, {}
         offset, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
@@ -121,7 +122,7 @@ class PieceTable:
         words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
         lo = words[at] & _FIRST_BYTES[np.minimum(n, 8)]
         hi = (words[at + 8] & _FIRST_BYTES[np.maximum(n - 8, 0)]) | (n.astype(U) << U(56))
-        slot = (((lo ^ (hi * U(0x9E3779B97F4A7C15))) * U(0xBF58476D1CE4E5B9)) >> U(64 - SLOT_BITS)).astype(np.int64)
+        slot = (((lo ^ (hi * U(0x9E3779B97F4A7C15))) * U(0xBF58476D1CE4E5B9)) >> U(64 - self.bits)).astype(np.int64)
         known = (self.lo[slot] == lo) & (self.hi[slot] == hi)
         o, c = self.offset[slot], self.count[slot]
         new = np.flatnonzero(~known)
@@ -130,7 +131,8 @@ class PieceTable:
             first = np.ones(len(new), bool)
             first[1:] = (lo[new][1:] != lo[new][:-1]) | (hi[new][1:] != hi[new][:-1])
             one = new[first]
-            found = np.array([self._store(self.encode(data[a : a + k].tobytes())) for a, k in zip(at[one].tolist(), n[one].tolist(), strict=True)], np.int32).reshape(-1, 2)
+            strings = self.encode_all([data[a : a + k].tobytes() for a, k in zip(at[one].tolist(), n[one].tolist(), strict=True)])
+            found = np.array([self._store(ids) for ids in strings], np.int32).reshape(-1, 2)
             self.lo[slot[one]], self.hi[slot[one]] = lo[one], hi[one]
             self.offset[slot[one]], self.count[slot[one]] = found[:, 0], found[:, 1]
             group = np.cumsum(first) - 1
