@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
 from .windows import hash_order
 
 
@@ -71,8 +72,10 @@ def calibrated(df: DataFrame, score: str, label: str):
 
 
 def operating_point(normals: DataFrame, score: str, false_positives: float = 0.01) -> DataFrame:
-    """tau: the least threshold that no more than the given share of normals lies above (interpolated)."""
-    return normals.agg(F.percentile(score, F.lit(1 - false_positives)).alias("tau"))
+    """tau: the least threshold that no more than the given share of normals lies above (interpolated). One row, from a
+    search that no task holds all scores in; null without normals."""
+    found = percentiles(normals, [], score, {"tau": 1 - false_positives})
+    return found.agg(F.max("tau").alias("tau"))
 
 
 def production_label(focal: Column, normal: Column, general: Column) -> Column:

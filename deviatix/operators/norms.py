@@ -1,8 +1,8 @@
 """Reference curves by age and state, and deviations from them.
 
-A kernel curve joins every grid point with the rows within reach. Values are first counted by (cell, age, value), so
-repeated ages cost one row, and grid points find their ages through a small (grid, age) table, not by a cross join of
-the rows.
+A kernel curve weighs the rows within reach of every grid point. Rows are first counted by (cell, age, value). Quantiles
+come from the histogram search of ``quantiles``, in which a grid point is a column of sums: no row is repeated for it, and
+no task sorts or holds a cell.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .quantiles import Series, first_reaching, percentiles, same, sized
+
 
 def kernel(distance: Column, bandwidth: float) -> Column:
     return F.exp(-0.5 * (distance / bandwidth) * (distance / bandwidth))
@@ -25,10 +28,43 @@ def grid_weights(points: DataFrame, grid: list[float], x: str, bandwidth: float,
     return out.withColumn("w", kernel(F.col("g") - F.col(x), bandwidth))
 
 
-def _weighted(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, reach: float) -> DataFrame:
-    counts = df.where(F.col(x).isNotNull() & F.col(value).isNotNull()).groupBy(*cell, x, value).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(grid_weights(df, grid, x, bandwidth, reach).hint("merge"), x)
-    return rows.groupBy(*cell, "g", value).agg(F.sum(F.col("n") * F.col("w")).alias("w"), F.sum(F.col("n") * F.col("w") * F.col("w")).alias("w2"), F.sum("n").alias("n"))
+def _counts(df: DataFrame, cell: list[str], x: str, value: str) -> DataFrame:
+    """cell, _x, _v, _n: the written counts of distinct ages and values; nulls and NaN are left out."""
+    rows = df.select(*cell, F.col(x).cast("double").alias("_x"), F.col(value).cast("double").alias("_v"))
+    rows = rows.where(F.col("_x").isNotNull() & F.col("_v").isNotNull() & ~F.isnan("_x") & ~F.isnan("_v"))
+    return stored(rows.groupBy(*cell, "_x", "_v").agg(F.count(F.lit(1)).alias("_n")), "counts")
+
+
+def _series(grid: list[float], bandwidth: float, reach: float) -> list[Series]:
+    far = lambda g: f"abs(_x - CAST({float(g)!r} AS DOUBLE))"
+    width = f"CAST({float(bandwidth)!r} AS DOUBLE)"
+    return [Series(float(g), f"{far(g)} <= {float(reach * bandwidth)!r}", f"_n * exp(-0.5D * ({far(g)} / {width}) * ({far(g)} / {width}))") for g in grid]
+
+
+def _points(counts: DataFrame, cell: list[str], grid: list[float], bandwidth: float, reach: float) -> DataFrame:
+    """cell, g, weight, w2 (sum of squared weights) and rows of the grid points that have any."""
+    ages = counts.groupBy(*cell, "_x").agg(F.sum("_n").alias("_n"))
+    series = _series(grid, bandwidth, reach)
+    kinds = [("weight", "{w}"), ("w2", "{w} * {w} / _n"), ("rows", "CAST(_n AS DOUBLE)")]
+    weighed = ages.selectExpr(*[f"`{c}`" for c in cell], "_n", *[f"CASE WHEN {s.where} THEN {s.weight} END AS _k{i}" for i, s in enumerate(series)])
+    sums = [f"sum(CASE WHEN _k{i} IS NOT NULL THEN {e.format(w=f'_k{i}')} END)" for i in range(len(series)) for _, e in kinds]
+    wide = weighed.groupBy(*cell).agg(F.expr(f"array({', '.join(sums)}) AS _all"))
+    labels = ", ".join(f"CAST({s.label!r} AS DOUBLE)" for s in series)
+    return wide.selectExpr(*[f"`{c}`" for c in cell], f"inline(transform(array({labels}), (g, i) -> struct(g AS g, _all[3 * i] AS weight, _all[3 * i + 1] AS w2, CAST(_all[3 * i + 2] AS BIGINT) AS rows)))").where("rows > 0")
+
+
+def _at_quantiles(counts: DataFrame, cell: list[str], grid: list[float], bandwidth: float, reach: float, quantiles: dict[str, float], points: DataFrame | None = None, min_weight: float = 0.0) -> DataFrame:
+    """The values of ``first_reaching`` at the quantiles of each point of ``points`` (else of those of ``min_weight``),
+    with q, weight and the points' columns."""
+    each = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(q)).alias("q")) for k, q in quantiles.items()])
+
+    def ranks(totals: DataFrame) -> DataFrame:
+        own = totals.withColumnRenamed("w", "weight").where(F.col("weight") >= min_weight)
+        if points is not None:
+            own = same(own, points.drop("weight", "w2"), [*cell, "g"])
+        return own.select("*", F.inline(each)).withColumn("need", F.col("q") * F.col("weight"))
+
+    return first_reaching(counts, cell, "_v", _series(grid, bandwidth, reach), ranks)
 
 
 def mean_sd_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, reach: float = 4.0, min_weight: float = 0.0) -> DataFrame:
@@ -41,35 +77,31 @@ def mean_sd_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list
     return out.where(F.col("weight") >= min_weight).select(*cell, "g", "weight", "mu", F.sqrt(F.greatest(F.col("q") - F.col("mu") * F.col("mu"), F.lit(0.0))).alias("sd"))
 
 
-def quantile_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, quantiles: dict[str, float], reach: float = 4.0, min_effective: float = 0.0, min_weight: float = 0.0, midpoint: bool = True) -> DataFrame:
+def quantile_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, quantiles: dict[str, float], reach: float = 4.0, min_effective: float = 0.0, min_weight: float = 0.0, midpoint: bool = True, effective: bool = True) -> DataFrame:
     """Kernel-weighted quantiles at each grid point: cell, g, weight, n_eff and a column per quantile.
 
     With ``midpoint`` the share of a value is that of the weights before it and half of its own; quantiles are linear
     between the values on either side, and the end values beyond the ends. Else the first value whose cumulative
-    share reaches the quantile. Equal values count as one with their common weight.
+    share reaches the quantile. Equal values count as one with their common weight. Without ``effective``, n_eff is
+    not asked for and null.
     """
-    rows = _weighted(df, cell, x, value, grid, bandwidth, reach)
-    key = [*cell, "g"]
-    w = Window.partitionBy(*key).orderBy(value)
-    total, total2 = (F.sum(c).over(Window.partitionBy(*key)) for c in ("w", "w2"))
-    upto = F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"total": total, "n_eff": total * total / total2, "c": (upto - F.col("w") / 2 if midpoint else upto) / total})
-    rows = rows.where((F.col("n_eff") >= min_effective) & (F.col("total") >= min_weight))
-    rows = rows.withColumns({"c0": F.lag("c").over(w), "v0": F.lag(value).over(w)})
-    v, c, c0, v0 = (F.col(k) for k in (value, "c", "c0", "v0"))
-
-    def at(q: float) -> Column:
-        first = F.min(F.when(c >= q, F.struct(c, F.when(c0.isNull() if midpoint else F.lit(True), v).otherwise(v0 + (v - v0) * (q - c0) / (c - c0)).alias("x")))).getField("x")
-        return F.coalesce(first, F.max(v))
-
-    return rows.groupBy(*key).agg(F.first("total").alias("weight"), F.first("n_eff").alias("n_eff"), *[at(q).alias(k) for k, q in quantiles.items()])
+    counts = _counts(df, cell, x, value)
+    points = _points(counts, cell, grid, bandwidth, reach).withColumn("n_eff", F.col("weight") * F.col("weight") / F.col("w2")).where(F.col("n_eff") >= min_effective)
+    found = _at_quantiles(counts, cell, grid, bandwidth, reach, quantiles, points if effective else None, min_weight)
+    found = found if effective else found.withColumn("n_eff", F.lit(None).cast("double"))
+    v, total, q = F.col("v"), F.col("weight"), F.col("q")
+    own, before, after = ((F.col("below") + F.col("w") / 2) / total, (F.col("below") - F.col("w_previous") / 2) / total, (F.col("below") + F.col("w") + F.col("w_next") / 2) / total)
+    lower = F.when(F.col("previous").isNull(), v).otherwise(F.col("previous") + (v - F.col("previous")) * (q - before) / (own - before))
+    upper = F.when(F.col("next").isNull(), v).otherwise(v + (F.col("next") - v) * (q - own) / (after - own))
+    found = found.withColumn("_at", F.when(own >= q, lower).otherwise(upper) if midpoint else v)
+    return found.groupBy(*cell, "g").agg(F.first("weight").alias("weight"), F.first("n_eff").alias("n_eff"), *[F.max(F.when(F.col("name") == k, F.col("_at"))).alias(k) for k in quantiles])
 
 
 def robust_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float = 0.08, trim: tuple[float, float] = (0.002, 0.998), min_rows: int = 50, min_weight: float = 20.0, min_points: int = 10) -> DataFrame:
     """Location (kernel median) and scale (kernel IQR / 1.349) per cell, after trimming the cell's extremes."""
-    edges = df.groupBy(*cell).agg(F.percentile(value, F.lit(trim[0])).alias("_lo"), F.percentile(value, F.lit(trim[1])).alias("_hi"), F.count(value).alias("_n")).where(F.col("_n") >= min_rows)
-    kept = df.join(edges, cell).where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
-    out = quantile_curve(kept, cell, x, value, grid, bandwidth, {"mu": 0.5, "q1": 0.25, "q3": 0.75}, min_weight=min_weight)
+    edges = stored(percentiles(df, cell, value, {"_lo": trim[0], "_hi": trim[1]}).where(F.col("n") >= min_rows), "edges")
+    kept = same(df.select(*cell, x, value), edges, cell, hint=sized(edges)).where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
+    out = quantile_curve(kept, cell, x, value, grid, bandwidth, {"mu": 0.5, "q1": 0.25, "q3": 0.75}, min_weight=min_weight, effective=False)
     out = out.select(*cell, "g", "mu", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(1e-6)).alias("sigma"))
     return out.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*cell))).where(F.col("_n") >= min_points).drop("_n")
 
@@ -118,14 +150,12 @@ def local_quantile_curve(df: DataFrame, cell: list[str], x: str, value: str, gri
     """Kernel quantiles at grid points with ``min_rows`` rows of a weight above ``least_weight``: linear between values
     at their cumulative shares (no midpoints), the first value below the first share. Equal values count as one."""
     reach = math.sqrt(-2 * math.log(least_weight))
-    key = [*cell, "g"]
-    rows = _weighted(df, cell, x, value, grid, bandwidth, reach)
-    w = Window.partitionBy(*key).orderBy(value)
-    rows = rows.withColumns({"rows": F.sum("n").over(Window.partitionBy(*key)), "c": F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy(*key))})
-    rows = rows.where(F.col("rows") >= min_rows).withColumns({"c0": F.lag("c").over(w), "v0": F.lag(value).over(w)})
-    v, c, c0, v0 = (F.col(k) for k in (value, "c", "c0", "v0"))
-    at = lambda q: F.coalesce(F.min(F.when(c >= q, F.struct(c, F.when(c0.isNull(), v).otherwise(v0 + (v - v0) * (q - c0) / (c - c0)).alias("x")))).getField("x"), F.max(v))
-    return rows.groupBy(*key).agg(F.first("rows").alias("rows"), *[at(q).alias(k) for k, q in quantiles.items()])
+    counts = _counts(df, cell, x, value)
+    points = _points(counts, cell, grid, bandwidth, reach).where(F.col("rows") >= min_rows)
+    found = _at_quantiles(counts, cell, grid, bandwidth, reach, quantiles, points)
+    v, q, own, before = F.col("v"), F.col("q"), (F.col("below") + F.col("w")) / F.col("weight"), F.col("below") / F.col("weight")
+    found = found.withColumn("_at", F.when(F.col("previous").isNull() | (own < q), v).otherwise(F.col("previous") + (v - F.col("previous")) * (q - before) / (own - before)))
+    return found.groupBy(*cell, "g").agg(F.first("rows").alias("rows"), *[F.max(F.when(F.col("name") == k, F.col("_at"))).alias(k) for k in quantiles])
 
 
 def reference_sample(df: DataFrame, recording: str, segment: str, recordings: int = 3000, per_recording: int = 250, seed: str = "0") -> DataFrame:
