@@ -62,7 +62,7 @@ def dsp17(spark, sf):
 
 @query("dsp18_complexity_rhythm", f"""WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings), t AS (SELECT vec_id, s, list_transform(range(2, 65), lambda i: s[i] - s[i - 1]) AS u FROM d), t2 AS (SELECT *, list_transform(range(2, 64), lambda i: u[i] - u[i - 1]) AS v, list_transform(s, lambda x: x - list_avg(s)) AS c FROM t),
   l AS (SELECT vec_id, lag, r FROM (SELECT vec_id, c, unnest(range(4, 21)) AS lag FROM t2), LATERAL (SELECT list_sum(list_transform(range(1, 65 - lag), lambda i: c[i] * c[i + lag])) / (list_sum(list_transform(c, lambda x: x * x)) + 1e-12) AS r)), b AS (SELECT vec_id, lag, r FROM l QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, lag) = 1)
-  SELECT vec_id, round(list_stddev_pop(v) / (list_stddev_pop(u) + 1e-12) / (list_stddev_pop(u) / (list_stddev_pop(s) + 1e-12) + 1e-12), 5) AS complexity, round(len(list_filter(s, lambda x: abs(x) > 0.1)) / 64, 6) AS duty, round(r, 5) AS rhythmicity, CAST(lag AS INTEGER) AS lag FROM t2 JOIN b USING (vec_id)""")
+  SELECT vec_id, round(list_stddev_pop(v) / (list_stddev_pop(u) + 1e-12) / (list_stddev_pop(u) / (list_stddev_pop(s) + 1e-12) + 1e-12), 5) AS complexity, round(len(list_filter(s, lambda x: abs(x) > 0.1)) / 64, 5) AS duty, round(r, 5) AS rhythmicity, CAST(lag AS INTEGER) AS lag FROM t2 JOIN b USING (vec_id)""")
 def dsp18(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
     return rounded(G.rhythmicity(e, "s", 4, 20).select("vec_id", G.complexity(F.col("s")).alias("complexity"), G.duty_cycle(F.col("s"), 0.1).alias("duty"), "rhythmicity", "lag"), 5)

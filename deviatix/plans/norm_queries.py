@@ -22,6 +22,9 @@ _WQ = f"""{_GRID}, {_CLEAN}, c AS (SELECT stage, age, y, count(*) AS n FROM cl G
   cw AS (SELECT *, sum(w) OVER (PARTITION BY stage, g) AS total, sum(w) OVER (PARTITION BY stage, g) ** 2 / sum(w2) OVER (PARTITION BY stage, g) AS n_eff, (sum(w) OVER (PARTITION BY stage, g ORDER BY y) - w / 2) / sum(w) OVER (PARTITION BY stage, g) AS c FROM w),
   b AS (SELECT *, lag(c) OVER (PARTITION BY stage, g ORDER BY y) AS c0, lag(y) OVER (PARTITION BY stage, g ORDER BY y) AS v0 FROM cw)"""
 
+#: The same of the trimmed rows: 0.2 to 99.8 % of each cell of 50 rows or more.
+_WQT = _WQ.replace(_CLEAN, "cl AS (SELECT stage, age, y FROM seg JOIN (SELECT stage, quantile_cont(y, 0.002) AS lo, quantile_cont(y, 0.998) AS hi FROM seg WHERE NOT artifact GROUP BY 1 HAVING count(y) >= 50) USING (stage) WHERE NOT artifact AND y BETWEEN lo AND hi)")
+
 
 def _q(q):
     return f"coalesce(arg_min(CASE WHEN c0 IS NULL THEN y ELSE v0 + (y - v0) * ({q} - c0) / (c - c0) END, c) FILTER (c >= {q}), max(y))"
@@ -37,9 +40,12 @@ def n02(spark, sf):
     return rounded(out.drop("n_eff"), 5)
 
 
-@query("n04_robust_curves", f"WITH {SEG}, {_WQ} SELECT stage, g, round({_q(0.5)}, 5) AS mu, round(greatest(({_q(0.75)} - {_q(0.25)}) / 1.349, 1e-6), 5) AS sigma FROM b WHERE total >= 20 GROUP BY 1, 2")
+#: The robust curve with its trimming and gates: weight 20 a point, 10 points a cell.
+_KT = f"{_WQT}, k AS (SELECT stage, g, {_q(0.5)} AS mu, greatest(({_q(0.75)} - {_q(0.25)}) / 1.349, 1e-6) AS sigma FROM b WHERE total >= 20 GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY stage) >= 10)"
+
+
+@query("n04_robust_curves", f"WITH {SEG}, {_KT} SELECT stage, g, round(mu, 5) AS mu, round(sigma, 5) AS sigma FROM k")
 def n04(spark, sf):
-    """With the trimming of the operator, which the SQL of this query and of those of ``deviations`` lacks."""
     return rounded(N.robust_curve(clean(spark, sf), ["stage"], "age", "y", GRID, 5.0), 5)
 
 
@@ -53,7 +59,7 @@ def n08(spark, sf):
     return rounded(N.pair_norms(powers(spark, sf).withColumn("d", F.col("delta") - F.col("theta")), ["stage"], "d"))
 
 
-_DEV = f"""{_WQ}, k AS (SELECT stage, g, {_q(0.5)} AS mu, greatest(({_q(0.75)} - {_q(0.25)}) / 1.349, 1e-6) AS sigma FROM b WHERE total >= 20 GROUP BY 1, 2),
+_DEV = f"""{_KT},
   kk AS (SELECT *, lead(g) OVER w AS g1, lead(mu) OVER w AS mu1, lead(sigma) OVER w AS s1, min(g) OVER (PARTITION BY stage) AS gmin, max(g) OVER (PARTITION BY stage) AS gmax FROM k WINDOW w AS (PARTITION BY stage ORDER BY g)),
   x AS (SELECT s.*, least(greatest(age, gmin), gmax) AS xa FROM seg s LEFT JOIN (SELECT DISTINCT stage, gmin, gmax FROM kk) USING (stage)),
   dev AS (SELECT x.eeg_id, x.segment, x.stage, x.artifact, (y - (mu + coalesce((mu1 - mu) * (xa - g) / (g1 - g), 0))) / (sigma + coalesce((s1 - sigma) * (xa - g) / (g1 - g), 0)) AS z FROM x LEFT JOIN kk ON kk.stage = x.stage AND xa >= g AND (xa < g1 OR g1 IS NULL))"""
@@ -71,7 +77,7 @@ def n11(spark, sf):
 
 
 @query("flagship_burden", f"""WITH {SEG}, {_DEV}, u AS (SELECT * FROM dev WHERE NOT artifact),
-  a AS (SELECT eeg_id, avg(CAST(z > 1 AS DOUBLE)) AS prevalence, coalesce(quantile_cont(CASE WHEN z > 1 THEN z END, 0.5), 0) AS severity, avg(greatest(z - 1, 0)) AS burden FROM u GROUP BY 1),
+  a AS (SELECT eeg_id, avg(CASE WHEN z > 1 THEN 1.0 ELSE 0.0 END) AS prevalence, coalesce(quantile_cont(CASE WHEN z > 1 THEN z END, 0.5), 0) AS severity, avg(greatest(z - 1, 0)) AS burden FROM u GROUP BY 1),
   f AS (SELECT eeg_id, segment, z > 1 AS f, CASE WHEN z > 1 AND NOT coalesce(lag(z) OVER (PARTITION BY eeg_id ORDER BY segment) > 1, false) THEN 1 ELSE 0 END AS s FROM u),
   r AS (SELECT *, sum(s) OVER (PARTITION BY eeg_id ORDER BY segment) AS run FROM f), n AS (SELECT eeg_id, max((15 + (m - 1) * 14) / 60) AS longest FROM (SELECT eeg_id, run, count(*) AS m FROM r WHERE f GROUP BY 1, 2) GROUP BY 1)
   SELECT eeg_id, round(prevalence, 4) AS prevalence, round(severity, 4) AS severity, round(burden, 4) AS burden, round(coalesce(longest, 0), 4) AS longest FROM a LEFT JOIN n USING (eeg_id) ORDER BY round(burden, 4) DESC, eeg_id LIMIT 20""")

@@ -22,12 +22,17 @@ def p01(spark, sf):
     return rounded(powers(spark, sf).select("eeg_id", "channel", *[c.alias(k) for k, c in S.band_features(_cols()).items()]))
 
 
-@query("p02_feature_vector", "WITH " + POW + " SELECT eeg_id, channel, " + ", ".join(f"round({b},6) AS {b}" for b in [*S.BANDS, "total"]) + ", " + ", ".join(f"round({b}/(total+1e-12),6) AS rel_{b}" for b in S.BANDS) + ", " + ", ".join(f"round({a}/({b}+1e-12),3) AS {a}_{b}" for a in S.BANDS for b in S.BANDS if a != b) + " FROM pw WHERE alpha > 0 AND beta > 0")
+def _shown(v: str, digits: int) -> str:
+    """Rounded, but for the huge ratios to a power of 0."""
+    return f"CASE WHEN abs({v}) < 1e6 THEN round({v}, {digits}) ELSE {v} END"
+
+
+@query("p02_feature_vector", "WITH " + POW + " SELECT eeg_id, channel, " + ", ".join(f"round({b},6) AS {b}" for b in [*S.BANDS, "total"]) + ", " + ", ".join(f"round({b}/(total+1e-12),6) AS rel_{b}" for b in S.BANDS) + ", " + ", ".join(f"{_shown(f'({a}/({b}+1e-12))', 3)} AS {a}_{b}" for a in S.BANDS for b in S.BANDS if a != b) + " FROM pw")
 def p02(spark, sf):
-    """All rows; ratios to a power of 0 are huge. The SQL leaves those rows out."""
+    """All rows; ratios to a power of 0 are huge and not rounded."""
     v = S.feature_vector(_cols())
     digits = lambda k: 3 if "_" in k and not k.startswith("rel_") else 6
-    return powers(spark, sf).select("eeg_id", "channel", *[F.round(c, digits(k)).alias(k) for k, c in v.items()])
+    return powers(spark, sf).select("eeg_id", "channel", *[F.when(F.abs(c) < 1e6, F.round(c, digits(k))).otherwise(c).alias(k) for k, c in v.items()])
 
 
 @query("p03_p04_back_transform_log_age", """SELECT c_custkey, round(log10(c_custkey % 90 + 1.0/12), 6) AS t, round(exp(ln(c_custkey % 90 + 1)), 6) AS back FROM customer""")

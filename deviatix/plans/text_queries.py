@@ -69,10 +69,9 @@ def tx12(spark, sf):
     return d.select("source", hit.alias("hit")).groupBy("source").agg(F.bool_or("hit").alias("hit"), F.count_if("hit").alias("n"))
 
 
-@query("tx13_scrub", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\b|\b\d{1,2}:\d{2}(:\d{2})?\b', '[date]', 'g'), '\b\d{5,}\b', '[number]', 'g'), '\b(Dr|Mr|Mrs|Ms)\.? +[A-Z][a-z]+', '[name]', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS scrubbed
-  FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')""")
+@query("tx13_scrub")
 def tx13(spark, sf):
-    """All texts. The SQL keeps to ASCII ones, since RE2 knows no other words and digits."""
+    """All texts. RE2 knows no words and digits beyond ASCII, so SQL can't say it; a plain version in the tests does."""
     d = docs(spark, sf).where(F.col("text").isNotNull())
     return d.select("doc_id", F.md5(T.scrubbed(F.col("text")).cast("binary")).alias("scrubbed"))
 

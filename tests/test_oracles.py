@@ -46,7 +46,7 @@ def test_query(spark, duck, name):
     for x, y in zip(a, b, strict=True):
         for (k, u), (m, v) in zip(x, y, strict=True):
             assert k == m
-            assert u == pytest.approx(v, abs=2e-5) if k == 2 else u == v
+            assert u == pytest.approx(v, rel=1e-9, abs=1.5e-6) if k == 2 else u == v
 
 
 @pytest.mark.parametrize("name", sorted(set(library.QUERIES) - set(library.ORACLES)))
