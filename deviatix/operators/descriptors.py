@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 EPS = 1e-12
 
 
@@ -20,17 +24,22 @@ def weighted_composition(df: DataFrame, keys: list[str], fraction: str, n: str)
 
 
 def context_means(df: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
-    """mean over ``width`` rows around each row, shifted to fit at the ends; padded if the whole is shorter. A frame
-    over the ordered rows: running sums at its ends, no join of ranges."""
-    w = Window.partitionBy(key)
-    r = df.select(key, order, F.col(value).alias("_v")).withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    low = F.greatest(F.least(F.col("_i") - width // 2, F.col("_n") - width), F.lit(0))
-    # the shift of the frame is at most half a width: sums of all frames near are at hand
-    r = r.withColumn("_s", F.sum("_v").over(w.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_low", low).withColumn("_high", F.least(F.col("_low") + width, F.col("_n")) - 1)
-    near = F.collect_list(F.struct("_i", "_s")).over(w.orderBy("_i").rowsBetween(-width - 1, width + 1))
-    at = lambda i: F.coalesce(F.get(F.filter("_near", lambda x: x["_i"] == i), 0)["_s"], F.lit(0.0))
-    r = r.withColumn("_near", near)
-    return r.select(key, order, ((at(F.col("_high")) - at(F.col("_low") - 1)) / (F.col("_high") - F.col("_low") + 1)).alias("mean"), (F.col("_n") < width).alias("padded"))
+    """mean over ``width`` rows around each row, shifted to fit at the ends; padded if the whole is shorter, and then over
+    all of it. A null value counts for neither sum nor number; a frame of nulls has a null mean.
+
+    Three frames over the ordered rows cover all cases: the first rows of the recording, the last ones, and the rows around
+    in between. Each row keeps two numbers for a frame and none of its neighbours.
+    """
+    own = Window.partitionBy(key)
+    w = own.orderBy(order)
+    r = df.select(key, order, F.col(value).cast("double").alias("_v")).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(own)})
+    half = width // 2
+    i, n, v = F.col("_i"), F.col("_n"), F.col("_v")
+    first, last = i < width, i >= n - width
+    around = w.rowsBetween(-half, width - half - 1)
+    case = lambda start, end, middle: F.when((n <= width) | (i < half), start).when(i - half > n - width, end).otherwise(middle)
+    sums = lambda c: case(F.sum(F.when(first, c)).over(own), F.sum(F.when(last, c)).over(own), F.sum(c).over(around))
+    return r.select(key, order, (sums(v) / F.nullif(sums(v.isNotNull().cast("long")), F.lit(0))).alias("mean"), (n < width).alias("padded"))
 
 
 def focus(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -63,21 +72,115 @@ def localisation(side: Column, lobe: Column, focal: Column, general: Column, lef
     )
 
 
+#: Rules of dead channels, in microvolts and shares. Fixed values.
+RAILED, STILL, LEAST_SPREAD, MAD_SCALE, MISSING, LEAST_SAMPLES = 0.20, 0.999, 0.5, 1.4826, 0.99, 8
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sample_stats(samples: Column) -> Column:
+    """The numbers that the rules ask of an array's finite samples: n, low, high, shares at either, of equal neighbours, MAD, SD."""
+    n = lambda x: F.greatest(F.size(x), F.lit(1)).cast("double")
+    share = lambda x, v: F.size(F.filter(x, lambda y: y == v)) / n(x)
+    steps = lambda x: F.zip_with(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: a - b)
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / n(x)
+
+    def all_of(x: Column) -> Column:
+        mad = _let(middle(F.array_sort(x)), lambda m: middle(F.array_sort(F.transform(x, lambda y: F.abs(y - m)))))
+        sd = _let(mean(x), lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, y: t + (y - m) * (y - m)) / n(x)))
+        still = F.size(F.filter(steps(x), lambda d: d == 0)) / F.greatest(n(x) - 1, F.lit(1.0))
+        return F.struct(F.size(x).alias("n"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), F.greatest(share(x, F.array_max(x)), share(x, F.array_min(x))).alias("railed"), still.alias("still"), (MAD_SCALE * mad).alias("mad"), sd.alias("sd"))
+
+    return _let(F.filter(samples, _finite), all_of)
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def channel_liveness(df: DataFrame, keys: list[str], samples: str, rate: float, seconds: float = 10.0) -> DataFrame:
+    """keys, alive, codes, n_windows, n_alive, live: a channel is alive if any of its windows carries a signal.
+
+    A window is dead if it has too few finite samples (half a second, 8 at least), if it is constant, if a fifth of it stands at its
+    highest or lowest value, if it doesn't move, or if MAD and SD are both below 0.5. ``codes`` of a dead channel, from all of its
+    finite samples: D1 nearly all missing, D2 still, D3 hardly any spread, D4 railed; D3 where no other applies. ``live`` says of each
+    window whether it is alive. A null array is a channel without samples.
+    """
+    width = max(1, round(seconds * rate))
+    own = df.select(*keys, F.coalesce(F.transform(samples, lambda x: x.cast("double")), F.array().cast("array<double>")).alias("_x"))
+    starts = F.when(F.size("_x") > 0, F.sequence(F.lit(0), F.size("_x") - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
+    own = own.withColumn("_w", F.transform(starts, lambda s: _sample_stats(F.slice("_x", s + 1, width)))).withColumn("_a", _sample_stats(F.col("_x")))
+    least = max(LEAST_SAMPLES, int(0.5 * rate))
+    alive = lambda w: (w["n"] >= least) & (w["high"] > w["low"]) & (w["railed"] < RAILED) & (w["still"] < STILL) & ~((w["mad"] < LEAST_SPREAD) & (w["sd"] < LEAST_SPREAD))
+    own = own.withColumn("live", F.transform("_w", lambda w: F.coalesce(alive(w), F.lit(False))))
+    a = F.col("_a")
+    missing = (F.size("_x") == 0) | (1 - a["n"] / F.greatest(F.size("_x"), F.lit(1)) >= MISSING) | (a["n"] < LEAST_SAMPLES)
+    rules = {"D2": (a["n"] > 1) & (a["still"] >= STILL), "D3": (a["mad"] < LEAST_SPREAD) & (a["sd"] < LEAST_SPREAD), "D4": (a["high"] > a["low"]) & (a["railed"] >= RAILED)}
+    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda c: c.isNotNull())
+    codes = F.when(missing, F.array(F.lit("D1"))).when(F.size(found) == 0, F.array(F.lit("D3"))).otherwise(found)
+    is_alive = F.exists("live", lambda x: x)
+    return own.select(*keys, is_alive.alias("alive"), F.when(is_alive, F.array().cast("array<string>")).otherwise(codes).alias("codes"), F.size("live").alias("n_windows"), F.size(F.filter("live", lambda x: x)).alias("n_alive"), "live")
+
+
+def duplicate_channels(df: DataFrame, recording: str, channel: str, samples: str, listed: Column, rate: float, seconds: float = 10.0, least: float = 0.999) -> DataFrame:
+    """recording, channel, duplicate_of: channels that repeat another one of their recording, which may be dropped.
+
+    Two live channels repeat each other if they correlate by ``least`` or more (of either sign) over the samples in windows in which
+    both are alive, ten seconds at least. Of a pair the listed channel stays, else the one of the lower name; a listed channel is never
+    a duplicate. A channel that repeats several names the first. Pairs are within a recording, whose channels are few.
+    """
+    width = max(1, round(seconds * rate))
+    live = channel_liveness(df.select(recording, channel, samples, listed.alias("_listed")), [recording, channel, samples, "_listed"], samples, rate, seconds).where("alive")
+    side = lambda s: live.select(F.col(recording).alias(recording), F.col(channel).alias(f"_c{s}"), F.transform(samples, lambda x: x.cast("double")).alias(f"_x{s}"), F.col("live").alias(f"_l{s}"), F.coalesce("_listed", F.lit(False)).alias(f"_k{s}"))
+    pairs = side(1).join(side(2).hint("merge"), recording).where(~F.col("_k2") & (F.col("_k1") | (F.col("_c1") < F.col("_c2"))))
+    both = F.zip_with("_x1", "_x2", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept = F.filter(both, lambda p, i: F.get("_l1", F.floor(i / width).cast("int")) & F.get("_l2", F.floor(i / width).cast("int")) & _finite(p["a"]) & _finite(p["b"]))
+    # sums of both channels about their first common sample
+    rows = pairs.select(recording, "_c1", "_c2", kept.alias("_p")).where(F.size("_p") >= int(10 * rate))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("a", "b", "aa", "bb", "ab")])
+
+    def add(t: Column, p: Column) -> Column:
+        a, b = p["a"] - F.get("_p", 0)["a"], p["b"] - F.get("_p", 0)["b"]
+        return F.struct((t["a"] + a).alias("a"), (t["b"] + b).alias("b"), (t["aa"] + a * a).alias("aa"), (t["bb"] + b * b).alias("bb"), (t["ab"] + a * b).alias("ab"))
+
+    rows = rows.select(recording, "_c1", "_c2", F.size("_p").alias("_n"), F.aggregate("_p", zero, add).alias("_s"))
+    s, n = F.col("_s"), F.col("_n")
+    va, vb = s["aa"] - s["a"] * s["a"] / n, s["bb"] - s["b"] * s["b"] / n
+    r = F.when((va > 0) & (vb > 0), F.abs(s["ab"] - s["a"] * s["b"] / n) / F.sqrt(va * vb))
+    return rows.where(r >= least).groupBy(recording, F.col("_c2").alias(channel)).agg(F.min("_c1").alias("duplicate_of"))
+
+
 def liveness(samples: Column, window: int, flat: float = 1e-6, rail: float = 1e3) -> Column:
-    """A channel is alive if any window is: it moves and isn't railed."""
+    """A channel is alive if any window is: it moves and isn't railed (fixed levels; ``channel_liveness`` has the whole rule)."""
     starts = F.sequence(F.lit(0), F.size(samples) - window, F.lit(window))
     part = lambda s: F.slice(samples, s + 1, window)
     return F.exists(starts, lambda s: ((F.array_max(part(s)) - F.array_min(part(s))) > flat) & (F.array_max(F.transform(part(s), lambda x: F.abs(x))) < rail))
 
 
 def under_curve(points: DataFrame, raters: DataFrame, x: str, y: str) -> DataFrame:
-    """Adds under: a rater's y is at or below the curve, linear between its points, at the rater's x.
+    """Adds under: a rater's y is at or below the curve, linear between its points, at the rater's x. Beyond the ends the
+    curve is its end point's; of points with one x the greatest y counts. Null where x, y or the curve is missing.
 
-    The curve is one sorted array of distinct x (its greatest y each), joined by a constant key to the few raters.
+    Points and raters are put in one order of x. It is dealt over ranges; in each range a rater finds its neighbours by
+    a window, and a range's first and last points (a row per range) stand for those that lie in other ranges.
     """
-    c = points.groupBy(x).agg(F.max(y).alias("v")).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("g"), "v"))).alias("_c")).withColumn("_k", F.lit(0))
-    out = raters.withColumn("_k", F.lit(0)).join(F.broadcast(c), "_k")
-    left = F.element_at(F.filter("_c", lambda p: p["g"] <= F.col(x)), -1)
-    right = F.get(F.filter("_c", lambda p: p["g"] >= F.col(x)), 0)
-    value = F.when(left.isNull(), right["v"]).when(right.isNull() | (left["g"] == right["g"]), left["v"]).otherwise(left["v"] + (right["v"] - left["v"]) * (F.col(x) - left["g"]) / (right["g"] - left["g"]))
-    return out.withColumn("under", F.col(y) <= value).drop("_c", "_k")
+    c = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_x")).agg(F.max(F.col(y).cast("double")).alias("_y"))
+    every = c.select("_x", "_y", F.lit(None).cast(raters.schema.simpleString()).alias("_r")).unionByName(raters.select(F.col(x).cast("double").alias("_x"), F.lit(None).cast("double").alias("_y"), F.struct(*raters.columns).alias("_r")))
+    # equal x stay in one range, as ranges are of x; a point comes before the raters at its x
+    dealt = stored(every.repartitionByRange("_x").withColumn("_range", F.spark_partition_id()), "ordered")
+    point = F.when(F.col("_r").isNull(), F.struct("_x", "_y"))
+    ends = dealt.where("_r IS NULL").groupBy("_range").agg(F.min(F.struct("_x", "_y")).alias("_first"), F.max(F.struct("_x", "_y")).alias("_last"))  # a row per range
+    ranges = dealt.select("_range").distinct().join(ends.hint("merge"), "_range", "left")
+    over = Window.orderBy("_range")
+    ranges = ranges.select("_range", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy("_range").orderBy("_x", F.col("_r").isNotNull())
+    near = dealt.withColumns({"_l": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_u": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("_r IS NOT NULL")
+    near = near.join(F.broadcast(ranges), "_range").withColumns({"_l": F.coalesce("_l", "_before"), "_u": F.coalesce("_u", "_after")})
+    exact = F.col("_l._x") == F.col("_x")
+    line = F.col("_l._y") + (F.col("_u._y") - F.col("_l._y")) * (F.col("_x") - F.col("_l._x")) / (F.col("_u._x") - F.col("_l._x"))
+    value = F.when(F.col("_x").isNull(), F.lit(None).cast("double")).when(exact | F.col("_u").isNull(), F.col("_l._y")).when(F.col("_l").isNull(), F.col("_u._y")).otherwise(line)
+    return near.select("_r.*", (F.col(f"_r.{y}") <= value).alias("under"))
