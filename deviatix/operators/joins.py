@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch
+from ..sources.shared import stored
 
 
 def in_buckets(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
@@ -95,6 +96,32 @@ def quota_match(pool: DataFrame, cases: DataFrame, stratum: str, pool_id: str, s
     return ranked.join(quota, stratum).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
 
 
+def _first_of_each(pool: DataFrame, keys: list[str], quota: DataFrame, unit: str, seed: str) -> DataFrame:
+    """Of each group of the pool the first rows in hash order, as many as ``quota`` (keys, _quota) says. The rank is the number
+    of rows in smaller hash prefixes and the place within the prefix, so no task ranks a whole group."""
+    own = pool.withColumns({"_h": F.md5(F.concat(F.lit(seed), F.col(unit).cast("string")).cast("binary")), "_p": F.substring(F.md5(F.concat(F.lit(seed), F.col(unit).cast("string")).cast("binary")), 1, 3)})
+    w = Window.partitionBy(*keys).orderBy("_p")  # 4096 rows of a group at most
+    per = own.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    # prefixes that begin beyond the quota are of no use
+    use = per.join(quota.hint("merge"), keys).where(F.col("_before") < F.col("_quota")).select(*keys, "_p", "_before", "_quota")
+    place = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", unit))
+    return own.join(use.hint("merge"), [*keys, "_p"]).withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("_quota")).drop("_h", "_p", "_before", "_quota", "_place")
+
+
+def matched_controls(pool: DataFrame, cases: DataFrame, stratum: str, pool_id: str, seed: str = "0") -> DataFrame:
+    """As many rows of the pool as there are cases: first up to the number of cases of each stratum, then, for what strata of
+    the pool lack, others of any stratum. Adds picked_as: stratum or top_up. Both in hash order; fewer rows only if the pool
+    is smaller than the cases. A null stratum takes and gives nothing in the first pass.
+    """
+    quota = cases.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("_quota"))
+    own = stored(_first_of_each(pool.where(F.col(stratum).isNotNull()), [stratum], quota, pool_id, seed), "matched")
+    need = cases.count() - own.count()
+    rest = pool.join(own.select(pool_id).hint("merge"), pool_id, "left_anti").select(*pool.columns).withColumn("_all", F.lit(0))
+    one = rest.limit(1).select("_all", F.lit(need).alias("_quota"))
+    more = _first_of_each(rest, ["_all"], one, pool_id, f"{seed}+").drop("_all")
+    return own.withColumn("picked_as", F.lit("stratum")).unionByName(more.withColumn("picked_as", F.lit("top_up")))
+
+
 def bridge_pairs(df: DataFrame, keys: list[str], region: str, left: str, right: str, value: str) -> DataFrame:
     """Left less right of a pair by conditional aggregates: one grouping, no self join."""
     pick = lambda side: F.max(F.when(F.col(region) == side, F.col(value)))

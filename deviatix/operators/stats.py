@@ -52,12 +52,65 @@ def poisson_weight(replicate: Column, unit: Column, seed: str = "0") -> Column:
 
 
 def bootstrap_auroc(df: DataFrame, truth: str, score: str, unit: str, replicates: int) -> DataFrame:
-    """AUROC of each replicate; a unit (recording or patient) has one weight in a replicate, so clusters stay whole."""
-    drawn = df.select(truth, score, unit).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("_w", poisson_weight(F.col("replicate"), F.col(unit)).cast("double")).where("_w > 0")
+    """AUROC of each replicate; a unit (recording or patient) has one weight in a replicate, so clusters stay whole. Rows
+    are counted by unit, score and truth first; the weights apply to the counts."""
+    counts = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(unit, score, truth).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("_w", poisson_weight(F.col("replicate"), F.col(unit)).cast("double") * F.col("_n")).where("_w > 0")
     return auroc(drawn, truth, score, ["replicate"], F.col("_w"))
 
 
+def _beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two frames of one row each as one row."""
+    return a.withColumn("_k", F.lit(0)).join(F.broadcast(b.withColumn("_k", F.lit(0))), "_k").drop("_k")
+
+
+#: Rows, of both classes, from which an AUROC gets an interval, and the gain from which another score is adopted. Fixed values.
+LEAST_ROWS, LEAST_GAIN = 20, 0.02
+
+
+def auroc_interval(df: DataFrame, truth: str, score: str, unit: str, replicates: int = 300, level: float = 0.95) -> DataFrame:
+    """n, auroc, low, high: the AUROC turned to 0.5 or more, with the middle ``level`` of its replicates, whose units (patients)
+    are drawn whole. One row; nulls but for n below 20 rows or with one class."""
+    own = auroc(df, truth, score).select((F.col("positives") + F.col("negatives")).cast("long").alias("n"), F.col("auroc").alias("_a"))
+    turned = F.col("_a") < 0.5
+    ends = interval(bootstrap_auroc(df, truth, score, unit, replicates), "auroc", level)
+    ok = (F.col("n") >= LEAST_ROWS) & F.col("_a").isNotNull()
+    one = _beside(own, ends)
+    side = lambda a, b: F.when(ok, F.when(turned, 1 - F.col(b)).otherwise(F.col(a)))
+    return one.select("n", F.when(ok, F.greatest("_a", 1 - F.col("_a"))).alias("auroc"), side("low", "high").alias("low"), side("high", "low").alias("high"))
+
+
+def adoption(df: DataFrame, truth: str, ours: str, other: str, unit: str, replicates: int = 300, level: float = 0.95) -> DataFrame:
+    """difference (AUROC of the other score less ours), low, high, adopted: the other one is adopted if it gains over 0.02 and
+    the interval of the paired difference lies above 0. Both scores share each replicate's weights. Rows that lack a score or
+    the truth drop out of both. One row."""
+    own = df.where(F.col(truth).isNotNull() & F.col(ours).isNotNull() & F.col(other).isNotNull())
+    a, b = (auroc(own, truth, c).select(F.col("auroc").alias(k)) for c, k in ((ours, "_a"), (other, "_b")))
+    x, y = (bootstrap_auroc(own, truth, c, unit, replicates).select("replicate", F.col("auroc").alias(k)) for c, k in ((ours, "_x"), (other, "_y")))
+    ends = interval(x.join(y.hint("merge"), "replicate").select((F.col("_y") - F.col("_x")).alias("d")), "d", level)
+    gain = F.col("_b") - F.col("_a")
+    one = _beside(_beside(a, b), ends)
+    return one.select(gain.alias("difference"), "low", "high", F.coalesce((gain > LEAST_GAIN) & (F.col("low") > 0), F.lit(False)).alias("adopted"))
+
+
+def median_agreement(votes: DataFrame, item: str, rater: str, vote: str, min_votes: int = 200, min_items: int = 100) -> DataFrame:
+    """pairs, kappa, ac1: medians over the pairs of raters with enough common items, of raters with enough votes. One row."""
+    busy = votes.where(F.col(vote).isNotNull()).groupBy(rater).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_votes).select(rater)
+    pairs = rater_pairs(votes.where(F.col(vote).isNotNull()).join(busy.hint("merge"), rater, "left_semi"), item, rater, vote, min_items)
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.percentile("kappa", F.lit(0.5)).alias("kappa"), F.percentile("ac1", F.lit(0.5)).alias("ac1"))
+
+
+def within_rater(votes: DataFrame, item: str, rater: str, vote: str, occasion: str, min_items: int = 1) -> DataFrame:
+    """rater, n, accuracy, kappa, ac1 of a rater's first and second reading of the same items (the two least occasions)."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(item, rater).orderBy(occasion)
+    read = votes.where(F.col(vote).isNotNull()).withColumn("_k", F.row_number().over(w)).where("_k <= 2")
+    both = read.groupBy(item, rater).agg(F.max(F.when(F.col("_k") == 1, F.col(vote))).alias("_first"), F.max(F.when(F.col("_k") == 2, F.col(vote))).alias("_second"))
+    return agreement(both, "_first", "_second", [rater]).where(F.col("n") >= min_items)
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     ok = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ra = midranks(ok, a).select(a, F.col("rank").alias("ra"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import descriptors as D
-from ..registry import query
+from ..operators import joins as J
+from ..operators import stats as S
+from ..registry import ORACLES, query
+from ..streaming import jobs
 from .curve_queries import _SIG, signals
-from .tables import SEG, rounded, segments
+from .norm_queries import _LAB, _auc, labelled
+from .relational_queries import votes
+from .tables import SEG, rounded, segments, table
 
 #: Channels of which some are clipped, weak, still, missing or another one's mirror.
 _FAULTY = f"""{_SIG}, ch AS (SELECT seg, channel, CASE channel WHEN 1 THEN list_transform(s, lambda x: greatest(least(x, 0.5), -0.5)) WHEN 2 THEN list_transform(s, lambda x: x * 0.05) WHEN 3 THEN list_transform(s, lambda x: 7.0) WHEN 4 THEN NULL ELSE s END AS s FROM sg WHERE channel < 17
@@ -48,3 +53,63 @@ def a26(spark, sf):
         m = D.context_means(s, "eeg_id", "segment", "y", k).withColumnRenamed("mean", f"mean_{k}").withColumnRenamed("padded", f"padded_{k}")
         out = m if out is None else out.join(m.hint("merge"), ["eeg_id", "segment"])
     return rounded(out)
+
+
+_CLUSTERED = f"p AS ({ORACLES['st_a4_a5_bootstrap']}), a AS (WITH {_LAB} {_auc()})"
+
+
+@query("st_a5_clustered_interval", f"WITH {_CLUSTERED} SELECT CAST(positives + negatives AS BIGINT) AS n, round(greatest(a.auroc, 1 - a.auroc), 4) AS auroc, round(CASE WHEN any_value(a.auroc) < 0.5 THEN 1 - quantile_cont(p.auroc, 0.975) ELSE quantile_cont(p.auroc, 0.025) END, 4) AS low, round(CASE WHEN any_value(a.auroc) < 0.5 THEN 1 - quantile_cont(p.auroc, 0.025) ELSE quantile_cont(p.auroc, 0.975) END, 4) AS high FROM a, p GROUP BY ALL")
+def st5(spark, sf):
+    return rounded(S.auroc_interval(labelled(spark, sf), "quality", "score", "source", 20), 4)
+
+
+@query("st_a23_adoption", f"WITH p AS ({ORACLES['st_a23_paired_difference']}), x AS (WITH {_LAB} {_auc()}), y AS (WITH {_LAB.replace('CAST(n_chars AS DOUBLE) AS score', 'CAST(doc_id % 97 AS DOUBLE) AS score')} {_auc()}) SELECT round(x.auroc - y.auroc, 4) AS difference, round(quantile_cont(p.difference, 0.025), 4) AS low, round(quantile_cont(p.difference, 0.975), 4) AS high, x.auroc - y.auroc > 0.02 AND quantile_cont(p.difference, 0.025) > 0 AS adopted FROM x, y, p GROUP BY x.auroc, y.auroc")
+def st23(spark, sf):
+    d = labelled(spark, sf).withColumn("ours", (F.col("doc_id") % 97).cast("double"))
+    return rounded(S.adoption(d, "quality", "ours", "score", "source", 20), 4)
+
+
+@query("st_a14_median_pairs", f"WITH p AS ({ORACLES['st_a14_rater_pairs']}) SELECT count(*) AS pairs, round(quantile_cont(kappa, 0.5), 4) AS kappa, round(quantile_cont(ac1, 0.5), 4) AS ac1 FROM p")
+def st14(spark, sf):
+    return rounded(S.median_agreement(votes(spark, sf), "item", "rater", "vote", min_votes=1, min_items=5), 4)
+
+
+@query("st_a14_within_rater", """WITH r AS (SELECT user_id, event_type, CAST(value > 50 AS INT) AS vote, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events), b AS (SELECT event_type AS rater, max(vote) FILTER (k = 1) AS a, max(vote) FILTER (k = 2) AS b FROM r WHERE k <= 2 GROUP BY event_type, user_id HAVING count(*) = 2),
+  s AS (SELECT rater, count(*) AS n, avg(CAST(a = b AS DOUBLE)) AS po, avg(a) AS pa, avg(b) AS pb FROM b GROUP BY 1) SELECT rater, n, round(po, 5) AS accuracy, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 5) AS kappa FROM s""")
+def st14_within(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("rater"), (F.col("value") > 50).cast("int").alias("vote"), "event_id")
+    return rounded(S.within_rater(e, "item", "rater", "vote", "event_id").select("rater", "n", "accuracy", "kappa"), 5)
+
+
+@query("j16_matched_controls", """WITH c AS (SELECT o_orderpriority AS s, count(*) AS quota FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 GROUP BY 1), p AS (SELECT o_orderkey, o_orderpriority AS s FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority > '2' OR o_orderkey % 50 = 0)),
+  m AS (SELECT o_orderkey, s FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('0' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM p) JOIN c USING (s) WHERE k <= quota),
+  t AS (SELECT o_orderkey, s FROM p WHERE o_orderkey NOT IN (SELECT o_orderkey FROM m) QUALIFY row_number() OVER (ORDER BY md5('0+' || CAST(o_orderkey AS VARCHAR)), o_orderkey) <= (SELECT sum(quota) FROM c) - (SELECT count(*) FROM m)) SELECT o_orderkey, s, 'stratum' AS picked_as FROM m UNION ALL SELECT o_orderkey, s, 'top_up' FROM t""")
+def j16(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("s"), "o_orderstatus")
+    pool = o.where("o_orderstatus <> 'F' AND (s > '2' OR o_orderkey % 50 = 0)").drop("o_orderstatus")
+    return J.matched_controls(pool, o.where("o_orderstatus = 'F' AND o_orderkey % 3 = 0"), "s", "o_orderkey")
+
+
+def _events(spark, sf):
+    return jobs.stream_of(spark, sf, "events.parquet")
+
+
+@query("str04_longest_runs", """WITH f AS (SELECT user_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS slot, coalesce(arg_min(value, ts) > 60, false) AS f FROM events GROUP BY 1, 2), r AS (SELECT user_id, slot - row_number() OVER (PARTITION BY user_id ORDER BY slot) AS run FROM f WHERE f), n AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY 1, 2)
+  SELECT user_id, any_value(rows) AS rows, any_value(seen) AS seen, coalesce(max(n), 0) AS longest, count(n) AS episodes FROM (SELECT user_id, count(*) AS rows, max(slot) AS seen FROM f GROUP BY 1) LEFT JOIN n USING (user_id) GROUP BY 1""")
+def str04(spark, sf):
+    e = _events(spark, sf).withColumn("slot", F.floor(F.unix_timestamp("ts") / 21600))
+    return jobs.run_updates(jobs.episode_runs(e, "user_id", "ts", "slot", F.col("value") > 60), ["user_id"], "seen")
+
+
+@query("str05_eta", """WITH b AS (SELECT user_id, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS step FROM events), l AS (SELECT user_id, max(step) AS at, count(*) AS done FROM b GROUP BY 1), h AS (SELECT user_id, max(step) AS h FROM b JOIN l USING (user_id) WHERE step <= at - 86400 GROUP BY 1),
+  s AS (SELECT user_id, count(*) AS since FROM b JOIN h USING (user_id) WHERE step > h GROUP BY 1) SELECT user_id, at, done, round(since * 60 / (at - h), 6) AS rate, round((done * 2 - done) / (since * 60 / (at - h)), 4) AS eta FROM l LEFT JOIN h USING (user_id) LEFT JOIN s USING (user_id)""")
+def str05(spark, sf):
+    totals = table(spark, sf, "events").groupBy("user_id").agg((F.count(F.lit(1)) * 2).alias("total"))
+    out = jobs.run_updates(jobs.progress(_events(spark, sf).select("user_id", "ts"), totals, "user_id", "ts", "total", history=86400, step=600), ["user_id"], "at")
+    return out.select("user_id", "at", "done", (F.round("rate", 6) + 0.0).alias("rate"), (F.round("eta", 4) + 0.0).alias("eta"))
+
+
+@query("str06_latest_within", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def str06(spark, sf):
+    keys = ["user_id", "event_type"]
+    return jobs.run_updates(jobs.latest_within(_events(spark, sf), keys, "ts", "event_id", "value", keep="7 days"), keys, "event_id").drop("start")
