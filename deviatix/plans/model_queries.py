@@ -126,7 +126,7 @@ def j09(spark, sf):
     return J.majority_or_nearest(s, labels, "user_id", "a", "b", "at", "state", 600.0, "event_id", "label_id").select("event_id", "state")
 
 
-@query("st_a4_interval", f"SELECT round(quantile_cont(auroc, 0.025), 5) AS low, round(quantile_cont(auroc, 0.975), 5) AS high, count(auroc) AS replicates FROM ({ORACLES['st_a4_a5_bootstrap']})")
+@query("st_a4_interval", "SELECT round(quantile_cont(auroc, 0.025), 5) AS low, round(quantile_cont(auroc, 0.975), 5) AS high, count(auroc) AS replicates FROM (" + ORACLES["st_a4_a5_bootstrap"].replace(", 6) AS auroc", ", 15) AS auroc") + ")")
 def st_a4(spark, sf):
     return rounded(S.interval(S.bootstrap_auroc(labelled(spark, sf), "quality", "score", "source", 20), "auroc"), 5)
 

@@ -55,15 +55,19 @@ def a26(spark, sf):
     return rounded(out)
 
 
-_CLUSTERED = f"p AS ({ORACLES['st_a4_a5_bootstrap']}), a AS (WITH {_LAB} {_auc()})"
+#: The replicates before they are rounded.
+_REPLICATES = ORACLES["st_a4_a5_bootstrap"].replace(", 6) AS auroc", ", 15) AS auroc")
+_DIFFERENCES = ORACLES["st_a23_paired_difference"].replace(", 6) AS difference", ", 15) AS difference")
+_AREA = _auc().replace(", 6) AS auroc", ", 15) AS auroc")
+_CLUSTERED = f"p AS ({_REPLICATES}), a AS (WITH {_LAB} {_AREA})"
 
 
-@query("st_a5_clustered_interval", f"WITH {_CLUSTERED} SELECT CAST(positives + negatives AS BIGINT) AS n, round(greatest(a.auroc, 1 - a.auroc), 4) AS auroc, round(CASE WHEN any_value(a.auroc) < 0.5 THEN 1 - quantile_cont(p.auroc, 0.975) ELSE quantile_cont(p.auroc, 0.025) END, 4) AS low, round(CASE WHEN any_value(a.auroc) < 0.5 THEN 1 - quantile_cont(p.auroc, 0.025) ELSE quantile_cont(p.auroc, 0.975) END, 4) AS high FROM a, p GROUP BY ALL")
+@query("st_a5_clustered_interval", f"WITH {_CLUSTERED} SELECT CAST(a.positives + a.negatives AS BIGINT) AS n, round(greatest(a.auroc, 1 - a.auroc), 4) AS auroc, round(CASE WHEN any_value(a.auroc) < 0.5 THEN 1 - quantile_cont(p.auroc, 0.975) ELSE quantile_cont(p.auroc, 0.025) END, 4) AS low, round(CASE WHEN any_value(a.auroc) < 0.5 THEN 1 - quantile_cont(p.auroc, 0.025) ELSE quantile_cont(p.auroc, 0.975) END, 4) AS high FROM a, p GROUP BY ALL")
 def st5(spark, sf):
     return rounded(S.auroc_interval(labelled(spark, sf), "quality", "score", "source", 20), 4)
 
 
-@query("st_a23_adoption", f"WITH p AS ({ORACLES['st_a23_paired_difference']}), x AS (WITH {_LAB} {_auc()}), y AS (WITH {_LAB.replace('CAST(n_chars AS DOUBLE) AS score', 'CAST(doc_id % 97 AS DOUBLE) AS score')} {_auc()}) SELECT round(x.auroc - y.auroc, 4) AS difference, round(quantile_cont(p.difference, 0.025), 4) AS low, round(quantile_cont(p.difference, 0.975), 4) AS high, x.auroc - y.auroc > 0.02 AND quantile_cont(p.difference, 0.025) > 0 AS adopted FROM x, y, p GROUP BY x.auroc, y.auroc")
+@query("st_a23_adoption", f"WITH p AS ({_DIFFERENCES}), x AS (WITH {_LAB} {_AREA}), y AS (WITH {_LAB.replace('CAST(n_chars AS DOUBLE) AS score', 'CAST(doc_id % 97 AS DOUBLE) AS score')} {_AREA}) SELECT round(x.auroc - y.auroc, 4) AS difference, round(quantile_cont(p.difference, 0.025), 4) AS low, round(quantile_cont(p.difference, 0.975), 4) AS high, x.auroc - y.auroc > 0.02 AND quantile_cont(p.difference, 0.025) > 0 AS adopted FROM x, y, p GROUP BY x.auroc, y.auroc")
 def st23(spark, sf):
     d = labelled(spark, sf).withColumn("ours", (F.col("doc_id") % 97).cast("double"))
     return rounded(S.adoption(d, "quality", "ours", "score", "source", 20), 4)
@@ -101,8 +105,8 @@ def str04(spark, sf):
     return jobs.run_updates(jobs.episode_runs(e, "user_id", "ts", "slot", F.col("value") > 60), ["user_id"], "seen")
 
 
-@query("str05_eta", """WITH b AS (SELECT user_id, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS step FROM events), l AS (SELECT user_id, max(step) AS at, count(*) AS done FROM b GROUP BY 1), h AS (SELECT user_id, max(step) AS h FROM b JOIN l USING (user_id) WHERE step <= at - 86400 GROUP BY 1),
-  s AS (SELECT user_id, count(*) AS since FROM b JOIN h USING (user_id) WHERE step > h GROUP BY 1) SELECT user_id, at, done, round(since * 60 / (at - h), 6) AS rate, round((done * 2 - done) / (since * 60 / (at - h)), 4) AS eta FROM l LEFT JOIN h USING (user_id) LEFT JOIN s USING (user_id)""")
+@query("str05_eta", """WITH b AS (SELECT user_id, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS step FROM events), l AS (SELECT user_id, max(step) AS last, count(*) AS done FROM b GROUP BY 1), h AS (SELECT user_id, max(step) AS h FROM b JOIN l USING (user_id) WHERE step <= last - 86400 GROUP BY 1),
+  s AS (SELECT user_id, count(*) AS since FROM b JOIN h USING (user_id) WHERE step > h GROUP BY 1) SELECT user_id, last AS "at", done, round(since * 60 / (last - h), 6) AS rate, round((done * 2 - done) / (since * 60 / (last - h)), 4) AS eta FROM l LEFT JOIN h USING (user_id) LEFT JOIN s USING (user_id)""")
 def str05(spark, sf):
     totals = table(spark, sf, "events").groupBy("user_id").agg((F.count(F.lit(1)) * 2).alias("total"))
     out = jobs.run_updates(jobs.progress(_events(spark, sf).select("user_id", "ts"), totals, "user_id", "ts", "total", history=86400, step=600), ["user_id"], "at")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import new_dir
 
@@ -159,7 +160,7 @@ def run_updates(stream: DataFrame, keys: list[str], order: str, on_batch=None) -
     q.awaitTermination()
     if on_batch:
         on_batch(q.recentProgress)
-    schema = stream.schema.add("_batch", "long")
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
     rows = spark.read.schema(schema).option("basePath", f"{place}/out").parquet(f"{place}/out")
     others = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(order, "_batch")).alias("_last"))
