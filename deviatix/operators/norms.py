@@ -111,7 +111,7 @@ def deviation(df: DataFrame, curve: DataFrame, cell: list[str], x: str, value: s
     points = curve.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("g", "mu", "sigma"))).alias("_p"))
     out = df.join(points, cell, "left")
     xs = F.least(F.greatest(F.col(x), F.get("_p", 0)["g"]), F.element_at("_p", -1)["g"])
-    left = F.element_at(F.filter("_p", lambda p: p["g"] <= xs), -1)
+    left = F.try_element_at(F.filter("_p", lambda p: p["g"] <= xs), F.lit(-1))
     right = F.get(F.filter("_p", lambda p: p["g"] >= xs), 0)
     out = out.withColumns({"_l": left, "_r": right, "_x": xs})
     share = F.when(F.col("_l.g") == F.col("_r.g"), 0.0).otherwise((F.col("_x") - F.col("_l.g")) / (F.col("_r.g") - F.col("_l.g")))

@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from ..operators import descriptors as D
 from ..operators import joins as J
+from ..operators import morphology as M
+from ..operators import parametric as P
 from ..operators import stats as S
 from ..registry import ORACLES, query
+from ..sources.shared import stored
 from ..streaming import jobs
 from .curve_queries import _SIG, signals
 from .norm_queries import _LAB, _auc, labelled
 from .relational_queries import votes
+from .signal_queries import _LONG, _PSD, long
 from .tables import SEG, rounded, segments, table
 
 #: Channels of which some are clipped, weak, still, missing or another one's mirror.
@@ -117,3 +121,59 @@ def str05(spark, sf):
 def str06(spark, sf):
     keys = ["user_id", "event_type"]
     return jobs.run_updates(jobs.latest_within(_events(spark, sf), keys, "ts", "event_id", "value", keep="7 days"), keys, "event_id").drop("start")
+
+
+def _bct(spark, sf):
+    """Segments' values by state over log-age, and their Box-Cox-t curve."""
+    s = segments(spark, sf).withColumn("t", F.log10(F.col("age") + 1 / 12))
+    return s, P.bct_curve(s.where(~F.col("artifact")), ["stage"], "t", "value", [0.5, 0.9, 1.3, 1.6, 1.9], 0.15)
+
+
+@query("n09_bct_curves")
+def n09_curves(spark, sf):
+    """A numerical fit: tests hold it against known parameters."""
+    return _bct(spark, sf)[1]
+
+
+@query("n09_bct_deviation")
+def n09_deviation(spark, sf):
+    """z of every segment in the curve at its log-age."""
+    s, curve = _bct(spark, sf)
+    return P.bct_deviation(s, stored(curve, "curve"), ["stage"], "t", "value").select("eeg_id", "segment", "fam", F.round("z", 4).alias("z"))
+
+
+@query("dsp18_peak_width", f"WITH {_PSD}, {_LONG}, t AS (SELECT seg, channel, arg_min(f, (-p, f)) AS f0, max(p) AS p0 FROM lg WHERE f >= 2 AND f < 20 GROUP BY 1, 2), n AS (SELECT seg, channel, f, p, lead(f) OVER w AS f1, lead(p) OVER w AS p1 FROM lg WINDOW w AS (PARTITION BY seg, channel ORDER BY f)), l AS (SELECT n.seg, n.channel, max(f + (p0 / 2 - p) * (f1 - f) / (p1 - p)) AS l FROM n JOIN t USING (seg, channel) WHERE f1 <= f0 AND p <= p0 / 2 AND p1 > p0 / 2 GROUP BY 1, 2), r AS (SELECT n.seg, n.channel, min(f + (p0 / 2 - p) * (f1 - f) / (p1 - p)) AS r FROM n JOIN t USING (seg, channel) WHERE f >= f0 AND p > p0 / 2 AND p1 <= p0 / 2 GROUP BY 1, 2) SELECT seg, channel, f0 AS peak, round(coalesce(r - l, 2 * (f0 - l), 2 * (r - f0)), 5) AS width, round(f0 / coalesce(r - l, 2 * (f0 - l), 2 * (r - f0)), 5) AS q FROM t LEFT JOIN l USING (seg, channel) LEFT JOIN r USING (seg, channel)")
+def dsp18_width(spark, sf):
+    spectra = long(spark, sf).groupBy("seg", "channel").agg(F.array_sort(F.collect_list(F.struct("f", "p"))).alias("s"))  # a channel's bins
+    out = spectra.select("seg", "channel", M.peak_shape(F.col("s"), 2.0, 20.0).alias("x"))
+    return rounded(out.select("seg", "channel", "x.peak", "x.width", "x.q"), 5)
+
+
+_ENVELOPE = "SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings"
+
+
+@query("dsp18_bursts", f"WITH d AS ({_ENVELOPE}) SELECT vec_id, round(len(list_filter(e, lambda x: x > 0.1)) / len(e), 6) AS duty, round(len(list_filter(range(1, len(e) + 1), lambda i: e[i] > 0.1 AND (i = 1 OR e[i - 1] <= 0.1))) * 16.0 / len(e), 6) AS burst_rate, round(list_stddev_pop(e) / list_avg(e), 5) AS cv FROM d")
+def dsp18_bursts(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"))
+    out = e.select("vec_id", M.bursts(F.col("e"), 0.1, 16.0).alias("x")).select("vec_id", "x.*")
+    return out.select("vec_id", (F.round("duty", 6) + 0.0).alias("duty"), (F.round("burst_rate", 6) + 0.0).alias("burst_rate"), (F.round("cv", 5) + 0.0).alias("cv"))
+
+
+@query("dsp18_waves", """WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings), c AS (SELECT vec_id, list_transform(s, lambda x: x - list_sum(s) / len(s)) AS c FROM d), u AS (SELECT vec_id, c, list_filter(range(2, len(c) + 1), lambda i: c[i - 1] < 0 AND c[i] >= 0) AS u FROM c),
+  y AS (SELECT vec_id, c, k, u[k] AS a, u[k + 1] AS b FROM (SELECT *, unnest(range(1, len(u))) AS k FROM u)), p AS (SELECT *, a + list_position(c[a:b - 1], list_max(c[a:b - 1])) - 1 AS p FROM y), t AS (SELECT *, p + list_position(c[p:b - 1], list_min(c[p:b - 1])) - 1 AS t FROM p),
+  n AS (SELECT *, lead(p) OVER (PARTITION BY vec_id ORDER BY k) AS q FROM t) SELECT c.vec_id, CAST(count(n.k) AS INTEGER) AS cycles, round(avg(abs(n.c[p - 1] - 2 * n.c[p] + n.c[p + 1])), 6) AS peak_sharpness, round(avg(abs(n.c[t - 1] - 2 * n.c[t] + n.c[t + 1])), 6) AS trough_sharpness, round(avg((q - t) * 1.0 / (q - p)), 6) AS rise_share FROM c LEFT JOIN n USING (vec_id) GROUP BY 1""")
+def dsp18_waves(spark, sf):
+    s = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
+    return rounded(s.select("vec_id", M.waves(F.col("s")).alias("x")).select("vec_id", "x.*"))
+
+
+#: Channels of three rows of six, beside those left, right, above and below.
+MONTAGE = {c: [n for n in (c - 1 if c % 6 else -1, c + 1 if c % 6 < 5 else -1, c - 6, c + 6) if 0 <= n < 18] for c in range(18)}
+_MONTAGE = "adj AS (SELECT a.c AS a, b.c AS b FROM (SELECT unnest(range(18)) AS c) a, (SELECT unnest(range(18)) AS c) b WHERE a.c // 6 = b.c // 6 AND abs(a.c - b.c) = 1 OR abs(a.c - b.c) = 6)"
+
+
+@query("dsp18_field_size", f"WITH RECURSIVE {_MONTAGE}, act AS (SELECT vec_id // 18 AS seg, vec_id % 18 AS c FROM embeddings WHERE list_max(embedding) > 0.3), grow AS (SELECT seg, c AS root, c FROM act UNION SELECT g.seg, root, x.c FROM grow g JOIN adj ON adj.a = g.c JOIN act x ON x.seg = g.seg AND x.c = adj.b) SELECT s.seg, CAST(coalesce(max(m), 0) AS INTEGER) AS largest, CAST(count(DISTINCT root) AS INTEGER) AS extent FROM (SELECT DISTINCT vec_id // 18 AS seg FROM embeddings) s LEFT JOIN (SELECT seg, root, count(*) AS m FROM grow GROUP BY 1, 2) g USING (seg) GROUP BY 1")
+def dsp18_field(spark, sf):
+    on = F.when(F.array_max("samples") > 3.0, F.col("channel"))
+    active = signals(spark, sf).groupBy("seg").agg(F.array_sort(F.collect_list(on)).alias("a"))  # a segment's channels
+    return active.select("seg", M.field_size(F.col("a"), MONTAGE).alias("x")).select("seg", "x.largest", "x.extent")
