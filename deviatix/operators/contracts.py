@@ -22,6 +22,32 @@ def violations(df: DataFrame, required: list[str], allowed: dict[str, list], key
     return out.where("rows > 0")
 
 
+def crowded(df: DataFrame, group: list[str], value: str, most: int) -> DataFrame:
+    """group, n: groups with more than ``most`` distinct values. Values are made distinct first, so a hot group is counted from
+    partial sums."""
+    return df.where(F.col(value).isNotNull()).select(*group, value).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def summary_differences(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """column, statistic, a, b, relative: number of values, mean, SD, minimum, maximum and exact median of two copies, and their
+    difference by the size of a's (the difference itself where that is 0; null where a side has no values)."""
+    from functools import reduce
+
+    from .quantiles import percentiles
+
+    def side(df: DataFrame, c: str, name: str) -> DataFrame:
+        v = F.col(c).cast("double")
+        one = df.agg(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+        rows = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(k).alias(name)) for k in one.columns])).alias("s")).select("s.*")
+        middle = percentiles(df, [], c, {"m": 0.5}).agg(F.max("m").alias(name)).select(F.lit("median").alias("statistic"), name)
+        return rows.unionByName(middle).withColumn("column", F.lit(c))
+
+    both = lambda name, df: reduce(DataFrame.unionByName, [side(df, c, name) for c in columns])
+    out = both("a", a).join(both("b", b).hint("merge"), ["column", "statistic"])
+    gap = F.abs(F.col("b") - F.col("a"))
+    return out.select("column", "statistic", "a", "b", F.when(F.col("a") == 0, gap).otherwise(gap / F.nullif(F.abs("a"), F.lit(0.0))).alias("relative"))
+
+
 def contiguous(df: DataFrame, key: str, index: str) -> DataFrame:
     """Keys whose index has gaps or repeats."""
     g = df.groupBy(key).agg((F.max(index) - F.min(index) + 1).alias("span"), F.count(F.lit(1)).alias("n"), F.count_distinct(index).alias("d"))

@@ -54,6 +54,27 @@ def accent(df: DataFrame, key: str, state: str, amount: str, order: list[str]) -
     return m.groupBy(key).agg(F.max_by(state, F.struct("_m", -rank)).alias("accent"), F.count(F.lit(1)).alias("states"))
 
 
+def laterality(df: DataFrame, key: str, segment: str, region: str, z: str, left: list, right: list, anterior: list, posterior: list) -> DataFrame:
+    """key, laterality (left less right), gradient (anterior less posterior), dominant: means over segments of the differences of
+    a segment's region means, where both sides are known; the axis of the greater size, laterality if they are equal or the
+    other is not known; null if neither is."""
+    side = lambda names: F.avg(F.when(F.col(region).isin(names), F.col(z)))
+    per = df.groupBy(key, segment).agg((side(left) - side(right)).alias("_l"), (side(anterior) - side(posterior)).alias("_g"))
+    out = per.groupBy(key).agg(F.avg("_l").alias("laterality"), F.avg("_g").alias("gradient"))
+    l, g = F.abs("laterality"), F.abs("gradient")  # noqa: E741
+    return out.withColumn("dominant", F.when(l.isNull() & g.isNull(), F.lit(None).cast("string")).when(l.isNull() | (g > l), "gradient").otherwise("laterality"))
+
+
+def thin_cells(df: DataFrame, a: str, b: str, target: int) -> DataFrame:
+    """a, b, n: combinations of the values of two columns with fewer rows than ``target``, those without any included. The
+    second column's values, a vocabulary, are one array beside each of the first's."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    counts = known.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    words = known.agg(F.collect_set(b).alias("_b"), F.lit(0).alias("_k"))
+    every = known.select(a).distinct().withColumn("_k", F.lit(0)).join(F.broadcast(words), "_k").select(a, F.explode("_b").alias(b))
+    return every.join(counts.hint("merge"), [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).cast("long").alias("n")).where(F.col("n") < target)
+
+
 def peak_pair(df: DataFrame, keys: list[str], pairs: DataFrame, channel: str, value: str, side: Column, least: float = 0.5) -> DataFrame:
     """The pair with the greatest difference in the asserted direction, if over ``least``. Pairs: pair, left, right."""
     p = F.broadcast(pairs)

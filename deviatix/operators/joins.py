@@ -96,6 +96,13 @@ def quota_match(pool: DataFrame, cases: DataFrame, stratum: str, pool_id: str, s
     return ranked.join(quota, stratum).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
 
 
+def through(crosswalk: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of ``left`` and ``right`` that the crosswalk (left_key, right_key) brings together. Null keys and crosswalk rows that
+    repeat count once or not at all; an unmatched row of either side drops out."""
+    pairs = crosswalk.select(left_key, right_key).where(F.col(left_key).isNotNull() & F.col(right_key).isNotNull()).distinct()
+    return pairs.join(left.hint("merge"), left_key).join(right.hint("merge"), right_key)
+
+
 def _first_of_each(pool: DataFrame, keys: list[str], quota: DataFrame, unit: str, seed: str) -> DataFrame:
     """Of each group of the pool the first rows in hash order, as many as ``quota`` (keys, _quota) says. The rank is the number
     of rows in smaller hash prefixes and the place within the prefix, so no task ranks a whole group."""

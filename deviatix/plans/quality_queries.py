@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import contracts as C
 from ..operators import descriptors as D
 from ..operators import joins as J
 from ..operators import morphology as M
 from ..operators import parametric as P
 from ..operators import stats as S
 from ..registry import ORACLES, query
-from ..sources.shared import stored
+from ..sources import sinks as K
+from ..sources.shared import new_dir, stored
 from ..streaming import jobs
 from .curve_queries import _SIG, signals
 from .norm_queries import _LAB, _auc, labelled
@@ -177,3 +179,55 @@ def dsp18_field(spark, sf):
     on = F.when(F.array_max("samples") > 3.0, F.col("channel"))
     active = signals(spark, sf).groupBy("seg").agg(F.array_sort(F.collect_list(on)).alias("a"))  # a segment's channels
     return active.select("seg", M.field_size(F.col("a"), MONTAGE).alias("x")).select("seg", "x.largest", "x.extent")
+
+
+@query("qc01_distinct_per_group", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 2")
+def qc01(spark, sf):
+    return C.crowded(table(spark, sf, "orders"), ["o_custkey"], "o_orderstatus", 2)
+
+
+_SIDE = "SELECT unnest(['n', 'mean', 'std', 'min', 'max', 'median']) AS statistic, unnest([CAST(count(x) AS DOUBLE), avg(x), stddev_pop(x), min(x), max(x), quantile_cont(x, 0.5)]) AS v"
+
+
+@query("qc05_summary_diff", f"WITH a AS ({_SIDE} FROM (SELECT CAST(o_totalprice AS DOUBLE) AS x FROM orders WHERE o_orderkey % 10 <> 0)), b AS ({_SIDE} FROM (SELECT CAST(o_totalprice + o_orderkey % 3 AS DOUBLE) AS x FROM orders WHERE o_orderkey % 10 <> 1)) SELECT 'o_totalprice' AS \"column\", statistic, round(a.v, 4) AS a, round(b.v, 4) AS b, round(abs(b.v - a.v) / abs(a.v), 6) AS relative FROM a JOIN b USING (statistic)")
+def qc05(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    d = C.summary_differences(o.where("o_orderkey % 10 <> 0"), o.where("o_orderkey % 10 <> 1").withColumn("o_totalprice", F.col("o_totalprice") + F.col("o_orderkey") % 3), ["o_totalprice"])
+    return d.select("column", "statistic", (F.round("a", 4) + 0.0).alias("a"), (F.round("b", 4) + 0.0).alias("b"), (F.round("relative", 6) + 0.0).alias("relative"))
+
+
+@query("snk02_frozen_version", """SELECT 'v1' AS version, o_orderstatus AS source, count(*) AS n, (SELECT count(*) FROM orders) AS "rows", (SELECT count(DISTINCT o_custkey) FROM orders) AS "keys", 'o_orderkey,o_custkey,o_orderstatus' AS columns FROM orders GROUP BY 2""")
+def snk02(spark, sf):
+    """A version written with its metadata, of which the counts by source are read back; tests hold its content hash."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    meta = K.freeze(o, new_dir(spark, "frozen"), "v1", "o_custkey", "o_orderstatus")
+    return meta.select("version", F.explode("per_source").alias("source", "n"), "rows", "keys", "columns")
+
+
+@query("a18_thin_cells", "WITH a AS (SELECT DISTINCT p_brand FROM part), b AS (SELECT DISTINCT p_type FROM part), n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) SELECT p_brand, p_type, coalesce(n, 0) AS n FROM a CROSS JOIN b LEFT JOIN n USING (p_brand, p_type) WHERE coalesce(n, 0) < 3")
+def a18(spark, sf):
+    return D.thin_cells(table(spark, sf, "part"), "p_brand", "p_type", 3)
+
+
+@query("n14_laterality_gradient", f"WITH {_SIG}, w AS (SELECT seg, channel, unnest([0, 1, 2, 3]) AS w, s FROM sg), z AS (SELECT seg, channel, w, list_avg(s[16 * w + 1:16 * w + 16]) AS z FROM w), p AS (SELECT seg, w, avg(z) FILTER (channel < 5) - avg(z) FILTER (channel BETWEEN 5 AND 8) AS l, avg(z) FILTER (channel BETWEEN 9 AND 12) - avg(z) FILTER (channel > 12) AS g FROM z GROUP BY 1, 2), m AS (SELECT seg, avg(l) AS l, avg(g) AS g FROM p GROUP BY 1) SELECT seg, round(l, 6) AS laterality, round(g, 6) AS gradient, CASE WHEN l IS NULL AND g IS NULL THEN NULL WHEN l IS NULL OR abs(g) > abs(l) THEN 'gradient' ELSE 'laterality' END AS dominant FROM m")
+def n14(spark, sf):
+    w = signals(spark, sf).select("seg", "channel", "samples", F.explode(F.array(*map(F.lit, range(4)))).alias("w"))
+    z = w.select("seg", "channel", "w", (F.aggregate(F.slice("samples", 16 * F.col("w") + 1, 16), F.lit(0.0), lambda t, x: t + x) / 16).alias("z"))
+    out = D.laterality(z, "seg", "w", "channel", "z", [*range(5)], [*range(5, 9)], [*range(9, 13)], [*range(13, 18)])
+    return out.select("seg", (F.round("laterality", 6) + 0.0).alias("laterality"), (F.round("gradient", 6) + 0.0).alias("gradient"), "dominant")
+
+
+@query("j02_two_columns", "SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN (SELECT o_orderkey, CAST(o_orderkey % 5 AS BIGINT) AS line, o_orderpriority FROM orders) o ON l_orderkey = o_orderkey AND l_linenumber = line")
+def j02(spark, sf):
+    """Labels joined on recording and segment."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 5).cast("long").alias("l_linenumber"), "o_orderpriority")
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    return li.join(o.hint("merge"), ["l_orderkey", "l_linenumber"])
+
+
+@query("j18_scores_and_votes", "WITH v AS (SELECT l_orderkey, avg(CAST(l_returnflag = 'R' AS DOUBLE)) AS share FROM lineitem GROUP BY 1) SELECT o_custkey, o_orderkey, round(c_acctbal, 2) AS score, round(share, 6) AS share FROM orders JOIN customer ON c_custkey = o_custkey JOIN v ON l_orderkey = o_orderkey")
+def j18(spark, sf):
+    """Scores by patient and votes by recording, through the crosswalk of recordings."""
+    scores = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.round(F.col("c_acctbal").cast("double"), 2) + 0.0).alias("score"))
+    shares = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 6) + 0.0).alias("share"))
+    return J.through(table(spark, sf, "orders"), scores, shares, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", "score", "share")

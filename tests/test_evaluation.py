@@ -68,3 +68,35 @@ def test_rater_agreement(spark):
     one = stats.median_agreement(once, "item", "rater", "vote", min_votes=20, min_items=10).first()
     assert one.pairs == 10 and one.kappa == pytest.approx(np.median(each))
     assert stats.median_agreement(once, "item", "rater", "vote").first().pairs == 0
+
+
+def test_contracts_and_cells(spark, tmp_path):
+    from deviatix.operators import contracts, descriptors
+    from deviatix.sources import sinks
+
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("a", "x", 4.0), ("b", "x", None), (None, "x", 3.0), ("b", None, 0.0)], "g string, k string, v double")
+    assert [(r.g, r.n) for r in contracts.crowded(df, ["g"], "k", 1).collect()] == [("a", 2)]
+    assert sorted((r.g, r.k, r.n) for r in descriptors.thin_cells(df, "g", "k", 2).collect()) == [("a", "y", 1), ("b", "x", 1), ("b", "y", 0)]
+    other = spark.createDataFrame([(2.0,), (4.0,), (0.0,)], "v double")
+    got = {r.statistic: (r.a, r.b, r.relative) for r in contracts.summary_differences(df, other, ["v"]).collect()}
+    assert got["n"] == (5, 3, 0.4) and got["median"] == (2.0, 2.0, 0.0) and got["min"] == (0.0, 0.0, 0.0) and got["max"] == (4.0, 4.0, 0.0)
+    assert contracts.summary_differences(df, other.limit(0), ["v"]).where("statistic = 'median'").first().relative is None
+    one = sinks.freeze(df, str(tmp_path / "t"), "v1", "g", "k").first()
+    two = sinks.freeze(df.orderBy("v"), str(tmp_path / "t"), "v2", "g", "k").first()
+    three = sinks.freeze(df.withColumn("v", F.col("v") + 1), str(tmp_path / "t"), "v3", "g", "k").first()
+    assert one.content == two.content != three.content and one.per_source == {"x": 4, "y": 1, "": 1} and (one.rows, one["keys"]) == (6, 2)
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.freeze(df, str(tmp_path / "t"), "v1", "g", "k")
+
+
+def test_laterality_and_crosswalk(spark):
+    from deviatix.operators import descriptors
+
+    rows = [("r", s, c, v) for s, vs in ((0, (3.0, 1.0, 5.0, 4.0)), (1, (1.0, 2.0, 9.0, None)), (2, (4.0, None, 1.0, 3.0))) for c, v in zip("LRAP", vs, strict=True)]
+    rows += [("one", 0, "L", 1.0), ("one", 0, "R", 0.5), ("none", 0, "L", 1.0)]
+    df = spark.createDataFrame(rows, "k string, s int, c string, z double")
+    got = {r.k: (r.laterality, r.gradient, r.dominant) for r in descriptors.laterality(df, "k", "s", "c", "z", ["L"], ["R"], ["A"], ["P"]).collect()}
+    assert got == {"r": (0.5, -0.5, "laterality"), "one": (0.5, None, "laterality"), "none": (None, None, None)}
+    walk = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "p int, e string")
+    both = joins.through(walk, spark.createDataFrame([(1, 0.1), (2, 0.2), (9, 0.9)], "p int, s double"), spark.createDataFrame([("a", 1), ("c", 0), ("d", 1)], "e string, v int"), "p", "e")
+    assert sorted((r.p, r.e, r.s, r.v) for r in both.collect()) == [(1, "a", 0.1, 1), (2, "c", 0.2, 0)]
