@@ -127,21 +127,16 @@ def descriptors(spark, sf):
     return e.withColumns({"side": side, "focal": F.col("top") > 5, "general": F.col("share") > 0.15, "confident": F.col("whole") > 1})
 
 
-@query("tx17_structured_report", f"""WITH {_DESC}, p AS (SELECT user_id, CASE WHEN focal THEN 'focal slowing' || coalesce(', ' || nullif(concat_ws(' ', side, peak), ''), '') || ' (theta)' END AS a, CASE WHEN general THEN 'generalized slowing' || CASE WHEN share > 0.2 THEN ', diffuse' ELSE '' END END AS b FROM dd)
-  SELECT user_id, CASE WHEN concat_ws('; ', a, b) <> '' THEN concat_ws('; ', a, b) ELSE 'slowing (unspecified)' END AS report FROM p""")
+@query("tx17_structured_report", f"""WITH {_DESC} SELECT user_id, CASE WHEN focal OR general THEN concat_ws(' / ', CASE WHEN focal THEN 'focus: ' || concat_ws(' ', side, peak) || ', theta' END, CASE WHEN general THEN 'general' || CASE WHEN share > 0.2 THEN ': diffuse' ELSE '' END END) ELSE 'kind not stated' END AS report FROM dd""")
 def tx17(spark, sf):
     topography = F.when(F.col("share") > 0.2, "diffuse").otherwise("unspec")
     return descriptors(spark, sf).select("user_id", T.structured_report(F.col("focal"), F.col("side"), F.col("peak"), F.lit("theta"), F.col("general"), topography, F.lit("nan")).alias("report"))
 
 
-_TXT = "' SD above the age- and stage-matched normal'"
-
-
 @query("tx16_paragraph", f"""WITH {_DESC}, s AS (SELECT user_id, focal, general, confident, episodes, concat_ws(' ', side, 'region') AS sp, printf('%.1f', round(whole, 1)) AS w, printf('%.1f', round(top, 1)) AS f, printf('%.0f', round(share * 100, 0)) AS pc, printf('%.1f', round(n / 10.0, 1)) AS lo, peak FROM dd)
-  SELECT user_id, concat_ws(' ', CASE WHEN focal AND general THEN 'Diffuse theta slowing with a superimposed ' || sp || ' focus, maximal over ' || peak ELSE upper(sp[1]) || sp[2:] || ' theta slowing' || CASE WHEN focal THEN ', maximal over ' || peak ELSE '' END END || '.',
-    CASE WHEN focal AND general THEN 'Whole-head deviation ' || w || {_TXT} || ', with the focus reaching ' || f || ' SD at that region' WHEN focal THEN 'Peak deviation ' || f || {_TXT} || ' at that region' ELSE 'Peak deviation ' || w || {_TXT} END
-      || ', abnormal in ' || pc || '% of analysed segments (some)' || CASE WHEN episodes > 0 THEN '; longest continuous run ≈' || lo || ' min over ' || episodes || CASE WHEN episodes <> 1 THEN ' episodes' ELSE ' episode' END ELSE '' END || '.',
-    upper(peak[1]) || peak[2:] || '.', CASE WHEN focal AND NOT general AND NOT confident THEN 'Localization is low-confidence: no lateralizing or regional spectral excess clears the 84th centile of normals.' END) AS paragraph FROM s""")
+  SELECT user_id, concat_ws(' ', CASE WHEN focal AND general THEN 'Diffuse theta slowing, strongest in a focus: ' || sp || ' (top region ' || peak || ').' WHEN focal THEN 'Focus of theta slowing: ' || sp || ' (top region ' || peak || ').' ELSE 'Diffuse theta slowing: ' || sp || '.' END,
+    'Deviation from the norm of age and state: ' || CASE WHEN focal AND general THEN w || ' SD overall, ' || f || ' SD in the focus.' WHEN focal THEN f || ' SD in the focus.' ELSE w || ' SD.' END, 'Segments above it: ' || pc || ' %, some.',
+    CASE WHEN episodes > 0 THEN 'Runs: ' || episodes || ', at most ' || lo || ' min.' END, 'States: ' || peak || '.', CASE WHEN focal AND NOT general AND NOT confident THEN 'Nothing localises the focus beyond the normal range.' END) AS paragraph FROM s""")
 def tx16(spark, sf):
     d = descriptors(spark, sf).join(table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id")
     r = lambda c, k: F.round(F.col(c), k) if isinstance(c, str) else F.round(c, k)
