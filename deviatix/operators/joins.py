@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch
 from ..sources.shared import stored
+from .quantiles import sized
+from .windows import hash_rank
 
 
 def in_buckets(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
@@ -21,7 +23,7 @@ def majority_state(segments: DataFrame, labels: DataFrame, key: str, start: str,
     hits = in_buckets(segments, F.col(start), F.col(end), width).join(points.hint("merge"), [key, "bucket"]).where((F.col("_at") >= F.col(start)) & (F.col("_at") < F.col(end)))
     n = hits.groupBy(key, start, "_state").agg(F.count(F.lit(1)).alias("_n"))
     best = n.groupBy(key, start).agg(F.min(F.struct(-F.col("_n"), F.col("_state"))).getField("_state").alias(state))
-    return segments.join(best, [key, start], "left")
+    return segments.join(best.hint("merge"), [key, start], "left")
 
 
 def state_at_centre(segments: DataFrame, labels: DataFrame, key: str, centre: Column, index: str, state: str, step: float, default: str) -> DataFrame:
@@ -91,9 +93,8 @@ def interpolated(df: DataFrame, curve: DataFrame, cell: list[str], x: str, grid:
 def quota_match(pool: DataFrame, cases: DataFrame, stratum: str, pool_id: str, seed: str = "0") -> DataFrame:
     """As many rows of the pool per stratum as there are cases, by hash order."""
     quota = cases.groupBy(stratum).agg(F.count(F.lit(1)).alias("_quota"))
-    order = F.md5(F.concat(F.lit(seed), F.col(pool_id).cast("string")).cast("binary"))
-    ranked = pool.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(order, pool_id)))
-    return ranked.join(quota, stratum).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    order = _md5(seed, pool_id)
+    return _first_of_each(pool, [stratum], quota, pool_id, order)
 
 
 def through(crosswalk: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -103,16 +104,14 @@ def through(crosswalk: DataFrame, left: DataFrame, right: DataFrame, left_key: s
     return pairs.join(left.hint("merge"), left_key).join(right.hint("merge"), right_key)
 
 
-def _first_of_each(pool: DataFrame, keys: list[str], quota: DataFrame, unit: str, seed: str) -> DataFrame:
-    """Of each group of the pool the first rows in hash order, as many as ``quota`` (keys, _quota) says. The rank is the number
-    of rows in smaller hash prefixes and the place within the prefix, so no task ranks a whole group."""
-    own = pool.withColumns({"_h": F.md5(F.concat(F.lit(seed), F.col(unit).cast("string")).cast("binary")), "_p": F.substring(F.md5(F.concat(F.lit(seed), F.col(unit).cast("string")).cast("binary")), 1, 3)})
-    w = Window.partitionBy(*keys).orderBy("_p")  # 4096 rows of a group at most
-    per = own.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
-    # prefixes that begin beyond the quota are of no use
-    use = per.join(quota.hint("merge"), keys).where(F.col("_before") < F.col("_quota")).select(*keys, "_p", "_before", "_quota")
-    place = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", unit))
-    return own.join(use.hint("merge"), [*keys, "_p"]).withColumn("_place", place).where(F.col("_before") + F.col("_place") <= F.col("_quota")).drop("_h", "_p", "_before", "_quota", "_place")
+def _first_of_each(pool: DataFrame, keys: list[str], quota: DataFrame, unit: str, order: Column) -> DataFrame:
+    """Of each group of the pool the first rows in hash order, as many as ``quota`` (keys, _quota) says."""
+    quota = stored(quota, "quota")
+    return hash_rank(pool, keys, order, unit).join(quota.hint(sized(quota)), keys).where(F.col("_rank") <= F.col("_quota")).select(*pool.columns)
+
+
+def _md5(seed: str, unit: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.col(unit).cast("string")).cast("binary"))
 
 
 def matched_controls(pool: DataFrame, cases: DataFrame, stratum: str, pool_id: str, seed: str = "0") -> DataFrame:
@@ -121,11 +120,11 @@ def matched_controls(pool: DataFrame, cases: DataFrame, stratum: str, pool_id: s
     is smaller than the cases. A null stratum takes and gives nothing in the first pass.
     """
     quota = cases.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count(F.lit(1)).alias("_quota"))
-    own = stored(_first_of_each(pool.where(F.col(stratum).isNotNull()), [stratum], quota, pool_id, seed), "matched")
+    own = stored(_first_of_each(pool.where(F.col(stratum).isNotNull()), [stratum], quota, pool_id, _md5(seed, pool_id)), "matched")
     need = cases.count() - own.count()
     rest = pool.join(own.select(pool_id).hint("merge"), pool_id, "left_anti").select(*pool.columns).withColumn("_all", F.lit(0))
     one = rest.limit(1).select("_all", F.lit(need).alias("_quota"))
-    more = _first_of_each(rest, ["_all"], one, pool_id, f"{seed}+").drop("_all")
+    more = _first_of_each(rest, ["_all"], one, pool_id, _md5(f"{seed}+", pool_id)).drop("_all")
     return own.withColumn("picked_as", F.lit("stratum")).unionByName(more.withColumn("picked_as", F.lit("top_up")))
 
 

@@ -108,8 +108,8 @@ def robust_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[
 
 def deviation(df: DataFrame, curve: DataFrame, cell: list[str], x: str, value: str) -> DataFrame:
     """z of each row from its cell's curve (g, mu, sigma) at x, linear between grid points; null without a cell."""
-    points = curve.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("g", "mu", "sigma"))).alias("_p"))
-    out = df.join(points, cell, "left")
+    points = stored(curve.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("g", "mu", "sigma"))).alias("_p")), "points")
+    out = df.join(points.hint(sized(points)), cell, "left")
     xs = F.least(F.greatest(F.col(x), F.get("_p", 0)["g"]), F.element_at("_p", -1)["g"])
     left = F.try_element_at(F.filter("_p", lambda p: p["g"] <= xs), F.lit(-1))
     right = F.get(F.filter("_p", lambda p: p["g"] >= xs), 0)

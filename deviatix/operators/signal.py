@@ -190,7 +190,7 @@ def muscle_share(spectrum: DataFrame, keys: list[str], channel: str, low: float
 def usable_segments(reasons: DataFrame, muscle: DataFrame, keys: list[str], most: float = 0.55) -> DataFrame:
     """``artifacts`` with its third rule: what is neither flat nor high, but mostly muscle."""
     reason = F.when((F.col("reason") == "ok") & (F.col("muscle") > most), "emg").otherwise(F.col("reason"))
-    return reasons.select(*keys, "reason").join(muscle, keys, "left").select(*keys, (reason == "ok").alias("usable"), reason.alias("reason"))
+    return reasons.select(*keys, "reason").join(muscle.hint("merge"), keys, "left").select(*keys, (reason == "ok").alias("usable"), reason.alias("reason"))
 
 
 def file_class(labels: DataFrame, file: str, label: str, canonical: list[str], contact: str, tokens: str, least: int = 8, contacts: int = 32) -> DataFrame:

@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .quantiles import same, sized
+
 
 def hash_order(*columns: str, seed: str = "0") -> Column:
     """An order that any engine can repeat: md5 text of the seed and the columns."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in columns]).cast("binary"))
 
 
+def hash_rank(df: DataFrame, keys: list[str], order: Column, unit: str, name: str = "_rank") -> DataFrame:
+    """Adds the place (from 1) of each row within its keys, in the order of a hex hash, then of ``unit``. It is the number of rows
+    in smaller hash prefixes (4096 counts for each key at most) and the place within the prefix, so no task ranks a whole
+    group. Null keys are a group."""
+    own = df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, 3))
+    counts = own.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    before = stored(counts.select(*keys, "_p", (F.sum("_n").over(upto) - F.col("_n")).alias("_before")), "prefixes")
+    inside = own.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy("_h", unit)))
+    return same(inside, before, [*keys, "_p"], hint=sized(before)).withColumn(name, F.col("_before") + F.col("_place")).drop("_h", "_p", "_place", "_before")
+
+
 def islands(df: DataFrame, key: str, order: str, flag: Column, require_contiguous: bool = False) -> DataFrame:
     """key, run, n: the maximal runs of rows with the flag. With ``require_contiguous`` a gap in ``order`` ends a run."""
     w = Window.partitionBy(key).orderBy(order)
@@ -58,22 +73,21 @@ def proportional_sample(df: DataFrame, stratum: str, unit: str, n: int, seed: st
     total = Window.partitionBy(F.lit(0))
     per = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     quota = per.withColumn("_quota", F.round(F.col("_n") * n / F.sum("_n").over(total))).select(stratum, "_quota")
-    w = Window.partitionBy(stratum).orderBy(hash_order(unit, seed=seed), unit)
-    return df.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(quota), stratum).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    quota = stored(quota, "quota")
+    return hash_rank(df, [stratum], hash_order(unit, seed=seed), unit).join(quota.hint(sized(quota)), stratum).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
 
 
 def deficit_fill(have: DataFrame, pool: DataFrame, cell: list[str], unit: str, target: int, seed: str = "0") -> DataFrame:
     """Rows of the pool that bring each cell up to the target."""
     got = have.groupBy(*cell).agg(F.count(F.lit(1)).alias("_have"))
-    w = Window.partitionBy(*cell).orderBy(hash_order(unit, seed=seed), unit)
-    ranked = pool.withColumn("_rank", F.row_number().over(w)).join(got, cell, "left")
+    got = stored(got, "have")
+    ranked = hash_rank(pool, cell, hash_order(unit, seed=seed), unit).join(got.hint(sized(got)), cell, "left")
     return ranked.where(F.col("_rank") <= target - F.coalesce("_have", F.lit(0))).drop("_rank", "_have")
 
 
 def interleaved(df: DataFrame, stratum: str, unit: str, seed: str = "0") -> DataFrame:
     """Adds place: the first of each stratum, then the second of each, and so on; (turn, stratum) sort the rows."""
-    w = Window.partitionBy(stratum).orderBy(hash_order(unit, seed=seed), unit)
-    return df.withColumn("turn", F.row_number().over(w).cast("long"))
+    return hash_rank(df, [stratum], hash_order(unit, seed=seed), unit, "turn").withColumn("turn", F.col("turn").cast("long"))
 
 
 def patient_split(df: DataFrame, patient: str, stratum: str, recording: str, test_share: float = 0.3, seed: str = "0") -> DataFrame:
