@@ -83,6 +83,18 @@ def tx14(spark, sf):
     return d.select("doc_id", T.snippet(F.col("text"), KEY).alias("snippet"), F.contains(F.lower("text"), F.lit("report")).alias("has_report"))
 
 
+_N = "substr(regexp_replace(lower(s), '[^a-z0-9]', '', 'g'), 1, 60)"
+_HALF = _S.replace("text", "substr(text, 1, CAST(floor(length(text) / 2) AS BIGINT))")
+
+
+@query("tx14_not_repeated", f"WITH s AS (SELECT doc_id, {_S} AS own, list_transform({_HALF}, lambda s: {_N}) AS theirs FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(array_to_string(list_transform(list_filter(own, lambda s: NOT list_contains(theirs, {_N})), lambda s: trim(s)), '. ')) AS rest FROM s")
+def tx14_rest(spark, sf):
+    """The sentences of a text that its first half doesn't have."""
+    d = docs(spark, sf).where(F.col("text").isNotNull())
+    half = F.substr(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return d.select("doc_id", F.md5(T.not_repeated(F.col("text"), half).cast("binary")).alias("rest"))
+
+
 @query("tx16_tx17_sentence", """SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'No statement is made.' ELSE CASE p_size % 3 WHEN 0 THEN 'Delta' WHEN 1 THEN 'Theta' ELSE 'Mixed' END || ' slowing, ' || CASE WHEN p_size % 2 = 0 THEN 'left temporal' ELSE 'right temporal' END || ', in ' || CAST(p_size AS VARCHAR) || ' % of segments.' END AS line FROM part""")
 def tx16(spark, sf):
     s = F.col("p_size")

@@ -100,3 +100,15 @@ def test_largest_task_of_a_cell_of_a_million_values(tmp_path):
         reads = [e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"] for e in events if e["Event"] == "SparkListenerTaskEnd" and e.get("Task Metrics")]
         most = max([most, *reads])
     assert 0 < most < 125_000, most
+
+
+def test_stored_tables_are_discarded(spark):
+    import os
+
+    from deviatix.sources import shared
+
+    shared.discard_stored(spark)
+    df = shared.stored(spark.range(5), "t")
+    path = shared._WRITTEN[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert shared.discard_stored(spark) == 1 and not os.path.exists(path) and shared.discard_stored(spark) == 0
