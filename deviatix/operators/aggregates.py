@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import epoch
+
 
 def winsorised(df: DataFrame, groups: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values held within their group's exact percentiles. The few group rows are joined back by a merge join."""
@@ -102,3 +104,22 @@ def joined_scans(a: DataFrame, b: DataFrame, keys: list[str], of_a: list[Column]
 def by_condition(df: DataFrame, keys: list[str], value: str, conditions: dict[str, Column]) -> DataFrame:
     """Median of a value under each condition, and its rows."""
     return df.groupBy(*keys).agg(*[F.percentile(F.when(c, F.col(value)), F.lit(0.5)).alias(f"{k}_median") for k, c in conditions.items()], *[F.count_if(c & F.col(value).isNotNull()).alias(f"{k}_n") for k, c in conditions.items()])
+
+
+def birth_dates(exams: DataFrame, patient: str, day: str, age: str, days_per_year: float = 365.25) -> DataFrame:
+    """patient, birth (seconds since 1970), exams, spread_days: the median of exam day less age, and how far the exams are apart on it.
+
+    Exams without a day, an age or a patient don't count; a patient without any other has no row. A patient's exams are
+    few; repeated rows each count.
+    """
+    born = epoch(F.col(day)) - F.col(age) * (days_per_year * 86400)
+    own = exams.select(patient, born.alias("_born")).where(F.col(patient).isNotNull() & F.col("_born").isNotNull() & ~F.isnan("_born"))
+    return own.groupBy(patient).agg(median("_born").alias("birth"), F.count(F.lit(1)).alias("exams"), ((F.max("_born") - F.min("_born")) / 86400).alias("spread_days"))
+
+
+def recovered_ages(exams: DataFrame, patient: str, day: str, age: str, days_per_year: float = 365.25) -> DataFrame:
+    """``exams`` with ``recovered_age``: the exam's own age, else the time since its patient's birth date; null without either."""
+    births = birth_dates(exams, patient, day, age, days_per_year).select(F.col(patient).alias("_patient"), "birth")
+    own = exams.join(births.hint("merge"), F.col(patient) == F.col("_patient"), "left")
+    since = (epoch(F.col(day)) - F.col("birth")) / (days_per_year * 86400)
+    return own.withColumn("recovered_age", F.coalesce(F.nanvl(F.col(age), F.lit(None).cast("double")), since)).drop("_patient", "birth")

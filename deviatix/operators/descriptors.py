@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import gradient_word, is_focal, leading_lobe, lobe_excess, side_call
 from ..sources.shared import stored
 
 EPS = 1e-12
@@ -93,6 +94,39 @@ def localisation(side: Column, lobe: Column, focal: Column, general: Column, lef
     )
 
 
+#: Of a finding's place: the least signed difference and excess of a lobe that stand by themselves, the peak that confirms
+#: them, what both temporal regions exceed and the difference that they stay below. Fixed values.
+CLEAR_SIDE, CLEAR_LOBE, CONFIRMED, BOTH_TEMPORAL, EVEN_SIDES = 0.5, 0.6, 1.0, 1.0, 0.4
+
+
+def finding_place(signed: Column, lobes: dict[str, Column], gradient: Column, peak_region: Column, peak_z: Column, left_temporal: Column, right_temporal: Column) -> dict[str, Column]:
+    """place, region, confident of a recording's finding.
+
+    Without a focus the place is the word of the front-to-back gradient, and nothing needs confirming. A focus lies in both
+    temporal regions independently, in a lobe on both sides, or in a lobe of a side. The region of the peak ("L_..", "R_..",
+    else the midline) is named only where its hemisphere is the asserted one. A focus is confident if the side or a lobe
+    is clear and the peak confirms it. Unknown z count as 0; an unknown difference or lobe leaves the place null.
+    """
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    focal, lobe, side = is_focal(signed, lobes), leading_lobe(lobes), side_call(signed)
+    both = (F.least(z(left_temporal), z(right_temporal)) > BOTH_TEMPORAL) & (F.abs(signed) < EVEN_SIDES) & (lobe == "temporal")
+    own = F.when(peak_region.startswith("L_"), "left").when(peak_region.startswith("R_"), "right")
+    name = F.concat_ws(" ", own, F.regexp_replace(peak_region, "^[LR]_", ""), F.lit("region"))
+    known = signed.isNotNull() & lobe.isNotNull()
+    place = F.when(~focal, gradient_word(gradient)).when(both, "bilateral independent temporal").when(known, F.concat_ws(" ", side, lobe))
+    region = (
+        F.when(~known | ~focal | peak_region.isNull() & ~both & (side != "bilateral"), F.lit(None)).when(both, "both temporal regions")
+        .when(side == "bilateral", F.concat(F.lit("the "), lobe, F.lit(" region on both sides"))).when(own.isNull() | (own == side), name)
+    )
+    clear = (F.abs(signed) >= CLEAR_SIDE) | (F.greatest(*lobe_excess(lobes).values()) >= CLEAR_LOBE)
+    return {"place": place, "region": region, "confident": F.when(focal, clear & (z(peak_z) >= CONFIRMED)).otherwise(F.lit(True))}
+
+
+def magnitude(focal: Column, peak_z: Column, *whole: Column) -> Column:
+    """The peak of a focus; without a focus, or where its peak is not known, the greatest of the whole recording's z."""
+    return F.when(focal & peak_z.isNotNull(), peak_z).otherwise(F.greatest(*whole))
+
+
 #: Rules of dead channels, in microvolts and shares. Fixed values.
 RAILED, STILL, LEAST_SPREAD, MAD_SCALE, MISSING, LEAST_SAMPLES = 0.20, 0.999, 0.5, 1.4826, 0.99, 8
 

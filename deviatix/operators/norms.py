@@ -146,15 +146,32 @@ def out_of_fold(df: DataFrame, fold: str, folds: int, fit) -> DataFrame:
     return fit(others.withColumnRenamed("_fold", fold))
 
 
+def _first_rows(counts: DataFrame, cell: list[str], found: DataFrame, series: list[Series]) -> DataFrame:
+    """cell, g, v, first: the weight of one row of a found value, of the least x that the series weighs."""
+    values = stored(found.select(*cell, "v").distinct(), "values")
+    near = same(counts.withColumnRenamed("_v", "v"), values, [*cell, "v"], hint=sized(values))
+    firsts = ", ".join(f"min(CASE WHEN {s.where} THEN struct(_x, ({s.weight}) / _n AS w) END).w" for s in series)
+    labels = ", ".join(f"CAST({s.label!r} AS DOUBLE)" for s in series)
+    wide = near.groupBy(*cell, "v").agg(F.expr(f"array({firsts}) AS _all"))
+    return wide.selectExpr(*[f"`{c}`" for c in cell], "v", f"inline(transform(array({labels}), (g, i) -> struct(g AS g, _all[i] AS first)))").where("first IS NOT NULL")
+
+
 def local_quantile_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[float], bandwidth: float, quantiles: dict[str, float], min_rows: int = 25, least_weight: float = 1e-4) -> DataFrame:
-    """Kernel quantiles at grid points with ``min_rows`` rows of a weight above ``least_weight``: linear between values
-    at their cumulative shares (no midpoints), the first value below the first share. Equal values count as one."""
+    """Kernel quantiles at grid points with ``min_rows`` rows of a weight above ``least_weight``: linear between rows at their
+    cumulative shares (no midpoints), the first value below the first share.
+
+    Each row has its own share. Of rows of equal values, in the order of x, the first one ends the line from the value
+    before, and shares between the first and the last of them give the value itself.
+    """
     reach = math.sqrt(-2 * math.log(least_weight))
     counts = _counts(df, cell, x, value)
     points = _points(counts, cell, grid, bandwidth, reach).where(F.col("rows") >= min_rows)
-    found = _at_quantiles(counts, cell, grid, bandwidth, reach, quantiles, points)
-    v, q, own, before = F.col("v"), F.col("q"), (F.col("below") + F.col("w")) / F.col("weight"), F.col("below") / F.col("weight")
-    found = found.withColumn("_at", F.when(F.col("previous").isNull() | (own < q), v).otherwise(F.col("previous") + (v - F.col("previous")) * (q - before) / (own - before)))
+    found = stored(_at_quantiles(counts, cell, grid, bandwidth, reach, quantiles, points), "found")
+    found = same(found, _first_rows(counts, cell, found, _series(grid, bandwidth, reach)), [*cell, "g", "v"])
+    v, q, before = F.col("v"), F.col("q"), F.col("below") / F.col("weight")
+    last, first = (F.col("below") + F.col("w")) / F.col("weight"), F.col("first") / F.col("weight")
+    line = F.col("previous") + (v - F.col("previous")) * F.least((q - before) / first, F.lit(1.0))
+    found = found.withColumn("_at", F.when(F.col("previous").isNull() | (last < q), v).otherwise(line))
     return found.groupBy(*cell, "g").agg(F.first("rows").alias("rows"), *[F.max(F.when(F.col("name") == k, F.col("_at"))).alias(k) for k in quantiles])
 
 

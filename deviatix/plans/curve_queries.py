@@ -93,8 +93,12 @@ def n03(spark, sf):
     return rounded(N.quantile_curve(d, ["sex", "stage"], "age", "y", FINE, 5.0, {"p10": 0.1, "p50": 0.5, "p90": 0.9}).drop("weight", "n_eff"), 5)
 
 
-@query("n06_local_quantiles", f"""WITH {SEG}, {_curve_sql("stage", "SELECT stage, age, y FROM seg WHERE NOT artifact", 3, "3 * sqrt(-2 * ln(1e-4))")}, b AS (SELECT *, lag(c) OVER (PARTITION BY stage, g ORDER BY y) AS c0, lag(y) OVER (PARTITION BY stage, g ORDER BY y) AS v0 FROM (SELECT *, upto / total AS c FROM cw WHERE rows >= 25))
-  SELECT stage, g, CAST(any_value(rows) AS BIGINT) AS rows, round({_at(0.25)}, 5) AS p25, round({_at(0.5)}, 5) AS p50 FROM b GROUP BY 1, 2""")
+_N06 = _curve_sql("stage", "SELECT stage, age, y FROM seg WHERE NOT artifact", 3, "3 * sqrt(-2 * ln(1e-4))").replace("count(*) AS n FROM cl", "count(*) AS n, arg_min(exp(-0.5 * ((age - g) / 3) ** 2), age) AS first FROM cl")
+_LOCAL = "coalesce(arg_min(CASE WHEN c0 IS NULL THEN y ELSE v0 + (y - v0) * least(({0} - c0) / (first / total), 1) END, c) FILTER (c >= {0}), max(y))"
+
+
+@query("n06_local_quantiles", f"""WITH {SEG}, {_N06}, b AS (SELECT *, lag(c) OVER (PARTITION BY stage, g ORDER BY y) AS c0, lag(y) OVER (PARTITION BY stage, g ORDER BY y) AS v0 FROM (SELECT *, upto / total AS c FROM cw WHERE rows >= 25))
+  SELECT stage, g, CAST(any_value(rows) AS BIGINT) AS rows, round({_LOCAL.format(0.25)}, 5) AS p25, round({_LOCAL.format(0.5)}, 5) AS p50 FROM b GROUP BY 1, 2""")
 def n06(spark, sf):
     return rounded(N.local_quantile_curve(clean(spark, sf), ["stage"], "age", "y", FINE, 3.0, {"p25": 0.25, "p50": 0.5}), 5)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as SC
 from ..operators import aggregates as A
 from ..operators import descriptors as D
 from ..operators import stats as S
@@ -121,6 +122,34 @@ def p28(spark, sf):
     return table(spark, sf, "part").select("p_partkey", place.alias("place"))
 
 
+_REGIONS = {1: "L_temporal", 2: "R_temporal", 3: "L_frontal", 4: "R_frontal", 5: "L_posterior", 6: "R_posterior"}
+_SIDES = "((coalesce(lt, 0) + coalesce(lf, 0) + coalesce(lp, 0)) - (coalesce(rt, 0) + coalesce(rf, 0) + coalesce(rp, 0))) / 3"
+
+
+@query("p28_place_of_finding", f"""WITH {POW}, r AS (SELECT eeg_id, {', '.join(f"max((theta - 36) / 19.7) FILTER (channel = {k}) AS {v[0].lower() + v[2]}" for k, v in _REGIONS.items())}, quantile_cont((delta - 25) / 15, 0.9) AS d90, quantile_cont((theta - 36) / 19.7, 0.9) AS t90 FROM pw GROUP BY 1),
+  l AS (SELECT *, {_SIDES} AS lat, (coalesce(lt, 0) + coalesce(rt, 0)) / 2 AS temporal, (coalesce(lf, 0) + coalesce(rf, 0)) / 2 AS frontal, (coalesce(lp, 0) + coalesce(rp, 0)) / 2 AS posterior, greatest(lt, rt, lf, rf, lp, rp) AS peak FROM r),
+  x AS (SELECT *, temporal - (frontal + posterior) / 2 AS xt, frontal - (temporal + posterior) / 2 AS xf, posterior - (temporal + frontal) / 2 AS xp, CASE peak WHEN rt THEN 'right temporal' WHEN rp THEN 'right posterior' WHEN rf THEN 'right frontal' WHEN lt THEN 'left temporal' WHEN lp THEN 'left posterior' WHEN lf THEN 'left frontal' END AS pr FROM l),
+  y AS (SELECT *, abs(lat) >= 0.5 OR greatest(xt, xf, xp) >= 0.6 AS focal, CASE greatest(xt, xf, xp) WHEN xt THEN 'temporal' WHEN xf THEN 'frontal' ELSE 'posterior' END AS lobe, CASE WHEN lat > 0.25 THEN 'left' WHEN lat < -0.25 THEN 'right' ELSE 'bilateral' END AS side FROM x),
+  b AS (SELECT *, least(coalesce(lt, 0), coalesce(rt, 0)) > 1 AND abs(lat) < 0.4 AND lobe = 'temporal' AS both_sides FROM y)
+  SELECT eeg_id, CASE WHEN NOT focal THEN CASE WHEN frontal - posterior > 1.645 THEN 'frontally predominant' WHEN frontal - posterior < -1.645 THEN 'posteriorly predominant' ELSE 'diffuse' END WHEN both_sides THEN 'bilateral independent temporal' ELSE side || ' ' || lobe END AS place,
+  CASE WHEN NOT focal THEN NULL WHEN both_sides THEN 'both temporal regions' WHEN side = 'bilateral' THEN 'the ' || lobe || ' region on both sides' WHEN starts_with(pr, side) THEN pr || ' region' END AS region,
+  NOT focal OR coalesce(peak, 0) >= 1 AS confident, round(CASE WHEN focal AND peak IS NOT NULL THEN peak ELSE greatest(d90, t90) END, 5) AS magnitude FROM b""")
+def p28_place(spark, sf):
+    """Channels as regions of both sides: z by region, lobes and difference of sides from these, the peak and the place."""
+    z, d = (F.col("theta") - 36) / 19.7, (F.col("delta") - 25) / 15
+    parts = [F.max(F.when(F.col("channel") == k, z)).alias(v) for k, v in _REGIONS.items()]
+    r = powers(spark, sf).groupBy("eeg_id").agg(*parts, F.percentile(d, F.lit(0.9)).alias("d90"), F.percentile(z, F.lit(0.9)).alias("t90"))
+    v = {name: F.coalesce(F.col(name), F.lit(0.0)) for name in _REGIONS.values()}
+    lobes = {k: (v[f"L_{k}"] + v[f"R_{k}"]) / 2 for k in ("temporal", "frontal", "posterior")}
+    signed = (v["L_temporal"] + v["L_frontal"] + v["L_posterior"] - (v["R_temporal"] + v["R_frontal"] + v["R_posterior"])) / 3
+    peak = F.array_max(F.array(*[F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("z"), F.lit(name).alias("name"))) for name in _REGIONS.values()]))
+    r = r.select("*", signed.alias("signed"), peak.alias("peak"), *[c.alias(k) for k, c in lobes.items()])
+    own = {k: F.col(k) for k in lobes}
+    found = D.finding_place(F.col("signed"), own, own["frontal"] - own["posterior"], F.col("peak.name"), F.col("peak.z"), F.col("L_temporal"), F.col("R_temporal"))
+    size = D.magnitude(SC.is_focal(F.col("signed"), own), F.col("peak.z"), F.col("d90"), F.col("t90"))
+    return rounded(r.select("eeg_id", *[c.alias(k) for k, c in found.items()], size.alias("magnitude")), 5)
+
+
 @query("dsp09_dsp11_alpha_share", f"WITH {_PSD}, {_LONG} SELECT seg, round(avg(p) FILTER (channel IN (0,1,4,5,8,9,12,13,16) AND f >= 8 AND f < 13) / (avg(p) FILTER (channel IN (0,1,4,5,8,9,12,13,16) AND f >= 8 AND f < 13) + avg(p) FILTER (channel IN (2,3,6,7,10,11,14,15,17) AND f >= 8 AND f < 13) + 1e-12), 6) AS q_apg FROM lg GROUP BY 1")
 def dsp09(spark, sf):
     x = long(spark, sf).where("f >= 8 AND f < 13")

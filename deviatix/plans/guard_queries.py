@@ -100,13 +100,13 @@ _SENT = "list_filter(string_split_regex({0}, '[.;\\n]'), lambda s: trim(s) <> ''
 _NAMED = "(len(list_filter(" + _SENT + ", lambda s: regexp_matches(s, 'tion') AND NOT regexp_matches(s, ' (of|le) ') AND NOT regexp_matches(s, 'sch|ing'))) > 0)"
 
 
-@query("tx10_tx11_label_algebra", rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract(coalesce(text, ''), '(?is)(?:thatand|ention)\s*:?\s*(.{{0,1000}})', 1) AS found, quality = 0 AS abn, contains(text, 'ung') AS foc, contains(text, 'ent') AS gen FROM documents LEFT JOIN labels USING (doc_id)),
+@query("tx10_tx11_label_algebra", rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract(coalesce(text, ''), '(?is)(?:thatand|ention)\s*:?\s*(.*)', 1) AS found, quality = 0 AS abn, contains(text, 'ung') AS foc, contains(text, 'ent') AS gen FROM documents LEFT JOIN labels USING (doc_id)),
   n AS (SELECT doc_id, coalesce(abn, false) AS abn, coalesce(foc, false) AS foc, coalesce(gen, false) AS gen, CASE WHEN trim(found) = '' AND coalesce(abn, false) THEN regexp_matches(body, '(?i)the[^.]{{0,60}}?(?:and|of)') AND {_NAMED.format("body")} ELSE {_NAMED.format("found")} END AS named FROM d)
   SELECT doc_id, named, foc AND abn AS focal, gen AND abn AND named AS gen_pathologic, gen AND NOT (gen AND abn AND named) AS gen_physiologic, (foc AND abn) OR (gen AND abn AND named) AS positive, abn AND NOT ((foc AND abn) OR (gen AND abn AND named)) AS abnormal_without FROM n""")
 def tx10(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     body, abn = F.coalesce("text", F.lit("")), F.coalesce(F.col("quality") == 0, F.lit(False))
-    found, source = T.conclusion(F.lit(None).cast("string"), body, r"(?is)(?:thatand|ention)\s*:?\s*(.{0,1000})")
+    found, source = T.conclusion(F.lit(None).cast("string"), body, T.section_pattern("thatand|ention"))
     named = T.named_with_fallback(F.coalesce(found, F.lit("")), source, body, abn, "tion", r"(?i)the[^.]{0,60}?(?:and|of)", negated=" (of|le) ", normal_state="sch|ing")
     d = d.select("doc_id", named.alias("named"), abn.alias("abn"), F.contains("text", F.lit("ung")).alias("foc"), F.contains("text", F.lit("ent")).alias("gen"))
     return d.select("doc_id", "named", *[c.alias(k) for k, c in T.label_algebra(F.col("foc"), F.col("gen"), F.col("abn"), F.col("named")).items()])

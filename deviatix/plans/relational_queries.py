@@ -124,6 +124,25 @@ def j20(spark, sf):
     return rounded(o.join(dob, "o_custkey", "left").select("o_orderkey", ((F.col("t") - F.col("dob")) / 31557600).alias("age")))
 
 
+_EXAMS = "ex AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice / 5000 END AS age FROM orders)"
+_BIRTHS = "bd AS (SELECT o_custkey, quantile_cont(b, 0.5) AS birth, count(*) AS exams, (max(b) - min(b)) / 86400 AS spread_days FROM (SELECT o_custkey, epoch(o_orderdate) - age * 31557600 AS b FROM ex WHERE age IS NOT NULL) GROUP BY 1)"
+
+
+def exams(spark, sf):
+    age = F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 5000)
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", age.alias("age"))
+
+
+@query("a14_birth_dates", f"WITH {_EXAMS}, {_BIRTHS} SELECT o_custkey, round(birth, 5) AS birth, exams, round(spread_days, 5) AS spread_days FROM bd")
+def a14(spark, sf):
+    return rounded(A.birth_dates(exams(spark, sf), "o_custkey", "o_orderdate", "age"), 5)
+
+
+@query("a14_recovered_ages", f"WITH {_EXAMS}, {_BIRTHS} SELECT o_orderkey, round(coalesce(age, (epoch(o_orderdate) - birth) / 31557600), 6) AS recovered_age FROM ex LEFT JOIN bd USING (o_custkey)")
+def a14_ages(spark, sf):
+    return rounded(A.recovered_ages(exams(spark, sf), "o_custkey", "o_orderdate", "age").select("o_orderkey", "recovered_age"))
+
+
 @query("a03_a05_medians", f"WITH {POW}, {_BRIDGE} SELECT stage, region, round(quantile_cont(delta, 0.5), 6) AS delta, round(quantile_cont(theta, 0.5), 6) AS theta, count(*) AS n FROM pw JOIN br USING (channel) GROUP BY 1, 2")
 def a03(spark, sf):
     return rounded(powers(spark, sf).join(F.broadcast(bridge(spark)), "channel").groupBy("stage", "region").agg(A.median("delta").alias("delta"), A.median("theta").alias("theta"), F.count(F.lit(1)).alias("n")))

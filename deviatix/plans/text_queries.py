@@ -43,13 +43,26 @@ def tx05(spark, sf):
 
 
 @query("tx06_tx08_flags_conclusion", """SELECT doc_id, regexp_matches(lower(text), '\\bnormal (eeg|study|awake)|this is a normal\\b') AND NOT contains(lower(text), 'abnormal') AS normal, regexp_matches(lower(text), '\\babnormal\\b') AS abnormal,
-  md5(coalesce(nullif(trim(regexp_extract(text, '(?is)(?:license|licence)\\s*:?\\s*(.{0,900})', 1)), ''), '')) AS section, CASE WHEN nullif(trim(regexp_extract(text, '(?is)(?:license|licence)\\s*:?\\s*(.{0,900})', 1)), '') IS NULL THEN 'none' ELSE 'section' END AS source FROM documents WHERE text IS NOT NULL""")
+  md5(coalesce(nullif(trim(regexp_extract(text, '(?is)(?:license|licence)\\s*:?\\s*(.*)', 1)), ''), '')) AS section, CASE WHEN nullif(trim(regexp_extract(text, '(?is)(?:license|licence)\\s*:?\\s*(.*)', 1)), '') IS NULL THEN 'none' ELSE 'section' END AS source FROM documents WHERE text IS NOT NULL""")
 def tx06(spark, sf):
     n, a = T.normal_flags(F.col("text"))
-    found, src = T.conclusion(F.lit(None).cast("string"), F.col("text"), r"(?is)(?:license|licence)\s*:?\s*(.{0,900})")
+    found, src = T.conclusion(F.lit(None).cast("string"), F.col("text"), T.section_pattern("license|licence"))
     return docs(spark, sf).where(F.col("text").isNotNull()).select("doc_id", n.alias("normal"), a.alias("abnormal"), F.md5(F.coalesce(found, F.lit("")).cast("binary")).alias("section"), src.alias("source"))
 
 
+_CONTEXT = "array_to_string(cl, ' ')"
+
+
+@query("tx07_base_labels", f"""WITH d AS (SELECT doc_id, {_CL} AS cl FROM documents), x AS (SELECT doc_id, len(cl) > 0 AS mentions, {_CONTEXT} AS c FROM d)
+  SELECT doc_id, mentions, CASE WHEN contains(c, 'ing') AND contains(c, 'ment') THEN 'mixed' WHEN contains(c, 'ing') THEN 'delta' WHEN contains(c, 'ment') THEN 'theta' END AS band,
+  CASE WHEN regexp_matches(c, '\\band|schaft|from\\b') THEN 'bilateral' WHEN regexp_matches(c, '\\bthe\\b') THEN 'left' WHEN regexp_matches(c, '\\bof\\b') THEN 'right' END AS side,
+  CASE WHEN contains(c, 'sch') THEN 'sch' WHEN contains(c, 'que') THEN 'que' WHEN contains(c, 'ess') THEN 'ess' WHEN contains(c, 'en') THEN 'en' END AS region FROM x""")
+def tx07(spark, sf):
+    sides = [("bilateral", r"\band|schaft|from\b"), ("left", r"\bthe\b"), ("right", r"\bof\b")]
+    found = T.base_labels(F.col("text"), KEY, sides, ["sch", "que", "ess", "en"], "ing", "ment")
+    return docs(spark, sf).select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
 _S = "list_filter(string_split_regex(coalesce(text, ''), '[.;\\n]'), lambda s: trim(s) <> '')"
 
 
@@ -106,3 +119,18 @@ def tx16(spark, sf):
 def tx18(spark, sf):
     raw = F.element_at(F.array(*[F.lit(x) for x in ("EEG T7-Ref", " t8", "eeg P7-LE", "P8-A1", "Cz ")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
     return table(spark, sf, "nation").select("n_nationkey", T.channel_label(raw).alias("label"))
+
+
+_RAW = "p_name || '-' || p_brand"
+_LABEL = f"regexp_replace(regexp_replace(regexp_replace(upper(trim({_RAW})), '^(?:(?:SMALL|RED|OLD)\\s+)?(?:(?:SMALL|RED|OLD)-)?', ''), '-.*$', ''), '[\\s.]+', '', 'g')"
+
+
+@query("tx18_label_kinds", f"""WITH s AS (SELECT p_partkey, {_LABEL} AS s FROM part), e AS (SELECT p_partkey, CASE WHEN s IN ('BLUERING', 'RING') THEN s ELSE regexp_replace(s, '^(.+)(?:ING|OLT)$', '\\1') END AS e FROM s),
+  l AS (SELECT p_partkey, CASE e WHEN 'ROD' THEN 'BAR' WHEN 'PLATE' THEN 'SHEET' ELSE e END AS label FROM e)
+  SELECT p_partkey, label, CASE WHEN label IN ('BAR', 'SHEET', 'HOTB') THEN 'stock' WHEN label IN ('RING', 'BLUERING', 'BAR') THEN 'round' WHEN label IN ('GEAR', 'COLDGEAR', 'GIZMO') THEN 'machine' END AS kind FROM l""")
+def tx18_kinds(spark, sf):
+    """Names of parts as labels: the first word is the kind, the brand the reference."""
+    raw = F.concat("p_name", F.lit("-"), "p_brand")
+    label = T.channel_label(raw, {"ROD": "BAR", "PLATE": "SHEET"}, ("SMALL", "RED", "OLD"), ("ING", "OLT"), ["BLUERING", "RING"])
+    kinds = {"stock": ["BAR", "SHEET", "HOTB"], "round": ["RING", "BLUERING", "BAR"], "machine": ["GEAR", "COLDGEAR", "GIZMO"]}
+    return table(spark, sf, "part").select("p_partkey", label.alias("label")).withColumn("kind", T.label_kind(F.col("label"), kinds))
