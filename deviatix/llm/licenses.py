@@ -20,11 +20,19 @@ NOTICES = {
     "boost software license": "bsl", "mozilla public license": "mpl", "eclipse public license": "epl",
     "lesser general public license": "lgpl", "affero general public license": "agpl", "dedicated to the public domain": "public-domain",
     "released into the public domain": "public-domain", "proprietary and confidential": "proprietary",
+    "creative commons attribution": "cc-by", "attribution sharealike": "cc-by-sa", "attribution share alike": "cc-by-sa", "attribution noncommercial": "cc-by-nc",
+    "attribution non commercial": "cc-by-nc", "attribution noderivatives": "cc-by-nd", "attribution noderivs": "cc-by-nd", "creativecommons org licenses by": "cc-by",
+    "creativecommons org licenses by sa": "cc-by-sa", "creativecommons org licenses by nc": "cc-by-nc", "creativecommons org licenses by nd": "cc-by-nd",
+    "creativecommons org publicdomain zero": "cc0", "apache org licenses": "apache", "licensed under the apache": "apache", "opensource org licenses mit": "mit",
+    "licensed under the mit": "mit", "opensource org licenses isc": "isc", "mozilla org mpl": "mpl", "gnu gpl": "gpl", "gplv2": "gpl", "gplv3": "gpl", "gpl version": "gpl",
+    "gnu lgpl": "lgpl", "lgplv2": "lgpl", "lgplv3": "lgpl", "lgpl version": "lgpl", "gnu agpl": "agpl", "agplv3": "agpl", "agpl version": "agpl",
+    "library general public license": "lgpl", "gnu free documentation license": "gfdl", "open database license": "odbl", "artistic license": "artistic", "zlib license": "zlib",
+    "free and unencumbered software": "unlicense", "boost org license": "bsl", "eclipse org legal epl": "epl", "for non commercial use only": "noncommercial", "for noncommercial use only": "noncommercial",
 }
 #: What a label obliges to, from 0 (nothing) to 1 (no use allowed). Fixed values.
 OBLIGATION = {
-    "cc0": 0.05, "public-domain": 0.05, "unlicense": 0.05, "mit": 0.1, "isc": 0.1, "bsl": 0.1, "bsd": 0.15, "apache": 0.2, "cc-by": 0.3,
-    "mpl": 0.4, "epl": 0.4, "lgpl": 0.5, "cc-by-sa": 0.6, "cc-by-nd": 0.7, "gpl": 0.7, "agpl": 0.8, "cc-by-nc": 0.8, "proprietary": 1.0, "reserved": 1.0,
+    "cc0": 0.05, "public-domain": 0.05, "unlicense": 0.05, "mit": 0.1, "isc": 0.1, "bsl": 0.1, "zlib": 0.1, "bsd": 0.15, "apache": 0.2, "cc-by": 0.3,
+    "mpl": 0.4, "epl": 0.4, "artistic": 0.4, "lgpl": 0.5, "cc-by-sa": 0.6, "gfdl": 0.6, "odbl": 0.6, "cc-by-nd": 0.7, "gpl": 0.7, "agpl": 0.8, "cc-by-nc": 0.8, "noncommercial": 0.8, "proprietary": 1.0, "reserved": 1.0,
 }
 UNKNOWN = 0.6
 #: An exception lifts part of what a licence obliges to.
@@ -43,18 +51,20 @@ def label_of(identifier: str) -> str:
     return max((k for k in OBLIGATION if x == k or x.startswith((k + "-", k + "+"))), key=len, default=x)
 
 
-def to_postfix(text: str, start: int = 0, stop: int = sys.maxsize) -> list[str] | None:
-    """Shunting-yard: the expression at ``start`` in postfix order, or None if it is malformed. It ends at ``stop``, or
-    behind a complete operand at a word, an opening bracket or a closing one without a partner: these are prose."""
+def to_postfix(text: str, start: int = 0, stop: int = sys.maxsize) -> tuple[list[str], bool]:
+    """Shunting-yard: (the expression at ``start`` in postfix order, whether it is whole). It ends at ``stop``, or behind a
+    complete operand at a word, an opening bracket or a closing one without a partner: these are prose. Of a malformed
+    expression the identifiers stay, up to the fault and without operators or exceptions."""
     out: list[str] = []
+    named: list[str] = []  # identifiers, without what follows "with"
     stack: list[str] = []
-    operand, opened = True, 0  # an operand is due; brackets open
+    operand, opened, previous = True, 0, ""  # an operand is due; brackets open
     for m in _TOKEN.finditer(text, start, stop):
         token = m[0]
         op = token.lower()
         if op in _BINDS:
             if operand:
-                return None
+                return named, False
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[op]:
                 out.append(stack.pop())
             stack.append(op)
@@ -66,7 +76,7 @@ def to_postfix(text: str, start: int = 0, stop: int = sys.maxsize) -> list[str]
             opened += 1
         elif token == ")":
             if operand:
-                return None
+                return named, False
             if not opened:
                 break
             while stack[-1] != "(":
@@ -77,17 +87,22 @@ def to_postfix(text: str, start: int = 0, stop: int = sys.maxsize) -> list[str]
             if not operand:
                 break
             out.append(token)
+            if previous != "with":
+                named.append(token)
             operand = False
+        previous = op
     if operand or opened:
-        return None
-    return out + stack[::-1]
+        return named, False
+    return out + stack[::-1], True
 
 
 def evaluate(text: str, start: int = 0, stop: int = sys.maxsize) -> tuple[set[str], float]:
-    """(labels, obligation) of the expression there: "or" leaves the choice of the lesser, "and" binds to the greater, "with" lifts a part."""
-    postfix = to_postfix(text, start, stop)
-    if postfix is None:
-        return {"unknown"}, UNKNOWN
+    """(labels, obligation) of the expression there: "or" leaves the choice of the lesser, "and" binds to the greater, "with" lifts a part.
+    A malformed expression is ``unknown`` beside the labels that it names, and binds to the greatest of all of them."""
+    postfix, whole = to_postfix(text, start, stop)
+    if not whole:
+        named = {label_of(x) for x in postfix}
+        return named | {"unknown"}, max([UNKNOWN, *(OBLIGATION.get(x, UNKNOWN) for x in named)])
     stack: list[tuple[set[str], float]] = []
     for token in postfix:
         if token in _BINDS and len(stack) >= 2:
