@@ -34,7 +34,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "kept", F.col("rate").alias("host_rate"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "kept", F.col("rate").alias("host_rate"), F.array_join("broken", ",").alias("host_broken"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,12 +231,45 @@ def test_license_scan(spark, odd, empty):
     assert score == 1.0
     assert licenses.evaluate("MIT OR GPL-3.0-or-later") == ({"mit", "gpl"}, 0.1)
     assert licenses.evaluate("MIT AND (GPL-2.0 WITH x)")[1] == pytest.approx(0.49)
-    assert licenses.evaluate("MIT AND OR") == ({"unknown"}, licenses.UNKNOWN)
+    assert licenses.evaluate("MIT AND OR") == ({"mit", "unknown"}, licenses.UNKNOWN)
+    assert licenses.evaluate("GPL-2.0-only WITH") == ({"gpl", "unknown"}, 0.7)
+    assert licenses.evaluate("(MIT OR Apache-2.0") == ({"mit", "apache", "unknown"}, licenses.UNKNOWN)
+    assert licenses.evaluate("MIT WITH x OR OR") == ({"mit", "unknown"}, licenses.UNKNOWN)
+    assert licenses.evaluate(")") == ({"unknown"}, licenses.UNKNOWN) == licenses.evaluate("")
     assert licenses.scan(None) == (0, 0, None, None, "", "", 0.0)
     assert licenses.scan_licenses(odd).count() == odd.count()
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def drawn(r: random.Random, depth: int) -> tuple[str, set, float, int]:
+    """A random expression with its labels, its obligation and how tightly its last operator binds, made from the tree down."""
+    if not depth or r.random() < 0.3:
+        name, label, weight = r.choice([("MIT", "mit", 0.1), ("Apache-2.0", "apache", 0.2), ("GPL-3.0-only", "gpl", 0.7), ("CC0-1.0", "cc0", 0.05), ("Own-1", "own-1", 0.6)])
+        return (f"{name} With Some-exception", {label}, weight * 0.7, 3) if r.random() < 0.2 else (name, {label}, weight, 4)
+    op, binds, join = r.choice([("or", 1, min), ("AND", 2, max)])
+    sides = [drawn(r, depth - 1) for _ in range(2)]
+    texts = [f"( {t} )" if b < binds or r.random() < 0.1 else t for t, _, _, b in sides]
+    return f"{texts[0]} {op} {texts[1]}", sides[0][1] | sides[1][1], join(sides[0][2], sides[1][2]), binds
+
+
+def test_license_expressions():
+    r = random.Random(8)
+    for _ in range(300):
+        text, labels, weight, _ = drawn(r, 4)
+        got = licenses.evaluate(text)
+        assert got[0] == labels and got[1] == pytest.approx(weight), text
+        cut, unknown = licenses.evaluate(f"{text} and")
+        assert cut == labels | {"unknown"} and unknown >= licenses.UNKNOWN
+
+
+def test_license_notices():
+    known = {
+        "Creative Commons Attribution 4.0 International License": "cc-by", "Creative Commons Attribution-ShareAlike 3.0": "cc-by,cc-by-sa", "you can redistribute it and/or modify it under the terms of the GNU GPL": "gpl",
+        "https://www.apache.org/licenses/LICENSE-2.0": "apache", "GNU LGPL version 2.1": "lgpl", "see https://creativecommons.org/licenses/by/4.0/": "cc-by", "Licensed under the MIT licence": "mit", "a plain sentence of no licence": "",
+    }
+    assert {t: licenses.scan(t)[5] for t in known} == known
+
+
 def brute_stats(t):
     t = t or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
@@ -261,6 +294,18 @@ def test_quality_rules(spark, docs, odd, empty):
     assert all(kept[i] for i in range(310, 600))
 
 
+def test_hosts_by_each_rule(spark):
+    """A host is condemned by the rule that its documents break, and by no other; few documents condemn none."""
+    good = lambda i: " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(40))
+    text = {"symbols": lambda i: good(i).replace(" ", "## "), "lines": lambda i: good(i) + "\nagain and again" * 5, "words": lambda i: " ".join("x" * 30 + str(k) for k in range(30)), "few": lambda i: good(i).replace(" ", "## ")}
+    rows = [(i, text[h](i) if h in text and i % 10 < 7 else good(i), h) for i, h in enumerate([*["symbols", "lines", "words"] * 60, *["few"] * 2, *[f"h{k % 9}" for k in range(900)], None])]
+    out = {r.id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    broken = {h: {tuple(out[i].broken or []) for i, _, g in rows if g == h} for h in ("symbols", "lines", "words", "few", "h0", None)}
+    assert broken == {"symbols": {("symbol_heavy",)}, "lines": {("line_heavy",)}, "words": {("odd_words",)}, "few": {()}, "h0": {()}, None: {()}}
+    assert not any(r.failed for r in out.values())
+    assert {h for i, _, h in rows if not out[i].kept} == {"symbols", "lines", "words"}
+
+
 def test_language(spark, odd, empty):
     r = random.Random(4)
     sets = {"aa": ["the", "ing", "and", "wh"], "bb": ["que", "lle", "eau", "é"], "cc": ["sch", "ung", "der", "ß"]}

@@ -55,28 +55,34 @@ def test_op1(spark, documents):
 
 def test_op2(spark, documents):
     got = result(spark, "op2_quality_rules")
-    rates: dict = {}
+    broken: dict = {}
     for i, text, _, source in documents:
         n, chars, symbols, dup, rep = brute_stats(text)
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
         assert r.base_failed == (n < 20 or 100 * rep > 30 * n)
-        rates.setdefault(source, []).append(r.base_failed)
+        lines = len(text.split("\n")) if text else 0
+        broken.setdefault(source, []).append((r.base_failed, symbols > chars / 10, dup > 0.3 * lines, chars < 2.5 * n or chars > 15 * n))
     assert all(not (r.kept and r.base_failed) for r in got.values())
-    # a beta prior of the hosts' rates by moments; bad hosts lie two posterior deviations above one half
-    hosts = {h: (len(x), sum(x)) for h, x in rates.items() if h is not None}
-    n, f = (sum(x) for x in zip(*hosts.values(), strict=True))
-    mean = f / n
-    spread = sum(d * (k / d) ** 2 for d, k in hosts.values()) / n - mean**2 - mean * (1 - mean) * len(hosts) / n
-    strength = min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 1), 1e6)
+    # a beta prior of the hosts' rates by moments for each rule; bad hosts lie two posterior deviations above four times its mean
+    bad, rates = {}, {}
+    for k, name in enumerate(("failed", "symbol_heavy", "line_heavy", "odd_words")):
+        hosts = {h: (len(x), sum(y[k] for y in x)) for h, x in broken.items() if h is not None}
+        n, f = (sum(x) for x in zip(*hosts.values(), strict=True))
+        mean = min(max(f / n, 1e-6), 1 - 1e-6)
+        spread = sum(d * (c / d) ** 2 for d, c in hosts.values()) / n - mean**2 - mean * (1 - mean) * len(hosts) / n
+        strength = min(max(mean * (1 - mean) / max(spread, 1e-6) - 1, 1), 1e6)
+        for h, (d, c) in hosts.items():
+            post = (c + mean * strength) / (d + strength)
+            if not k:
+                rates[h] = post
+            if post - 2 * (post * (1 - post) / (d + strength + 1)) ** 0.5 > (min(max(4 * mean, 0.25), 0.5) if not k else max(4 * mean, 0.25)):
+                bad.setdefault(h, []).append(name)
     for i, _, _, source in documents:
-        bad = False
         if source is not None:
-            d, k = hosts[source]
-            post = (k + mean * strength) / (d + strength)
-            assert got[i].host_rate == pytest.approx(post)
-            bad = post - 2 * (post * (1 - post) / (d + strength + 1)) ** 0.5 > 0.5
-        assert got[i].kept == (not got[i].base_failed and not bad)
+            assert got[i].host_rate == pytest.approx(rates[source])
+            assert got[i].host_broken == ",".join(bad.get(source, []))
+        assert got[i].kept == (not got[i].base_failed and source not in bad)
 
 
 def test_op3(spark):
