@@ -23,6 +23,8 @@ FEW = 4096
 FINEST = 1e-12
 #: Ranges still searched (a number of groups, series and ranks) up to which they are broadcast.
 BROADCAST_ROWS = 50_000
+#: Distinct values of a group up to which one task may hold them (some 10 MB): its percentiles then need no search.
+HELD = 100_000
 #: Doubles have so many bits that more rounds mean a fault.
 MOST_ROUNDS = 300
 
@@ -124,12 +126,16 @@ def first_reaching(counts: DataFrame, cell: list[str], value: str, series: list[
     return same(asked.drop("w"), out, key)
 
 
-def percentiles(df: DataFrame, cell: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, cell: list[str], value: str, shares: dict[str, float], held: int = HELD) -> DataFrame:
     """cell, n and a column for each share: exact percentiles, linear between the two values beside a rank, as
-    ``F.percentile`` gives them, for groups of any size. Nulls and NaN are left out; a group without values has no row."""
+    ``F.percentile`` gives them, for groups of any size. Nulls and NaN are left out; a group without values has no row.
+    Where no group has over ``held`` distinct values, an aggregate takes them from the counts; else they are searched for."""
     v = F.col(value).cast("double")
     rows = df.select(*cell, v.alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     counts = stored(rows.groupBy(*cell, "_value").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    most = counts.groupBy(*cell).count().agg(F.max("count")).first()[0]
+    if (most or 0) <= held:
+        return counts.groupBy(*cell).agg(F.sum("_n").alias("n"), *[F.percentile("_value", F.lit(float(q)), F.col("_n")).alias(k) for k, q in shares.items()]).where("n > 0")
     place = lambda q: (F.col("w") - 1) * F.lit(float(q))
     each = F.array(*[F.struct(F.lit(k).alias("name"), place(q).alias("_place")) for k, q in shares.items()])
     ranks = lambda totals: totals.select(*cell, "g", F.col("w").alias("_total"), F.inline(each)).withColumn("need", F.floor("_place") + 1.0)

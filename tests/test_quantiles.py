@@ -29,15 +29,15 @@ def rows(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell, age, value
 
 
-@pytest.mark.parametrize("few", [4, 4096])
-def test_percentiles(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "held"), [(4, 0), (4096, 0), (4096, quantiles.HELD)])
+def test_percentiles(spark, monkeypatch, few, held):
     monkeypatch.setattr(quantiles, "FEW", few)
     monkeypatch.setattr(quantiles, "BRANCHES", 16 if few == 4 else 512)
     cell, _, value = rows(4000)
     data = [(None if c == 2 else int(c), float(v)) for c, v in zip(cell, value, strict=True)] + [(0, None), (0, float("nan")), (9, None), (7, 5.0)]
     df = spark.createDataFrame(data, "cell int, v double").repartition(5)
     shares = {"a": 0.0, "b": 0.002, "c": 0.37, "d": 0.5, "e": 1.0}
-    got = {r.cell: r for r in quantiles.percentiles(df, ["cell"], "v", shares).collect()}
+    got = {r.cell: r for r in quantiles.percentiles(df, ["cell"], "v", shares, held).collect()}
     assert set(got) == {None, 0, 1, 7}
     for c in (0, 1, 2):
         own = value[cell == c]
@@ -46,9 +46,9 @@ def test_percentiles(spark, monkeypatch, few):
         for k, q in shares.items():
             assert r[k] == pytest.approx(np.quantile(own, q), rel=1e-12, abs=1e-12)
     assert [got[7][k] for k in shares] == [5.0] * 5
-    whole = quantiles.percentiles(df.where("v > -1e200"), [], "v", {"m": 0.9}).first()
+    whole = quantiles.percentiles(df.where("v > -1e200"), [], "v", {"m": 0.9}, held).first()
     assert whole.m == pytest.approx(np.quantile([v for _, v in data if v is not None and v > -1e200], 0.9), rel=1e-12)
-    assert quantiles.percentiles(df.where("cell = 99"), ["cell"], "v", shares).count() == 0
+    assert quantiles.percentiles(df.where("cell = 99"), ["cell"], "v", shares, held).count() == 0
 
 
 @pytest.mark.parametrize("few", [8, 4096])
