@@ -124,12 +124,12 @@ def j20(spark, sf):
     return rounded(o.join(dob, "o_custkey", "left").select("o_orderkey", ((F.col("t") - F.col("dob")) / 31557600).alias("age")))
 
 
-_EXAMS = "ex AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice / 5000 END AS age FROM orders)"
+_EXAMS = "ex AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus <> 'O' THEN floor(o_totalprice) / 5000 END AS age FROM orders)"
 _BIRTHS = "bd AS (SELECT o_custkey, quantile_cont(b, 0.5) AS birth, count(*) AS exams, (max(b) - min(b)) / 86400 AS spread_days FROM (SELECT o_custkey, epoch(o_orderdate) - age * 31557600 AS b FROM ex WHERE age IS NOT NULL) GROUP BY 1)"
 
 
 def exams(spark, sf):
-    age = F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice") / 5000)
+    age = F.when(F.col("o_orderstatus") != "O", F.floor("o_totalprice") / 5000)
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", age.alias("age"))
 
 
