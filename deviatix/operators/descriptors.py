@@ -145,7 +145,7 @@ def _sample_stats(samples: Column) -> Column:
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / n(x)
 
     def all_of(x: Column) -> Column:
-        mad = _let(middle(F.array_sort(x)), lambda m: middle(F.array_sort(F.transform(x, lambda y: F.abs(y - m)))))
+        mad = _let(_let(F.sort_array(x), middle), lambda m: _let(F.sort_array(F.transform(x, lambda y: F.abs(y - m))), middle))
         sd = _let(mean(x), lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, y: t + (y - m) * (y - m)) / n(x)))
         still = F.size(F.filter(steps(x), lambda d: d == 0)) / F.greatest(n(x) - 1, F.lit(1.0))
         return F.struct(F.size(x).alias("n"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), F.greatest(share(x, F.array_max(x)), share(x, F.array_min(x))).alias("railed"), still.alias("still"), (MAD_SCALE * mad).alias("mad"), sd.alias("sd"))
@@ -165,20 +165,29 @@ def channel_liveness(df: DataFrame, keys: list[str], samples: str, rate: float,
     finite samples: D1 nearly all missing, D2 still, D3 hardly any spread, D4 railed; D3 where no other applies. ``live`` says of each
     window whether it is alive. A null array is a channel without samples.
     """
-    width = max(1, round(seconds * rate))
-    own = df.select(*keys, F.coalesce(F.transform(samples, lambda x: x.cast("double")), F.array().cast("array<double>")).alias("_x"))
-    starts = F.when(F.size("_x") > 0, F.sequence(F.lit(0), F.size("_x") - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
-    own = own.withColumn("_w", F.transform(starts, lambda s: _sample_stats(F.slice("_x", s + 1, width)))).withColumn("_a", _sample_stats(F.col("_x")))
-    least = max(LEAST_SAMPLES, int(0.5 * rate))
+    width, least = max(1, round(seconds * rate)), max(LEAST_SAMPLES, int(0.5 * rate))
     alive = lambda w: (w["n"] >= least) & (w["high"] > w["low"]) & (w["railed"] < RAILED) & (w["still"] < STILL) & ~((w["mad"] < LEAST_SPREAD) & (w["sd"] < LEAST_SPREAD))
-    own = own.withColumn("live", F.transform("_w", lambda w: F.coalesce(alive(w), F.lit(False))))
-    a = F.col("_a")
-    missing = (F.size("_x") == 0) | (1 - a["n"] / F.greatest(F.size("_x"), F.lit(1)) >= MISSING) | (a["n"] < LEAST_SAMPLES)
-    rules = {"D2": (a["n"] > 1) & (a["still"] >= STILL), "D3": (a["mad"] < LEAST_SPREAD) & (a["sd"] < LEAST_SPREAD), "D4": (a["high"] > a["low"]) & (a["railed"] >= RAILED)}
-    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda c: c.isNotNull())
-    codes = F.when(missing, F.array(F.lit("D1"))).when(F.size(found) == 0, F.array(F.lit("D3"))).otherwise(found)
-    is_alive = F.exists("live", lambda x: x)
-    return own.select(*keys, is_alive.alias("alive"), F.when(is_alive, F.array().cast("array<string>")).otherwise(codes).alias("codes"), F.size("live").alias("n_windows"), F.size(F.filter("live", lambda x: x)).alias("n_alive"), "live")
+
+    def codes(x: Column, a: Column) -> Column:
+        missing = (F.size(x) == 0) | (1 - a["n"] / F.greatest(F.size(x), F.lit(1)) >= MISSING) | (a["n"] < LEAST_SAMPLES)
+        rules = {"D2": (a["n"] > 1) & (a["still"] >= STILL), "D3": (a["mad"] < LEAST_SPREAD) & (a["sd"] < LEAST_SPREAD), "D4": (a["high"] > a["low"]) & (a["railed"] >= RAILED)}
+        found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda c: c.isNotNull())
+        return F.when(missing, F.array(F.lit("D1"))).otherwise(_let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit("D3"))).otherwise(f)))
+
+    def verdict(x: Column) -> Column:
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
+        live = F.transform(starts, lambda s: _let(_sample_stats(F.slice(x, s + 1, width)), lambda w: F.coalesce(alive(w), F.lit(False))))
+
+        def of(v: Column) -> Column:
+            is_alive = F.exists(v, lambda y: y)
+            dead = F.when(is_alive, F.array().cast("array<string>")).otherwise(_let(_sample_stats(x), lambda a: codes(x, a)))
+            return F.struct(is_alive.alias("alive"), dead.alias("codes"), F.size(v).alias("n_windows"), F.size(F.filter(v, lambda y: y)).alias("n_alive"), v.alias("live"))
+
+        return _let(live, of)
+
+    # one expression, so that no step of it is evaluated again for each of its uses
+    x = F.coalesce(F.transform(samples, lambda x: x.cast("double")), F.array().cast("array<double>"))
+    return df.select(*keys, _let(x, verdict).alias("_q")).select(*keys, *[F.col(f"_q.{c}").alias(c) for c in ("alive", "codes", "n_windows", "n_alive", "live")])
 
 
 def duplicate_channels(df: DataFrame, recording: str, channel: str, samples: str, listed: Column, rate: float, seconds: float = 10.0, least: float = 0.999) -> DataFrame:
@@ -189,24 +198,27 @@ def duplicate_channels(df: DataFrame, recording: str, channel: str, samples: str
     a duplicate. A channel that repeats several names the first. Pairs are within a recording, whose channels are few.
     """
     width = max(1, round(seconds * rate))
-    live = channel_liveness(df.select(recording, channel, samples, listed.alias("_listed")), [recording, channel, samples, "_listed"], samples, rate, seconds).where("alive")
+    # written, as a condition on the verdict would be evaluated apart from its other uses
+    live = stored(channel_liveness(df.select(recording, channel, samples, listed.alias("_listed")), [recording, channel, samples, "_listed"], samples, rate, seconds), "live").where("alive")
     side = lambda s: live.select(F.col(recording).alias(recording), F.col(channel).alias(f"_c{s}"), F.transform(samples, lambda x: x.cast("double")).alias(f"_x{s}"), F.col("live").alias(f"_l{s}"), F.coalesce("_listed", F.lit(False)).alias(f"_k{s}"))
     pairs = side(1).join(side(2).hint("merge"), recording).where(~F.col("_k2") & (F.col("_k1") | (F.col("_c1") < F.col("_c2"))))
     both = F.zip_with("_x1", "_x2", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     kept = F.filter(both, lambda p, i: F.get("_l1", F.floor(i / width).cast("int")) & F.get("_l2", F.floor(i / width).cast("int")) & _finite(p["a"]) & _finite(p["b"]))
-    # sums of both channels about their first common sample
-    rows = pairs.select(recording, "_c1", "_c2", kept.alias("_p")).where(F.size("_p") >= int(10 * rate))
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("a", "b", "aa", "bb", "ab")])
 
-    def add(t: Column, p: Column) -> Column:
-        a, b = p["a"] - F.get("_p", 0)["a"], p["b"] - F.get("_p", 0)["b"]
+    def add(t: Column, a: Column, b: Column) -> Column:
         return F.struct((t["a"] + a).alias("a"), (t["b"] + b).alias("b"), (t["aa"] + a * a).alias("aa"), (t["bb"] + b * b).alias("bb"), (t["ab"] + a * b).alias("ab"))
 
-    rows = rows.select(recording, "_c1", "_c2", F.size("_p").alias("_n"), F.aggregate("_p", zero, add).alias("_s"))
-    s, n = F.col("_s"), F.col("_n")
-    va, vb = s["aa"] - s["a"] * s["a"] / n, s["bb"] - s["b"] * s["b"] / n
-    r = F.when((va > 0) & (vb > 0), F.abs(s["ab"] - s["a"] * s["b"] / n) / F.sqrt(va * vb))
-    return rows.where(r >= least).groupBy(recording, F.col("_c2").alias(channel)).agg(F.min("_c1").alias("duplicate_of"))
+    def strength(s: Column, n: Column) -> Column:
+        va, vb = s["aa"] - s["a"] * s["a"] / n, s["bb"] - s["b"] * s["b"] / n
+        return F.when((va > 0) & (vb > 0), F.abs(s["ab"] - s["a"] * s["b"] / n) / F.sqrt(va * vb))
+
+    def related(p: Column) -> Column:
+        # sums of both channels about their first common sample, in one pass over the pair
+        sums = _let(F.get(p, 0), lambda o: F.aggregate(p, zero, lambda t, y: add(t, y["a"] - o["a"], y["b"] - o["b"])))
+        return F.when(F.size(p) >= int(10 * rate), _let(sums, lambda s: strength(s, F.size(p))))
+
+    return pairs.where(_let(kept, related) >= least).groupBy(recording, F.col("_c2").alias(channel)).agg(F.min("_c1").alias("duplicate_of"))
 
 
 def liveness(samples: Column, window: int, flat: float = 1e-6, rail: float = 1e3) -> Column:
