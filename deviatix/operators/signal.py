@@ -171,13 +171,14 @@ def filled_channels(signals: DataFrame, keys: list[str], channels: list[int], le
 
 
 def pair_asymmetry(spectrum: DataFrame, keys: list[str], channel: str, pairs: list[tuple[int, int]], low: float = 0.5, high: float = 25.0) -> DataFrame:
-    """q_asym: the greatest over homologous pairs of the mean normalised difference of their spectra; and its pair."""
+    """q_asym: the greatest over homologous pairs of the mean normalised difference of their spectra; and its pair, of equal ones (to
+    nine digits) the last. Both null where no pair has both channels."""
     sides = {c: (k, side) for k, pair in enumerate(pairs) for side, c in enumerate(pair)}
     lookup = F.create_map(*[F.lit(x) for c, (k, side) in sides.items() for x in (c, 2 * k + side)])
     s = spectrum.where((F.col("f") >= low) & (F.col("f") < high)).withColumn("_s", F.element_at(lookup, F.col(channel).cast("int"))).where("_s IS NOT NULL")
     own = s.groupBy(*keys, F.floor(F.col("_s") / 2).alias("pair"), "f").agg(F.max(F.when(F.col("_s") % 2 == 0, F.col("p"))).alias("l"), F.max(F.when(F.col("_s") % 2 == 1, F.col("p"))).alias("r"))
     per = own.groupBy(*keys, "pair").agg(F.avg(F.abs(F.col("r") - F.col("l")) / (F.col("r") + F.col("l") + EPS)).alias("a"))
-    return per.groupBy(*keys).agg(F.max("a").alias("q_asym"), F.max_by("pair", F.struct("a", "pair")).alias("pair"))
+    return per.groupBy(*keys).agg(F.max("a").alias("q_asym"), F.max_by("pair", F.when(F.col("a").isNotNull(), F.struct(F.round("a", 9), F.col("pair")))).alias("pair"))
 
 
 def muscle_share(spectrum: DataFrame, keys: list[str], channel: str, low: float = 1.0, middle: float = 20.0, high: float = 45.0) -> DataFrame:

@@ -141,7 +141,7 @@ def dsp02(spark, sf):
 
 
 @query("dsp11_pair_asymmetry", f"""WITH {_PSD}, {_LONG}, q AS (SELECT seg, channel % 4 AS pair, f, max(p) FILTER (channel < 4) AS l, max(p) FILTER (channel >= 4) AS r FROM lg WHERE channel < 8 AND f >= 0.5 AND f < 25 GROUP BY ALL),
-  a AS (SELECT seg, pair, avg(abs(r - l) / (r + l + 1e-12)) AS a FROM q GROUP BY 1, 2) SELECT seg, round(max(a), 6) AS q_asym, arg_max(pair, a) AS pair FROM a GROUP BY 1""")
+  a AS (SELECT seg, pair, avg(abs(r - l) / (r + l + 1e-12)) AS a FROM q GROUP BY 1, 2) SELECT seg, round(max(a), 6) AS q_asym, max(pair) FILTER (round(a, 9) = round(top, 9)) AS pair FROM (SELECT *, max(a) OVER (PARTITION BY seg) AS top FROM a) GROUP BY 1""")
 def dsp11(spark, sf):
     return rounded(G.pair_asymmetry(long(spark, sf), ["seg"], "channel", [(k, k + 4) for k in range(4)]))
 
