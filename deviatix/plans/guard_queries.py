@@ -112,18 +112,20 @@ def tx10(spark, sf):
     return d.select("doc_id", "named", *[c.alias(k) for k, c in T.label_algebra(F.col("foc"), F.col("gen"), F.col("abn"), F.col("named")).items()])
 
 
-#: Descriptors of a recording from its events: shares and peaks by stage.
+#: Descriptors of a recording from its events: shares and peaks by stage. Of stages with the greatest value the last by name is the peak; sides
+#: are equal if they are to nine digits, as sums depend on the order of rows.
 _DESC = """de AS (SELECT user_id, count(*) AS n, avg(CAST(value > 60 AS DOUBLE)) AS share, max(value) / 50 AS top, quantile_cont(value, 0.5) / 50 AS whole, count(*) FILTER (value > 60) AS episodes,
-  avg(value) FILTER (event_type IN ('click', 'view')) AS l, avg(value) FILTER (event_type IN ('purchase', 'signup')) AS r, arg_max(event_type, value) AS peak FROM events GROUP BY 1),
-  dd AS (SELECT *, CASE WHEN l > r THEN 'left' WHEN l < r THEN 'right' END AS side, top > 5 AS focal, share > 0.15 AS general, whole > 1 AS confident FROM de)"""
+  avg(value) FILTER (event_type IN ('click', 'view')) AS l, avg(value) FILTER (event_type IN ('purchase', 'signup')) AS r, arg_max(event_type, (value, event_type)) FILTER (value IS NOT NULL) AS peak FROM events GROUP BY 1),
+  dd AS (SELECT *, CASE WHEN round(l - r, 9) > 0 THEN 'left' WHEN round(l - r, 9) < 0 THEN 'right' END AS side, top > 5 AS focal, share > 0.15 AS general, whole > 1 AS confident FROM de)"""
 
 
 def descriptors(spark, sf):
     v, t = F.col("value"), F.col("event_type")
     e = table(spark, sf, "events").groupBy("user_id").agg(
         F.avg((v > 60).cast("double")).alias("share"), (F.max(v) / 50).alias("top"), (F.percentile("value", F.lit(0.5)) / 50).alias("whole"), F.count_if(v > 60).alias("episodes"),
-        F.avg(F.when(t.isin("click", "view"), v)).alias("l"), F.avg(F.when(t.isin("purchase", "signup"), v)).alias("r"), F.max_by("event_type", "value").alias("peak"))
-    side = F.when(F.col("l") > F.col("r"), "left").when(F.col("l") < F.col("r"), "right")
+        F.avg(F.when(t.isin("click", "view"), v)).alias("l"), F.avg(F.when(t.isin("purchase", "signup"), v)).alias("r"), F.max_by("event_type", F.when(v.isNotNull(), F.struct(v, t))).alias("peak"))
+    ahead = F.round(F.col("l") - F.col("r"), 9)
+    side = F.when(ahead > 0, "left").when(ahead < 0, "right")
     return e.withColumns({"side": side, "focal": F.col("top") > 5, "general": F.col("share") > 0.15, "confident": F.col("whole") > 1})
 
 
