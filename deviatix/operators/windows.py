@@ -174,7 +174,7 @@ def exemplars(df: DataFrame, band: str, prefer: list[str], tie: str) -> DataFram
 
 
 def peaks(df: DataFrame, keys: list[str], name: str, z: str, tau: float = 1.0) -> DataFrame:
-    """Per segment: the channel or region of the greatest deviation, and max, median, min and extent over them."""
+    """Per segment: the channel or region of the greatest deviation (of equal ones the last by name), and max, median, min and extent over them."""
     c = F.col(z)
     top = F.max_by(name, F.struct(c, F.col(name))).alias("argmax")
     return df.where(c.isNotNull()).groupBy(*keys).agg(top, F.max(c).alias("top"), F.percentile(z, F.lit(0.5)).alias("mid"), F.min(c).alias("low"), F.avg((c > tau).cast("double")).alias("extent"))

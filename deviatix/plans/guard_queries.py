@@ -213,7 +213,7 @@ def w16(spark, sf):
     return W.balanced_selection(table(spark, sf, "customer"), F.col("c_acctbal") > 5000, F.col("c_mktsegment") == "MACHINERY", "c_custkey", 40, 10).select("c_custkey", "picked_as")
 
 
-@query("w19_argmax", f"WITH {POW}, z AS (SELECT eeg_id, channel, (theta - 36) / 19.7 AS z FROM pw) SELECT eeg_id, arg_max(channel, z) AS argmax, round(max(z), 6) AS top, round(quantile_cont(z, 0.5), 6) AS mid, round(min(z), 6) AS low, round(avg(CAST(z > 0.5 AS DOUBLE)), 6) AS extent FROM z GROUP BY 1")
+@query("w19_argmax", f"WITH {POW}, z AS (SELECT eeg_id, channel, (theta - 36) / 19.7 AS z FROM pw) SELECT eeg_id, arg_max(channel, (z, channel)) FILTER (z IS NOT NULL) AS argmax, round(max(z), 6) AS top, round(quantile_cont(z, 0.5), 6) AS mid, round(min(z), 6) AS low, round(avg(CAST(z > 0.5 AS DOUBLE)), 6) AS extent FROM z GROUP BY 1")
 def w19(spark, sf):
     z = powers(spark, sf).select("eeg_id", "channel", ((F.col("theta") - 36) / 19.7).alias("z"))
     return rounded(W.peaks(z, ["eeg_id"], "channel", "z", 0.5))
