@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import gradient_word, is_focal, leading_lobe, lobe_excess, side_call
+from ..functions.scalars import gradient_word, is_focal, leading_lobe, let, lobe_excess, side_call
 from ..sources.shared import stored
 
 EPS = 1e-12
@@ -131,11 +129,6 @@ def magnitude(focal: Column, peak_z: Column, *whole: Column) -> Column:
 RAILED, STILL, LEAST_SPREAD, MAD_SCALE, MISSING, LEAST_SAMPLES = 0.20, 0.999, 0.5, 1.4826, 0.99, 8
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _sample_stats(samples: Column) -> Column:
     """The numbers that the rules ask of an array's finite samples: n, low, high, shares at either, of equal neighbours, MAD, SD."""
     n = lambda x: F.greatest(F.size(x), F.lit(1)).cast("double")
@@ -145,12 +138,12 @@ def _sample_stats(samples: Column) -> Column:
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / n(x)
 
     def all_of(x: Column) -> Column:
-        mad = _let(_let(F.sort_array(x), middle), lambda m: _let(F.sort_array(F.transform(x, lambda y: F.abs(y - m))), middle))
-        sd = _let(mean(x), lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, y: t + (y - m) * (y - m)) / n(x)))
+        mad = let(let(F.sort_array(x), middle), lambda m: let(F.sort_array(F.transform(x, lambda y: F.abs(y - m))), middle))
+        sd = let(mean(x), lambda m: F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, y: t + (y - m) * (y - m)) / n(x)))
         still = F.size(F.filter(steps(x), lambda d: d == 0)) / F.greatest(n(x) - 1, F.lit(1.0))
         return F.struct(F.size(x).alias("n"), F.array_min(x).alias("low"), F.array_max(x).alias("high"), F.greatest(share(x, F.array_max(x)), share(x, F.array_min(x))).alias("railed"), still.alias("still"), (MAD_SCALE * mad).alias("mad"), sd.alias("sd"))
 
-    return _let(F.filter(samples, _finite), all_of)
+    return let(F.filter(samples, _finite), all_of)
 
 
 def _finite(x: Column) -> Column:
@@ -172,22 +165,22 @@ def channel_liveness(df: DataFrame, keys: list[str], samples: str, rate: float,
         missing = (F.size(x) == 0) | (1 - a["n"] / F.greatest(F.size(x), F.lit(1)) >= MISSING) | (a["n"] < LEAST_SAMPLES)
         rules = {"D2": (a["n"] > 1) & (a["still"] >= STILL), "D3": (a["mad"] < LEAST_SPREAD) & (a["sd"] < LEAST_SPREAD), "D4": (a["high"] > a["low"]) & (a["railed"] >= RAILED)}
         found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda c: c.isNotNull())
-        return F.when(missing, F.array(F.lit("D1"))).otherwise(_let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit("D3"))).otherwise(f)))
+        return F.when(missing, F.array(F.lit("D1"))).otherwise(let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit("D3"))).otherwise(f)))
 
     def verdict(x: Column) -> Column:
         starts = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, F.lit(width))).otherwise(F.array().cast("array<int>"))
-        live = F.transform(starts, lambda s: _let(_sample_stats(F.slice(x, s + 1, width)), lambda w: F.coalesce(alive(w), F.lit(False))))
+        live = F.transform(starts, lambda s: let(_sample_stats(F.slice(x, s + 1, width)), lambda w: F.coalesce(alive(w), F.lit(False))))
 
         def of(v: Column) -> Column:
             is_alive = F.exists(v, lambda y: y)
-            dead = F.when(is_alive, F.array().cast("array<string>")).otherwise(_let(_sample_stats(x), lambda a: codes(x, a)))
+            dead = F.when(is_alive, F.array().cast("array<string>")).otherwise(let(_sample_stats(x), lambda a: codes(x, a)))
             return F.struct(is_alive.alias("alive"), dead.alias("codes"), F.size(v).alias("n_windows"), F.size(F.filter(v, lambda y: y)).alias("n_alive"), v.alias("live"))
 
-        return _let(live, of)
+        return let(live, of)
 
     # one expression, so that no step of it is evaluated again for each of its uses
     x = F.coalesce(F.transform(samples, lambda x: x.cast("double")), F.array().cast("array<double>"))
-    return df.select(*keys, _let(x, verdict).alias("_q")).select(*keys, *[F.col(f"_q.{c}").alias(c) for c in ("alive", "codes", "n_windows", "n_alive", "live")])
+    return df.select(*keys, let(x, verdict).alias("_q")).select(*keys, *[F.col(f"_q.{c}").alias(c) for c in ("alive", "codes", "n_windows", "n_alive", "live")])
 
 
 def duplicate_channels(df: DataFrame, recording: str, channel: str, samples: str, listed: Column, rate: float, seconds: float = 10.0, least: float = 0.999) -> DataFrame:
@@ -215,10 +208,10 @@ def duplicate_channels(df: DataFrame, recording: str, channel: str, samples: str
 
     def related(p: Column) -> Column:
         # sums of both channels about their first common sample, in one pass over the pair
-        sums = _let(F.get(p, 0), lambda o: F.aggregate(p, zero, lambda t, y: add(t, y["a"] - o["a"], y["b"] - o["b"])))
-        return F.when(F.size(p) >= int(10 * rate), _let(sums, lambda s: strength(s, F.size(p))))
+        sums = let(F.get(p, 0), lambda o: F.aggregate(p, zero, lambda t, y: add(t, y["a"] - o["a"], y["b"] - o["b"])))
+        return F.when(F.size(p) >= int(10 * rate), let(sums, lambda s: strength(s, F.size(p))))
 
-    return pairs.where(_let(kept, related) >= least).groupBy(recording, F.col("_c2").alias(channel)).agg(F.min("_c1").alias("duplicate_of"))
+    return pairs.where(let(kept, related) >= least).groupBy(recording, F.col("_c2").alias(channel)).agg(F.min("_c1").alias("duplicate_of"))
 
 
 def liveness(samples: Column, window: int, flat: float = 1e-6, rail: float = 1e3) -> Column:
