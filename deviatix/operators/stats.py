@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+from ..sources.shared import stored
+from .quantiles import same
 from .ranks import running
 
 
@@ -43,9 +46,16 @@ def average_precision(points: DataFrame) -> DataFrame:
     return points.agg((F.sum(F.col("p") * F.col("precision")) / F.sum("p")).alias("average_precision"))
 
 
+def _uniform(replicate: Column, unit: Column, seed: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), replicate.cast("string"), unit.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def poisson_weight(replicate: Column, unit: Column, seed: str = "0") -> Column:
     """A Poisson(1) draw that any engine can repeat: from the first 32 bits of an md5."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), replicate.cast("string"), unit.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return _poisson(_uniform(replicate, unit, seed))
+
+
+def _poisson(u: Column) -> Column:
     # cumulative Poisson(1): fixed values
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     return sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
@@ -238,12 +248,24 @@ def residual(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def bootstrap_median(df: DataFrame, value: str, unit: str, replicates: int) -> DataFrame:
-    """replicate, median: lower weighted medians, a unit having one weight in a replicate. Values are counted first."""
-    drawn = df.where(F.col(value).isNotNull()).select(value, unit).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("_w", poisson_weight(F.col("replicate"), F.col(unit)).cast("double")).where("_w > 0")
-    c = drawn.groupBy("replicate", value).agg(F.sum("_w").alias("w"))
-    w = Window.partitionBy("replicate")
-    c = c.withColumns({"_upto": F.sum("w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("w").over(w)})
+    """replicate, median: lower weighted medians, a unit having one weight in a replicate. Replicates without a weight have no row.
+
+    Weights are drawn once for a unit and summed by value, as an array with a number for each replicate. The values are dealt
+    over ranges; a range's sums (a row each) say in which one a replicate has its median, and only those ranges are read again.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(unit, value).agg(F.count(F.lit(1)).alias("_n"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: let(_uniform(r, F.col(unit), "0"), _poisson))
+    drawn = same(rows, df.select(unit).distinct().withColumn("_w", draws), [unit])
+    every = lambda n: F.array(*[F.sum(F.get("_w", F.lit(r)) * n) for r in range(replicates)]).alias("_w")
+    values = drawn.groupBy(value).agg(every(F.col("_n")))
+    dealt = stored(values.repartitionByRange(value).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_range").agg(every(F.lit(1))).select("_range", F.posexplode("_w").alias("replicate", "_own"))
+    w = Window.partitionBy("replicate")  # a row per range
+    upto = F.sum("_own").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"_before": upto - F.col("_own"), "_all": F.sum("_own").over(w)})
+    hit = sums.where((F.col("_all") > 0) & (2 * F.col("_before") < F.col("_all")) & (2 * (F.col("_before") + F.col("_own")) >= F.col("_all")))
+    c = dealt.join(F.broadcast(hit), "_range").select("replicate", value, "_before", "_all", F.get("_w", F.col("replicate")).alias("_w")).where("_w > 0")
+    c = c.withColumn("_upto", F.col("_before") + F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     return c.where(2 * F.col("_upto") >= F.col("_all")).groupBy("replicate").agg(F.min(value).alias("median"))
 
 
