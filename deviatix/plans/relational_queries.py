@@ -8,6 +8,7 @@ from ..functions.scalars import epoch
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import windows as W
+from ..operators.quantiles import percentiles
 from ..registry import query
 from .tables import POW, SEG, powers, rounded, segments, table
 
@@ -195,9 +196,10 @@ def a15(spark, sf):
   SELECT stratum, count(*) AS n, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.75), 4) AS q3, round(100 * avg(CAST(u AS DOUBLE)), 4) AS urgent FROM s GROUP BY 1""")
 def a16(spark, sf):
     strata = F.array_compact(F.array(F.lit("all"), F.when(F.col("o_orderstatus") == "F", "finished"), F.when(F.col("o_totalprice") > 150000, "large")))
-    q = lambda p: F.percentile("o_totalprice", F.lit(p))
     o = table(spark, sf, "orders").withColumn("stratum", F.explode(strata))
-    return rounded(o.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), (100 * F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double"))).alias("urgent")), 4)
+    shares = o.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), (100 * F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double"))).alias("urgent"))
+    q = percentiles(o, ["stratum"], "o_totalprice", {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n")
+    return rounded(shares.join(q.hint("merge"), "stratum", "left").select("stratum", "n", "median", "q1", "q3", "urgent"), 4)
 
 
 @query("a18_crosstab", """SELECT o_orderpriority, o_orderstatus, count(*) AS n, CAST(grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS BIGINT) AS margin FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)""")
