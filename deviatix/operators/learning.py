@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .quantiles import percentiles
 from .windows import hash_order
 
@@ -20,8 +21,10 @@ def head(df: DataFrame, features: list[str], label: str, c: float = 0.3, balance
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 
-    n, pos = df.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("double"))).first()
-    weight = F.when(F.col(label).cast("int") == 1, n / (2 * max(pos or 0, 1))).otherwise(n / (2 * max(n - (pos or 0), 1)))
+    # each stage of the fit reads the rows, which are written once
+    rows = stored(df.select(*features, F.col(label).cast("int").alias("_c"), F.col(label).cast("double").alias("_y")), "rows")
+    n, pos = rows.agg(F.count(F.lit(1)), F.sum("_y")).first()
+    weight = F.when(F.col("_c") == 1, n / (2 * max(pos or 0, 1))).otherwise(n / (2 * max(n - (pos or 0), 1)))
     weight = weight if balanced else F.lit(1.0)
     filled = [f"{x}_filled" for x in features]
     stages = [
@@ -29,7 +32,7 @@ def head(df: DataFrame, features: list[str], label: str, c: float = 0.3, balance
         StandardScaler(withMean=True, inputCol="_raw", outputCol="_x"),
         LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", elasticNetParam=0.0, standardization=False, regParam=1 / (c * n), maxIter=200, tol=1e-9, probabilityCol="_p"),
     ]
-    return Pipeline(stages=stages).fit(df.withColumns({"_w": weight, "_y": F.col(label).cast("double")}))
+    return Pipeline(stages=stages).fit(rows.withColumn("_w", weight))
 
 
 def scored(model, df: DataFrame) -> DataFrame:
@@ -44,6 +47,7 @@ def multiple_instance(df: DataFrame, features: list[str], bag: str, unit: str, l
     """Positive bags keep only their k best-scored rows as positives; others drop out; negatives stay. Refits each round."""
     from pyspark.sql import Window
 
+    df = stored(df.select(bag, unit, label, *[f for f in features if f not in (bag, unit, label)]), "bags")
     model = head(df, features, label)
     for _ in range(rounds):
         w = Window.partitionBy(bag).orderBy(F.desc("p"), unit)
