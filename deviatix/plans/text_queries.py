@@ -12,15 +12,24 @@ from .tables import table
 KEY = "tion"
 WORDS = T.SideWords(left=r"\bthe\b", right=r"\bof\b", diffuse=r"\band\b", right_first=r"\bin\b", left_first=r"\bwas\b")
 _CL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[.;\\n]'), lambda c: regexp_matches(c, 'tion'))"
-_SIDE = """CASE WHEN regexp_matches(c, '\\bin\\b') THEN 'right' WHEN regexp_matches(c, '\\bwas\\b') THEN 'left' WHEN regexp_matches(c, '\\bthe\\b') AND regexp_matches(c, '\\bof\\b') THEN 'bilateral'
-  WHEN regexp_matches(c, '\\bthe\\b') THEN 'left' WHEN regexp_matches(c, '\\bof\\b') THEN 'right' WHEN regexp_matches(c, '\\band\\b') THEN 'bilateral' END"""
+# RE2's \b and DuckDB's lower() know ASCII only, so that the SQL of the sides says what Java's do: letters, digits and marks beyond ASCII are of a
+# word, and a capital I with a dot becomes an i and a dot
+_CL_JAVA = _CL.replace("coalesce(text, '')", "replace(coalesce(text, ''), chr(304), 'i' || chr(775))")
+
+
+def _word(w: str) -> str:
+    return rf"regexp_matches(c, '(?:^|[^\p{{L}}\p{{Nd}}_\p{{Mn}}]|(?:^|[^\p{{L}}\p{{Nd}}\p{{Mn}}])\p{{Mn}}+){w}(?:$|[^\p{{L}}\p{{Nd}}_\p{{Mn}}])')"
+
+
+_SIDE = f"""CASE WHEN {_word('in')} THEN 'right' WHEN {_word('was')} THEN 'left' WHEN {_word('the')} AND {_word('of')} THEN 'bilateral'
+  WHEN {_word('the')} THEN 'left' WHEN {_word('of')} THEN 'right' WHEN {_word('and')} THEN 'bilateral' END"""
 
 
 def docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
-@query("tx01_tx04_side_band", f"""WITH d AS (SELECT doc_id, {_CL} AS cl FROM documents),
+@query("tx01_tx04_side_band", f"""WITH d AS (SELECT doc_id, {_CL_JAVA} AS cl FROM documents),
   s AS (SELECT doc_id, cl, list_filter(list_transform(cl, lambda c: {_SIDE}), lambda x: x IS NOT NULL) AS sides FROM d)
   SELECT doc_id, CAST(len(cl) AS BIGINT) AS n_clauses, CASE WHEN len(list_distinct(list_filter(sides, lambda x: x <> 'bilateral'))) = 1 THEN list_filter(sides, lambda x: x <> 'bilateral')[1] WHEN len(sides) > 0 THEN 'bilateral' END AS side,
   CASE WHEN len(list_filter(cl, lambda c: regexp_matches(c, 'ing'))) > 0 AND len(list_filter(cl, lambda c: regexp_matches(c, 'ment'))) > 0 THEN 'mixed' WHEN len(list_filter(cl, lambda c: regexp_matches(c, 'ing'))) > 0 THEN 'delta' WHEN len(list_filter(cl, lambda c: regexp_matches(c, 'ment'))) > 0 THEN 'theta' END AS band FROM s""")
