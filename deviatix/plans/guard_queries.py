@@ -112,7 +112,7 @@ def tx10(spark, sf):
     return d.select("doc_id", "named", *[c.alias(k) for k, c in T.label_algebra(F.col("foc"), F.col("gen"), F.col("abn"), F.col("named")).items()])
 
 
-#: Descriptors of a recording from its events: shares and peaks by stage. Of stages with the greatest value the last by name is the peak; sides
+#: Descriptors of a recording from its events: shares and peaks by stage. Of stages with the greatest value the last by name is the peak (events without a stage have none); sides
 #: are equal if they are to nine digits, as sums depend on the order of rows.
 _DESC = """de AS (SELECT user_id, count(*) AS n, avg(CAST(value > 60 AS DOUBLE)) AS share, max(value) / 50 AS top, quantile_cont(value, 0.5) / 50 AS whole, count(*) FILTER (value > 60) AS episodes,
   avg(value) FILTER (event_type IN ('click', 'view')) AS l, avg(value) FILTER (event_type IN ('purchase', 'signup')) AS r, arg_max(event_type, (value, event_type)) FILTER (value IS NOT NULL) AS peak FROM events GROUP BY 1),
@@ -123,7 +123,7 @@ def descriptors(spark, sf):
     v, t = F.col("value"), F.col("event_type")
     e = table(spark, sf, "events").groupBy("user_id").agg(
         F.avg((v > 60).cast("double")).alias("share"), (F.max(v) / 50).alias("top"), (F.percentile("value", F.lit(0.5)) / 50).alias("whole"), F.count_if(v > 60).alias("episodes"),
-        F.avg(F.when(t.isin("click", "view"), v)).alias("l"), F.avg(F.when(t.isin("purchase", "signup"), v)).alias("r"), F.max_by("event_type", F.when(v.isNotNull(), F.struct(v, t))).alias("peak"))
+        F.avg(F.when(t.isin("click", "view"), v)).alias("l"), F.avg(F.when(t.isin("purchase", "signup"), v)).alias("r"), F.max_by("event_type", F.when(v.isNotNull() & t.isNotNull(), F.struct(v, t))).alias("peak"), F.count(F.lit(1)).alias("n"))
     ahead = F.round(F.col("l") - F.col("r"), 9)
     side = F.when(ahead > 0, "left").when(ahead < 0, "right")
     return e.withColumns({"side": side, "focal": F.col("top") > 5, "general": F.col("share") > 0.15, "confident": F.col("whole") > 1})
@@ -135,12 +135,13 @@ def tx17(spark, sf):
     return descriptors(spark, sf).select("user_id", T.structured_report(F.col("focal"), F.col("side"), F.col("peak"), F.lit("theta"), F.col("general"), topography, F.lit("nan")).alias("report"))
 
 
-@query("tx16_paragraph", f"""WITH {_DESC}, s AS (SELECT user_id, focal, general, confident, episodes, concat_ws(' ', side, 'region') AS sp, printf('%.1f', round(whole, 1)) AS w, printf('%.1f', round(top, 1)) AS f, printf('%.0f', round(share * 100, 0)) AS pc, printf('%.1f', round(n / 10.0, 1)) AS lo, peak FROM dd)
-  SELECT user_id, concat_ws(' ', CASE WHEN focal AND general THEN 'Diffuse theta slowing, strongest in a focus: ' || sp || ' (top region ' || peak || ').' WHEN focal THEN 'Focus of theta slowing: ' || sp || ' (top region ' || peak || ').' ELSE 'Diffuse theta slowing: ' || sp || '.' END,
+@query("tx16_paragraph", f"""WITH {_DESC}, s AS (SELECT user_id, focal, general, confident, episodes, concat_ws(' ', side, 'region') AS sp, printf('%.1f', round(whole, 1) + 0.0) AS w, printf('%.1f', round(top, 1)) AS f, printf('%.0f', round(share * 100, 0)) AS pc, printf('%.1f', round(n / 10.0, 1)) AS lo, peak, coalesce(' (top region ' || peak || ')', '') AS rg FROM dd)
+  SELECT user_id, concat_ws(' ', CASE WHEN focal AND general THEN 'Diffuse theta slowing, strongest in a focus: ' || sp || rg || '.' WHEN focal THEN 'Focus of theta slowing: ' || sp || rg || '.' WHEN NOT focal THEN 'Diffuse theta slowing: ' || sp || '.' END,
     'Deviation from the norm of age and state: ' || CASE WHEN focal AND general THEN w || ' SD overall, ' || f || ' SD in the focus.' WHEN focal THEN f || ' SD in the focus.' ELSE w || ' SD.' END, 'Segments above it: ' || pc || ' %, some.',
-    CASE WHEN episodes > 0 THEN 'Runs: ' || episodes || ', at most ' || lo || ' min.' END, 'States: ' || peak || '.', CASE WHEN focal AND NOT general AND NOT confident THEN 'Nothing localises the focus beyond the normal range.' END) AS paragraph FROM s""")
+    CASE WHEN episodes > 0 THEN 'Runs: ' || episodes || ', at most ' || lo || ' min.' END, 'States: ' || nullif(peak, '') || '.', CASE WHEN focal AND NOT general AND NOT confident THEN 'Nothing localises the focus beyond the normal range.' END) AS paragraph FROM s""")
 def tx16(spark, sf):
-    d = descriptors(spark, sf).join(table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id")
+    """Of a recording without a known value nothing is said, nor a region or states where no stage is known; -0 is written as 0."""
+    d = descriptors(spark, sf)
     r = lambda c, k: F.round(F.col(c), k) if isinstance(c, str) else F.round(c, k)
     spatial = F.concat_ws(" ", "side", F.lit("region"))
     p = T.report_paragraph(spatial, F.lit("theta"), F.col("focal"), F.col("general"), F.col("peak"), r("whole", 1), r("top", 1), F.lit(None).cast("string"), r(F.col("share") * 100, 0) / 100, F.lit("some"), F.col("episodes"), r(F.col("n") / 10, 1), F.col("peak"), F.col("confident"))
