@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import bct_z, norm_cdf_np, t_cdf_np
@@ -105,27 +105,36 @@ def bct_curve(df: DataFrame, cell: list[str], x: str, value: str, grid: list[flo
     positive = df.where(F.col(value) > 0).select(*cell, x, value)
     enough = stored(positive.where(F.col(x).isNotNull()).groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows), "cells")
     points = quantile_curve(same(positive, enough.drop("_rows"), cell, hint=sized(enough)), cell, x, value, grid, bandwidth, shares, reach, min_weight=min_weight, effective=False)
-    points = points.select(*cell, "g", F.array(*shares).alias("_edges"))
+    first = F.col("g") == F.min("g").over(Window.partitionBy(*cell))  # a cell has no more points than the grid
+    points = stored(points.select(*cell, "g", F.array(*shares).alias("_edges"), first.alias("_first")), "points")
     types = dict(df.select(*cell).dtypes)
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in cell], "g double, mu double, sigma double, nu double, tau double, fam string"])
-    at = np.array(list(shares.values()))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("g").reset_index(drop=True)
-        for fam in ("BCT", "BCCG"):
-            found = []
-            for edges in part["_edges"]:
-                one = fit_quantiles(np.asarray(edges, float), at, fam == "BCCG")
-                if one is None:
-                    break
-                found.append(one)
-            if len(found) == len(part):
-                return pd.concat([part[[*cell, "g"]], pd.DataFrame(found, columns=["mu", "sigma", "nu", "tau"]), pd.Series([fam] * len(part), name="fam")], axis=1)
-        return part[[*cell, "g"]].head(0).assign(mu=np.array([], float), sigma=np.array([], float), nu=np.array([], float), tau=np.array([], float), fam=np.array([], str))
-
-    fitted = stored(points.groupBy(*cell).applyInPandas(fit, schema), "fitted")
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in cell], "g double, mu double, sigma double, nu double, tau double"])
+    at, names = np.array(list(shares.values())), ["mu", "sigma", "nu", "tau"]
+
+    def fits(rows: DataFrame, fam: str) -> DataFrame:
+        def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                found = [fit_quantiles(np.asarray(edges, float), at, fam == "BCCG") or [None] * 4 for edges in part["_edges"]]
+                yield pd.concat([part[[*cell, "g"]].reset_index(drop=True), pd.DataFrame(found, columns=names, dtype=float)], axis=1)
+
+        # dealt out by number: a fit takes seconds, and tables so small would be one task's
+        tasks = max(min(rows.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism), 1)
+        return stored(rows.repartition(tasks).mapInPandas(fit, schema), "fits")
+
+    def family(rows: DataFrame, fam: str) -> DataFrame:
+        """The fits of the cells all of whose points converge. A cell's first point is tried alone: where it fails, the others needn't be."""
+        tried = fits(rows.where("_first"), fam)
+        open_ = stored(tried.where("mu IS NOT NULL").select(*cell), "cells")
+        both = tried.unionByName(fits(stored(same(rows.where("NOT _first"), open_, cell, hint=sized(open_)), "points"), fam))
+        whole = stored(both.groupBy(*cell).agg(F.count_if(F.col("mu").isNull()).alias("_none")).where("_none = 0").select(*cell), "cells")
+        return same(both, whole, cell, hint=sized(whole)).withColumn("fam", F.lit(fam))
+
+    fitted = family(points, "BCT")
+    others = stored(same(points, stored(fitted.select(*cell).distinct(), "cells"), cell, "left_anti"), "points")
+    fitted = fitted.unionByName(family(others, "BCCG"))
     known = stored(fitted.select(*cell).distinct(), "cells")
-    robust = same(robust_curve(df, cell, x, value, grid, bandwidth, min_points=min(10, len(grid))), known, cell, "left_anti", hint=sized(known))
+    # only the cells that are left are searched for their robust curve
+    robust = robust_curve(same(df, known, cell, "left_anti", hint=sized(known)), cell, x, value, grid, bandwidth, min_points=min(10, len(grid)))
     nothing = F.lit(None).cast("double")
     return fitted.unionByName(robust.select(*cell, "g", "mu", "sigma", nothing.alias("nu"), nothing.alias("tau"), F.lit("NO").alias("fam")))
 
