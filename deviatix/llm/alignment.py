@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,7 +15,7 @@ from .pieces import PieceTable, padded, spread
 from .units import REQUEST, UNIT_BYTES, Answers, Unit, answered, answers, cuts, documents, each_unit, pack_ascending, pack_numbers, packed, reports, requests, unpack_numbers
 
 #: Bytes of text that are aligned at a time, and terms of a matrix product that are held at a time.
-RUN_BYTES, TERMS = 1 << 19, 1 << 21
+RUN_BYTES, TERMS = 1 << 18, 1 << 21
 #: Each codec remembers up to so many fragments (a power of two) and ids: some 60 MB a worker process and codec.
 SLOT_BITS, POOL = 21, 6_000_000
 #: Bytes of text whose distinct pairs one task adds up, about.
@@ -155,8 +155,9 @@ def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with a space before each that isn't empty."""
     size = np.diff(at)
     ends = np.concatenate([[0], np.cumsum(size + (size > 0))])
-    out = np.full(int(ends[-1]), 32, np.uint8)
-    out[spread(ends[:-1] + 1, size)] = data[at[0] : at[-1]]
+    out, own = np.full(int(ends[-1]), 32, np.uint8), np.ones(int(ends[-1]), bool)
+    own[ends[:-1][size > 0]] = False
+    out[own] = data[at[0] : at[-1]]
     return out, ends
 
 
@@ -187,13 +188,13 @@ def parts_of(data: np.ndarray, at: np.ndarray, most: int = RUN_BYTES) -> tuple[n
 @dataclass
 class Run:
     """The tokens of some parts of a unit's texts: ids, text and group of each token, which parts open their text, and the
-    links: text, id of either side, and how many pairs of tokens."""
+    links: text, pair of ids, and how many pairs of tokens."""
 
     ids: tuple[np.ndarray, np.ndarray]
     text: tuple[np.ndarray, np.ndarray]
     group: tuple[np.ndarray, np.ndarray]
     opens: np.ndarray
-    links: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    links: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def groups_of(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,29 +255,34 @@ class Aligner:
                 opens = np.ones(len(ids_a), bool)
                 opens[1:] = texts[0][1:] != texts[0][:-1]
                 opens[0] = first == 0 or text[first - 1] != texts[0][0]
-                yield Run(ids, texts, group, opens, links_of(ids, texts, group))
+                linked, one, two, many = links_of(ids, texts, group)
+                yield Run(ids, texts, group, opens, (linked, one << self.low | two, many))
             first = last
 
-    def unit_links(self, unit: Unit) -> tuple[np.ndarray, tuple[np.ndarray, ...], list[Run]]:
-        """(which texts have tokens, their links, runs)."""
-        spelled = np.diff(unit.at) > 0
-        runs: list[Run] = []
+    def unit_links(self, unit: Unit, take: Callable[[Run], None] = lambda run: None) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(which texts have tokens, their links). ``take`` gets each run; but for its links, none is held."""
+        spelled, whole = np.diff(unit.at) > 0, True
+        parts: tuple[list[np.ndarray], ...] = ([], [], [])
         for x in self.runs(unit):
             if isinstance(x, Run):
-                runs.append(x)
+                for part, column in zip(parts, x.links, strict=True):
+                    part.append(column)
+                whole &= bool(x.opens[0])
+                take(x)
             else:
                 spelled[x] = False
-        columns = [np.concatenate([r.links[k] for r in runs] or [np.zeros(0, np.int64)]) for k in range(4)]
-        keep = spelled[columns[0]]
-        columns = [c[keep] for c in columns]
-        texts, pairs = columns[0], columns[1] << self.low | columns[2]
+        texts, pairs, many = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in parts)
+        keep = spelled[texts]
+        texts, pairs, many = texts[keep], pairs[keep], many[keep]
+        if whole:
+            return spelled, (texts, pairs, many)
         # a long text's parts have links in common
-        order = np.lexsort((pairs, texts)) if len(runs) > 1 and (np.diff(texts) < 0).any() or any(not r.opens[0] for r in runs) else np.arange(len(texts))
-        texts, pairs, many = texts[order], pairs[order], columns[3][order]
+        order = np.lexsort((pairs, texts))
+        texts, pairs, many = texts[order], pairs[order], many[order]
         new = np.ones(len(texts), bool)
         new[1:] = (texts[1:] != texts[:-1]) | (pairs[1:] != pairs[:-1])
         place = np.flatnonzero(new)
-        return spelled, (texts[place], pairs[place], np.add.reduceat(many, place) if len(place) else many), runs
+        return spelled, (texts[place], pairs[place], np.add.reduceat(many, place) if len(place) else many)
 
     def blocks(self, pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """(order, blocks in that order) of ascending pairs dealt by a hash."""
@@ -286,8 +292,7 @@ class Aligner:
 
     def pair_requests(self, unit: Unit, bits: int) -> Iterator[tuple[int, int, int, bytes]]:
         """(block, unit, entries, body): the unit's distinct pairs and in how many of its texts each is."""
-        _, (_, pairs, _), _ = self.unit_links(unit)
-        pairs, texts = np.unique(pairs, return_counts=True)
+        pairs, texts = np.unique(self.unit_links(unit)[1][1], return_counts=True)
         order, block = self.blocks(pairs, bits)
         pairs, texts = pairs[order], texts[order]
         for a, b in cuts(block):
@@ -296,7 +301,15 @@ class Aligner:
     def results(self, unit: Unit, found, bits: int, best: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, n_best, count_sum), and (bytes, offsets) of the groups' texts."""
         n = len(unit.at) - 1
-        spelled, (texts, pairs, many), runs = self.unit_links(unit)
+        sums = lambda at, weights=None: _whole_sums(at, n, weights)
+        counts, written = [np.zeros(n, np.int64) for _ in range(3)], []
+
+        def take(run: Run) -> None:
+            for count, own in zip(counts, (run.text[0], run.text[1], run.text[0][np.diff(run.group[0], prepend=-1) > 0]), strict=True):
+                count += sums(own)
+            written.append(_group_text(run, n))
+
+        spelled, (texts, pairs, many) = self.unit_links(unit, take)
         distinct, index = np.unique(pairs, return_inverse=True)
         order, block = self.blocks(distinct, bits)
         total = np.zeros(len(distinct), np.int64)
@@ -304,12 +317,11 @@ class Aligner:
         for a, b in cuts(block):
             total[order[a:b]] = unpack_numbers(bodies[int(block[a])]).astype(np.int64)
         top = total == best[distinct >> self.low] if len(distinct) else total > 0
-        sums = lambda at, weights=None: _whole_sums(at, n, weights)
-        n_a, n_b, n_groups = (sum((sums(x) for x in own), np.zeros(n, np.int64)) for own in ((r.text[0] for r in runs), (r.text[1] for r in runs), (r.text[0][np.diff(r.group[0], prepend=-1) > 0] for r in runs)))
-        counts = [np.where(spelled, x, 0) for x in (n_a, n_b, n_groups)]
         links = [sums(texts, x) for x in (many, many * top[index], many * total[index])] if len(texts) else [np.zeros(n, np.int64)] * 3
-        data, size = zip(*(_group_text(r, n, spelled) for r in runs), strict=True) if runs else ((np.zeros(0, np.uint8),), (np.zeros(n, np.int64),))
-        return [*counts, *links], np.concatenate(data), np.concatenate([[0], np.cumsum(sum(size))])
+        # a long text whose later part isn't spelled has groups of the earlier ones
+        data = [x if spelled[size > 0].all() else x[np.repeat(spelled, size)] for x, size in written]
+        size = np.where(spelled, sum((size for _, size in written), np.zeros(n, np.int64)), 0)
+        return [*(np.where(spelled, x, 0) for x in counts), *links], np.concatenate(data or [np.zeros(0, np.uint8)]), np.concatenate([[0], np.cumsum(size)])
 
 
 def _whole_sums(at: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -327,7 +339,7 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size
 
 
-def _group_text(run: Run, n: int, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _group_text(run: Run, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, bytes of each text): ids joined by commas, the sides of a group by |, groups by ;."""
     (ids_a, ids_b), (group_a, group_b) = run.ids, run.group
     opens_a, opens_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
@@ -340,8 +352,6 @@ def _group_text(run: Run, n: int, spelled: np.ndarray) -> tuple[np.ndarray, np.n
     text[at_a], text[at_b] = run.text
     mark[at_a] = np.where(run.opens, 0, np.where(opens_a, ord(";"), ord(",")))
     mark[at_b] = np.where(opens_b, ord("|"), ord(","))
-    keep = spelled[text]
-    ids, text, mark = ids[keep], text[keep], mark[keep]
     digits, first, size = _digits(1 << int(ids.max(initial=0)).bit_length())
     step = size[ids] + (mark > 0)
     place = np.cumsum(step) - step

@@ -59,12 +59,12 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str | None = None, **options: object) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors, and
     gives Spark true sizes to plan with."""
     spark = df.sparkSession
     path = new_dir(spark, tag)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -20,6 +20,9 @@ from .pieces import utf8_column
 
 #: Bytes of text at which a unit is closed, at the end of a document. A longer document is a unit by itself.
 UNIT_BYTES = 4 << 20
+#: A unit is a row group by itself: the writer holds a row group and the reader decodes it whole, and by default it would
+#: have a task's units all, up to 100 and more.
+ONE_BY_ONE = {"parquet.block.row.count.limit": 1}
 #: Units of a partition whose answers share a folder, as a power of two.
 BUNDLE_BITS = 6
 #: A unit's number: the partition that packed it above these bits, its place there below.
@@ -75,7 +78,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int = UNIT_B
             yield closed()
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(own.mapInArrow(run, "unit long, bytes long, ids array<long>, texts array<string>"), "units", compression="zstd")
+    return written(own.mapInArrow(run, "unit long, bytes long, ids array<long>, texts array<string>"), "units", compression="zstd", **ONE_BY_ONE)
 
 
 def documents(units: DataFrame) -> DataFrame:
