@@ -36,8 +36,19 @@ class Csr:
     @classmethod
     def of(cls, row: np.ndarray, column: np.ndarray, rows: int, columns: int) -> Csr:
         """Counts of (row, column) places."""
-        place, count = _counted(row.astype(np.int64) * columns + column, np.ones(len(row), np.int64))
-        return cls(np.searchsorted(place, np.arange(rows + 1) * columns), place % max(columns, 1), count, columns)
+        place = row.astype(np.int64) * columns + column
+        if (place[1:] < place[:-1]).any():
+            place.sort()
+        at = np.flatnonzero(np.diff(place, prepend=-1))
+        return cls.at(place[at], np.diff(at, append=len(place)), rows, columns)
+
+    @classmethod
+    def at(cls, place: np.ndarray, value: np.ndarray, rows: int, columns: int) -> Csr:
+        """Values at ascending places, row by row."""
+        row = place // max(columns, 1)
+        start = np.zeros(rows + 1, np.int64)
+        np.cumsum(np.bincount(row, minlength=rows), out=start[1:])
+        return cls(start, place - row * columns, value, columns)
 
     @property
     def row(self) -> np.ndarray:
@@ -47,7 +58,7 @@ class Csr:
 def _counted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys, sums of their values)."""
     if len(key) and (key[1:] < key[:-1]).any():
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, value = key[order], value[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -63,12 +74,15 @@ def product(a: Csr, b: Csr) -> Csr:
     row, parts, k = a.row, [], 0
     while k < len(terms):
         j = max(k + 1, int(np.searchsorted(before, before[k] + TERMS, "right")) - 1)
-        own = spread(b.start[a.column[k:j]], terms[k:j])
-        key = np.repeat(row[k:j], terms[k:j]) * b.columns + b.column[own]
-        parts.append(_counted(key, np.repeat(a.value[k:j], terms[k:j]) * b.value[own]))
+        part, rows, value = terms[k:j], row[k:j], a.value[k:j]
+        if (part == 1).all():
+            own = b.start[a.column[k:j]]
+        else:
+            own, rows, value = spread(b.start[a.column[k:j]], part), np.repeat(rows, part), np.repeat(value, part)
+        parts.append(_counted(rows * b.columns + b.column[own], value * b.value[own]))
         k = j
     place, value = parts[0] if len(parts) == 1 else _counted(*(np.concatenate([x[i] for x in parts] or [np.zeros(0, np.int64)]) for i in (0, 1)))
-    return Csr(np.searchsorted(place, np.arange(len(a.start)) * b.columns), place % max(b.columns, 1), value, b.columns)
+    return Csr.at(place, value, len(a.start) - 1, b.columns)
 
 
 class Tokens:
@@ -332,11 +346,10 @@ def _whole_sums(at: np.ndarray, n: int, weights: np.ndarray | None = None) -> np
 
 
 @lru_cache(4)
-def _digits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digits of 0 .. n - 1 in turn, where each begins, how many)."""
-    text = [str(i).encode() for i in range(n)]
-    size = np.array(list(map(len, text)), np.int64)
-    return np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a row for each of 0 .. n - 1: a byte to be set and the digits, with zero bytes behind them; how many digits)."""
+    rows = np.array([b"-%d" % i for i in range(n)])
+    return rows.view(np.uint8).reshape(n, -1), np.char.str_len(rows) - 1
 
 
 def _group_text(run: Run, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,21 +357,20 @@ def _group_text(run: Run, n: int) -> tuple[np.ndarray, np.ndarray]:
     (ids_a, ids_b), (group_a, group_b) = run.ids, run.group
     opens_a, opens_b = np.diff(group_a, prepend=-1) > 0, np.diff(group_b, prepend=-1) > 0
     # a token comes behind those of its side, and behind the other side's of earlier groups (b: of its own too)
-    at_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
-    at_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+    until_a, until_b = (np.concatenate([[0], np.cumsum(np.bincount(g))]) for g in (group_a, group_b))
+    at_a = np.arange(len(ids_a)) + until_b[group_a]
+    at_b = np.arange(len(ids_b)) + until_a[group_b + 1]
     total = len(ids_a) + len(ids_b)
     ids, text, mark = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.uint8)
     ids[at_a], ids[at_b] = ids_a, ids_b
     text[at_a], text[at_b] = run.text
     mark[at_a] = np.where(run.opens, 0, np.where(opens_a, ord(";"), ord(",")))
     mark[at_b] = np.where(opens_b, ord("|"), ord(","))
-    digits, first, size = _digits(1 << int(ids.max(initial=0)).bit_length())
-    step = size[ids] + (mark > 0)
-    place = np.cumsum(step) - step
-    out = np.zeros(int(step.sum()), np.uint8)
-    out[place[mark > 0]] = mark[mark > 0]
-    out[spread(place + (mark > 0), size[ids])] = digits[spread(first[ids], size[ids])]
-    return out, _whole_sums(text, n, step)
+    digits, size = _digits(1 << int(ids.max(initial=0)).bit_length())
+    letters = digits.take(ids, axis=0)
+    letters[:, 0] = mark
+    letters = letters.ravel()
+    return letters[np.flatnonzero(letters)], _whole_sums(text, n, size[ids] + (mark > 0))
 
 
 def _merged(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
